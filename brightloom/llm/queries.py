@@ -36,6 +36,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", F.get("copies", F.lit(0))["position"].alias("position"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_counts
+
+    rows = token_counts.prefix_counts(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_table=False)
+    return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > token_counts.LIMIT).alias("over_limit"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -48,6 +55,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_files
+
+    folder = token_files.token_folder(spark)
+    manifest = token_files.write_token_files(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), folder)
+    return token_files.digests(token_files.read_token_files(manifest, folder))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pu_quality
 
@@ -58,8 +73,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
+    "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
+    "op8_token_files": op8_token_files,
     "op10_quality": op10_quality,
 }
 
