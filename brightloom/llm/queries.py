@@ -36,6 +36,18 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", F.get("copies", F.lit(0))["position"].alias("position"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import cross_polytope
+
+    return cross_polytope.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_extract
+
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_counts
 
@@ -63,6 +75,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read_token_files(manifest, folder))
 
 
+def op9_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ego_join
+
+    return ego_join.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pu_quality
 
@@ -73,10 +91,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
+    "op3_ann": op3_ann,
+    "op4_html": op4_html,
     "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
     "op8_token_files": op8_token_files,
+    "op9_ego_join": op9_ego_join,
     "op10_quality": op10_quality,
 }
 
