@@ -4,9 +4,695 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from brightloom.functions import text as T
+from brightloom.operators import chunking, expand, extract, indexing, lint, results, retrieve, testgen, verdicts
+from brightloom.operators.ids import dense_ids
+from brightloom.plans import adapters as A
+from brightloom.sources import pages as page_sources
+from brightloom.sources import programs as program_sources
+from brightloom.sources import store
+from brightloom.streaming import reindex
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+W = r"[\p{L}\p{M}\p{N}_]"
+TOKENS_SQL = rf"""qt AS (
+  SELECT query_id, regexp_replace(t, '^["''`]+|["''`]+$', '', 'g') AS t
+  FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(text, '[:\p{{L}}\p{{M}}\p{{N}}_]+=|[^\p{{L}}\p{{M}}\p{{N}}_\s]{{2,}}|{W}{{4,}}')) AS t FROM benchmark)),
+tokens AS (
+  SELECT query_id, lower(t) AS low, sum(CASE WHEN regexp_matches(t, '[^\p{{L}}\p{{M}}\p{{N}}_]') THEN 10 ELSE 1 END) AS weight
+  FROM qt WHERE t <> '' GROUP BY ALL)"""
+LEXICAL_SQL = (
+    TOKENS_SQL
+    + """,
+hits AS (SELECT id, low FROM (SELECT DISTINCT low FROM tokens) t JOIN chunks c ON contains(lower(c.text), t.low)),
+scored AS (SELECT query_id, id, CAST(sum(weight) AS BIGINT) AS score FROM hits JOIN tokens USING (low) GROUP BY ALL),
+lex AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank, id, score FROM scored)"""
+)
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+# Sources and sinks
+
+
+@query("s1_pages", "SELECT row_number() OVER (ORDER BY url) - 1 AS page_order, url, CAST(length(html) AS BIGINT) AS n FROM pages")
+def s1_pages(spark, d):
+    return page_sources.read_pages(spark, f"{d}/pages.parquet").select("page_order", "url", F.length("html").cast("long").alias("n"))
+
+
+@query("s2_sitemap", "SELECT DISTINCT url FROM pages WHERE starts_with(url, 'https://') AND NOT contains(url, '/de/')")
+def s2_sitemap(spark, d):
+    xml = A.table(spark, d, "pages").select(F.concat(F.lit("<urlset><url><loc> "), "url", F.lit("</loc></url><loc>ftp://x</loc></urlset>")).alias("xml"))
+    return page_sources.sitemap_urls(xml, "https://", ("/de/",))
+
+
+@query("s3_page_texts", """SELECT conv_id AS doc, CAST(n AS INT) AS page, text FROM (
+  SELECT conv_id, CASE WHEN turn % 3 = 2 THEN '' ELSE text END AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations) WHERE text <> ''""")
+def s3_page_texts(spark, d):
+    text = F.when(F.col("turn") % 3 == 2, "").otherwise(F.col("text"))
+    rows = A.table(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc")).agg(F.sort_array(F.collect_list(F.struct("turn", F.col("text").alias("o"), text.alias("t")))).alias("p"))
+    return page_sources.page_texts(rows.select("doc", F.transform("p", lambda p: p["t"]).alias("pages")))
+
+
+@query("s5_stored_results", "SELECT source || '/' || doc_id AS path, quality = 1 AS ok FROM documents JOIN labels USING (doc_id)")
+def s5_stored_results(spark, d):
+    rows = A.table(spark, d, "documents").select("doc_id", "source").join(A.table(spark, d, "labels"), "doc_id")
+    entry = F.struct(F.concat("source", F.lit("/"), "doc_id").alias("key"), (F.col("quality") == 1).alias("value"))
+    texts = rows.groupBy(F.col("source").alias("name"), (F.col("doc_id") % 64).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("text"))
+    return program_sources.compile_results(texts)
+
+
+@query("s7_upsert", "SELECT o_custkey AS id, max(o_orderkey) AS version FROM orders GROUP BY ALL")
+def s7_upsert(spark, d):
+    rows = A.table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("version"))
+    return store.upserted(rows.where("version % 2 = 0"), rows.where("version % 2 = 1"))
+
+
+@query("s8_summary", f"WITH {A.CHUNKS_SQL} SELECT count(*) AS n, count(*) FILTER (WHERE type = 'code') AS n_code, count(*) FILTER (WHERE type = 'text') AS n_text FROM chunks")
+def s8_summary(spark, d):
+    return store.summary(A.chunks(spark, d))
+
+
+@query("s9_nested_results")
+def s9_nested_results(spark, d):
+    return store.nested_results(verdicts.differential(A.outputs(spark, d)))
+
+
+@query("s10_changed_pages", "SELECT page_id, url FROM pages WHERE page_id % 3 = 0")
+def s10_changed_pages(spark, d):
+    pages = A.table(spark, d, "pages")
+    stored = reindex.page_hashes(pages.withColumn("html", F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit("!"))).otherwise(F.col("html"))))
+    return reindex.changed_pages(pages, stored).select("page_id", "url")
+
+
+# Extraction and cleaning
+
+
+def _pages(spark, d):
+    return A.table(spark, d, "pages").select(F.col("page_id").alias("page_order"), "url", "html")
+
+
+@query("e1_manual_chunks")
+def e1_manual_chunks(spark, d):
+    return extract.extract_chunks(_pages(spark, d))
+
+
+@query("e2_site_chunks")
+def e2_site_chunks(spark, d):
+    return extract.extract_chunks(_pages(spark, d), extract.DOCS_SITE)
+
+
+@query("e4_grammar", f"WITH {A.CHUNKS_SQL} SELECT id FROM chunks WHERE NOT (type = 'code' AND regexp_matches(replace(text, '!!', '::='), '::=|⟨|⟩|∣'))")
+def e4_grammar(spark, d):
+    rows = A.chunks(spark, d).withColumn("text", F.replace("text", F.lit("!!"), F.lit("::=")))
+    return chunking.without_grammar(rows).select("id")
+
+
+@query("e5_pdf_chunks", r"""WITH p AS (SELECT doc_id AS page, replace(replace(text, chr(10), chr(10) || ' ' || chr(10)), '!!', ' fmod X is sort S endfm ') AS text FROM documents),
+c AS (SELECT page, unnest(regexp_extract_all(text, '(?is)(?:fmod|mod|fth|th)\s+[\p{L}\p{M}\p{N}_]+.*?(?:endfm|endm|endfth|endth)')) AS text, 'code' AS type FROM p),
+t AS (SELECT page, regexp_replace(x, '^\s+|\s+$', '', 'g') AS text, 'text' AS type
+      FROM (SELECT page, unnest(regexp_split_to_array(regexp_replace(text, '(?is)(?:fmod|mod|fth|th)\s+[\p{L}\p{M}\p{N}_]+.*?(?:endfm|endm|endfth|endth)', '', 'g'), '\n\s*\n')) AS x FROM p)),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM t)
+SELECT page, type, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM c WHERE length(text) > 50
+UNION ALL SELECT page, type, text FROM w WHERE length(text) > 80 AND len(ws) >= 5 AND len(list_filter(ws, lambda x: length(x) = 1)) / len(ws) < 0.4""")
+def e5_pdf_chunks(spark, d):
+    text = F.replace(F.replace("text", F.lit("\n"), F.lit("\n \n")), F.lit("!!"), F.lit(" fmod X is sort S endfm "))
+    rows = A.table(spark, d, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), text.alias("text"))
+    return chunking.pdf_chunks(rows).select("page", "type", "text")
+
+
+@query("e7_fences", "SELECT conv_id, turn, 'see' || chr(10) || 'end' AS comment, text AS code FROM conversations")
+def e7_fences(spark, d):
+    rows = A.table(spark, d, "conversations")
+    return rows.select("conv_id", "turn", T.fenced(F.concat(F.lit("see\n```maude\n"), "text", F.lit("\n```\nend"))).alias("x")).select("conv_id", "turn", "x.*")
+
+
+PATH_SQL = "'d' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.maude' WHEN 2 THEN '.cpp' ELSE '.txt' END"
+
+
+def _paths():
+    suffix = F.element_at(F.array(*map(F.lit, (".py", ".maude", ".cpp", ".txt"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return F.concat(F.lit("d"), "doc_id", suffix)
+
+
+@query("e8_language", f"""SELECT path, CASE WHEN path LIKE '%.py' THEN 'Python' WHEN path LIKE '%.maude' THEN 'Maude' WHEN path LIKE '%.cpp' THEN 'C++' END AS language
+  FROM (SELECT {PATH_SQL} AS path FROM documents)""")
+def e8_language(spark, d):
+    return A.table(spark, d, "documents").select(_paths().alias("path")).select("path", T.language_of(F.col("path")).alias("language"))
+
+
+@query("e9_provenance", f"""WITH m AS (SELECT *, {PATH_SQL} AS path, CASE doc_id % 4 WHEN 0 THEN '#' WHEN 1 THEN '***' ELSE '//' END AS mark FROM documents)
+SELECT doc_id, source AS model, md5(mark || chr(10) || mark || chr(9) || '<comment from="' || source || '">' || chr(10) || mark || chr(9) || 'by ' || lang || chr(10)
+  || mark || chr(9) || '</comment>' || chr(10) || mark || chr(10) || chr(10) || text) AS digest FROM m""")
+def e9_provenance(spark, d):
+    rows = A.table(spark, d, "documents").withColumn("out", T.with_provenance(_paths(), F.col("source"), F.concat(F.lit("by "), "lang"), F.col("text")))
+    return rows.select("doc_id", T.provenance(F.col("out")).alias("model"), F.md5(F.col("out").cast("binary")).alias("digest"))
+
+
+@query("e10_autofix", """SELECT doc_id, md5(replace(replace(replace(x, '’', ''''), '…', '...'), '—', '-')) AS digest,
+  CASE WHEN contains(x, '’') THEN 1 ELSE 0 END + CASE WHEN contains(x, '…') THEN 1 ELSE 0 END + CASE WHEN contains(x, '—') THEN 1 ELSE 0 END AS n_fixes
+  FROM (SELECT doc_id, replace(replace(replace(text, ',', '’'), '. ', '…'), '!!', '—') AS x FROM documents)""")
+def e10_autofix(spark, d):
+    odd = F.replace(F.replace(F.replace("text", F.lit(","), F.lit("’")), F.lit(". "), F.lit("…")), F.lit("!!"), F.lit("—"))
+    rows = A.table(spark, d, "documents").select("doc_id", odd.alias("x"))
+    return rows.select("doc_id", F.md5(T.autofix(F.col("x")).cast("binary")).alias("digest"), F.size(T.autofixes(F.col("x"))).alias("n_fixes"))
+
+
+PROTECT_SQL = "{}"
+for _sym, _word in T.SYMBOL_WORDS:
+    PROTECT_SQL = f"replace({PROTECT_SQL}, '{_sym}', ' {_word} ')"
+
+
+@query("e11_protect", f"SELECT doc_id, md5({PROTECT_SQL.format(chr(120))}) AS digest FROM (SELECT doc_id, replace(replace(text, ', ', ' =/= b => '), '!!', ':=') AS x FROM documents)")
+def e11_protect(spark, d):
+    x = F.replace(F.replace("text", F.lit(", "), F.lit(" =/= b => ")), F.lit("!!"), F.lit(":="))
+    return A.table(spark, d, "documents").select("doc_id", F.md5(T.protect_symbols(x).cast("binary")).alias("digest"))
+
+
+# Chunking and ids
+
+
+
+def _count_sql(col: str, extra: int = 2) -> str:
+    return r"(len(regexp_extract_all(" + col + r", '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]')) + " + str(extra) + ")"
+
+
+@query("c1_token_count", f"SELECT doc_id, CAST({_count_sql('text')} AS INT) AS n FROM documents")
+def c1_token_count(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", T.token_count(F.col("text")).alias("n"))
+
+
+@query("c2_split")
+def c2_split(spark, d):
+    rows = A.table(spark, d, "documents").select("doc_id", "text")
+    return chunking.split_chunks(rows).select("doc_id", "sub_seq", "text")
+
+
+@query("c4_embed_text", f"""WITH {A.CHUNKS_SQL} SELECT id, md5(CASE WHEN type = 'code' OR {_count_sql('text')} < 120 THEN section || chr(10) || text ELSE text END) AS digest FROM chunks""")
+def c4_embed_text(spark, d):
+    rows = A.chunks(spark, d)
+    return rows.select("id", F.md5(chunking.embed_text(F.col("section"), F.col("type"), F.col("text")).cast("binary")).alias("digest"))
+
+
+@query("c5_length_gate", f"SELECT count(*) AS n, CAST(max(n) AS BIGINT) AS max_tokens, count(*) FILTER (WHERE n > 256) AS n_over FROM (SELECT {_count_sql('text')} AS n FROM documents)")
+def c5_length_gate(spark, d):
+    return chunking.length_report(A.table(spark, d, "documents"))
+
+
+@query("c6_ids", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, min(i) AS first, count(*) AS n FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
+def c6_ids(spark, d):
+    orders = dense_ids(A.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", name="i")
+    rows = A.table(spark, d, "lineitem").join(orders, "l_orderkey")
+    return rows.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.min("i").alias("first"), F.count("*").alias("n"))
+
+
+@query("w1_index")
+def w1_index(spark, d):
+    """Pages to numbered chunks with embedding text and vector length."""
+    rows = chunking.split_chunks(extract.extract_chunks(_pages(spark, d)))
+    rows = dense_ids(rows, "page_order", "chunk_seq", "sub_seq")
+    rows = rows.withColumn("embed_text", chunking.embed_text(F.col("section"), F.col("type"), F.col("text")))
+    rows = indexing.embed(rows.select("id", "source", "section", "type", "lang", "text", "embed_text"), "embed_text")
+    return rows.select("id", "source", "section", "type", "lang", "text", F.size("vec").alias("dim"))
+
+
+# Index
+
+TERMS_SQL = f"""terms AS (SELECT id, unnest(regexp_extract_all(lower({PROTECT_SQL.format('text')}), '{W}+')) AS term FROM chunks),
+posts AS (SELECT id, term, count(*) AS tf FROM terms GROUP BY ALL),
+lens AS (SELECT id, sum(tf) AS len FROM posts GROUP BY id)"""
+
+
+@query("i2_postings", f"WITH {A.CHUNKS_SQL}, {TERMS_SQL} SELECT id, term, CAST(tf AS INT) AS tf, CAST(len AS INT) AS len FROM posts JOIN lens USING (id)")
+def i2_postings(spark, d):
+    return indexing.posting_counts(A.chunks(spark, d))
+
+
+@query("i3_idf", f"WITH {A.CHUNKS_SQL}, {TERMS_SQL} SELECT term, count(*) AS df, round(ln(((SELECT count(*) FROM chunks) - count(*) + 0.5) / (count(*) + 0.5) + 1), 9) AS idf FROM posts GROUP BY term")
+def i3_idf(spark, d):
+    rows = A.chunks(spark, d)
+    return indexing.statistics(indexing.posting_counts(rows), rows).select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+BM25_SQL = f"""{TERMS_SQL},
+asked AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower({PROTECT_SQL.format('text')}), '{W}+')) AS term FROM benchmark)),
+idf AS (SELECT term, ln(((SELECT count(*) FROM chunks) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM posts GROUP BY term),
+avgs AS (SELECT sum(coalesce(len, 0)) / count(*) AS avglen FROM chunks LEFT JOIN lens USING (id)),
+bm AS (SELECT query_id, id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avglen))), 6) AS score
+       FROM asked JOIN posts USING (term) JOIN idf USING (term) JOIN lens USING (id), avgs GROUP BY ALL),
+bm25 AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank, id, score FROM bm)"""
+
+
+@query("r10_bm25", f"WITH {A.CHUNKS_SQL}, {BM25_SQL} SELECT query_id, rank, id, round(score, 4) AS score FROM bm25 WHERE rank <= 15")
+def r10_bm25(spark, d):
+    return indexing.bm25(A.queries(spark, d), A.chunks(spark, d), 15).withColumn("score", F.round("score", 4))
+
+
+@query("i1_embed")
+def i1_embed(spark, d):
+    rows = indexing.embed(A.chunks(spark, d).select("id", "text"))
+    return rows.select("id", F.size("vec").alias("dim"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))
+
+
+# Retrieval
+
+
+@query("r1_tokens", f"WITH {TOKENS_SQL} SELECT query_id, low, CAST(weight AS BIGINT) AS weight FROM tokens")
+def r1_tokens(spark, d):
+    rows = retrieve.tokens_of(A.queries(spark, d))
+    return rows.groupBy("query_id", F.lower("token").alias("low")).agg(F.sum("weight").alias("weight"))
+
+
+@query("r2_site_tokens", rf"""SELECT item_id AS query_id, count(*) AS n FROM (SELECT item_id, regexp_replace(t, '^["''`]+|["''`]+$', '', 'g') AS t FROM
+  (SELECT item_id, unnest(regexp_extract_all(replace(text, '. ', ' /a_b/c '), '/[\p{{L}}\p{{M}}\p{{N}}_/{{}}.-]+|[:\p{{L}}\p{{M}}\p{{N}}_]+=|[^\p{{L}}\p{{M}}\p{{N}}_\s]{{2,}}|{W}{{4,}}')) AS t FROM benchmark))
+  WHERE t <> '' GROUP BY ALL""")
+def r2_site_tokens(spark, d):
+    rows = A.queries(spark, d).withColumn("text", F.replace("text", F.lit(". "), F.lit(" /a_b/c ")))
+    return retrieve.tokens_of(rows.where("text is not null"), docs_site=True).groupBy("query_id").agg(F.sum(F.expr("case when kind = 'special' then weight div 10 else weight end")).alias("n"))
+
+
+@query("r3_code_query")
+def r3_code_query(spark, d):
+    code = F.concat(F.lit("eq f = g [owise "), F.split_part("text", F.lit(" "), F.lit(1)), F.lit("] . "), "text")
+    return A.table(spark, d, "documents").select("doc_id", T.query_or_start(T.code_constructions(code), code).alias("query"))
+
+
+@query("r4_client_query")
+def r4_client_query(spark, d):
+    code = F.concat(F.lit("client.upsert(batch_size=1, models.Filter) "), "text")
+    return A.table(spark, d, "documents").select("doc_id", T.client_constructions(code).alias("query"))
+
+
+@query("w2_lexical", f"WITH {A.CHUNKS_SQL}, {LEXICAL_SQL} SELECT query_id, rank, id, score FROM lex WHERE rank <= 6")
+def w2_lexical(spark, d):
+    return retrieve.lexical(A.queries(spark, d), A.chunks(spark, d), 6).select("query_id", "rank", "id", "score")
+
+
+@query("r15_lang_filter", f"WITH {A.CHUNKS_SQL.replace('FROM documents)', chr(70) + 'ROM documents QUALIFY lang IN (' + chr(39) + 'en' + chr(39) + '))')}, {LEXICAL_SQL} SELECT query_id, rank, id, score FROM lex WHERE rank <= 3")
+def r15_lang_filter(spark, d):
+    return retrieve.lexical(A.queries(spark, d), A.chunks(spark, d), 3, only=F.col("lang").isin("en")).select("query_id", "rank", "id", "score")
+
+
+SEMANTIC_SQL = """sem AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS INT) AS rank, id, s FROM (
+    SELECT q.vec_id AS query_id, c.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS s
+    FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0))"""
+
+
+@query("r8_semantic", f"WITH {SEMANTIC_SQL} SELECT query_id, rank, id, round(s, 9) AS score FROM sem WHERE rank <= 6")
+def r8_semantic(spark, d):
+    return retrieve.semantic(A.vector_queries(spark, d), A.vectors(spark, d), 6).withColumn("score", F.round("score", 9))
+
+
+def _both(spark, d):
+    """Queries and chunks with the vectors of their numbers, where there are any."""
+    v = A.vectors(spark, d).select("id", "vec")
+    q = A.queries(spark, d).join(v.withColumnRenamed("id", "query_id"), "query_id", "left")
+    return q, A.chunks(spark, d).join(v, "id", "left")
+
+
+FUSED_SQL = f"""{LEXICAL_SQL},
+sem AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank, id FROM (
+    SELECT b.item_id AS query_id, c.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS s
+    FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings c JOIN chunks k ON k.id = c.vec_id)),
+flag AS (SELECT item_id AS query_id, coalesce(bool_or(weight >= 10 AND regexp_matches(low, '[^\\p{{L}}\\p{{M}}\\p{{N}}_]')), false) AS special FROM benchmark LEFT JOIN tokens ON query_id = item_id GROUP BY ALL),
+al AS (SELECT query_id, id, rank, 'lexical' AS origin FROM lex WHERE rank <= 6 UNION ALL SELECT query_id, id, rank, 'semantic' FROM sem WHERE rank <= 6),
+tiered AS (SELECT al.*, CASE WHEN (origin = 'lexical') = special THEN 0 ELSE 1 END AS tier FROM al JOIN flag USING (query_id)),
+lead AS (SELECT * FROM tiered WHERE tier = 0 AND rank <= 3),
+rest AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS again FROM tiered t WHERE tier = 1 AND NOT EXISTS (SELECT 1 FROM lead l WHERE l.query_id = t.query_id AND l.id = t.id)),
+fused AS (SELECT query_id, id, origin, CAST(row_number() OVER (PARTITION BY query_id ORDER BY tier, r) AS INT) AS rank
+          FROM (SELECT query_id, id, origin, tier, rank AS r FROM lead UNION ALL SELECT query_id, id, origin, tier, again FROM rest WHERE again <= 3))"""
+
+
+@query("r9_hybrid", f"WITH {A.CHUNKS_SQL}, {FUSED_SQL} SELECT query_id, rank, id, origin FROM fused")
+def r9_hybrid(spark, d):
+    q, c = _both(spark, d)
+    return retrieve.hybrid(q, c, 3)
+
+
+@query("r11_rrf", f"""WITH {A.CHUNKS_SQL}, {LEXICAL_SQL}, {BM25_SQL},
+  r AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 12) AS score FROM (
+     SELECT query_id, id, rank FROM lex WHERE rank <= 15 UNION ALL SELECT query_id, id, rank FROM bm25 WHERE rank <= 15) GROUP BY ALL),
+  o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM r)
+  SELECT query_id, rank, id, round(score, 9) AS score, 'rrf' AS origin FROM o WHERE rank <= 6""")
+def r11_rrf(spark, d):
+    q, c = A.queries(spark, d), A.chunks(spark, d)
+    return retrieve.rrf([retrieve.lexical(q, c, 15), indexing.bm25(q, c, 15)], 3).withColumn("score", F.round("score", 9))
+
+
+@query("r12_by_ids", f"WITH {A.CHUNKS_SQL} SELECT id, section FROM chunks WHERE id IN (SELECT n_nationkey * 3 FROM nation UNION SELECT n_regionkey + 7 FROM nation)")
+def r12_by_ids(spark, d):
+    wanted = A.table(spark, d, "nation").select(F.concat(F.col("n_nationkey") * 3, F.lit(" , "), F.col("n_regionkey") + 7).alias("ids"))
+    return retrieve.by_ids(A.chunks(spark, d), wanted).select("id", "section")
+
+
+@query("r13_section", f"WITH {A.CHUNKS_SQL} SELECT section, count(*) AS n FROM chunks WHERE starts_with(section, 'sec-1') GROUP BY ALL")
+def r13_section(spark, d):
+    return retrieve.by_section(A.chunks(spark, d), "sec-1").groupBy("section").agg(F.count("*").alias("n"))
+
+
+@query("r14_display", f"""WITH {A.CHUNKS_SQL}, {LEXICAL_SQL} SELECT query_id, rank, printf('%.3f', CAST(score AS DOUBLE)) AS label, section, type, replace(substring(text, 1, 120), chr(10), ' ') AS preview
+  FROM lex JOIN chunks USING (id) WHERE rank <= 3""")
+def r14_display(spark, d):
+    c = A.chunks(spark, d)
+    return retrieve.display(retrieve.lexical(A.queries(spark, d), c, 3), c)
+
+
+# Context
+
+
+def _hits(spark, d, k=3):
+    c = A.chunks(spark, d)
+    return retrieve.lexical(A.queries(spark, d), c, k).withColumn("origin", F.lit("lexical")).select("query_id", "rank", "id", "origin"), c
+
+
+@query("w2_context", f"""WITH {A.CHUNKS_SQL}, {LEXICAL_SQL} SELECT query_id, string_agg('[' || section || ' - ' || type || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY id) AS context
+  FROM lex JOIN chunks USING (id) WHERE rank <= 3 GROUP BY query_id""")
+def w2_context(spark, d):
+    return expand.context(*_hits(spark, d))
+
+
+@query("x3_neighbours")
+def x3_neighbours(spark, d):
+    return expand.neighbours(*_hits(spark, d))
+
+
+def _section_sql(keep: str, origin: str) -> str:
+    return f"""WITH {A.CHUNKS_SQL}, {LEXICAL_SQL}, h AS (SELECT query_id, rank, id FROM lex WHERE rank <= 3),
+  aims AS (SELECT query_id, section FROM (SELECT query_id, section, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS n FROM h JOIN chunks USING (id) GROUP BY query_id, section) WHERE n <= 2),
+  new AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS n FROM aims JOIN chunks c USING (section)
+          WHERE type = 'code' AND {keep} AND NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = aims.query_id AND h.id = c.id))
+  SELECT query_id, rank, id, 'lexical' AS origin FROM h
+  UNION ALL SELECT query_id, CAST(n + (SELECT max(rank) FROM h WHERE h.query_id = new.query_id) AS INT), id, '{origin}' FROM new"""
+
+
+@query("x4_modules", _section_sql(r"NOT regexp_matches(text, 'Maude>|Welcome to Maude|[→⇝⇒∧]') AND regexp_matches(text, 'fmod |mod |fth |th |\neq |\nop ')", "section_module"))
+def x4_modules(spark, d):
+    return expand.section_modules(*_hits(spark, d))
+
+
+@query("x5_snippets", _section_sql(r"lang IN ('en', 'fr') AND NOT (regexp_matches(text, '^\s*(\$|>>>|#)') AND NOT contains(text, chr(10)))", "section_snippet"))
+def x5_snippets(spark, d):
+    hits, c = _hits(spark, d)
+    return expand.section_snippets(hits, c, langs=("en", "fr"))
+
+
+@query("x6_islands", f"""WITH {A.CHUNKS_SQL}, b AS (SELECT id, CASE WHEN section IS DISTINCT FROM lag(section) OVER (ORDER BY id) THEN id END AS start FROM chunks)
+  SELECT id, max(start) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS island FROM b""")
+def x6_islands(spark, d):
+    return expand.islands(A.chunks(spark, d), 256)
+
+
+@query("x6_sections", f"""WITH {A.CHUNKS_SQL}, {LEXICAL_SQL}, b AS (SELECT *, CASE WHEN section IS DISTINCT FROM lag(section) OVER (ORDER BY id) THEN id END AS start FROM chunks),
+  i AS (SELECT *, max(start) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS island FROM b)
+  SELECT lex.query_id, lex.rank, m.section, m.id, m.type FROM lex JOIN i h USING (id) JOIN i m ON m.island = h.island WHERE lex.rank <= 3 AND NOT regexp_matches(m.text, 'Maude>|Welcome to Maude|[→⇝⇒∧]')""")
+def x6_sections(spark, d):
+    return expand.whole_sections(*_hits(spark, d)).select("query_id", "rank", "section", "id", "type")
+
+
+@query("x7_budget")
+def x7_budget(spark, d):
+    return expand.budgeted_context(*_hits(spark, d, 6))
+
+
+@query("x9_prompts", f"""WITH {A.CHUNKS_SQL}, {LEXICAL_SQL}, c AS (SELECT query_id, string_agg('[' || section || ' - ' || type || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY id) AS context
+  FROM lex JOIN chunks USING (id) WHERE rank <= 3 GROUP BY query_id)
+  SELECT query_id, md5('Answer from the excerpts.' || chr(10) || context || chr(10) || 'Question: ' || text) AS digest FROM c JOIN benchmark ON item_id = query_id""")
+def x9_prompts(spark, d):
+    rows = expand.context(*_hits(spark, d)).join(A.queries(spark, d), "query_id")
+    rows = expand.prompts(rows, "Answer from the excerpts.\n{context}\nQuestion: {text}")
+    return rows.select("query_id", F.md5(F.col("prompt").cast("binary")).alias("digest"))
+
+
+@query("x10_costs", f"""WITH {A.CHUNKS_SQL}, {LEXICAL_SQL}, c AS (SELECT query_id, string_agg('[' || section || ' - ' || type || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY id) AS context
+  FROM lex JOIN chunks USING (id) WHERE rank <= 3 GROUP BY query_id)
+  SELECT 'lexical' AS method, count(*) AS n_queries, round(avg({_count_sql('context', 0)}), 6) AS mean_tokens, CAST(max({_count_sql('context', 0)}) AS BIGINT) AS max_tokens FROM c""")
+def x10_costs(spark, d):
+    return expand.context_costs(expand.context(*_hits(spark, d)).withColumn("method", F.lit("lexical")))
+
+
+# Lint and similarity
+
+LINES_SQL = r"""lines AS (SELECT program_id, model, generate_subscripts(x, 1) AS line, unnest(x) AS raw FROM (
+  SELECT doc_id AS program_id, source AS model, string_split(replace(replace(text, '. ', ' -- '), ', ', ' *** '), chr(10)) AS x FROM documents)),
+cuts AS (SELECT *, regexp_replace(regexp_replace(raw, '(?s)\*\*\*.*', ''), '(?s)---.*', '') AS cut FROM lines),
+issues AS (
+  SELECT program_id, model, line, 1 AS rule FROM cuts WHERE regexp_matches(cut, '[^\x00-\x7F]')
+  UNION ALL SELECT program_id, model, line, 2 FROM cuts WHERE regexp_matches(cut, '\bwhen\b')
+  UNION ALL SELECT program_id, model, line, 3 FROM cuts WHERE regexp_matches(raw, '(^|\s)--(\s|$)')
+  UNION ALL SELECT program_id, model, line, 4 FROM cuts WHERE regexp_matches(regexp_extract(cut, '\bif\b(.*?)\bthen\b', 1), '(^|[^=<>~/\\])=($|[^=/])'))"""
+
+
+def _programs(spark, d):
+    code = F.replace(F.replace("code", F.lit(". "), F.lit(" -- ")), F.lit(", "), F.lit(" *** "))
+    return A.programs(spark, d).withColumn("code", code)
+
+
+@query("l1_line_issues", f"WITH {LINES_SQL} SELECT program_id, CAST(line AS INT) AS line, rule FROM issues")
+def l1_line_issues(spark, d):
+    return lint.line_issues(_programs(spark, d)).select("program_id", "line", "rule")
+
+
+@query("l5_lint")
+def l5_lint(spark, d):
+    head = F.concat(F.lit("sort S .\nvars X Y : S .\nop f : S S -> S .\neq f(X, X) = Z .\nceq f(Y, X) = "), "lang", F.lit(" if true .\n"))
+    rows = A.programs(spark, d).withColumn("code", F.concat(head, "code"))
+    return lint.formatted(lint.lint(rows))
+
+
+@query("l6_issue_counts", f"""WITH {LINES_SQL} SELECT model, rule, count(*) AS n, count(DISTINCT program_id) AS n_programs FROM issues GROUP BY ROLLUP (model, rule)""")
+def l6_issue_counts(spark, d):
+    rows = _programs(spark, d)
+    return lint.issue_counts(lint.line_issues(rows), rows)
+
+
+CODE_TOKENS = r"[A-Za-z][\p{L}\p{M}\p{N}_''-]*|:=|=>|~>|/\\"
+
+
+@query("l7_similar", f"""WITH a AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '{CODE_TOKENS}')) AS t FROM benchmark),
+  b AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{CODE_TOKENS}')) AS t FROM documents),
+  na AS (SELECT item_id, count(*) AS na FROM a GROUP BY ALL), nb AS (SELECT doc_id, count(*) AS nb FROM b GROUP BY ALL),
+  s AS (SELECT item_id, doc_id, count(*) AS n FROM a JOIN b USING (t) GROUP BY ALL),
+  j AS (SELECT 'b' || item_id AS name, 'd' || doc_id AS exemplar, n / (na + nb - n) AS score FROM s JOIN na USING (item_id) JOIN nb USING (doc_id))
+  SELECT name, exemplar, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, exemplar) AS r FROM j) WHERE r = 1""")
+def l7_similar(spark, d):
+    items = A.table(spark, d, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("name"), F.col("text").alias("code"))
+    return lint.most_similar(items, A.programs(spark, d).select("name", "code")).withColumn("score", F.round("score", 9))
+
+
+# Tests and verdicts
+
+
+@query("t1_spec_tests", """SELECT p_brand AS name, count(*) AS n_examples, CAST(sum(CASE WHEN p_size % 5 = 0 THEN 0 WHEN p_size % 5 = 1 THEN 25 ELSE p_size % 5 END) AS BIGINT) AS n_random, true AS in_range FROM part GROUP BY ALL""")
+def t1_spec_tests(spark, d):
+    item = lambda t, lo, hi: F.struct(F.lit(t).alias("type"), F.lit(lo).cast("double").alias("min"), F.lit(hi).cast("double").alias("max"))
+    specs = A.table(spark, d, "part").select(
+        F.col("p_brand").alias("name"), F.concat(F.lit("f"), "p_partkey").alias("fn"), F.array(item("nat", 3, 7), item("int", -2, 2)).alias("signature"),
+        F.array(F.array(F.col("p_size").cast("string"), F.lit("0"))).alias("examples"), F.when(F.col("p_size") % 5 == 1, None).otherwise(F.col("p_size") % 5).alias("cnt"),
+    )
+    rows = testgen.spec_tests(specs)
+    drawn = F.contains("test_name", F.lit("_random_"))
+    a, b = F.regexp_extract("expr", r"\((-?\d+), (-?\d+)\)$", 1).cast("int"), F.regexp_extract("expr", r"\((-?\d+), (-?\d+)\)$", 2).cast("int")
+    return rows.groupBy("name").agg(F.count_if(~drawn).alias("n_examples"), F.count_if(drawn).alias("n_random"), F.bool_and(~drawn | (a.between(3, 7) & b.between(-2, 2))).alias("in_range"))
+
+
+@query("t2_literals", """SELECT p_partkey, '{' || p_size || ', ' || 'true' || '}' AS cpp, '&vec![' || p_size || ', true]' AS rust, '[' || p_size || ', True]' AS python, p_size || ' true' AS maude FROM part""")
+def t2_literals(spark, d):
+    lit = lambda v, k, lang: testgen.literal(v, F.lit(k), F.lit(lang))
+    cols = [testgen.list_literal(F.array(lit(F.col("p_size").cast("string"), "nat", x), lit(F.lit("true"), "bool", x)), F.lit(x)).alias(x) for x in ("cpp", "rust", "python", "maude")]
+    return A.table(spark, d, "part").select("p_partkey", *cols)
+
+
+@query("t3_properties", "SELECT p_brand AS name, CAST(sum(p_size % 4) AS BIGINT) AS n, true AS filled FROM part GROUP BY ALL HAVING sum(p_size % 4) > 0")
+def t3_properties(spark, d):
+    props = A.table(spark, d, "part").select(
+        F.col("p_brand").alias("name"), F.concat(F.lit("p"), "p_partkey").alias("prop"), F.lit("f({A}, {B})").alias("lhs"), F.lit("f({B}, {A})").alias("rhs"),
+        (F.col("p_size") % 4).alias("cnt"), F.create_map(F.lit("A"), F.lit("nat"), F.lit("B"), F.lit("int")).alias("vars"),
+    )
+    rows = testgen.property_instances(props)
+    good = F.rlike("lhs", F.lit(r"^f\(\d+, -?\d+\)$")) & F.rlike("rhs", F.lit(r"^f\(-?\d+, \d+\)$"))
+    return rows.groupBy("name").agg(F.count("*").alias("n"), F.bool_and(good).alias("filled"))
+
+
+@query("t4_program_tests", """SELECT name, count(*) AS n FROM (SELECT 'conv' || conv_id AS name FROM conversations UNION ALL SELECT 'conv' || conv_id FROM conversations WHERE role = 'user')
+  WHERE name IN (SELECT 'conv' || doc_id FROM labels) GROUP BY ALL""")
+def t4_program_tests(spark, d):
+    conv = A.table(spark, d, "conversations").select(F.concat(F.lit("conv"), "conv_id").alias("name"), "role", "text")
+    given = testgen.given_tests(conv.groupBy("name").agg(F.collect_list("text").alias("tests")))
+    spec = conv.where("role = 'user'").select("name", F.lit("x").alias("test_name"), F.col("text").alias("expr"))
+    programs = A.table(spark, d, "labels").select(F.concat(F.lit("conv"), "doc_id").alias("name"))
+    return testgen.program_tests(programs, spec, given).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query("t5_versus", f"WITH {A.OUTPUTS_SQL} SELECT a.model, count(*) AS n FROM (SELECT DISTINCT model, name FROM outputs) a JOIN (SELECT DISTINCT name FROM outputs WHERE model = 'original') o USING (name) WHERE a.model <> 'original' GROUP BY ALL")
+def t5_versus(spark, d):
+    rows = A.outputs(spark, d).select("model", "name", F.col("name").alias("code")).distinct()
+    return testgen.versus_original(rows).groupBy("model").agg(F.count("*").alias("n"))
+
+
+@query("t6_compiled", "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1")
+def t6_compiled(spark, d):
+    compiled = A.table(spark, d, "labels").select(F.col("doc_id").alias("path"), (F.col("quality") == 1).alias("ok"))
+    rows = A.table(spark, d, "documents").select(F.col("doc_id").alias("path"))
+    return verdicts.compiled_only(rows, compiled).select(F.col("path").alias("doc_id"))
+
+
+@query("t7_status", """SELECT o_orderkey, CASE WHEN o_custkey % 7 = 0 THEN 0 WHEN o_custkey % 5 = 0 THEN 2 WHEN o_custkey % 4 = 1 THEN 1 WHEN o_custkey % 4 = 2 THEN 2 ELSE 3 END AS status,
+  CASE WHEN o_custkey % 7 <> 0 AND o_custkey % 5 = 0 THEN 'timed out' END AS msg FROM orders""")
+def t7_status(spark, d):
+    build = F.when(F.col("o_custkey") % 7 == 0, 1).otherwise(0)
+    run = F.when(F.col("o_custkey") % 4 == 1, -9).when(F.col("o_custkey") % 4 == 2, 1).otherwise(0)
+    return A.table(spark, d, "orders").select("o_orderkey", verdicts.run_status(build, run, F.col("o_custkey") % 5 == 0).alias("s")).select("o_orderkey", "s.*")
+
+
+@query("t8_load", """SELECT o_orderkey, o_custkey % 3 <> 0 AND o_orderstatus <> 'F' AS valid, CASE WHEN o_orderstatus = 'F' THEN 'Warning: ' ELSE 'ok ' END || o_orderstatus AS log FROM orders""")
+def t8_load(spark, d):
+    err = F.concat(F.when(F.col("o_orderstatus") == "F", "Warning: ").otherwise("ok "), "o_orderstatus", F.lit("===TERMES===Error"))
+    return A.table(spark, d, "orders").select("o_orderkey", verdicts.load_status(F.col("o_custkey") % 3 != 0, err).alias("s")).select("o_orderkey", "s.*")
+
+
+@query("t9_invalid", f"WITH {A.OUTPUTS_SQL} SELECT name, count(*) FILTER (WHERE value IS NULL) AS n_invalid, count(*) AS n_total FROM outputs WHERE model = 'original' GROUP BY name")
+def t9_invalid(spark, d):
+    return verdicts.invalid_terms(A.outputs(spark, d).where("model = 'original'"))
+
+
+DIFF_SQL = f"""{A.OUTPUTS_SQL},
+  pairs AS (SELECT n.*, o.value AS o_value, o.run_error AS o_err FROM outputs n JOIN outputs o USING (name, test_idx) WHERE n.model <> 'original' AND o.model = 'original'),
+  judged AS (SELECT *, CASE WHEN o_err IS NOT NULL THEN 1 WHEN o_value IS NULL THEN 0 WHEN run_error IS NOT NULL THEN 1 WHEN value IS NULL THEN 0 WHEN value <> o_value THEN 2 END AS s FROM pairs),
+  firsts AS (SELECT name, model, arg_min(s, test_idx) FILTER (WHERE s IS NOT NULL) AS s,
+    arg_min(CASE s WHEN 1 THEN coalesce(o_err, run_error) WHEN 0 THEN 'parsing error (most likely)'
+      ELSE 'failed test case "' || test_name || '" ("' || expr || '") with outputs "' || o_value || '" and "' || value || '"' END, test_idx) FILTER (WHERE s IS NOT NULL) AS m FROM judged GROUP BY ALL),
+  verdicts AS (SELECT name, model, s IS NULL AS ok, coalesce(s, 3) AS status, coalesce(m, '') AS msg FROM firsts)"""
+
+
+@query("t10_differential", f"WITH {DIFF_SQL} SELECT * FROM verdicts")
+def t10_differential(spark, d):
+    return verdicts.differential(A.outputs(spark, d))
+
+
+@query("t11_feedback", f"""WITH {A.OUTPUTS_SQL}, bad AS (
+  SELECT n.name, n.model, n.test_idx, CASE WHEN n.value IS NULL THEN '- term `' || n.expr || '` does not parse; the original computes `' || o.value || '`'
+    ELSE '- term `' || n.expr || '` : expected `' || o.value || '`, got `' || n.value || '`' || CASE WHEN contains(n.value, 'f') THEN ' (did not reduce)' ELSE '' END END AS line, n.value IS NULL AS unread,
+    row_number() OVER (PARTITION BY n.name, n.model ORDER BY n.test_idx) AS nth
+  FROM outputs n JOIN outputs o USING (name, test_idx) WHERE n.model <> 'original' AND o.model = 'original' AND o.value IS NOT NULL AND n.value IS DISTINCT FROM o.value)
+  SELECT name, model, string_agg(line, chr(10) ORDER BY nth) || CASE WHEN bool_or(unread) THEN chr(10) || '- REMINDER: keep the original''s syntax' ELSE '' END AS feedback FROM bad WHERE nth <= 3 GROUP BY ALL""")
+def t11_feedback(spark, d):
+    return verdicts.feedback(A.outputs(spark, d))
+
+
+@query("t12_property_verdicts", f"""WITH {A.OUTPUTS_SQL}, i AS (SELECT DISTINCT name, test_idx AS k, 'f(' || test_idx || ')' AS lhs, 'f(' || (test_idx + 1) || ')' AS rhs FROM outputs WHERE model = 'original'),
+  m AS (SELECT DISTINCT name, model FROM outputs),
+  j AS (SELECT i.name, m.model, (l.value IS NULL OR r.value IS NULL OR l.value <> r.value) AS bad FROM i JOIN m USING (name)
+        LEFT JOIN outputs l ON l.name = i.name AND l.model = m.model AND l.expr = i.lhs LEFT JOIN outputs r ON r.name = i.name AND r.model = m.model AND r.expr = i.rhs)
+  SELECT name, model, NOT bool_or(bad) AS ok, CAST(least(5, count(*) FILTER (WHERE bad)) AS INT) AS n FROM j GROUP BY ALL""")
+def t12_property_verdicts(spark, d):
+    o = A.outputs(spark, d)
+    i = o.where("model = 'original'").select("name", F.lit("next").alias("prop"), F.col("test_idx").alias("k"), F.concat(F.lit("f("), "test_idx", F.lit(")")).alias("lhs"), F.concat(F.lit("f("), F.col("test_idx") + 1, F.lit(")")).alias("rhs"))
+    return verdicts.property_verdicts(i.distinct(), o).select("name", "model", "ok", F.size("failures").alias("n"))
+
+
+@query("t13_rule_terms", """SELECT p_partkey, CASE WHEN p_size % 3 < 2 THEN CASE p_size % 3 WHEN 0 THEN 'a' ELSE '' END END AS kind, CASE WHEN p_size % 3 < 2 THEN 'Nat' END AS sort,
+  CASE WHEN p_size % 3 < 2 THEN 'f(' || p_size || ')' END AS inner FROM part""".replace("AS inner", 'AS "inner"'))
+def t13_rule_terms(spark, d):
+    f = F.concat(F.lit("f("), "p_size", F.lit(")"))
+    expr = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(" arlapp_Nat("), f, F.lit(")"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("rlapp_Nat("), f, F.lit(") "))).otherwise(f)
+    return A.table(spark, d, "part").select("p_partkey", verdicts.rule_term(expr).alias("t")).select("p_partkey", "t.*")
+
+
+@query("t14_successors", """SELECT l_partkey, '{ ' || string_agg(s, ', ' ORDER BY s) || ' }' AS successors FROM (SELECT DISTINCT l_partkey, CAST(l_suppkey AS VARCHAR) AS s FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY s) <= 64) GROUP BY ALL""")
+def t14_successors(spark, d):
+    rows = A.table(spark, d, "lineitem").groupBy("l_partkey").agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("s"))
+    return rows.select("l_partkey", verdicts.successor_set(F.col("s")).alias("successors"))
+
+
+@query("t15_accepted", """WITH i AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS iter, value > 150 AS ok FROM events),
+  f AS (SELECT user_id, min(iter) FILTER (WHERE ok AND iter <= 3) AS first, max(iter) FILTER (WHERE iter <= 3) AS last FROM i GROUP BY ALL)
+  SELECT 'u' || user_id AS file, CASE WHEN first IS NULL THEN 'failed' ELSE 'ok' END AS final, CAST(first AS INT) AS iteration, CAST(coalesce(first, last) AS INT) AS used FROM f""")
+def t15_accepted(spark, d):
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = A.table(spark, d, "events").select("user_id", nth.alias("iter"), (F.col("value") > 150).alias("ok"))
+    rows = rows.groupBy(F.concat(F.lit("u"), "user_id").alias("file")).agg(F.sort_array(F.collect_list(F.struct("iter", "ok"))).alias("iterations"))
+    return verdicts.accepted(rows.withColumn("model", F.lit("m"))).select("file", "final", "iteration", "used")
+
+
+# Results
+
+
+@query("a1_compile_rates", "SELECT source AS model, lang, count(*) FILTER (WHERE quality = 1) AS n_ok, count(*) AS n_total FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (source, lang)")
+def a1_compile_rates(spark, d):
+    rows = A.table(spark, d, "documents").select("doc_id", F.col("source").alias("model"), "lang").join(A.table(spark, d, "labels"), "doc_id")
+    return results.compile_rates(rows.withColumn("ok", F.col("quality") == 1))
+
+
+@query("a2_equivalence", f"""WITH {DIFF_SQL} SELECT model, count(*) FILTER (WHERE status = 0) AS build_error, count(*) FILTER (WHERE status = 1) AS run_error,
+  count(*) FILTER (WHERE status = 2) AS failed, count(*) FILTER (WHERE status = 3) AS ok, count(*) AS n_total FROM verdicts GROUP BY model""")
+def a2_equivalence(spark, d):
+    return results.equivalence_rates(verdicts.differential(A.outputs(spark, d)))
+
+
+@query("a3_resources", "SELECT event_id, round(value, 2) AS cpu_s, event_id * 10 AS mem_b FROM events")
+def a3_resources(spark, d):
+    text = F.concat(F.lit("starttime=x\ncputime="), F.format_string("%.2f", "value"), F.lit("s\nmemory="), (F.col("event_id") * 10).cast("string"), F.lit("B\n"))
+    rows = A.table(spark, d, "events").withColumn("value", F.round("value", 2))
+    return rows.select("event_id", results.resource_run(text).alias("r")).select("event_id", "r.*")
+
+
+@query("a4_benchmark", f"""WITH {A.RUNS_SQL}, m AS (SELECT name, model, avg(cpu_s) AS t, avg(mem_b) AS b FROM runs GROUP BY ALL)
+  SELECT m.name, m.model, round(m.t, 6) AS time, round(m.b, 6) AS memory, round(o.t / m.t, 6) AS speedup, round(o.b / m.b, 6) AS memorydown
+  FROM m JOIN m o ON o.name = m.name AND o.model = 'original' WHERE m.model IN ('m1', 'm2')""")
+def a4_benchmark(spark, d):
+    runs = A.runs(spark, d)
+    passed = runs.where("model in ('m1', 'm2')").select("name", "model").distinct()
+    rows = results.benchmark(runs, passed)
+    return rows.select("name", "model", *[F.round(c, 6).alias(c) for c in ("time", "memory", "speedup", "memorydown")])
+
+
+@query("a5_best_of_n", """WITH c AS (SELECT event_type AS name, event_id AS k, user_id % 3 <> 0 AS ok, round(value, 1) AS seconds FROM events),
+  o AS (SELECT event_type AS name, max(value) AS s0 FROM events WHERE user_id % 4 = 0 GROUP BY ALL),
+  b AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seconds, k) AS r FROM c WHERE ok)
+  SELECT name, k, seconds, round(CASE WHEN seconds <> 0 THEN s0 / seconds END, 6) AS speedup FROM b LEFT JOIN o USING (name) WHERE r = 1""")
+def a5_best_of_n(spark, d):
+    e = A.table(spark, d, "events")
+    cands = e.select(F.col("event_type").alias("name"), F.col("event_id").alias("k"), (F.col("user_id") % 3 != 0).alias("ok"), F.round("value", 1).alias("seconds"))
+    first = e.where("user_id % 4 = 0").groupBy(F.col("event_type").alias("name")).agg(F.max("value").alias("seconds"))
+    return results.best_of_n(cands, first).withColumn("speedup", F.round("speedup", 6))
+
+
+@query("a6_matrix", """SELECT event_type AS label, count(*) FILTER (WHERE value > 100) AS n_ok, count(*) AS n_files, round(avg(CASE WHEN event_id % 4 > 0 THEN event_id % 4 END), 6) AS mean_iterations FROM events GROUP BY ALL""")
+def a6_matrix(spark, d):
+    rows = A.table(spark, d, "events").select(F.col("event_type").alias("label"), (F.col("value") > 100).alias("ok"), F.expr("nullif(event_id % 4, 0)").alias("iterations"))
+    return results.matrix_summary(rows).select("label", "n_ok", "n_files", F.round("mean_iterations", 6).alias("mean_iterations"))
+
+
+@query("a7_missing", "SELECT 'd' || doc_id || '.cpp' AS name FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY 1 LIMIT 20")
+def a7_missing(spark, d):
+    name = F.concat(F.lit("d"), "doc_id", F.lit(".cpp")).alias("name")
+    return results.missing_work(A.table(spark, d, "documents").select(name), A.table(spark, d, "labels").select(name))
+
+
+@query("a8_missing_inputs", "SELECT 'd' || doc_id || '.cpp' AS name FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) ORDER BY 1 LIMIT 20")
+def a8_missing_inputs(spark, d):
+    names = A.table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id", F.lit(".cpp")).alias("name"))
+    done = A.table(spark, d, "labels").where("quality = 1").select(F.concat(F.lit("d"), "doc_id", F.lit(".json")).alias("name"))
+    return results.missing_inputs(names, done)
+
+
+@query("a9_grid", "SELECT p_name AS file, r_name AS label, CASE WHEN r_regionkey = 1 THEN 5 ELSE 3 END AS max_iters FROM part, region")
+def a9_grid(spark, d):
+    configs = A.table(spark, d, "region").select(F.col("r_name").alias("label"), F.expr("case when r_regionkey = 1 then 5 end").alias("max_iters"))
+    return results.matrix_grid(configs, A.table(spark, d, "part").select(F.col("p_name").alias("file"))).select("file", "label", "max_iters")
