@@ -263,7 +263,7 @@ def r10_bm25(spark, d):
     return indexing.bm25(A.queries(spark, d), A.chunks(spark, d), 15).withColumn("score", F.round("score", 4))
 
 
-@query("i1_embed")
+@query("i1_embed", f"WITH {A.CHUNKS_SQL} SELECT id, 384 AS dim, 1.0::DOUBLE AS norm FROM chunks")
 def i1_embed(spark, d):
     rows = indexing.embed(A.chunks(spark, d).select("id", "text"))
     return rows.select("id", F.size("vec").alias("dim"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))
@@ -292,7 +292,10 @@ def r3_code_query(spark, d):
     return A.table(spark, d, "documents").select("doc_id", T.query_or_start(T.code_constructions(code), code).alias("query"))
 
 
-@query("r4_client_query")
+@query("r4_client_query", r"""WITH c AS (SELECT doc_id, 'client.upsert(batch_size=1, models.Filter) ' || text AS code FROM documents),
+  p AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(code, '\b([a-z]+(?:_[a-z0-9]+)+)\s*[=:]', 1), regexp_extract_all(code, '\.\s*([a-z_]{4,})\s*\(', 1),
+        regexp_extract_all(code, 'models\.([A-Za-z]+)', 1), regexp_extract_all(code, '(/collections/[\p{L}\p{M}\p{N}_/{}.-]*)', 1))) AS w FROM c)
+  SELECT doc_id, string_agg(DISTINCT w, ' ' ORDER BY w) AS query FROM p GROUP BY doc_id""")
 def r4_client_query(spark, d):
     code = F.concat(F.lit("client.upsert(batch_size=1, models.Filter) "), "text")
     return A.table(spark, d, "documents").select("doc_id", T.client_constructions(code).alias("query"))
