@@ -7,39 +7,25 @@ one, so a lost executor costs a recomputed stage at most.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brightloom.sources.scratch import keep as materialize
+from brightloom.sources.scratch import shared_dir
+
+__all__ = ["BLANK", "WORD", "connected_components", "materialize", "new_path", "partitions"]
+
 #: ASCII white space that separates words, as a Java and RE2 character class.
 BLANK = r"\x20\x09-\x0D"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a new temporary one is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        held = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-        path = held or f"file://{tempfile.mkdtemp(prefix='brightloom-')}"
-        if not held:
-            spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(df: DataFrame, at_least: int = 1) -> int:
     """The session's number of shuffle partitions, which its owner sizes to the data."""
     return max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))

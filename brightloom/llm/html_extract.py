@@ -64,8 +64,12 @@ def _marked(name: str) -> bool:
     return parts[0] in MARKS or parts[-1] in MARKS
 
 
+#: Open elements that are told apart, and levels that a path names; what lies deeper belongs to the last of them.
+DEPTH, PATH_DEPTH = 256, 40
+
+
 class _Element:
-    __slots__ = ("dropped", "links", "path", "points", "size", "tag")
+    __slots__ = ("dropped", "path", "tag")
 
     def __init__(self, tag: str, path: str, dropped: bool) -> None:
         self.tag, self.path, self.dropped = tag, path, dropped
@@ -138,7 +142,9 @@ def blocks(html: str) -> Iterator[tuple[tuple[_Element, ...], str, int]]:
                             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower()):
                                 dropped = True
                 top = stack[-1]
-                path = f"{top.path}/{tag}{names}" if tag not in ("html", "body", "head") else f"/{tag}"
+                if len(stack) > DEPTH:
+                    continue
+                path = f"/{tag}" if tag in ("html", "body", "head") else f"{top.path}/{tag}{names}" if len(stack) <= PATH_DEPTH else top.path
                 stack.append(_Element(tag, path, dropped or (top.dropped and tag != "body")))
         elif closing:
             tag = closing.lower()
