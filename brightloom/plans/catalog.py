@@ -88,11 +88,6 @@ def s8_summary(spark, d):
     return store.summary(A.chunks(spark, d))
 
 
-@query("s9_nested_results")
-def s9_nested_results(spark, d):
-    return store.nested_results(verdicts.differential(A.outputs(spark, d)))
-
-
 @query("s10_changed_pages", "SELECT page_id, url FROM pages WHERE page_id % 3 = 0")
 def s10_changed_pages(spark, d):
     pages = A.table(spark, d, "pages")
@@ -286,7 +281,17 @@ def r2_site_tokens(spark, d):
     return retrieve.tokens_of(rows.where("text is not null"), docs_site=True).groupBy("query_id").agg(F.sum(F.expr("case when kind = 'special' then weight div 10 else weight end")).alias("n"))
 
 
-@query("r3_code_query")
+_COMMON = ", ".join(f"'{w}'" for w in T.COMMON_KEYWORDS)
+_RARE = ", ".join(f"('{w}')" for w in T.RARE_KEYWORDS)
+
+
+@query("r3_code_query", rf"""WITH c AS (SELECT doc_id, 'eq f = g [owise ' || split_part(text, ' ', 1) || '] . ' || text AS code FROM documents),
+  b AS (SELECT doc_id, unnest(regexp_extract_all(code, '\[([^\]]+)\]', 1)) AS inside FROM c),
+  a AS (SELECT doc_id, unnest(regexp_split_to_array(inside, '\s+')) AS w FROM b),
+  k AS (SELECT doc_id, w FROM a WHERE regexp_full_match(w, '\p{{L}}+') AND lower(w) NOT IN ({_COMMON})
+    UNION SELECT doc_id, k FROM c, (VALUES {_RARE}) t(k) WHERE regexp_matches(code, '(^|[^\p{{L}}\p{{M}}\p{{N}}_])' || k || '($|[^\p{{L}}\p{{M}}\p{{N}}_])')
+    UNION SELECT doc_id, k FROM c, (VALUES (':='), ('~>'), ('=>'), ('/\')) t(k) WHERE contains(code, k))
+  SELECT doc_id, string_agg(DISTINCT w, ' ' ORDER BY w) AS query FROM k GROUP BY doc_id""")
 def r3_code_query(spark, d):
     code = F.concat(F.lit("eq f = g [owise "), F.split_part("text", F.lit(" "), F.lit(1)), F.lit("] . "), "text")
     return A.table(spark, d, "documents").select("doc_id", T.query_or_start(T.code_constructions(code), code).alias("query"))
@@ -471,7 +476,15 @@ def l1_line_issues(spark, d):
     return lint.line_issues(_programs(spark, d)).select("program_id", "line", "rule")
 
 
-@query("l5_lint")
+@query("l5_lint", r"""WITH lines AS (SELECT program_id, generate_subscripts(x, 1) AS line, unnest(x) AS raw FROM (
+    SELECT doc_id AS program_id, string_split('sort S .' || chr(10) || 'vars X Y : S .' || chr(10) || 'op f : S S -> S .' || chr(10) || 'eq f(X, X) = Z .' || chr(10) || 'ceq f(Y, X) = ' || lang || ' if true .' || chr(10) || text, chr(10)) AS x FROM documents)),
+  cuts AS (SELECT *, regexp_replace(regexp_replace(raw, '(?s)\*\*\*.*', ''), '(?s)---.*', '') AS cut FROM lines),
+  i AS (SELECT program_id, line, 1 AS rule, 'fatal] : non-ASCII character ' || regexp_extract(cut, '([^\x00-\x7F])', 1) AS msg FROM cuts WHERE regexp_matches(cut, '[^\x00-\x7F]')
+    UNION ALL SELECT program_id, line, 2, 'fatal] : keyword `when` does not exist' FROM cuts WHERE regexp_matches(cut, '(^|[^\p{L}\p{M}\p{N}_])when($|[^\p{L}\p{M}\p{N}_])')
+    UNION ALL SELECT program_id, line, 3, 'fatal] : comment `--` is not accepted' FROM cuts WHERE regexp_matches(raw, '(^|\s)--(\s|$)')
+    UNION ALL SELECT DISTINCT program_id, 4, 5, 'warning] : variable X stands 2 times on the left side' FROM cuts
+    UNION ALL SELECT DISTINCT program_id, 4, 6, 'warning] : name Z is not declared' FROM cuts)
+  SELECT program_id, string_agg('- line ' || line || ' [' || msg, chr(10) ORDER BY greatest(rule, 4), line, rule) AS issues FROM i GROUP BY program_id""")
 def l5_lint(spark, d):
     head = F.concat(F.lit("sort S .\nvars X Y : S .\nop f : S S -> S .\neq f(X, X) = Z .\nceq f(Y, X) = "), "lang", F.lit(" if true .\n"))
     rows = A.programs(spark, d).withColumn("code", F.concat(head, "code"))
@@ -588,6 +601,12 @@ def t10_differential(spark, d):
     return verdicts.differential(A.outputs(spark, d))
 
 
+@query("s9_nested_results", f"""WITH {DIFF_SQL} SELECT name, '{{' || string_agg('"' || model || '":' || CAST(to_json({{'ok': ok, 'status': status, 'msg': msg}}) AS VARCHAR), ',' ORDER BY model) || '}}' AS results
+  FROM verdicts GROUP BY name""")
+def s9_nested_results(spark, d):
+    return store.nested_results(verdicts.differential(A.outputs(spark, d)))
+
+
 @query("t11_feedback", f"""WITH {A.OUTPUTS_SQL}, bad AS (
   SELECT n.name, n.model, n.test_idx, CASE WHEN n.value IS NULL THEN '- term `' || n.expr || '` does not parse; the original computes `' || o.value || '`'
     ELSE '- term `' || n.expr || '` : expected `' || o.value || '`, got `' || n.value || '`' || CASE WHEN contains(n.value, 'f') THEN ' (did not reduce)' ELSE '' END END AS line, n.value IS NULL AS unread,
