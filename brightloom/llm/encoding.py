@@ -1,10 +1,11 @@
-"""Exact token ids of whole texts from the tokenizers library, word by word from a cache.
+"""Exact token ids of whole texts from the tokenizers library, piece by piece from a cache.
 
 A change from non-space to white space always ends a pre-token of the
 byte-level pattern, and nothing to its left matters to what follows. So a text is
 cut there, the library encodes each distinct piece once, and the ids of a
-text are those of its pieces in a row. Python's white space holds all that
-the library's does.
+text are those of its pieces in a row. A full stop or comma after a letter is a
+pre-token boundary too, so a word and the same word before a comma share one
+encoding. Python's white space holds all that the library's does.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Pieces that a worker holds at most; the cache is emptied then.
+#: Pieces that a worker holds at most: the first it meets, so the frequent ones.
 MAX_PIECES = 400_000
-_TIGHT = re.compile(r"\s[ \n]|[^\S \n](?=[ \n])")
+#: New pieces that go to the library as one text.
+RUN = 2000
 _CUT = re.compile(r"\s+\S*|\S+")
 
 
@@ -31,36 +33,88 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.width = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        size = self.tokenizer.get_vocab_size()
+        self.width = np.uint16 if size <= 1 << 16 else np.uint32
+        #: Ids of a piece that follows a blank (which its key leaves out) or begins with a line break.
         self.known: dict[str, bytes] = {}
+        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        #: Bytes of text that each id stands for; a byte-level token has a letter for each.
+        self.lengths = np.array([len(special[i].encode()) if i in special else len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
+        self.marks = {m: self._alone(m) for m in ".,"}
 
-    def pieces(self, text: str) -> list[str]:
-        if _TIGHT.search(text):
-            return _CUT.findall(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[x if x[:1] == "\n" else " " + x for x in rest]] if first else [" " + x if x[:1] != "\n" else x for x in rest]
+    def _alone(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.width).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text without added tokens."""
         if not text:
             return np.zeros(0, self.width)
-        pieces = self.pieces(text)
+        parts = text.replace("\n", " \n").split(" ")
+        first = parts.pop(0)
         known = self.known
-        found = list(map(known.get, pieces))
+        found = list(map(known.get, parts))
         if None in found:
-            new = list({p for p, x in zip(pieces, found, strict=True) if x is None})
-            if len(known) + len(new) > MAX_PIECES:
-                known.clear()
-            fresh = {}
-            for i in range(0, len(new), 512):
-                part = new[i : i + 512]
-                for p, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    fresh[p] = np.array(e.ids, self.width).tobytes()
-            if len(known) + len(fresh) <= MAX_PIECES:
-                known.update(fresh)
-            found = [x if x is not None else fresh[p] for p, x in zip(pieces, found, strict=True)]
+            fresh = self._fresh({p for p, x in zip(parts, found, strict=True) if x is None})
+            if fresh is None:
+                return self._by_pieces(text)
+            found = [fresh[p] if x is None else x for p, x in zip(parts, found, strict=True)]
+        if first:
+            found.insert(0, self._alone(first))
         return np.frombuffer(b"".join(found), self.width)
 
+    def _by_pieces(self, text: str) -> np.ndarray:
+        """For texts with other white space, or several in a row."""
+        pieces = _CUT.findall(text)
+        keys = [(p[1:] if p[0] == " " else p) if p[0] in " \n" and len(p) > 1 and not p[1].isspace() else None for p in pieces]
+        plain = set(keys) - {None}
+        held = {p: self.known[p] for p in plain if p in self.known}
+        held |= self._fresh(plain - held.keys()) or {}
+        return np.frombuffer(b"".join([self._alone(p) if k is None else held[k] for p, k in zip(pieces, keys, strict=True)]), self.width)
+
+    def _fresh(self, new: set[str]) -> dict[str, bytes] | None:
+        """Ids of new pieces, encoded in runs; None if one has no end or ends in white space.
+
+        In a run, where one piece ends and the next begins is a cut like any
+        other, and the tokens' byte lengths tell whose they are.
+        """
+        known, marks = self.known, self.marks
+        out: dict[str, bytes] = {}
+        stems: dict[str, None] = {}
+        later = []
+        for p in new:
+            if not p or p[-1].isspace():
+                return None
+            if p[-1] in marks and len(p) > 1 and p[-2].isalpha():
+                stem = p[:-1]
+                later.append(p)
+                if stem not in known:
+                    stems[stem] = None
+            else:
+                stems[p] = None
+        run = list(stems)
+        for i in range(0, len(run), RUN):
+            part = [p if p[0] == "\n" else " " + p for p in run[i : i + RUN]]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, self.width)
+            ends = np.cumsum(np.fromiter((len(p.encode("utf-8", "surrogatepass")) for p in part), np.int64, len(part)))
+            reached = np.cumsum(self.lengths[ids])
+            at = np.searchsorted(reached, ends)
+            if len(ids) == 0 or not np.array_equal(reached[np.minimum(at, len(ids) - 1)], ends):
+                raise ValueError("tokens cross the cut between two pieces")
+            raw, n = ids.tobytes(), ids.itemsize
+            cuts = [0, *((at + 1) * n).tolist()]
+            out.update((p, raw[s:e]) for p, s, e in zip(run[i : i + RUN], cuts, cuts[1:], strict=False))
+        room = len(known) + len(out) <= MAX_PIECES
+        for p in later:
+            stem = p[:-1]
+            held = known.get(stem)
+            ids = (held if held is not None else out[stem]) + marks[p[-1]]
+            if held is not None and room:  # the word comes up again, so its forms may
+                known[p] = ids
+            out[p] = ids
+        if room:
+            known.update((p, out[p]) for p in run)
+        return out
+
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
