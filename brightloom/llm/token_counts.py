@@ -15,11 +15,10 @@ from __future__ import annotations
 
 import json
 import os
-import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT = 2048
-#: Words that a worker holds at most; the table is emptied then.
-MAX_WORDS = 250_000
+#: Words, runs without blanks, and pairs of tokens that a worker holds at most: the first it meets, so the frequent ones.
+MAX_WORDS = 300_000
+MAX_PAIRS = 600_000
 
 
 def _byte_letters() -> list[str]:
@@ -74,18 +74,16 @@ class PrefixCounter:
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, special)))
         self.split = regex.compile(f"(?:{split})")
-        self.joined: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.joined: dict[int, bool] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        #: Counts inside a run without blanks, 16 bits each.
+        self.known: dict[str, bytes] = {}
 
     def _stands(self, a: int, b: int) -> bool:
         """Whether byte-pair merging leaves tokens a and b side by side."""
-        key = (a, b)
-        found = self.joined.get(key)
-        if found is None:
-            found = self._seam(a, b)
-            if len(self.joined) > 1_000_000:
-                self.joined.clear()
-            self.joined[key] = found
+        found = self._seam(a, b)
+        if len(self.joined) < MAX_PAIRS:
+            self.joined[a << 20 | b] = found
         return found
 
     def _seam(self, a: int, b: int) -> bool:
@@ -110,16 +108,21 @@ class PrefixCounter:
         letters = self.letters
         n = len(raw)
         last, count, closed = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        joined = self.joined
+        joined, compute = self.joined, self._stands
+
+        def stands(key: int, x: int, y: int) -> bool:
+            found = joined.get(key)
+            return compute(x, y) if found is None else found
+
         for end, (length, inner, final) in self.tokens.iter("".join([letters[x] for x in raw])):
             i = end + 1
             j = i - length
             before = last[j]
             if before < 0 and j:
                 continue
-            if inner >= 0 and last[i] < 0 and (not j or (joined[before, inner] if (before, inner) in joined else self._stands(before, inner))):
+            if inner >= 0 and last[i] < 0 and (not j or stands(before << 20 | inner, before, inner)):
                 last[i], count[i] = inner, count[j] + 1
-            if final >= 0 and not closed[i] and (not j or (joined[before, final] if (before, final) in joined else self._stands(before, final))):
+            if final >= 0 and not closed[i] and (not j or stands(before << 20 | final, before, final)):
                 closed[i] = count[j] + 1
         return tuple(closed[1:] if n == len(word) else [c for i, c in enumerate(closed) if i and (i == n or raw[i] & 0xC0 != 0x80)])
 
@@ -138,35 +141,45 @@ class PrefixCounter:
     def _plain(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        text = _BLANKS.sub(" ", text).lower() if text.isascii() else self.tokenizer.normalizer.normalize_str(text)
+        text = self.normalised(text)
         chunks = text.split(" ")
-        known = self.known
-        found = list(map(known.get, chunks))
-        if None in found:
-            if len(known) >= MAX_WORDS:
-                known.clear()
-            for i, x in enumerate(found):
-                if x is None:
-                    c = chunks[i]
-                    found[i] = known[c] = known.get(c) or self._chunk(c)
-        inside = np.fromiter(chain.from_iterable(found), np.int32, len(text) + 1)
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        if len(text) > 60_000 and max(map(len, chunks)) > 60_000:  # a count may pass 16 bits
+            parts, kind = [np.array(self._chunk(c), "<u4").tobytes() for c in chunks], "<u4"
+        else:
+            parts, kind = list(map(self.known.get, chunks)), "<u2"
+            if None in parts:
+                fresh = {c: np.array(self._chunk(c), "<u2").tobytes() for c in {c for c, x in zip(chunks, parts, strict=True) if x is None}}
+                if len(self.known) + len(fresh) <= MAX_WORDS:
+                    self.known.update(fresh)
+                parts = [fresh[c] if x is None else x for c, x in zip(chunks, parts, strict=True)]
+        inside = np.frombuffer(b"".join(parts), kind).astype(np.int32)
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // np.dtype(kind).itemsize
         total = inside[ends - 1]
         before = np.cumsum(total, dtype=np.int32) - total
         return (inside + np.repeat(before, np.diff(ends, prepend=0)))[: len(text)]
 
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
+    def normalised(self, text: str) -> str:
+        """What the tokenizer's normaliser gives. Plain text in composed form takes a short way to the same."""
+        line = text.replace("\n", " ")
+        if line.isprintable() and "  " not in line and (line.isascii() or ("Σ" not in line and unicodedata.is_normalized("NFC", line))):
+            return line.lower()
+        return self.tokenizer.normalizer.normalize_str(text)
+
+    def _chunk(self, chunk: str) -> list[int]:
         """Counts inside a run without blanks, and its total again for the blank after it."""
         out: list[int] = []
         base = 0
-        for m in self.split.finditer(chunk):
-            found = self.word(m[0])
-            out += [base + x for x in found]
+        words = self.words
+        for w in (chunk,) if chunk.isalpha() else self.split.findall(chunk):
+            found = words.get(w)
+            if found is None:
+                found = self.word(w)
+                if len(words) < MAX_WORDS:
+                    words[w] = found
+            out += [base + x for x in found] if base else found
             base = out[-1]
-        return (*out, base)
-
-
-_BLANKS = re.compile(r"[\t-\r ]+")
+        out.append(base)
+        return out
 
 
 @lru_cache(2)
