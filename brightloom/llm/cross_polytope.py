@@ -64,8 +64,8 @@ def prepared(x: np.ndarray, largest: float, lift: bool, query: bool) -> np.ndarr
     return out
 
 
-def _filed(vectors: DataFrame, largest: float, lift: bool, query: bool, tables: int, probes: int) -> DataFrame:
-    """``bucket, vec_id, vec``: a row for each table (or each of its probes for a query)."""
+def _filed(vectors: DataFrame, largest: float, lift: bool, query: bool, tables: int, probes: int, with_vectors: bool = True) -> DataFrame:
+    """``bucket, vec_id, vec`` (or ``bucket`` alone): a row for each table (or each of its probes for a query)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -79,10 +79,11 @@ def _filed(vectors: DataFrame, largest: float, lift: bool, query: bool, tables:
                         both = np.concatenate([y, -y], 1)
                         axes = np.argpartition(-both, take - 1, axis=1)[:, :take] if take > 1 else both.argmax(1)[:, None]
                         key = (x.shape[1] * tables + t) * 2 * p.shape[1] + axes
-                        c = b.take(pa.array(np.repeat(rows, take)))
-                        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), c.column(0), c.column(1)], ["bucket", "vec_id", "vec"])
+                        c = b.take(pa.array(np.repeat(rows, take))).columns if with_vectors else []
+                        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), *c], ["bucket", "vec_id", "vec"][: 1 + len(c)])
 
-    return vectors.select("vec_id", "vec").mapInArrow(run, "bucket long, vec_id long, vec array<double>")
+    kind = vectors.schema["vec"].dataType.simpleString()
+    return vectors.select("vec_id", "vec").mapInArrow(run, f"bucket long, vec_id long, vec {kind}" if with_vectors else "bucket long")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, tables: int = TABLES, probes: int = PROBES, part: int = PART) -> DataFrame:
@@ -95,18 +96,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, tables: int
 
     Tables times twice the width bounds the number of buckets for any corpus.
     One with more than ``part`` vectors is split by hash into parts, each met by all
-    queries that probe the bucket.
+    queries that probe the bucket. Buckets are counted before vectors are filed, so
+    the filed copies only pass through one shuffle.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vec"))
     rows = materialize(rows.where(is_valid(F.col("vec")) & F.col("vec_id").isNotNull()), "vectors")
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     least, most = rows.agg(F.min(norm), F.max(norm)).first()
     lift = bool(most and least < 0.99 * most)
-    index = _filed(rows, most or 1.0, lift, False, tables, probes)
-    index = materialize(index, "index")
-    parts = index.groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / part).cast("int").alias("parts"))
+    counts = _filed(rows, most or 1.0, lift, False, tables, probes, with_vectors=False).groupBy("bucket").count()
+    parts = counts.select("bucket", F.ceil(F.col("count") / part).cast("int").alias("parts"))
     parts = F.broadcast(materialize(parts, "buckets"))  # at most tables * 2 * width rows for each vector length
-    index = index.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    index = _filed(rows, most or 1.0, lift, False, tables, probes).join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
     asked = _filed(rows.where(is_query), most or 1.0, lift, True, tables, probes).join(parts, "bucket")
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     both = index.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)))
@@ -119,7 +121,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, tables: int
             ids = t.column("vec_id").to_numpy()
             if asks.all() or not asks.any():
                 return
-            x = t.column("vec").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            x = t.column("vec").combine_chunks().flatten().to_numpy().reshape(len(ids), -1).astype(np.float64)
             own, cand = np.flatnonzero(asks), np.flatnonzero(~asks)
             for at in range(0, len(own), 512):
                 q = own[at : at + 512]
