@@ -143,7 +143,8 @@ class PrefixCounter:
             return np.zeros(0, np.int32)
         text = self.normalised(text)
         chunks = text.split(" ")
-        if len(text) > 60_000 and max(map(len, chunks)) > 60_000:  # a count may pass 16 bits
+        # A token holds one byte at least, and a code point four at most: only then a count may pass 16 bits.
+        if 4 * len(text) > 65_535 and any(4 * len(c) > 65_535 and len(c.encode("utf-8", "surrogatepass")) > 65_535 for c in chunks):
             parts, kind = [np.array(self._chunk(c), "<u4").tobytes() for c in chunks], "<u4"
         else:
             parts, kind = list(map(self.known.get, chunks)), "<u2"

@@ -43,6 +43,17 @@ def test_every_prefix_equals_library():
         assert got == [len(t.encode(x[:i], add_special_tokens=False).ids) for i in range(len(x) + 1)], repr(x)
 
 
+@pytest.mark.parametrize("n", [16_000, 20_000, 22_000, 40_000, 70_000])
+@pytest.mark.parametrize("first, many", [(0x4E00, 20_000), (0x20000, 40_000)])
+def test_long_runs_without_blanks_equal_library(n, first, many):
+    t, c = Tokenizer.from_file(WORD), token_counts.PrefixCounter(WORD)
+    rng = random.Random(n)
+    run = "".join(chr(first + rng.randrange(many)) for _ in range(n))
+    for x in (run, f"before {run} after"):
+        got = c.counts(x)
+        assert got[-1] == len(t.encode(x, add_special_tokens=False).ids) and len(got) == len(c.normalised(x)) + 1
+
+
 def test_prefix_table(spark):
     rows = [(1, "the quick brown fox"), (2, None), (3, ""), (3, ""), (None, "x " * 5000)]
     got = token_counts.prefix_counts(spark.createDataFrame([(*r, "z", 1) for r in rows], DOC), WORD).collect()
