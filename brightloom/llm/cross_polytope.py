@@ -3,9 +3,12 @@
 A table turns unit vectors by three rounds of random signs and a fast Hadamard
 transform and files each under the nearest signed axis. A query probes the
 axes that it is nearest to in every table, and the vectors filed there are its
-candidates, which an exact inner product ranks. Where norms differ, one more
-component sqrt(max^2 - norm^2) makes the largest inner product the smallest
-angle.
+candidates, which an exact inner product ranks.
+
+Vectors are filed by direction alone, so one large norm moves no other vector.
+The few vectors with the largest norms, which may win at wide angles, and all
+vectors of a length with few of them are met by every query. So is the whole
+table by a query that the tables leave with fewer than it asks for.
 """
 
 from __future__ import annotations
@@ -25,6 +28,10 @@ TABLES, PROBES = 16, 6
 NEAREST = 20
 #: Vectors of a bucket that one task compares at once; a larger bucket is dealt out in parts.
 PART = 4096
+#: Vectors of each length, those of the largest norms, that every query meets; up to so many are not filed at all.
+HEAVY = 1024
+#: Steps of the largest norms: ratio of neighbours, and the last one, which holds the rest.
+STEP, STEPS = 1.02, 1000
 SEED = 7
 
 
@@ -47,24 +54,15 @@ def rotated(x: np.ndarray, table: int, rounds: int = 3) -> np.ndarray:
     return x
 
 
-def prepared(x: np.ndarray, largest: float, lift: bool, query: bool) -> np.ndarray:
+def prepared(x: np.ndarray) -> np.ndarray:
     """Rows on the unit sphere, padded to a power of two."""
-    norm = np.linalg.norm(x, axis=1)
-    if query or not lift:
-        x = x / norm[:, None]
-        extra = np.zeros(len(x))
-    else:
-        x = x / largest
-        extra = np.sqrt(np.maximum(0, 1 - (norm / largest) ** 2))
-    width = 1 << max(1, int(x.shape[1] + lift - 1).bit_length())
-    out = np.zeros((len(x), width))
-    out[:, : x.shape[1]] = x
-    if lift:
-        out[:, x.shape[1]] = extra
+    x = x / np.abs(x).max(1, keepdims=True)
+    out = np.zeros((len(x), 1 << max(1, int(x.shape[1] - 1).bit_length())))
+    out[:, : x.shape[1]] = x / np.linalg.norm(x, axis=1)[:, None]
     return out
 
 
-def _filed(vectors: DataFrame, largest: float, lift: bool, query: bool, tables: int, probes: int, with_vectors: bool = True) -> DataFrame:
+def _filed(vectors: DataFrame, query: bool, tables: int, probes: int, with_vectors: bool = True) -> DataFrame:
     """``bucket, vec_id, vec`` (or ``bucket`` alone): a row for each table (or each of its probes for a query)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +70,7 @@ def _filed(vectors: DataFrame, largest: float, lift: bool, query: bool, tables:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
                 for rows, x in by_length(b, "vec"):
-                    p = prepared(x, largest, lift, query)
+                    p = prepared(x)
                     take = min(probes, 2 * p.shape[1]) if query else 1
                     for t in range(tables):
                         y = rotated(p, t)
@@ -86,33 +84,8 @@ def _filed(vectors: DataFrame, largest: float, lift: bool, query: bool, tables:
     return vectors.select("vec_id", "vec").mapInArrow(run, f"bucket long, vec_id long, vec {kind}" if with_vectors else "bucket long")
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, tables: int = TABLES, probes: int = PROBES, part: int = PART) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest found of each query row of ``vectors(vec_id, embedding)``.
-
-    ``is_query`` tells the queries by ``vec_id``. Candidates are all rows with another id and as many
-    components. Vectors that are null, empty, zero or hold null or non-finite
-    components, and rows with a null vec_id, take no part. Scores are inner products in double
-    precision, ties go to the smaller id; an id that repeats comes out once. Other columns are ignored.
-
-    Tables times twice the width bounds the number of buckets for any corpus.
-    One with more than ``part`` vectors is split by hash into parts, each met by all
-    queries that probe the bucket. Buckets are counted before vectors are filed, so
-    the filed copies only pass through one shuffle.
-    """
-    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vec"))
-    rows = materialize(rows.where(is_valid(F.col("vec")) & F.col("vec_id").isNotNull()), "vectors")
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    least, most = rows.agg(F.min(norm), F.max(norm)).first()
-    lift = bool(most and least < 0.99 * most)
-    counts = _filed(rows, most or 1.0, lift, False, tables, probes, with_vectors=False).groupBy("bucket").count()
-    parts = counts.select("bucket", F.ceil(F.col("count") / part).cast("int").alias("parts"))
-    parts = F.broadcast(materialize(parts, "buckets"))  # at most tables * 2 * width rows for each vector length
-    index = _filed(rows, most or 1.0, lift, False, tables, probes).join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-    asked = _filed(rows.where(is_query), most or 1.0, lift, True, tables, probes).join(parts, "bucket")
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    both = index.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)))
-    both = both.select((F.col("bucket") * F.lit(1 << 20) + F.col("part")).alias("key"), "vec_id", "vec", "asks")
+def _scored(both: DataFrame, k: int) -> DataFrame:
+    """``query_id, vec_id, score``: of each key of ``both(key, vec_id, vec, asks)`` the ``k`` best vectors of each asking row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def ranked(key: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +126,98 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, tables: int
             yield from ranked(now, held)
 
     both = both.repartition(partitions(both), "key").sortWithinPartitions("key")
-    found = both.mapInArrow(run, "query_id long, vec_id long, score double")
+    return both.mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     found = found.repartition(partitions(found), "query_id").dropDuplicates(["query_id", "vec_id"])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _every(vectors: DataFrame, asked: DataFrame, part: int) -> DataFrame:
+    """``key, vec_id, vec, asks``: each asking row meets all vectors of its length; both sides are dealt to parts by hash."""
+    size = F.size("vec").alias("size")
+    many = vectors.groupBy(size).count().select("size", F.ceil(F.col("count") / part).cast("int").alias("own"))
+    asks = asked.groupBy(size).count().select("size", F.ceil(F.col("count") / part).cast("int").alias("other"))
+    parts = F.broadcast(materialize(many.join(asks, "size"), "parts"))  # a row for each vector length
+
+    def dealt(df: DataFrame, own: str, other: str, query: bool) -> DataFrame:
+        df = df.select("vec_id", "vec", size).join(parts, "size").withColumn("a", F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int"))
+        df = df.withColumn("b", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        v, q = ("b", "a") if query else ("a", "b")
+        key = F.col("size").cast("long") * (1 << 42) + F.col(v).cast("long") * (1 << 21) + F.col(q)
+        return df.select(key.alias("key"), "vec_id", "vec", F.lit(query).alias("asks"))
+
+    return dealt(vectors, "own", "other", False).unionByName(dealt(asked, "other", "own", True))
+
+
+def _floors(rows: DataFrame, heavy: int) -> dict[int, float | None]:
+    """For each vector length the norm from which every query meets a vector; None if there is no such vector. A row for each length and step."""
+    most = rows.groupBy("size").agg(F.max("norm").alias("most"))
+    step = F.least(F.floor(F.log(F.col("most") / F.col("norm")) / F.log(F.lit(STEP))), F.lit(STEPS)).alias("step")
+    steps = rows.join(F.broadcast(most), "size").groupBy("size", step).agg(F.count("*").alias("n"), F.min("norm").alias("least"))
+    floors: dict[int, float | None] = {}
+    held: dict[int, int] = {}
+    for r in sorted(steps.collect()):
+        held[r["size"]] = held.get(r["size"], 0) + r["n"]
+        floors.setdefault(r["size"], None)
+        if held[r["size"]] <= heavy:
+            floors[r["size"]] = r["least"]
+    # All vectors of a length with few of them.
+    return {size: 0.0 if held[size] <= heavy else floor for size, floor in floors.items()}
+
+
+def nearest(
+    vectors: DataFrame, is_query: Column, k: int = NEAREST, tables: int = TABLES, probes: int = PROBES, part: int = PART, heavy: int = HEAVY
+) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the ``k`` nearest found of each query row of ``vectors(vec_id, embedding)``.
+
+    ``is_query`` tells the queries by ``vec_id``. Candidates are all rows with another id and as many
+    components. Vectors that are null, empty, zero or hold null or non-finite
+    components, and rows with a null vec_id, take no part. Scores are inner products in double
+    precision, ties go to the smaller id; an id that repeats comes out once. Other columns are ignored.
+    A query has ``k`` rows unless there are fewer candidates.
+
+    Tables times twice the width bounds the number of buckets for any corpus.
+    One with more than ``part`` vectors is split by hash into parts, each met by all
+    queries that probe the bucket. Buckets are counted before vectors are filed, so
+    the filed copies only pass through one shuffle.
+    """
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vec"))
+    top = F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double"))))
+    scaled = lambda t: t * F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + (x.cast("double") / t) * (x.cast("double") / t)))
+    norm = F.get(F.transform(F.array(top), scaled), F.lit(0))  # the largest component is found once
+    rows = rows.where(is_valid(F.col("vec")) & F.col("vec_id").isNotNull()).withColumn("size", F.size("vec"))
+    rows = materialize(rows.withColumn("norm", norm), "vectors")
+    floors = _floors(rows, heavy)
+    spark = rows.sparkSession
+    bounds = F.broadcast(spark.createDataFrame(list(floors.items()), "size int, floor double"))  # a row for each vector length
+    rows = rows.join(bounds, "size")
+    every, filed = rows.where("norm >= floor"), rows.where("floor is null or norm < floor")
+    hashed = [size for size, floor in floors.items() if floor != 0.0]
+    met = [_scored(_every(every, rows.where(is_query), part), k)] if any(floor is not None for floor in floors.values()) or not hashed else []
+    if not hashed:
+        return _best(met[0], k)
+
+    counts = _filed(filed, False, tables, probes, with_vectors=False).groupBy("bucket").count()
+    parts = counts.select("bucket", F.ceil(F.col("count") / part).cast("int").alias("parts"))
+    parts = F.broadcast(materialize(parts, "buckets"))  # at most tables * 2 * width rows for each vector length
+    index = _filed(filed, False, tables, probes).join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    asked = _filed(rows.where(is_query), True, tables, probes).join(parts, "bucket")
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    both = index.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)))
+    both = both.select((F.col("bucket") * F.lit(1 << 20) + F.col("part")).alias("key"), "vec_id", "vec", "asks")
+    found = _scored(both, k)
+    for more in met:
+        found = found.unionByName(more)
+    best = materialize(_best(found, k), "nearest")
+
+    # Whoever has fewer than k meets all vectors of the length; that of few vectors is done.
+    full = best.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = rows.where(is_query).join(bounds.where("floor is null or floor > 0").select("size"), "size", "left_semi").join(full, "vec_id", "left_anti")
+    short = materialize(short.select("vec_id", "vec"), "short")
+    if short.isEmpty():
+        return best
+    return _best(best.drop("rank").unionByName(_scored(_every(rows, short, part), k)), k)

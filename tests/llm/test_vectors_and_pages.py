@@ -97,6 +97,50 @@ def test_larger_norms_are_nearest(spark):
     assert len({r["vec_id"] for r in got} & set(np.argsort(-s)[:10].tolist())) >= 9
 
 
+def recall(spark, x, **params):
+    """Part of the nearest 20 found, and the least number of rows of a query."""
+    x = np.asarray(x, np.float32).astype(float)
+    got = cross_polytope.nearest(vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]), F.col("vec_id") % 20 == 0, **params).toPandas()
+    hit, rows, total = 0, [], 0
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(len(x)), -s))[: min(20, len(x) - 1)]
+        mine = got[got.query_id == q]
+        hit, total = hit + len(set(want.tolist()) & set(mine.vec_id)), total + len(want)
+        rows.append(len(mine) - len(want))
+    return hit / max(total, 1), min(rows)
+
+
+@pytest.mark.parametrize("norms", ["one", "lognormal", "uniform", "two"])
+def test_search_recall_with_unequal_norms(spark, norms):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if norms == "one":
+        x[17] *= 100
+    elif norms == "two":
+        x[::2] *= 100
+    else:
+        x *= (rng.lognormal(size=(4000, 1)) if norms == "lognormal" else rng.uniform(0.5, 2, (4000, 1)))
+    found, least = recall(spark, x)
+    assert found >= 0.9 and least == 0
+
+
+@pytest.mark.parametrize("n", [5, 20, 30, 50])
+def test_search_of_few_vectors_is_whole(spark, n):
+    assert recall(spark, np.random.default_rng(n).normal(size=(n, 64))) == (1.0, 0)
+
+
+def test_queries_left_short_meet_all_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 16)) * 0.01
+    x[:, 0] += np.where(np.arange(600) % 60 == 0, 1, -1)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    _, least = recall(spark, x, heavy=0, probes=1, tables=2, part=64)
+    assert least == 0
+
+
 def test_hadamard_is_orthonormal():
     x = np.random.default_rng(0).normal(size=(5, 64))
     assert np.allclose(cross_polytope.hadamard(cross_polytope.hadamard(x)), x)
