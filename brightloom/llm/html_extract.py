@@ -5,8 +5,8 @@ inside it and half of them for its parent's parent's sake; the page's points are
 shared out over the containers' generalised paths (tags with classes, digits
 made alike). Spark sums these votes by host and path and keeps the leading
 paths of each host. Second pass: a page's text is that of the elements on its host's
-leading path; a page without them, or with most of its text elsewhere, falls
-back to its own best container.
+leading path, raised to the article that they are a part of; a page without them
+falls back to its own best container, and one with most of its text elsewhere has both.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from .common import materialize
 
 #: Leading paths kept for a host, and the least share of its votes that one needs.
 PATHS, SHARE = 3, 0.05
-#: A path's text must be at least this part of the text in the page's own best container.
+#: A host path's text must be at least this part of the page's text outside links and dropped parts to stand alone.
 COVER = 0.4
+#: Text beside a container belongs to the same article if less than this part of it is in links.
+LINKED = 0.33
 
 _TAG = re.compile(
     r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>?|/([a-zA-Z][^\s/>]*+)[^>]*+>?|([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>?)""",
@@ -51,6 +53,8 @@ MARKS = frozenset(
     "newsletter subscribe subscription signup login search widget widgets popup modal overlay form skip".split()
 )
 KEPT = frozenset("html body main article".split())
+#: Containers that stand within an article, never for a whole one.
+PARTS = frozenset("section blockquote ul ol dl dd li table tbody tr center details figure".split())
 #: Opening one of these ends an open element of the set, up to the nearest container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -79,6 +83,7 @@ def blocks(html: str) -> Iterator[tuple[tuple[_Element, ...], str, int]]:
     """(open elements, text, characters in links) of each block of shown text outside dropped parts, in page order."""
     stack: list[_Element] = [_Element("", "", False)]
     text: list[str] = []
+    deep: dict[str, int] = defaultdict(int)  # open elements below the last that is told apart
     link, in_link, at, n = 0, False, 0, len(html)
 
     def flush() -> Iterator[tuple[tuple[_Element, ...], str, int]]:
@@ -143,7 +148,9 @@ def blocks(html: str) -> Iterator[tuple[tuple[_Element, ...], str, int]]:
                                 dropped = True
                 top = stack[-1]
                 if len(stack) > DEPTH:
+                    deep[tag] += tag != "p"
                     continue
+                deep.clear()
                 path = f"/{tag}" if tag in ("html", "body", "head") else f"{top.path}/{tag}{names}" if len(stack) <= PATH_DEPTH else top.path
                 stack.append(_Element(tag, path, dropped or (top.dropped and tag != "body")))
         elif closing:
@@ -152,8 +159,12 @@ def blocks(html: str) -> Iterator[tuple[tuple[_Element, ...], str, int]]:
                 in_link = False
             elif tag in BLOCK:
                 yield from flush()
+                if deep[tag]:
+                    deep[tag] -= 1
+                    continue
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
+                        deep.clear()
                         del stack[k:]
                         break
                     if tag in ("p", "li") and stack[k].tag in ("article", "body", "main", "section", "td"):
@@ -184,20 +195,60 @@ def best_paths(html: str | None, most: int = 5) -> list[tuple[str, float]]:
     return [(p, s / total) for p, s in scored] if total else []
 
 
+def _region(found: list[tuple[tuple[_Element, ...], str, int]], path: str) -> set[int]:
+    """Numbers of the blocks of the article that the elements on a path belong to.
+
+    That is the nearest article around them, or else the main element, or else
+    the outermost container up to which what is added is no more than what is
+    there and mostly outside links; a list, table, section or the like is always
+    a part of what surrounds it. The body is never taken whole on their behalf,
+    only the blocks right inside it beside such a part.
+    """
+    held = {i for i, (stack, _, _) in enumerate(found) if any(e.path == path for e in stack)}
+    if not held:
+        return held
+    stack = found[min(held)][0]
+    own = next(k for k, e in enumerate(stack) if e.path == path)
+    if stack[own].tag in ("article", "main", "body", "html"):
+        return held
+    outer = [e for e in stack[:own] if e.tag == "article"][-1:] or [e for e in stack[:own] if e.tag == "main"][:1]
+    if outer:
+        return {i for i, (s, _, _) in enumerate(found) if any(e.path == outer[0].path for e in s)}
+    part = stack[own].tag in PARTS
+    for e in reversed(stack[:own]):
+        if e.tag not in CONTAINER:
+            continue
+        if e.tag in ("body", "html"):
+            right_inside = (i for i, (s, w, link) in enumerate(found) if link < LINKED * len(w) and next((x for x in reversed(s) if x.tag in CONTAINER), None) is e)
+            return held | set(right_inside) if part else held
+        more = {i for i, (s, _, _) in enumerate(found) if any(x.path == e.path for x in s)}
+        size, linked = sum(len(found[i][1]) for i in more - held), sum(found[i][2] for i in more - held)
+        if linked >= LINKED * size > 0 or (not part and size > sum(len(found[i][1]) for i in held)):
+            return held
+        held, part = more, e.tag in PARTS
+    return held
+
+
 def main_text(html: str | None, paths: list[str]) -> str:
-    """Blocks on the first of the host's paths that covers enough of the page, else in the page's own best container."""
+    """Blocks of the article on the first of the host's paths that the page has.
+
+    Where the page's own best container lies around the path, it is taken instead; where
+    the path holds too little of the page, both are. Without any it is the own best container.
+    """
     found = list(blocks(html or ""))
     if not found:
         return ""
-    texts = lambda path: [w for stack, w, _ in found if any(e.path == path for e in stack)]
-    own = best_paths(html, 1)
-    best = texts(own[0][0]) if own else [w for _, w, link in found if link < 0.5 * len(w)]
-    need = COVER * sum(map(len, best))
-    for p in paths:
-        got = texts(p)
-        if got and sum(map(len, got)) >= need:
-            return "\n".join(got)
-    return "\n".join(best)
+    best = best_paths(html, 1)
+    own = best[0][0] if best else ""
+    need = COVER * sum(len(w) - link for _, w, link in found)
+    around = own if own not in ("", "/body", "/html") else ""
+    held = next(filter(None, (_region(found, p) for p in paths)), set())
+    if around and any(p.startswith(around + "/") for p in paths):
+        wide = _region(found, around)
+        held = wide if held < wide else held
+    if not held or sum(len(found[i][1]) - found[i][2] for i in held) < need:
+        held |= _region(found, own) if own else {i for i, (_, w, link) in enumerate(found) if link < 0.5 * len(w)}
+    return "\n".join(found[i][1] for i in sorted(held))
 
 
 def host_of(url: Column) -> Column:

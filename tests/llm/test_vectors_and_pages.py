@@ -176,6 +176,38 @@ def test_consensus_wins_over_a_page_of_comments(spark):
     assert {r["text"] for r in html_extract.extract(df).collect()} == {(long * 2).strip()}
 
 
+LONG = "A sentence of the article, which runs on, and on, to be long enough to count. "
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<article><h1>T</h1><div class=lead><p>{LONG}</p></div><div class=body>{f'<p>{LONG * 2}</p>' * 5}</div></article>",
+        f"<div class=post><h1>T</h1><div class=lead><p>{LONG}</p></div><div class=body>{f'<p>{LONG * 2}</p>' * 5}</div></div>",
+        f"<div class=post><p>{LONG}</p><ul>{f'<li>{LONG * 2}</li>' * 8}</ul></div>",
+        f"<p>{LONG}</p><table>{f'<tr><td>{LONG * 2}</td></tr>' * 8}</table><p>{LONG}</p>",
+        f"<p>{LONG}</p><section>{f'<p>{LONG * 2}</p>' * 8}</section>",
+        f"<p>{LONG}</p><blockquote>{f'<p>{LONG * 2}</p>' * 8}</blockquote>",
+    ],
+)
+def test_text_beside_the_dominant_container(spark, body):
+    page = f"<body><nav><a href=x>Home</a></nav>{body}<div class=ad><p>{LONG}</p></div></body>"
+    df = spark.createDataFrame([(i, f"https://h.example/{i}", page) for i in range(3)], "page_id long, url string, html string")
+    want = [w for _, w, _ in html_extract.blocks(f"<body>{body}</body>")]
+    assert {r["text"] for r in html_extract.extract(df).collect()} == {"\n".join(want)}
+
+
+def test_host_path_with_little_of_the_page_does_not_hide_the_rest():
+    html = f"<body><div class=main><p>{LONG * 2}</div><div class=other>{f'<p>{LONG * 3}' * 3}</div></body>"
+    assert html_extract.main_text(html, ["/body/div.main"]) == "\n".join([(LONG * 2).strip()] + [(LONG * 3).strip()] * 3)
+
+
+def test_closing_tags_balance_below_the_last_level():
+    html = f"<body>{'<div>' * (html_extract.DEPTH - 1)}<div><div>a</div></div><p>b</p></div>c"
+    levels = {w: [e.tag for e in stack].count("div") for stack, w, _ in html_extract.blocks(html)}
+    assert levels == {"a": html_extract.DEPTH - 1, "b": html_extract.DEPTH - 1, "c": html_extract.DEPTH - 2}
+
+
 def test_unended_markup():
     for html in ("<p", "<p>a<!-- b", "a<script>x", "<a href=\"x", "&am", "<div><div><div>", "</p></div>x", "<p>" * 3000 + "x", "<div>" * 3000 + "x"):
         html_extract.main_text(html, ["/body"])
