@@ -29,13 +29,16 @@ BASE = (
     ("card", "", r"[0-9](?:[\x20-]?[0-9])++"),
     ("phone", "+", r"\+[0-9][\x20().0-9-]+[0-9]"),
 )
+#: The name and sign of an assignment.
+KEY = r"[A-Za-z_][A-Za-z0-9_]++\x20?[:=]\x20?"
 #: Loose candidates: assignments, local telephone numbers, identity numbers, account numbers, long mixed strings.
+#: A value or run goes on to its end, however long; a dot belongs to it if more follows, and so do the signs that fill up base64.
 CANDIDATE = (
-    r"\b[A-Za-z_]{2,24}\x20?[:=]\x20?\"?[A-Za-z0-9_+/-]{6,64}\"?"
+    r"\b" + KEY + r"\"?[A-Za-z0-9_+/-]{6,}+(?:\.[A-Za-z0-9_+/-]++)*+={0,2}+\"?"
     r"|\(?\b[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}\b"
     r"|\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
     r"|\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b"
-    r"|\b(?=[a-z]*[0-9])(?=[0-9]*[a-z])[a-z0-9]{12,64}\b"
+    r"|\b(?=[a-z]*[0-9])(?=[0-9]*[a-z])[a-z0-9]{12,}+\b"
 )
 WORDS = "password|passwd|pwd|passphrase|token|secret|api_?key|access_?key|private_?key|ssn|iban|passport|login|username|account|tel|phone|mobile|fax"
 COUNTRIES = "AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IT|LT|LU|LV|MT|NL|NO|PL|PT|RO|SE|SI|SK"
@@ -47,21 +50,24 @@ FEATURES = 3
 def spans_of(text: Column, pattern: str, needs: str = "") -> Column:
     """Array of (start, end, hit) of the leftmost non-overlapping matches, in code points, end exclusive.
 
-    A match is the first place of its own characters after the one before it:
-    an earlier one would have matched there.
+    Places are summed from the lengths of the matches and of the text that
+    they leave when it is split at them.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none = F.expr("cast(array() as array<struct<start: int, end: int, hit: string>>)")
 
-    def step(done: Column, hit: Column) -> Column:
-        at = F.position(hit, text, done["next"])
-        return F.struct(
-            (at + F.length(hit)).cast("int").alias("next"),
-            F.array_append(done["found"], F.struct((at - 1).cast("int").alias("start"), (at - 1 + F.length(hit)).cast("int").alias("end"), hit.alias("hit"))).alias("found"),
-        )
+    def step(done: Column, part: Column) -> Column:
+        start = done["next"] + F.length(part["gap"])
+        end = start + F.length(part["hit"])
+        span = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), part["hit"].alias("hit"))
+        return F.struct(end.cast("int").alias("next"), F.array_append(done["found"], span).alias("found"))
 
-    spans = F.aggregate(found, F.struct(F.lit(1).alias("next"), none.alias("found")), step, lambda done: done["found"])
-    return F.when(F.contains(text, F.lit(needs)) if needs else F.lit(True), spans).otherwise(none)
+    # The text after the last match has no match beside it.
+    parts = F.zip_with(found, F.split(text, pattern, -1), lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap")))
+    parts = F.filter(parts, lambda part: part["hit"].isNotNull())
+    spans = F.aggregate(parts, F.struct(F.lit(0).alias("next"), none.alias("found")), step, lambda done: done["found"])
+    holds = F.rlike(text, F.lit(pattern))
+    return F.when(F.contains(text, F.lit(needs)) & holds if needs else holds, spans).otherwise(none)
 
 
 def _holds(kind: str, hit: Column) -> Column:
@@ -94,13 +100,13 @@ def base_spans(text: Column) -> Column:
 def _votes(text: Column, s: Column) -> list[Column]:
     """1 for, 0 against, 2 absent, of each labeler on a candidate."""
     hit = s["hit"]
-    value = F.regexp_replace(hit, r"^[A-Za-z_]{2,24}\x20?[:=]\x20?", "")
+    value = F.regexp_replace(hit, "^" + KEY, "")
     value = F.regexp_replace(value, '"', "")
     before = F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))
     pick = lambda yes, no: F.when(yes, 1).when(no, 0).otherwise(2)
     return [
         pick(F.rlike(value, F.lit(r"^(?:(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{12,}|[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4})$")), F.rlike(value, F.lit("^[A-Za-z_-]+$"))),
-        pick(F.rlike(hit, F.lit(rf"(?i)^(?:{WORDS})|^(?-i:{COUNTRIES})[0-9]{{2}}")), F.lit(False)),
+        pick(F.rlike(hit, F.lit(rf"(?i)^(?:[A-Za-z0-9_]*_)?(?:{WORDS})|^(?-i:{COUNTRIES})[0-9]{{2}}")), F.lit(False)),
         pick(F.rlike(F.lower(before), F.lit(rf"(?:{CONTEXT})[^\n]*$")), F.lit(False)),
         pick(F.lit(False), F.rlike(value, F.lit(r"^(?:[0-9]{1,3}(?:[.,][0-9]{3})+|(?:19|20)[0-9]{2}.*|[0-9]{1,6}[a-z]{1,3}|0{6,}.*|v[0-9].*)$"))),
         pick(F.rlike(value, F.lit("[0-9]")) & F.rlike(value, F.lit("[A-Za-z]")) & (F.length(value) >= 12), F.rlike(value, F.lit(r"^[A-Za-z]+$|^[0-9]{1,8}$"))),
@@ -108,10 +114,18 @@ def _votes(text: Column, s: Column) -> list[Column]:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """Array of (start, end, votes, bits, kind) of the candidates that meet no base span."""
+    """Array of (start, end, votes, bits, kind) of the candidates that meet no base span, or of whose value one is only a part."""
     near = F.rlike(text, F.lit("[0-9:=]"))
     found = F.when(near, spans_of(text, CANDIDATE)).otherwise(F.expr("cast(array() as array<struct<start: int, end: int, hit: string>>)"))
-    found = F.filter(found, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+
+    def settled(s: Column, b: Column) -> Column:
+        """Whether a base span meets a candidate and either goes beyond it or covers its value."""
+        end = s["end"] - F.when(F.endswith(s["hit"], F.lit('"')), 1).otherwise(0)
+        inner = F.rlike(F.substring(s["hit"], b["start"] - s["start"], F.lit(1)), F.lit("[A-Za-z0-9_/-]"))
+        inside = (s["start"] < b["start"]) & inner & (b["end"] <= end) | (s["start"] <= b["start"]) & (b["end"] < end)
+        return (b["start"] < s["end"]) & (s["start"] < b["end"]) & ~inside
+
+    found = F.filter(found, lambda s: ~F.exists(base, lambda b: settled(s, b)))
 
     def mark(s: Column) -> Column:
         votes = F.concat(*[v.cast("string") for v in _votes(text, s)])

@@ -89,6 +89,37 @@ def test_pii_long_runs_take_linear_time(spark):
     assert got == {1: 0, 2: 0, 3: 1, 4: 0}
 
 
+def test_pii_takes_long_secrets_whole(spark):
+    def digits(n, seed, letters="0123456789abcdef"):
+        return "".join(random.Random(seed).choices(letters, k=n))
+
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    made = []
+    for i in range(10):
+        made += [f"access_token={digits(93, i, mixed[52:62] + mixed[26:52])}", f"secret: {digits(128, i)}", f"api_key={digits(86, i, mixed)}7a=="]
+        made += [f"token = {digits(36, i, mixed)}1.{digits(120, i + 50, mixed)}a.{digits(43, i + 90, mixed)}z", f"aws_s3_secret={digits(40, i)}", f"production_database_admin_password={digits(40, i)}", f"key7={digits(40, i)}"]
+    made += [f"secret: {digits(30, i)}d4111111111111111e{digits(30, i + 5)}f" for i in range(5)]
+    rows = [(i, f"clean words only {i}", "s") for i in range(70)] + [(100 + i, f"é mail me, {x} ok. Bye.", "s") for i, x in enumerate(made)]
+    runs = [(300 + i, f"the secret {digits(100, i)}a1 ok", "s") for i in range(10)]
+    out = {r["doc_id"]: r["text"] for r in pii.redacted(docs(spark, rows + runs)).collect()}
+    assert {out[100 + i] for i in range(len(made))} == {"é mail me, [SECRET] ok. Bye."}
+    assert {out[i] for i, *_ in runs} == {"the secret [SECRET] ok"}
+    assert out[3] == "clean words only 3"
+    held = pii.redacted(docs(spark, [*rows, (400, "card: 4111111111111111, phone: +15551234567 ok", "s")])).where("doc_id = 400").first()
+    assert held["text"] == "card: [CARD], phone: [PHONE] ok"
+
+
+def test_pii_places_are_exact(spark):
+    text = "é 1555-123-45678 and 555-123-4567, x555-12-34567 555-12-3456 555-12-3456"
+    spans = pii.spans_of(F.col("text"), pii.CANDIDATE)
+    got = docs(spark, [(1, text, "s"), (2, "", "s"), (3, "none", "s")]).select("doc_id", spans.alias("s")).collect()
+    want = [(m.start(), m.end(), m[0]) for m in re.finditer(pii.CANDIDATE, text, re.ASCII)]
+    assert len(want) == 3 and {r["doc_id"]: [tuple(s) for s in r["s"]] for r in got} == {1: want, 2: [], 3: []}
+    inside = docs(spark, [(1, "1555-12-34567 5-12-3456 1555-123-45678 555-123-4567", "s"), (2, "1555-123-4567 555-123-4567", "s")])
+    for r in inside.select("text", spans.alias("s")).collect():
+        assert [tuple(s) for s in r["s"]] == [(m.start(), m.end(), m[0]) for m in re.finditer(pii.CANDIDATE, r["text"], re.ASCII)]
+
+
 def water_fill(sizes, weights, cap=3):
     """Targets by resharing until none is above its cap."""
     total, targets, free = sum(sizes), {}, set(range(len(sizes)))
