@@ -7,6 +7,11 @@ knapsack dynamic programming with the program's dual values until no pattern
 improves it by more than a tolerance. The pattern counts are rounded down,
 what they leave over is packed by best fit, and documents ranked within their
 length are dealt to the patterns' places.
+
+Where lengths do not add up, whole remainders leave padding. Then the sequences
+that are filled worst are taken apart, and their documents, one after another,
+are cut to fill the gaps of the others. So padding stays small for any lengths, and
+the program's part is that few documents are cut.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +32,11 @@ from .encoding import encoder
 CAPACITY = 1024
 END_ID = 0
 #: Gap between the program's value and its lower bound at which columns stop.
-GAP = 2e-4
-MAX_COLUMNS = 600
+GAP = 1e-3
+#: Length classes of the program at most. With more lengths, neighbours share a class, as long as its longest.
+CLASSES = 256
+#: Smallest gap that documents are cut for.
+LEAST_CUT = 8
 #: Runs of a length class that rank on their own.
 RUNS = 256
 
@@ -83,40 +92,37 @@ def fill(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
     return out
 
 
-def solve(counts: dict[int, int], capacity: int = CAPACITY, gap: float = GAP, max_columns: int = MAX_COLUMNS) -> list[tuple[Pattern, int]]:
+def _program(counts: dict[int, int], capacity: int, gap: float) -> list[tuple[Pattern, int]]:
     """Patterns of (length, copies) and how often each is used; together they hold exactly ``counts``.
 
-    Revised simplex with the basis' inverse at hand: the greedy patterns' prices
+    Revised simplex with the basis' inverse at hand: the greedy patterns
     start from one pattern per length, the knapsack names the column to enter,
     and the ratio test the one to leave. It ends when the bound value / price
-    (Farley) is within ``gap``. The patterns' floors are taken, and what is left, less
-    than a sequence for each basis column, is filled greedily.
+    (Farley) is within ``gap`` or no column is left to enter. The patterns' floors are taken, and
+    what is left, less than a sequence for each basis column, is filled greedily.
     """
     lengths = np.array(sorted(counts), np.int64)
     demand = np.array([counts[int(n)] for n in lengths], float)
-    m = len(lengths)
-    if not m:
+    if not len(lengths):
         return []
     basis: list[Pattern] = [((i, int(capacity // n)),) for i, n in enumerate(lengths)]
     inverse = np.diag([1.0 / p[0][1] for p in basis])
     x = inverse @ demand
     seeds = [tuple((int(np.searchsorted(lengths, n)), k) for n, k in p) for p, _ in fill(counts, capacity)]
     bound = 0.0
-    for turn in range(len(seeds) + max_columns):
+    while True:
         dual = inverse.sum(0)
-        if turn < len(seeds):
-            pattern = seeds[turn]
+        if seeds:
+            pattern = seeds.pop(0)
             value = sum(dual[i] * k for i, k in pattern)
+            if value <= 1 + 1e-9:
+                continue
         else:
             value, pattern = knapsack(np.maximum(dual, 0), lengths, capacity)
             bound = max(bound, x.sum() / max(value, 1.0))
-        if value <= 1 + 1e-9:
-            if turn < len(seeds):
-                continue
-            break
-        if turn >= len(seeds) and x.sum() <= bound * (1 + gap):
-            break
-        column = np.zeros(m)
+            if value <= 1 + 1e-9 or x.sum() <= bound * (1 + gap):
+                break
+        column = np.zeros(len(lengths))
         for i, k in pattern:
             column[i] = k
         d = inverse @ column
@@ -130,12 +136,12 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, gap: float = GAP, ma
         inverse -= np.outer(d, row)
         inverse[out] = row
         basis[out] = pattern
-    left = {int(n): int(c) for n, c in zip(lengths, demand, strict=True)}
+    left = dict(counts)
     used: Counter[Pattern] = Counter()
     for j in np.argsort(-x):
         p = tuple((int(lengths[i]), k) for i, k in basis[j])
         times = min([int(x[j] + 1e-7), *(left[n] // k for n, k in p)])
-        if times > 0 and sum(n * k for n, k in p) > capacity - max(8, capacity // 64):
+        if times > 0:
             used[p] += times
             for n, k in p:
                 left[n] -= k * times
@@ -144,54 +150,140 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, gap: float = GAP, ma
     return sorted(used.items())
 
 
+def solve(counts: dict[int, int], capacity: int = CAPACITY, gap: float = GAP, classes: int = CLASSES) -> list[tuple[Pattern, int]]:
+    """Patterns of (length, copies) and how often each is used; together they hold exactly ``counts``.
+
+    With more than ``classes`` lengths the program is over classes of neighbouring lengths,
+    and a class's places are given to its lengths in turn.
+    """
+    unit = 1
+    while len({-(-n // unit) for n in counts}) > classes:
+        unit *= 2
+    by_class: Counter[int] = Counter()
+    queues: dict[int, list[list[int]]] = {}
+    for n in sorted(counts, reverse=True):
+        by_class[-(-n // unit)] += counts[n]
+        queues.setdefault(-(-n // unit), []).append([n, counts[n]])
+    used: Counter[Pattern] = Counter()
+    for pattern, times in _program(dict(by_class), capacity // unit, gap):
+        slots = [_taken(queues[c], times) for c, k in pattern for _ in range(k)]
+        while slots[0]:
+            some = min(slot[-1][1] for slot in slots)
+            used[tuple(sorted(Counter(slot[-1][0] for slot in slots).items()))] += some
+            for slot in slots:
+                slot[-1][1] -= some
+                if not slot[-1][1]:
+                    slot.pop()
+    return sorted(used.items())
+
+
+def _taken(queue: list[list[int]], times: int) -> list[list[int]]:
+    """The next ``times`` lengths of a class's queue as runs of (length, number)."""
+    out = []
+    while times:
+        n, have = queue[-1]
+        some = min(have, times)
+        out.append([n, some])
+        times -= some
+        queue[-1][1] -= some
+        if not queue[-1][1]:
+            queue.pop()
+    return out
+
+
+@dataclass
+class Plan:
+    """Where each rank of each length goes.
+
+    ``whole`` has, for each length, runs of ranks: first rank, copies in a sequence, first
+    sequence, first offset. Ranks from ``kept[length]`` on are cut: their ids,
+    in one row from ``begins[length]``, fill the gaps. ``gaps`` has runs of sequences with one gap: its
+    start in that row, its size, the first sequence, its offset there.
+    """
+
+    whole: dict[int, list[tuple[int, int, int, int]]] = field(default_factory=dict)
+    kept: dict[int, int] = field(default_factory=dict)
+    begins: dict[int, int] = field(default_factory=dict)
+    gaps: list[tuple[int, int, int, int]] = field(default_factory=list)
+    sequences: int = 0
+
+
+def plan(counts: dict[int, int], full: int, capacity: int = CAPACITY, least: int = LEAST_CUT) -> Plan:
+    """Whole places for most documents, and gaps for those of the worst filled sequences."""
+    size = lambda p: sum(n * k for n, k in p)
+    used = sorted(solve(counts, capacity), key=lambda u: (size(u[0]), u[0]))
+    room = sum(times * (capacity - size(p)) for p, times in used if capacity - size(p) >= least)
+    cut: Counter[int] = Counter()
+    kept: list[tuple[Pattern, int]] = []
+    taken = 0
+    for p, times in used:
+        gap = capacity - size(p)
+        gap = gap if gap >= least else 0
+        # Each sequence taken apart brings its ids and takes its own gap away.
+        some = max(0, min(times, (room - taken) // (size(p) + gap))) if gap else 0
+        taken += some * size(p)
+        room -= some * gap
+        for n, k in p:
+            cut[n] += k * some
+        if times > some:
+            kept.append((p, times - some))
+    out = Plan({capacity: [(0, 1, 0, 0)]}, {n: c - cut[n] for n, c in counts.items()} | {capacity: full}, {}, [], full)
+    at = 0
+    for n in sorted(cut, reverse=True):
+        out.begins[n] = at
+        at += n * cut[n]
+    dealt: Counter[int] = Counter()
+    filled = 0
+    for p, times in kept:  # the largest gaps first
+        offset = 0
+        for n, k in sorted(p, reverse=True):
+            out.whole.setdefault(n, []).append((dealt[n], k, out.sequences, offset))
+            dealt[n] += k * times
+            offset += n * k
+        if capacity - offset >= least:
+            out.gaps.append((filled, capacity - offset, out.sequences, offset))
+            filled += times * (capacity - offset)
+        out.sequences += times
+    return out
+
+
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
-    """``doc_id, start, length, ids_crc32, doc_tokens`` (and ``ids``, little-endian 32-bit) of each full piece and remainder.
+    """``doc_id, start, length, ids_crc32, doc_tokens, ids`` (little-endian 32-bit) of each full piece and remainder.
 
     A document's ids are those of its whole text (null: empty) and END_ID.
+    Without ``with_ids`` only remainders, which may be cut, have them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                out: list[tuple] = []
-                for doc, text in zip(b.column(0).slice(at, 256).to_pylist(), b.column(1).slice(at, 256), strict=True):
-                    ids = np.append(enc.encode(text.as_py() or ""), END_ID).astype("<u4")
-                    for s in range(0, len(ids), capacity):
-                        raw = ids[s : s + capacity].tobytes()
-                        out.append((doc, s, len(raw) // 4, zlib.crc32(raw), len(ids), *[raw] * with_ids))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=False)], names)
-
-    types = [pa.int64()] * 5 + [pa.binary()]
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
+            for first, ids, starts in enc.documents(b.column(1), END_ID):
+                total = np.diff(starts)
+                number = -(-total // capacity)
+                doc = np.repeat(np.arange(len(total)), number)
+                start = (np.arange(len(doc)) - (np.cumsum(number) - number)[doc]) * capacity
+                length = np.minimum(capacity, total[doc] - start)
+                raw, at = ids.astype("<u4").tobytes(), 4 * (starts[doc] + start)
+                view = memoryview(raw)
+                cuts = list(zip(at.tolist(), (at + 4 * length).tolist(), strict=True))
+                crc = pa.array([zlib.crc32(view[s:e]) for s, e in cuts], pa.int64())
+                held = pa.array([raw[s:e] if with_ids or e - s < 4 * capacity else None for s, e in cuts], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first).take(pa.array(doc)), pa.array(start), pa.array(length), crc, pa.array(total[doc]), held], names)
+
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
-
-
-def _places(plan: list[tuple[Pattern, int]], full: int, capacity: int) -> dict[int, list[tuple[int, int, int, int]]]:
-    """For each length, runs of ranks: first rank, copies in a sequence, first sequence, first offset."""
-    out: dict[int, list[tuple[int, int, int, int]]] = {capacity: [(0, 1, 0, 0)]}
-    taken: Counter[int] = Counter()
-    first = full
-    for pattern, times in plan:
-        at = 0
-        for n, k in sorted(pattern, reverse=True):
-            out.setdefault(n, []).append((taken[n], k, first, at))
-            taken[n] += k * times
-            at += n * k
-        first += times
-    return out
+    return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
-    """Place each piece of ``docs(doc_id, text)``: its columns, ``sequence_id`` and ``offset``.
+    """Place each piece of ``docs(doc_id, text)``: its columns (``ids`` if asked for), ``sequence_id`` and ``offset``.
 
     A null text is a document of the end id alone; rows that repeat are packed
     each by itself; other columns are ignored; an empty table gives no rows. Only
-    the histogram of lengths and the plan, at most ``capacity`` lengths and about
-    as many patterns, pass through the driver. Ranks within a length come from
+    the histogram of lengths and the plan, at most ``capacity`` lengths and a few
+    thousand runs of places, pass through the driver. Ranks within a length come from
     counts of (length, run by hash), so a length of a third of all rows is
-    spread over all runs.
+    spread over all runs. Ids go along only with rows whose run has documents to cut.
     """
     pieces = materialize(token_pieces(docs, path, capacity, with_ids), "pieces")
     runs = max(RUNS, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
@@ -201,26 +293,52 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool =
     per = materialize(per, "lengths")
     counts = {int(r[0]): int(r[1]) for r in per.groupBy("length").agg(F.sum("n")).collect()}
     full = counts.pop(capacity, 0)
-    places = _places(solve(counts, capacity), full, capacity)
+    places = plan(counts, full, capacity)
     before = Window.partitionBy("length").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per.select("length", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("run_start"))
+    starts = per.withColumn("run_start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    bounds = pieces.sparkSession.createDataFrame([(n, k) for n, k in places.kept.items()], "length long, kept long")
+    starts = starts.join(F.broadcast(bounds), "length")  # at most ``capacity`` rows
+    starts = starts.select("length", "run", "run_start", (F.col("run_start") + F.col("n") > F.col("kept")).alias("cuts"))
     inside = Window.partitionBy("length", "run").orderBy(*order)
-    ranked = keyed.withColumn("inside", F.row_number().over(inside) - 1).join(starts, ["length", "run"])
-    ranked = ranked.withColumn("rank", F.col("run_start") + F.col("inside"))
-    cols = [c for c in pieces.columns]
+    ranked = keyed.join(starts, ["length", "run"])
+    if not with_ids:
+        ranked = ranked.withColumn("ids", F.when("cuts", F.col("ids")))
+    ranked = ranked.withColumn("rank", F.col("run_start") + F.row_number().over(inside) - 1)
+    cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    names = [*cols, *["ids"] * with_ids, "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {n: np.array(x, np.int64) for n, x in places.items()}
+        table = {n: np.array(x, np.int64) for n, x in places.whole.items()}
+        gaps = np.array(places.gaps, np.int64).reshape(-1, 4)
         for b in batches:
-            length, rank = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
-            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+            length, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
+            sequence, offset, whole = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64), np.zeros(len(length), bool)
             for n in np.unique(length).tolist():
-                mine = np.flatnonzero(length == n)
-                row = table[n][np.searchsorted(table[n][:, 0], rank[mine], side="right") - 1]
-                r = rank[mine] - row[:, 0]
-                sequence[mine] = row[:, 2] + r // row[:, 1]
-                offset[mine] = row[:, 3] + r % row[:, 1] * n
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in cols), pa.array(sequence), pa.array(offset)], [*cols, "sequence_id", "offset"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return ranked.select(*cols, "rank").mapInArrow(run, schema)
+                mine = np.flatnonzero((length == n) & (rank < places.kept[n]))
+                whole[mine] = True
+                if len(mine):
+                    row = table[n][np.searchsorted(table[n][:, 0], rank[mine], side="right") - 1]
+                    r = rank[mine] - row[:, 0]
+                    sequence[mine] = row[:, 2] + r // row[:, 1]
+                    offset[mine] = row[:, 3] + r % row[:, 1] * n
+            keep = np.flatnonzero(whole)
+            held = b.take(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([*(held.column(c) for c in names[:-2]), pa.array(sequence[keep]), pa.array(offset[keep])], names)
+            out = [row for i in np.flatnonzero(~whole).tolist() for row in _cut_up({c: b.column(c)[i].as_py() for c in [*cols, "ids"]}, places.begins[length[i]] + (rank[i] - places.kept[length[i]]) * length[i], gaps)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if c == "ids" else pa.int64()) for c, x in zip([*cols, "ids", *names[-2:]], zip(*out, strict=True), strict=True) if c in names], names)
+
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids + ", sequence_id long, offset long"
+    return ranked.select(*cols, "ids", "rank").mapInArrow(run, schema)
+
+
+def _cut_up(piece: dict, at: int, gaps: np.ndarray) -> Iterator[tuple]:
+    """Parts of a piece whose ids begin at ``at`` in the row that fills the gaps."""
+    done = 0
+    while done < piece["length"]:
+        start, size, first, offset = gaps[np.searchsorted(gaps[:, 0], at + done, side="right") - 1].tolist()
+        number, used = divmod(at + done - start, size)
+        n = int(min(size - used, piece["length"] - done))
+        raw = piece["ids"][4 * done : 4 * (done + n)]
+        yield piece["doc_id"], piece["start"] + done, n, zlib.crc32(raw), piece["doc_tokens"], raw, int(first + number), int(offset + used)
+        done += n

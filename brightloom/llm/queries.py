@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -51,8 +53,8 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_counts
 
-    rows = token_counts.prefix_counts(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_table=False)
-    return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > token_counts.LIMIT).alias("over_limit"))
+    tables = materialize(token_counts.prefix_counts(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")), "prefix-counts")
+    return token_counts.answers(tables)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +74,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = token_files.token_folder(spark)
     manifest = token_files.write_token_files(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), folder)
-    return token_files.digests(token_files.read_token_files(manifest, folder))
+    return token_files.read_token_files(manifest, folder, with_ids=False)
 
 
 def op9_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,6 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -189,13 +188,31 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def prefix_counts(docs: DataFrame, path: str, with_table: bool = True) -> DataFrame:
-    """``doc_id, n_bytes, n_chars, n_tokens`` of each row of ``docs(doc_id, text)``, and ``prefix``.
+def packed_table(counts: np.ndarray) -> bytes:
+    """A table as stored: the width of a number in bytes, then the differences of neighbours as one zstandard frame."""
+    import zstandard
+
+    steps = np.diff(counts, prepend=0)
+    most = int(np.abs(steps).max(initial=0))
+    width = 1 if most < 1 << 7 else 2 if most < 1 << 15 else 4
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(steps.astype(f"<i{width}").tobytes())
+
+
+def table_of(prefix: bytes) -> np.ndarray:
+    """The counts that a stored table holds."""
+    import zstandard
+
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(prefix[1:]), f"<i{prefix[0]}"), dtype=np.int64)
+
+
+def prefix_counts(docs: DataFrame, path: str) -> DataFrame:
+    """``doc_id, n_bytes, n_chars, prefix`` of each row of ``docs(doc_id, text)``.
 
     ``prefix`` is the table: the count of the first i code points of the
-    normalised text at place i, differences of neighbours in 32 bits, deflated.
-    ``tokens_at`` and ``longest_within`` read it. Null texts count as empty;
-    rows that repeat come out as often; other columns are ignored. n_bytes and
+    normalised text at place i, packed by ``packed_table``.
+    ``answers``, ``tokens_at`` and ``longest_within`` read it. Null texts count as empty;
+    rows that repeat come out as often; rows without an id have a table like others; other columns are ignored; an empty
+    table gives no rows. A text is counted whole, however long. n_bytes and
     n_chars are those of the text as given.
     """
 
@@ -206,20 +223,29 @@ def prefix_counts(docs: DataFrame, path: str, with_table: bool = True) -> DataFr
                 out: list[tuple] = []
                 for text in b.column(1).slice(at, 256):
                     t = text.as_py() or ""
-                    table = own.counts(t)
-                    packed = [zlib.compress(np.diff(table, prepend=0).astype("<i4").tobytes(), 1)] if with_table else []
-                    out.append((len(t.encode("utf-8", "surrogatepass")), len(t), int(table[-1]), *packed))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), *(pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=False))], names)
+                    out.append((len(t.encode("utf-8", "surrogatepass")), len(t), packed_table(own.counts(t))))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), *(pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True))], names)
 
-    kinds = [pa.int64()] * 3 + [pa.binary()]
-    names = ["doc_id", "n_bytes", "n_chars", "n_tokens"] + ["prefix"] * with_table
+    kinds = [pa.int64(), pa.int64(), pa.binary()]
+    names = ["doc_id", "n_bytes", "n_chars", "prefix"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_chars long, n_tokens long" + ", prefix binary" * with_table)
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_chars long, prefix binary")
 
 
-def table_of(prefix: bytes) -> np.ndarray:
-    """The counts that a stored table holds."""
-    return np.cumsum(np.frombuffer(zlib.decompress(prefix), "<i4"))
+def answers(tables: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """``doc_id, n_bytes, n_tokens, over_limit, within_limit`` from stored tables; no text is encoded again.
+
+    ``within_limit`` is where a text is to be cut for a budget of ``limit``
+    tokens: the most code points of the normalised text that cost no more.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(int(t[-1]), int(np.flatnonzero(t <= limit)[-1])) for t in (table_of(x.as_py()) for x in b.column(2))]
+            total, within = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total), pa.array(total > limit), pa.array(within)], ["doc_id", "n_bytes", "n_tokens", "over_limit", "within_limit"])
+
+    return tables.select("doc_id", "n_bytes", "prefix").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, within_limit long")
 
 
 def tokens_at(prefix: bytes, chars: int) -> int:

@@ -1,7 +1,7 @@
 """Token ids in seekable files of independent zstandard frames.
 
 A file holds frames that each decompress on their own, then a skippable frame
-with the document index, then the published seek table of the zstandard
+with the document index (with a mark for rows without an id), then the published seek table of the zstandard
 seekable format: compressed size, decompressed size and XXH64 checksum of each
 frame, the number of frames, and the magic number. A frame's content is the
 ids of whole documents, little-endian, two bytes wide where the vocabulary
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
@@ -40,14 +41,21 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
 
+#: Spark's names of stores and the names that pyarrow has for them.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "gs": "gs", "hdfs": "hdfs", "viewfs": "viewfs", "file": "file"}
+
+
 class Store:
-    """Files under one folder: a path, or a URI of a store that pyarrow reaches."""
+    """Files under one folder: a path, or a URI of a store that pyarrow reaches; others are refused by name."""
 
     def __init__(self, folder: str) -> None:
         from pyarrow import fs
 
         folder = "file://" + folder if folder.startswith("/") else folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
-        self.fs, self.base = fs.FileSystem.from_uri(folder)
+        scheme, _, rest = folder.partition(":")
+        if scheme not in SCHEMES and scheme not in SCHEMES.values():
+            raise ValueError(f"token files can't be written to {scheme}: name a folder in one of {sorted(SCHEMES)}")
+        self.fs, self.base = fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
         self.fs.create_dir(self.base, recursive=True)
 
     def write(self, name: str):
@@ -71,12 +79,12 @@ class Writer:
         self.held: list[bytes] = []
         self.size = 0
         self.frames: list[tuple[int, int, int]] = []
-        self.index: list[tuple[int, int, int, int]] = []
+        self.index: list[tuple[int, int, int, int, int]] = []
 
-    def add(self, doc_id: int, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
         if self.size and self.size + len(ids) > self.limit:
             self._close_frame()
-        self.index.append((doc_id, len(self.frames), self.size, len(ids) // self.width))
+        self.index.append((doc_id or 0, len(self.frames), self.size, len(ids) // self.width, doc_id is None))
         self.held.append(ids)
         self.size += len(ids)
 
@@ -120,7 +128,7 @@ class Reader:
             raise ValueError("no document index")
         raw = file.read(length)
         self.width, count = struct.unpack("<BQ", raw[:9])
-        self.index = np.frombuffer(raw[9:], "<i8").reshape(count, 4)
+        self.index = np.frombuffer(raw[9:], "<i8").reshape(count, 5)
 
     def frame(self, k: int) -> bytes:
         import xxhash
@@ -132,23 +140,24 @@ class Reader:
             raise ValueError(f"frame {k} is damaged")
         return raw
 
-    def documents(self, wanted: frozenset[int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
-        """(doc_id, ids) in file order; all, or those wanted."""
+    def documents(self, wanted: frozenset[int] | None = None) -> Iterator[tuple[int, int | None, np.ndarray]]:
+        """(place in the file, doc_id, ids) in file order; all, or those wanted."""
         held, raw = -1, b""
-        for doc, k, at, n in self.index.tolist():
-            if wanted is None or doc in wanted:
+        for i, (doc, k, at, n, none) in enumerate(self.index.tolist()):
+            if wanted is None or (doc in wanted and not none):
                 if k != held:
                     held, raw = k, self.frame(k)
-                yield doc, np.frombuffer(raw, f"<u{self.width}", n, at)
+                yield i, None if none else doc, np.frombuffer(raw, f"<u{self.width}", n, at)
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Write ``docs(doc_id, text)`` as token files and return the manifest ``shard, file, first_id, n_docs, n_ids``.
 
     Each document's ids are those of its whole text (null: empty) and END_ID.
-    Files hold ascending ranges of doc_id; rows that share an id stand next to
-    each other, each as a document. Rows without an id cannot be found again and
-    are left out. Other columns are ignored; an empty table gives an empty manifest.
+    Files hold ascending ranges of doc_id. Rows that share an id stand next to
+    each other, each as a document, by the hash of their text, and may be dealt to more files
+    than one; so do rows without an id, after all others. Other columns are ignored; an empty
+    table gives an empty manifest.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,30 +169,33 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, frame_bytes:
         out = writer = None
         total = 0
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            docs = b.column(0).to_pylist()
+            for first, ids, starts in enc.documents(b.column(1), END_ID):
                 if writer is None:
                     out = store.write(own)
                     writer = Writer(out, width, frame_bytes)
-                ids = np.append(enc.encode(text.as_py() or ""), enc.width(END_ID))
                 total += len(ids)
-                writer.add(doc, ids.astype(f"<u{width}").tobytes())
+                raw, cuts = ids.astype(f"<u{width}").tobytes(), (starts * width).tolist()
+                for doc, s, e in zip(docs[first:], cuts, cuts[1:], strict=False):
+                    writer.add(doc, raw[s:e])
         if writer is not None:
             writer.close()
             out.close()
             store.rename(own, name)
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [name], "first_id": [writer.index[0][0]], "n_docs": [len(writer.index)], "n_ids": [total]}, schema=manifest)
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [name], "first_id": [None if writer.index[0][4] else writer.index[0][0]], "n_docs": [len(writer.index)], "n_ids": [total]}, schema=manifest)
 
     manifest = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(partitions(rows), "doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    order = (F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    rows = rows.repartitionByRange(partitions(rows), *order).sortWithinPartitions(*order)
     return materialize(rows.mapInArrow(run, "shard int, file string, first_id long, n_docs long, n_ids long"), "manifest")
 
 
-def read_token_files(manifest: DataFrame, folder: str, wanted: list[int] | None = None) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` (32-bit little-endian) of the documents, ``start`` being the ids before it in all files.
+def read_token_files(manifest: DataFrame, folder: str, wanted: list[int] | None = None, with_ids: bool = True) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of the documents, and ``ids``; ``start`` is the number of ids before it in all files.
 
-    ``wanted`` is one request's list of ids; files outside it aren't opened and
-    only its frames are decompressed. None: all documents. The manifest has a
+    ``ids`` and the checksum are over 32-bit little-endian ids. ``wanted`` is one request's list of ids; files outside it aren't opened and
+    only its frames are decompressed. None: all documents, those without an id too. The manifest has a
     row per file, so its running sum is small.
     """
     order = Window.orderBy("shard")
@@ -193,41 +205,32 @@ def read_token_files(manifest: DataFrame, folder: str, wanted: list[int] | None
         ids = F.array(*[F.lit(int(x)) for x in wanted]) if wanted else F.expr("cast(array() as array<long>)")
         files = files.where(F.exists(ids, lambda x: (x >= F.col("first_id")) & (F.col("next_id").isNull() | (x <= F.col("next_id")))))
     asked = None if wanted is None else frozenset(map(int, wanted))
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
+    kinds = [pa.int64()] * 4 + [pa.binary()] * with_ids
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
         store = Store(folder)
         for b in batches:
             for r in b.to_pylist():
                 with store.read(r["file"]) as f:
-                    yield from _batches(Reader(f), r["base"], asked)
+                    reader = Reader(f)
+                    starts = (r["base"] + np.cumsum(reader.index[:, 3]) - reader.index[:, 3]).tolist()
+                    out: list[tuple] = []
+                    for i, doc, ids in reader.documents(asked):
+                        raw = ids.astype("<u4").tobytes()
+                        out.append((doc, starts[i], len(ids), zlib.crc32(raw), *[raw] * with_ids))
+                        if len(out) >= 256:
+                            yield batch(out)
+                            out = []
+                    if out:
+                        yield batch(out)
 
     files = files.select("shard", "file", "base").repartition(partitions(files), "shard")
-    return files.select("file", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
-
-
-def _batches(reader: Reader, base: int, wanted: frozenset[int] | None, size: int = 256) -> Iterator[pa.RecordBatch]:
-    starts = base + np.cumsum(reader.index[:, 3]) - reader.index[:, 3]
-    chosen = [i for i, d in enumerate(reader.index[:, 0].tolist()) if wanted is None or d in wanted]
-    out: list[tuple[int, int, int, bytes]] = []
-    for i, (doc, ids) in zip(chosen, reader.documents(wanted), strict=True):
-        out.append((doc, int(starts[i]), len(ids), ids.astype("<u4").tobytes()))
-        if len(out) >= size:
-            yield _batch(out)
-            out = []
-    if out:
-        yield _batch(out)
-
-
-def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    doc, start, n, ids = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
-
-
-def digests(rows: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of rows read back."""
-    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return files.select("file", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def token_folder(spark: SparkSession) -> str:
     return new_path(spark, "tokens")
-

@@ -5,10 +5,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from brightloom.llm import packing, queries, token_counts, token_files
+from brightloom.llm import encoding, packing, queries, token_counts, token_files
 from brightloom.llm.encoding import Encoder
 
 BYTE, WORD = queries.tokenizer_path("byte_bpe_50k.json"), queries.tokenizer_path("word_bpe_49k.json")
@@ -21,10 +22,20 @@ def texts(n, seed=0):
     return ["".join(rng.choice(SYLLABLES) for _ in range(rng.randint(0, 14))) for _ in range(n)]
 
 
-def test_encoder_equals_library():
+def test_encoder_equals_library(monkeypatch):
     t, e = Tokenizer.from_file(BYTE), Encoder(BYTE)
-    for x in texts(5000):
-        assert t.encode(x, add_special_tokens=False).ids == e.encode(x).tolist(), repr(x)
+    some = texts(5000)
+    want = [t.encode(x, add_special_tokens=False).ids for x in some]
+    for x, ids in zip(some[:1000], want, strict=False):
+        assert ids == e.encode(x).tolist(), repr(x)
+    got = [ids.tolist() for _, all_ids, starts in e.documents(pa.array(some), 0) for ids in np.split(all_ids, starts[1:-1])]
+    assert got == [[*x, 0] for x in want]
+    words = ["".join(random.Random(i).choices("abcdefgh.,é", k=9)) for i in range(3000)]
+    run = [" ".join(random.Random(i).choices(words, k=200)) for i in range(60)] + [None, "", "\0", "a\0 b", "\0a b", "x\n\ny"]
+    monkeypatch.setattr(encoding, "MAX_PIECES", 500)  # most pieces are met again and again
+    monkeypatch.setattr(encoding, "RUN_BYTES", 5000)
+    got = [ids.tolist() for _, all_ids, starts in Encoder(BYTE).documents(pa.array(run), 0) for ids in np.split(all_ids, starts[1:-1])]
+    assert got == [[*t.encode(x or "", add_special_tokens=False).ids, 0] for x in run]
 
 
 def test_counts_equal_library():
@@ -56,11 +67,26 @@ def test_long_runs_without_blanks_equal_library(n, first, many):
 
 def test_prefix_table(spark):
     rows = [(1, "the quick brown fox"), (2, None), (3, ""), (3, ""), (None, "x " * 5000)]
-    got = token_counts.prefix_counts(spark.createDataFrame([(*r, "z", 1) for r in rows], DOC), WORD).collect()
-    assert sorted((r["doc_id"] or -1, r["n_tokens"], r["n_bytes"]) for r in got) == [(-1, 5000, 10000), (1, 4, 19), (2, 0, 0), (3, 0, 0), (3, 0, 0)]
-    prefix = next(r["prefix"] for r in got if r["doc_id"] == 1)
+    tables = token_counts.prefix_counts(spark.createDataFrame([(*r, "z", 1) for r in rows], DOC), WORD)
+    got = token_counts.answers(tables).collect()
+    assert sorted((r["doc_id"] or -1, r["n_tokens"], r["n_bytes"], r["over_limit"], r["within_limit"]) for r in got) == [(-1, 5000, 10000, True, 4096), (1, 4, 19, False, 19), (2, 0, 0, False, 0), (3, 0, 0, False, 0), (3, 0, 0, False, 0)]
+    prefix = tables.where("doc_id = 1").first()["prefix"]
     assert [token_counts.tokens_at(prefix, n) for n in (0, 3, 4, 9, 99)] == [0, 1, 1, 2, 4]
     assert token_counts.longest_within(prefix, 2) == 10 and token_counts.longest_within(prefix, 0) == 0
+    assert token_counts.answers(token_counts.prefix_counts(spark.createDataFrame([], DOC), WORD)).count() == 0
+
+
+@pytest.mark.parametrize("steps", [[0, 1, 1, -1], [0, 300, -2], [0, 70_000, 1], [0]])
+def test_stored_table_round_trip(steps):
+    counts = np.cumsum(steps)
+    assert token_counts.table_of(token_counts.packed_table(counts)).tolist() == counts.tolist()
+
+
+def test_long_rare_text_in_the_query(spark, tmp_path):
+    rows = [(1, "\U00013080" * 30_000), (2, "日本" * 20_000 + " x")]
+    got = dict(queries.op5_token_counts(spark, small(spark, tmp_path, rows)).select("doc_id", "n_tokens").collect())
+    t = Tokenizer.from_file(WORD)
+    assert got == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in rows}
 
 
 def small(spark, tmp_path, rows):
@@ -86,6 +112,22 @@ def test_solver_holds_the_demand(counts):
     assert sum(t for _, t in plan) <= max(best * 1.05 + 2, sum(c for n, c in counts.items() if n > 512) + 2)
 
 
+@pytest.mark.parametrize(("counts", "fewer"), [({600: 1000}, True), ({260: 1000, 390: 1000, 520: 1000}, True), ({513: 600, 258: 600, 257: 600, 254: 1200}, True), ({n: n % 7 + 1 for n in range(1, 1024)}, False)])
+def test_plan_leaves_little_padding(counts, fewer):
+    made = packing.plan(dict(counts), 0)
+    total = sum(n * c for n, c in counts.items())
+    assert 1 - total / 1024 / made.sequences < 0.02
+    if fewer:
+        assert made.sequences < sum(t for _, t in packing.fill(dict(counts), 1024))
+
+
+def test_program_spares_documents_from_the_cut():
+    counts = {513: 600, 258: 600, 257: 600, 254: 1200}
+    assert sum(t for _, t in packing.fill(dict(counts), 1024)) == 1100
+    made = packing.plan(dict(counts), 0)
+    assert made.sequences == 900 and {n: made.kept[n] for n in counts} == counts
+
+
 def test_knapsack_against_enumeration():
     lengths, values = np.array([3, 5, 7]), np.array([0.2, 0.45, 0.6])
     value, pattern = packing.knapsack(values, lengths, 16)
@@ -93,36 +135,56 @@ def test_knapsack_against_enumeration():
     assert abs(value - max(every)) < 1e-9 and sum(lengths[i] * k for i, k in pattern) <= 16
 
 
-def test_packing(spark, tmp_path):
-    rng = random.Random(7)
-    rows = [(i, " ".join(rng.choice(["the", "word", "thing,", "é"]) for _ in range(rng.randint(0, 900)))) for i in range(120)]
-    rows += [(500, None), (501, ""), (502, "w " * 5000), (3, "twice"), (3, "twice"), (None, "no id")]
-    got = queries.op6_packing(spark, small(spark, tmp_path, rows)).toPandas()
-    ids = library_ids(rows)
+def check_packing(got, rows, ids):
+    """Pieces make up all documents, once; their checksums are right; sequences have no overlap and little padding."""
     assert got["length"].sum() == sum(map(len, ids))
-    want = Counter((-1 if d is None else d, s, len(x[s : s + 1024]), zlib.crc32(x[s : s + 1024].tobytes()), len(x)) for (d, _), x in zip(rows, ids, strict=True) for s in range(0, len(x), 1024))
-    assert Counter(zip(got.doc_id.fillna(-1).astype(int), got.start, got.length, got.ids_crc32, got.doc_tokens, strict=True)) == want
+    known = {}
+    for (d, _), x in zip(rows, ids, strict=True):
+        known.setdefault(-1 if d is None else d, []).append(x)
+    starts = Counter()
+    for r in got.itertuples():
+        d = -1 if r.doc_id != r.doc_id else int(r.doc_id)
+        assert any(len(x) == r.doc_tokens and zlib.crc32(x[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for x in known[d])
+        starts[d, r.doc_tokens] += r.length
+    want = Counter()
+    for (d, _), x in zip(rows, ids, strict=True):
+        want[-1 if d is None else d, len(x)] += len(x)
+    assert starts == want
     for _, g in got.groupby("sequence_id"):
         g = g.sort_values("offset")
         assert (g.offset == g.length.cumsum() - g.length).all() and g.length.sum() <= 1024
     assert 1 - got.length.sum() / 1024 / got.sequence_id.nunique() < 0.05
+
+
+def test_packing(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(["the", "word", "thing,", "é"]) for _ in range(rng.randint(0, 900)))) for i in range(120)]
+    rows += [(500, None), (501, ""), (502, "w " * 5000), (3, "twice"), (3, "twice"), (None, "no id")]
+    ids = library_ids(rows)
+    check_packing(queries.op6_packing(spark, small(spark, tmp_path, rows)).toPandas(), rows, ids)
+    same = [(i, "the " * 599) for i in range(300)] + [(None, "the " * 599)] * 20 + [(7, "the " * 599)] * 3
+    check_packing(packing.pack(spark.createDataFrame([(*r, "z", 1) for r in same], DOC), BYTE, with_ids=False).toPandas(), same, library_ids(same))
     full = packing.pack(spark.read.parquet(f"{tmp_path}/documents.parquet"), BYTE).where("doc_id = 502").orderBy("start").collect()
     assert b"".join(bytes(r["ids"]) for r in full) == library_ids([(502, "w " * 5000)])[0].tobytes()
     empty = spark.createDataFrame([], DOC)
     assert packing.pack(empty, BYTE).count() == 0
+    whole = packing.pack(spark.createDataFrame([(*r, "z", 1) for r in rows], DOC), BYTE).toPandas()
+    assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in whole.itertuples())
 
 
 def test_token_files(spark, tmp_path):
-    rows = [(i * 3, x) for i, x in enumerate(texts(200, 3))] + [(1000, None), (1001, "w " * 3000), (6, "again")]
-    got = sorted(tuple(r) for r in queries.op8_token_files(spark, small(spark, tmp_path, rows)).select("doc_id", "start", "n_tokens", "ids_crc32").collect())
-    order = sorted(zip([d for d, _ in rows], library_ids(rows), strict=True), key=lambda x: x[0])
-    twice = [i for i, (d, _) in enumerate(order) if d == 6]
-    start, want = 0, []
-    for d, x in order:
-        want.append((d, start, len(x), zlib.crc32(x.tobytes())))
-        start += len(x)
-    assert [g for i, g in enumerate(got) if i not in twice] == [w for i, w in enumerate(want) if i not in twice]
-    assert {g[3] for i, g in enumerate(got) if i in twice} == {w[3] for i, w in enumerate(want) if i in twice}
+    rows = [(i * 3, x) for i, x in enumerate(texts(200, 3))] + [(1000, None), (1001, "w " * 3000), (6, "again"), (None, "no id"), (None, None), (None, "no id")]
+    got = [tuple(r) for r in queries.op8_token_files(spark, small(spark, tmp_path, rows)).select("doc_id", "start", "n_tokens", "ids_crc32").collect()]
+    got.sort(key=lambda r: r[1])
+    ids = library_ids(rows)
+    assert [r[0] for r in got] == sorted((d for d, _ in rows if d is not None)) + [None] * 3
+    assert [r[1] for r in got] == np.cumsum([0, *(r[2] for r in got)])[:-1].tolist()
+    assert Counter((r[0], r[2], r[3]) for r in got) == Counter((d, len(x), zlib.crc32(x.tobytes())) for (d, _), x in zip(rows, ids, strict=True))
+
+
+def test_store_names():
+    with pytest.raises(ValueError, match="dbfs"):
+        token_files.Store("dbfs:/tokens")
 
 
 def test_reader_takes_only_wanted_frames(spark, tmp_path, monkeypatch):
@@ -143,7 +205,7 @@ def test_reader_takes_only_wanted_frames(spark, tmp_path, monkeypatch):
         frame = reader.frame
         monkeypatch.setattr(reader, "frame", lambda k: seen.append(k) or frame(k))
         first = int(reader.index[0, 0])
-        assert [d for d, _ in reader.documents(frozenset([first]))] == [first] and seen == [0]
+        assert [d for _, d, _ in reader.documents(frozenset([first]))] == [first] and seen == [0]
     path = tmp_path / "t" / name
     raw = bytearray(path.read_bytes())
     raw[12] ^= 0xFF
