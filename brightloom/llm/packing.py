@@ -302,7 +302,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool =
     inside = Window.partitionBy("length", "run").orderBy(*order)
     ranked = keyed.join(starts, ["length", "run"])
     if not with_ids:
-        ranked = ranked.withColumn("ids", F.when("cuts", F.col("ids")))
+        ranked = ranked.withColumn("ids", F.when(F.col("cuts"), F.col("ids")))
     ranked = ranked.withColumn("rank", F.col("run_start") + F.row_number().over(inside) - 1)
     cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     names = [*cols, *["ids"] * with_ids, "sequence_id", "offset"]
