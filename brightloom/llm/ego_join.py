@@ -5,8 +5,9 @@ each other. Turned to their principal directions, they are sorted by the cells
 of a grid of side eps on the leading ones; the sequence of each label is cut
 into blocks, and a tree over the sequence holds each interval's bounding box.
 Pairs of intervals are split level by level, and a pair whose boxes are more than
-eps apart is skipped with all below it. Pairs of blocks that are left are compared
-in double precision.
+eps apart is skipped with all below it. In the pairs of blocks that are left, each
+pair of vectors is first held apart by more of the leading directions; the few that are
+not eps apart there are compared whole, in double precision.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, partitions
-from .vectors import by_length, forest, is_valid
+from .vectors import by_length, forest, is_valid, matrix
 
 MIN_COSINE = 0.98
 LEADING = 6
-BLOCK = 512
+#: Directions that hold vectors apart inside a pair of blocks.
+FINE = 16
+BLOCK = 1024
 FAN = 4
 #: Vectors that the principal directions are taken from, the first by hash; they bear on pruning only.
 SAMPLE = 4000
@@ -39,31 +42,31 @@ def principal_directions(vectors: DataFrame, sample: int = SAMPLE) -> dict[int,
     for n, found in by.items():
         x = np.array(found, float)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        out[n] = np.linalg.eigh(np.cov(x.T).reshape(n, n) if len(x) > 1 else np.eye(n))[1][:, ::-1][:, :LEADING].copy()
+        out[n] = np.linalg.eigh(np.cov(x.T).reshape(n, n) if len(x) > 1 else np.eye(n))[1][:, ::-1][:, :FINE].copy()
     return out
 
 
-def sequence_blocks(vectors: DataFrame, eps: float, block: int = BLOCK) -> DataFrame:
+def sequence_blocks(vectors: DataFrame, turned: dict[int, np.ndarray], eps: float, block: int = BLOCK) -> DataFrame:
     """Blocks of the grid order: ``label, dim, block, lo, hi, ids, weights, data``.
 
     ``vectors`` has ``label, vec_id, weight, vec``. ``block`` numbers a label's
     blocks in sequence, ``lo`` and ``hi`` bound the leading coordinates.
     """
-    turned = principal_directions(vectors)
+    kind = vectors.schema["vec"].dataType.simpleString()
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             y = np.zeros((b.num_rows, LEADING))
             for rows, x in by_length(b, "vec"):
                 u = x / np.linalg.norm(x, axis=1, keepdims=True)
-                d = turned.get(x.shape[1], np.eye(x.shape[1], LEADING))
+                d = turned.get(x.shape[1], np.eye(x.shape[1], LEADING))[:, :LEADING]
                 y[rows, : d.shape[1]] = u @ d
             cells = pa.FixedSizeListArray.from_arrays(np.floor(y / eps).astype(np.int32).ravel(), LEADING).cast(pa.list_(pa.int32()))
             leads = pa.FixedSizeListArray.from_arrays(y.ravel(), LEADING).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns, cells, leads], [*b.schema.names, "cells", "leads"])
 
     rows = vectors.select("label", F.size("vec").alias("dim"), "vec_id", "weight", "vec")
-    rows = rows.mapInArrow(project, "label long, dim int, vec_id long, weight long, vec array<double>, cells array<int>, leads array<double>")
+    rows = rows.mapInArrow(project, f"label long, dim int, vec_id long, weight long, vec {kind}, cells array<int>, leads array<double>")
     cells = [F.col("cells")[i].alias(f"c{i}") for i in range(LEADING)]
     order = ["label", "dim", *[f"c{i}" for i in range(LEADING)], "vec_id"]
     rows = materialize(rows.select("label", "dim", "vec_id", "weight", "vec", "leads", *cells), "grid")
@@ -79,8 +82,7 @@ def sequence_blocks(vectors: DataFrame, eps: float, block: int = BLOCK) -> DataF
             for s, e in zip(cuts, cuts[1:], strict=False):
                 for at in range(s, e, block):
                     c = b.slice(at, min(block, e - at))
-                    y = np.array(c.column("leads").to_pylist(), float)
-                    x = np.array(c.column("vec").to_pylist(), float)
+                    y, x = matrix(c.column("leads")), c.column("vec").flatten().to_numpy(zero_copy_only=False)
                     yield pa.RecordBatch.from_pylist(
                         [{"label": keys[at, 0], "dim": keys[at, 1], "seq": part << 32 | number, "lo": y.min(0).tolist(), "hi": y.max(0).tolist(),
                           "ids": c.column("vec_id").to_pylist(), "weights": c.column("weight").to_pylist(), "data": x.tobytes()}],
@@ -127,11 +129,13 @@ def block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
 def links(vectors: DataFrame, min_cosine: float = MIN_COSINE, block: int = BLOCK) -> DataFrame:
     """``a, b, n``: rows with b null say that vector a has n links (weights counted) in one pair of blocks; others are edges.
 
-    The edges span what the links join. ``vectors`` has ``label, vec_id, weight,
-    vec``, each vector once per label.
+    The edges span what the links join. A row with a null has the number of vector pairs of a pair of blocks that
+    were compared whole. ``vectors`` has ``label, vec_id, weight, vec``, each vector once per label.
     """
     eps = float(np.sqrt(max(0.0, 2 - 2 * min_cosine))) * (1 + 1e-7) + 1e-9
-    blocks = materialize(sequence_blocks(vectors, eps, block), "numbered")
+    turned = principal_directions(vectors)
+    width = np.float32 if vectors.schema["vec"].dataType.simpleString() == "array<float>" else np.float64
+    blocks = materialize(sequence_blocks(vectors, turned, eps, block), "numbered")
     pairs = block_pairs(blocks, eps)
     side = lambda s: blocks.select("label", "dim", F.col("block").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("ids", "weights", "data")])
     rows = pairs.repartition(partitions(pairs), "label", "dim", "a", "b").join(side("a"), ["label", "dim", "a"]).join(side("b"), ["label", "dim", "b"])
@@ -139,30 +143,38 @@ def links(vectors: DataFrame, min_cosine: float = MIN_COSINE, block: int = BLOCK
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                v = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
-                ids, same = np.array(v["a_ids"] + (v["b_ids"] if v["a"] != v["b"] else []), np.int64), v["a"] == v["b"]
-                sides = []
+                v = {c: batch.column(c)[r] for c in batch.schema.names}
+                same = v["a"].as_py() == v["b"].as_py()
+                ids, sides = [], []
                 for s in "ab":
-                    x = np.frombuffer(v[f"{s}_data"]).reshape(len(v[f"{s}_ids"]), -1)
-                    sides.append((x / np.linalg.norm(x, axis=1, keepdims=True), np.array(v[f"{s}_weights"], np.int64)))
+                    own = v[f"{s}_ids"].values.to_numpy()
+                    x = np.frombuffer(v[f"{s}_data"].as_py(), width).reshape(len(own), -1).astype(float)
+                    ids.append(own)
+                    sides.append((x / np.linalg.norm(x, axis=1, keepdims=True), v[f"{s}_weights"].values.to_numpy()))
                 (x, wx), (y, wy) = sides
-                near = x @ y.T >= min_cosine
+                ids = ids[0] if same else np.concatenate(ids)
+                d = turned.get(x.shape[1], np.eye(x.shape[1], FINE))
+                p, q = x @ d, y @ d
+                apart = (p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * p @ q.T
+                close = apart <= eps * eps + 1e-12
+                if same:
+                    close = np.triu(close, 1)
+                i, j = np.nonzero(close)
+                near = np.zeros(close.shape, bool)
+                for at in range(0, len(i), 65536):
+                    c = slice(at, at + 65536)
+                    near[i[c], j[c]] = (x[i[c]] * y[j[c]]).sum(1) >= min_cosine
                 if same:
-                    np.fill_diagonal(near, False)
-                if not near.any():
-                    continue
-                na, n = len(x), len(ids)
+                    near |= near.T
                 counts = near @ wy
                 if not same:
                     counts = np.concatenate([counts, near.T @ wx])
-                edges = np.array(forest(near, np.arange(na), np.arange(n)[-len(y) :], np.arange(n)), np.int64).reshape(-1, 2)
+                n = len(ids)
+                edges = np.array(forest(near, np.arange(len(x)), np.arange(n)[-len(y) :], np.arange(n)), np.int64).reshape(-1, 2)
                 own = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([ids[own], ids[edges[:, 0]]])),
-                     pa.array(np.concatenate([np.zeros(len(own), np.int64), ids[edges[:, 1]]]), mask=np.arange(len(own) + len(edges)) < len(own)),
-                     pa.array(np.concatenate([counts[own], np.zeros(len(edges), np.int64)]))],
-                    ["a", "b", "n"],
-                )
+                a, b, k = np.concatenate([[-1], ids[own], ids[edges[:, 0]]]), np.concatenate([np.zeros(len(own) + 1, np.int64), ids[edges[:, 1]]]), np.concatenate([[len(i)], counts[own], np.zeros(len(edges), np.int64)])
+                at = np.arange(len(a))
+                yield pa.RecordBatch.from_arrays([pa.array(a, mask=at == 0), pa.array(b, mask=at <= len(own)), pa.array(k)], ["a", "b", "n"])
 
     return rows.select("a", "b", *[f"{s}_{c}" for s in "ab" for c in ("ids", "weights", "data")]).mapInArrow(compare, "a long, b long, n long")
 
@@ -173,19 +185,25 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE, block: i
     Vectors that are null, empty, zero or hold null or non-finite components link
     with nothing, nor do rows with a null label or a null vec_id; lengths link
     among themselves. Equal vectors of a label count as links of each other and are compared
-    once, with their number as weight, so a hot vector costs no more than another. Other
+    once, with their number as weight, so a hot vector costs no more than another. Rows that share
+    a vec_id are linked each by its own vector. Other
     columns are ignored; an empty table gives no rows.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("vec"))
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(kind).alias("vec"))
     able = is_valid(F.col("vec")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     rows = materialize(rows.withColumn("vec", F.when(able, F.col("vec"))), "vectors")
     once = rows.where("vec is not null").groupBy("label", "vec").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"))
-    once = materialize(once, "distinct-vectors")
-    found = materialize(links(once.select("label", F.col("first").alias("vec_id"), "weight", "vec"), min_cosine, block), "vector-links")
-    counts = found.where("b is null").groupBy(F.col("a").alias("first")).agg(F.sum("n").alias("n"))
-    roots = connected_components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("first"), "root")
-    names = once.join(counts, "first", "left").join(roots, "first", "left")
-    names = names.select("label", "vec", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "first").alias("root"))
+    # A class is a vector of a label; its number is fixed once it is written.
+    once = materialize(once.withColumn("class", F.monotonically_increasing_id()), "distinct-vectors")
+    found = materialize(links(once.select("label", F.col("class").alias("vec_id"), "weight", "vec"), min_cosine, block), "vector-links")
+    counts = found.where("a is not null and b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
+    roots = connected_components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("class"), "root")
+    names = once.join(counts, "class", "left").join(roots, "class", "left")
+    names = names.select("label", "vec", "first", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "class").alias("root"))
+    names = materialize(names, "vector-classes")
+    least = names.groupBy("root").agg(F.min("first").alias("component"))
+    names = names.join(least, "root").select("label", "vec", "n_links", "component")
     out = rows.join(names, ["label", "vec"], "left")
-    component = F.coalesce("root", "vec_id")
+    component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

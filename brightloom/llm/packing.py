@@ -296,13 +296,14 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool =
     places = plan(counts, full, capacity)
     before = Window.partitionBy("length").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     starts = per.withColumn("run_start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    bounds = pieces.sparkSession.createDataFrame([(n, k) for n, k in places.kept.items()], "length long, kept long")
-    starts = starts.join(F.broadcast(bounds), "length")  # at most ``capacity`` rows
-    starts = starts.select("length", "run", "run_start", (F.col("run_start") + F.col("n") > F.col("kept")).alias("cuts"))
     inside = Window.partitionBy("length", "run").orderBy(*order)
-    ranked = keyed.join(starts, ["length", "run"])
     if not with_ids:
-        ranked = ranked.withColumn("ids", F.when(F.col("cuts"), F.col("ids")))
+        bounds = pieces.sparkSession.createDataFrame([(n, k) for n, k in places.kept.items()], "length long, kept long")
+        first = starts.join(F.broadcast(bounds), "length").where(F.col("run_start") + F.col("n") > F.col("kept"))  # at most ``capacity`` rows
+        first = materialize(first.groupBy("length").agg(F.min("run").alias("from_run")), "first-cuts")
+        keyed = keyed.join(F.broadcast(first), "length", "left")  # at most ``capacity`` rows
+        keyed = keyed.withColumn("ids", F.when(F.col("run") >= F.col("from_run"), F.col("ids"))).drop("from_run")
+    ranked = keyed.join(starts.select("length", "run", "run_start"), ["length", "run"])
     ranked = ranked.withColumn("rank", F.col("run_start") + F.row_number().over(inside) - 1)
     cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     names = [*cols, *["ids"] * with_ids, "sequence_id", "offset"]

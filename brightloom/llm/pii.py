@@ -14,6 +14,7 @@ kinds of their own.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -43,10 +44,45 @@ CANDIDATE = (
 WORDS = "password|passwd|pwd|passphrase|token|secret|api_?key|access_?key|private_?key|ssn|iban|passport|login|username|account|tel|phone|mobile|fax"
 COUNTRIES = "AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IT|LT|LU|LV|MT|NL|NO|PL|PT|RO|SE|SI|SK"
 CONTEXT = WORDS + "|call|contact|kontakt|konto|telefon|handy|appel|compte|mot de passe|contrase|cuenta|llam|reach"
+#: A span that is not yet checked.
+SPAN = "struct<start: int, end: int, hit: string>"
+#: Code points in front of a candidate that tell its context.
+BEFORE = 24
+#: Spans of a text that are dealt with as one block.
+BLOCK = 64
 LABELERS = 5
 FEATURES = 3
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array's integers ``op`` over all before it, from 0.
+
+    Blocks are summed first, then the blocks before each, then inside each, so that an
+    item costs a block at most. A growing array as the state of an aggregate would be copied at each step.
+    """
+    over = lambda part: F.aggregate(part, F.lit(0), op)
+
+    def placed(blocks: Column, sums: Column) -> Column:
+        inside = lambda block, base: F.transform(block, lambda _, j: op(base, over(F.slice(block, F.lit(1), j))))
+        return F.flatten(F.transform(blocks, lambda block, i: _once(over(F.slice(sums, F.lit(1), i)), lambda base: inside(block, base))))
+
+    numbers = lambda v: F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))
+    blocks = lambda v: F.transform(numbers(v), lambda i: F.slice(v, i * BLOCK + 1, F.lit(BLOCK)))
+    none = F.expr("cast(array() as array<int>)")
+    return _once(values, lambda v: F.when(F.size(v) > 0, _once(blocks(v), lambda b: _once(F.transform(b, over), lambda sums: placed(b, sums)))).otherwise(none))
+
+
+def _in_blocks(items: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of each BLOCK items in turn; its arrays are joined."""
+    numbers = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
+    return F.when(F.size(items) > 0, F.flatten(F.transform(numbers, lambda i: _once(F.slice(items, i * BLOCK + 1, F.lit(BLOCK)), use))))
+
+
 def spans_of(text: Column, pattern: str, needs: str = "") -> Column:
     """Array of (start, end, hit) of the leftmost non-overlapping matches, in code points, end exclusive.
 
@@ -54,20 +90,17 @@ def spans_of(text: Column, pattern: str, needs: str = "") -> Column:
     they leave when it is split at them.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.expr("cast(array() as array<struct<start: int, end: int, hit: string>>)")
-
-    def step(done: Column, part: Column) -> Column:
-        start = done["next"] + F.length(part["gap"])
-        end = start + F.length(part["hit"])
-        span = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), part["hit"].alias("hit"))
-        return F.struct(end.cast("int").alias("next"), F.array_append(done["found"], span).alias("found"))
-
     # The text after the last match has no match beside it.
-    parts = F.zip_with(found, F.split(text, pattern, -1), lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap")))
+    parts = F.zip_with(found, F.split(text, pattern, -1), lambda hit, gap: F.struct(hit.alias("hit"), F.length(gap).alias("gap")))
     parts = F.filter(parts, lambda part: part["hit"].isNotNull())
-    spans = F.aggregate(parts, F.struct(F.lit(0).alias("next"), none.alias("found")), step, lambda done: done["found"])
+
+    def placed(own: Column) -> Column:
+        before = _running(F.transform(own, lambda p: p["gap"] + F.length(p["hit"])), lambda a, x: a + x)
+        start = lambda p, at: (at + p["gap"]).cast("int")
+        return F.zip_with(own, before, lambda p, at: F.struct(start(p, at).alias("start"), (start(p, at) + F.length(p["hit"])).cast("int").alias("end"), p["hit"].alias("hit")))
+
     holds = F.rlike(text, F.lit(pattern))
-    return F.when(F.contains(text, F.lit(needs)) & holds if needs else holds, spans).otherwise(none)
+    return F.when(F.contains(text, F.lit(needs)) & holds if needs else holds, _once(parts, placed)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
 
 
 def _holds(kind: str, hit: Column) -> Column:
@@ -97,12 +130,11 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*each))
 
 
-def _votes(text: Column, s: Column) -> list[Column]:
+def _votes(s: Column, before: Column) -> list[Column]:
     """1 for, 0 against, 2 absent, of each labeler on a candidate."""
     hit = s["hit"]
     value = F.regexp_replace(hit, "^" + KEY, "")
     value = F.regexp_replace(value, '"', "")
-    before = F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))
     pick = lambda yes, no: F.when(yes, 1).when(no, 0).otherwise(2)
     return [
         pick(F.rlike(value, F.lit(r"^(?:(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{12,}|[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4})$")), F.rlike(value, F.lit("^[A-Za-z_-]+$"))),
@@ -116,7 +148,7 @@ def _votes(text: Column, s: Column) -> list[Column]:
 def candidates(text: Column, base: Column) -> Column:
     """Array of (start, end, votes, bits, kind) of the candidates that meet no base span, or of whose value one is only a part."""
     near = F.rlike(text, F.lit("[0-9:=]"))
-    found = F.when(near, spans_of(text, CANDIDATE)).otherwise(F.expr("cast(array() as array<struct<start: int, end: int, hit: string>>)"))
+    found = F.when(near, spans_of(text, CANDIDATE)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
 
     def settled(s: Column, b: Column) -> Column:
         """Whether a base span meets a candidate and either goes beyond it or covers its value."""
@@ -125,16 +157,29 @@ def candidates(text: Column, base: Column) -> Column:
         inside = (s["start"] < b["start"]) & inner & (b["end"] <= end) | (s["start"] <= b["start"]) & (b["end"] < end)
         return (b["start"] < s["end"]) & (s["start"] < b["end"]) & ~inside
 
-    found = F.filter(found, lambda s: ~F.exists(base, lambda b: settled(s, b)))
+    def unsettled(own: Column) -> Column:
+        """Of a block of candidates those that no base span settles; only base spans that meet the block are tried."""
+        first, last = F.get(own, F.lit(0))["start"], F.element_at(own, -1)["end"]
+        near = F.filter(base, lambda b: (b["start"] < last) & (first < b["end"]))
+        return _once(near, lambda n: F.filter(own, lambda s: ~F.exists(n, lambda b: settled(s, b))))
 
-    def mark(s: Column) -> Column:
-        votes = F.concat(*[v.cast("string") for v in _votes(text, s)])
+    def mark(s: Column, before: Column) -> Column:
+        votes = F.concat(*[v.cast("string") for v in _votes(s, before)])
         bits = F.concat(*[F.when(x, "1").otherwise("0") for x in (F.rlike(s["hit"], F.lit("[0-9]")), F.contains(s["hit"], F.lit('"')), s["end"] - s["start"] >= 18)])
         kind = F.when(F.rlike(s["hit"], F.lit("[:=]")), "secret").when(F.rlike(s["hit"], F.lit(r"^[0-9]{3}-[0-9]{2}-")), "identity").when(F.rlike(s["hit"], F.lit("^[A-Z]{2}[0-9]{2}")), "account")
         kind = kind.when(F.rlike(s["hit"], F.lit("^[(0-9]")) & ~F.rlike(s["hit"], F.lit("[a-z]")), "local_phone").otherwise("secret")
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), votes.alias("votes"), bits.alias("bits"), kind.alias("kind"))
 
-    return F.transform(found, mark)
+    def marked(own: Column) -> Column:
+        """A block of candidates with votes; the text around the block is cut out once."""
+        first = F.greatest(F.get(own, F.lit(0))["start"] - BEFORE, F.lit(0))
+        stretch = F.substring(text, first + 1, F.element_at(own, -1)["start"] - first)
+        context = lambda t, s: F.substring(t, F.greatest(s["start"] - BEFORE - first, F.lit(0)) + 1, F.least(s["start"] - first, F.lit(BEFORE)))
+        return _once(stretch, lambda t: F.transform(own, lambda s: _once(context(t, s), lambda before: mark(s, before))))
+
+    found = _once(found, lambda all_: F.when((F.size(base) == 0) | (F.size(all_) == 0), all_).otherwise(_in_blocks(all_, unsettled)))
+    none = F.expr("cast(array() as array<struct<start: int, end: int, votes: string, bits: string, kind: string>>)")
+    return _once(found, lambda all_: F.coalesce(_in_blocks(all_, marked), none))
 
 
 @dataclass(frozen=True)
@@ -213,28 +258,47 @@ def find(docs: DataFrame) -> DataFrame:
 
     Null texts count as empty and have no span. A repeated row comes out as often
     as it stands in ``docs``; other columns are ignored; an empty table gives no
-    rows.
+    rows. Time grows with a text's length and its number of hits, so long texts are taken whole.
     """
     rows = materialize(_annotated(docs, "doc_id").drop("text_"), "pii")
     return rows.select("doc_id", F.col("base_").alias("base"), _all_spans(F.col("base_"), F.col("cand_"), _model(rows)).alias("spans"))
 
 
-def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with each span replaced by its kind in brackets; of spans that overlap, the first to start names all."""
-    model = _model(_annotated(docs, "doc_id"))
-    own = [F.col(f"row_.`{c}`").alias(c) for c in docs.columns]
-    rows = docs.select(F.col("text"), F.struct(*docs.columns).alias("row_"))
-    rows = _annotated(rows, "row_").withColumn("spans_", _all_spans(F.col("base_"), F.col("cand_"), model))
+def _replaced(text: Column, spans: Column) -> Column:
+    """``text`` with each span replaced by its kind in brackets; of spans that overlap, the first to start names all.
+
+    Spans go in blocks. A block's stretch of text is cut out once, and its pieces
+    are cut from that, so places near the end of a long text cost no more than others.
+    """
+
+    def block(own: Column) -> Column:
+        first, last = F.get(own, F.lit(0))["from"], F.element_at(own, -1)["to"]
+        stretch = F.substring(text, first + 1, last - first)
+        piece = lambda t: lambda p: F.concat(F.substring(t, p["from"] - first + 1, p["to"] - p["from"]), F.lit("["), F.upper(p["kind"]), F.lit("]"))
+        return _once(stretch, lambda t: F.transform(own, piece(t)))
 
-    def step(done: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text_"), done["at"] + 1, s["start"] - done["at"])
-        out = F.when(s["start"] >= done["at"], F.concat(done["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(done["out"])
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), out.alias("out"))
+    def cut(own: Column) -> Column:
+        ends = F.transform(own, lambda s: s["end"])
+        pieces = F.zip_with(own, _running(ends, lambda a, x: F.greatest(a, x)), lambda s, at: F.struct(at.alias("from"), s["start"].alias("to"), s["kind"].alias("kind")))
+        kept = F.filter(pieces, lambda p: p["to"] >= p["from"])
+        parts = _once(kept, lambda k: F.array_join(_in_blocks(k, block), ""))
+        return F.concat(parts, F.substring(text, F.array_max(ends) + 1, F.length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("spans_", start, step, lambda d: F.concat(d["out"], F.substring(F.col("text_"), d["at"] + 1, F.length("text_"))))
-    text = F.when(F.size("spans_") > 0, clean).otherwise(F.col("row_.text"))
-    return rows.select(*[text.alias("text") if n == "text" else c for n, c in zip(docs.columns, own, strict=True)])
+    return F.when(F.size(spans) > 0, _once(spans, cut)).otherwise(text)
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """``docs(text, ...)`` with each span replaced by its kind in brackets; of spans that overlap, the first to start names all.
+
+    All columns stay, whatever their names. Null and empty texts stay as they are; so do rows that
+    repeat; an empty table gives no rows. Time grows with a text's length and number of spans.
+    """
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    model = _model(_annotated(docs))
+    rows = docs.select(F.col("text"), F.struct(*[c.alias(f"c{i}") for i, c in enumerate(own)]).alias("row_"))
+    rows = _annotated(rows, "row_").withColumn("spans_", _all_spans(F.col("base_"), F.col("cand_"), model))
+    text = F.when(F.size("spans_") > 0, _replaced(F.col("text_"), F.col("spans_")))
+    return rows.select(*[(F.coalesce(text, F.col(f"row_.c{i}")) if n == "text" else F.col(f"row_.c{i}")).alias(n) for i, n in enumerate(docs.columns)])
 
 
 def count_of(spans: Column, kind: str) -> Column:

@@ -12,12 +12,14 @@ call it home are held against all others, by their whole 64 bits.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import connected_components, materialize, partitions
 
@@ -187,6 +189,13 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, part: int = PART) -> DataFra
     return rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
+def classes(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``fp, root``: each distinct fingerprint of ``fps(fp)`` and the smallest of its component."""
+    reps = fps.select("fp").distinct()
+    found = connected_components(links(reps, max_bits))
+    return materialize(reps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-classes")
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of each row of ``docs(doc_id, text)``.
 
@@ -197,18 +206,36 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     table gives no rows.
     """
     own = materialize(fingerprints(docs), "simhash")
-    reps = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = connected_components(links(reps.select("fp"), max_bits))
-    reps = reps.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    reps = materialize(reps, "simhash-classes")
-    names = reps.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = reps.join(names, "root").select("fp", "component_id")
+    first = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    named = first.join(classes(own, max_bits), "fp")
+    names = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    names = named.select("fp", "root").join(names, "root").select("fp", "component_id")
     out = own.join(names, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` without near-duplicates: the row of the smallest id of each group, once, and rows without an id."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+def deduplicated(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, all its columns.
+
+    That is the row of the smallest id (rows without an id come after all others), then of
+    the smallest fingerprint and hash of the text. So of rows that share an id each group that
+    they name keeps its own, and a group without any id keeps one row. An empty table gives no rows.
+    """
+    fp = f"fp_{uuid.uuid4().hex}"  # no column of the caller's has this name
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(x.as_py()) for x in b.column("text").cast(pa.string())], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], [*b.schema.names, fp])
+
+    rows = materialize(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(fp, LongType())])), "fingerprinted")
+    own = rows.select(F.col("doc_id").alias("id"), F.col(fp).alias("fp"))
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "fp")
+    first = own.groupBy("fp").agg(F.min(key).alias("key"))
+    keep = first.join(classes(own, max_bits), "fp").groupBy("root").agg(F.min("key").alias("key"))
+    keep = keep.select(F.col("key.fp").alias("kept_fp"), F.col("key.none").alias("none"), F.coalesce("key.id", F.lit(0)).alias("kept_id"))
+    id_ = F.coalesce(rows["doc_id"], F.lit(0))
+    found = rows.join(keep, (rows[fp] == keep["kept_fp"]) & (id_ == keep["kept_id"]) & (rows["doc_id"].isNull() == keep["none"]), "left_semi")
+    turn = Window.partitionBy(fp, "doc_id").orderBy(F.xxhash64("text"))
+    place = f"place_{fp}"
+    return found.withColumn(place, F.row_number().over(turn)).where(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

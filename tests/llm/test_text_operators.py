@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -89,6 +91,62 @@ def test_pii_long_runs_take_linear_time(spark):
     assert got == {1: 0, 2: 0, 3: 1, 4: 0}
 
 
+def test_pii_many_hits_take_linear_time(spark):
+    many = "12, " * 250_000
+    mixed = "tel=1234567, a@b.co é " * 2000
+    start = time.time()
+    got = {r["doc_id"]: r for r in pii.find(docs(spark, [(1, many, "s"), (2, mixed, "s")])).collect()}
+    assert time.time() - start < 60
+    assert not got[1]["spans"]
+    emails = [(s["start"], s["end"]) for s in got[2]["base"]]
+    assert emails == [(m.start(), m.end()) for m in re.finditer(r"a@b\.co", mixed)]
+
+
+def test_pii_redacts_many_spans(spark):
+    clean = [(i, f"clean words only {i}", "s") for i in range(5)]
+    unit = "é mail a@b.co, password=ab12cd34ef56ab7 ok. "
+    out = {r["doc_id"]: r["text"] for r in pii.redacted(docs(spark, [*clean, (9, unit * 300, "s")])).collect()}
+    assert out[9] == "é mail [EMAIL], [SECRET] ok. " * 300
+
+
+def test_pii_odd_columns(spark):
+    df = docs(spark, [(1, "a@b.co", "s"), (None, None, None), (2, "", "s"), (1, "a@b.co", "s")]).withColumn("a.b", F.lit(1)).withColumn("row_", F.lit("z"))
+    out = pii.redacted(df)
+    assert out.columns == df.columns
+    assert sorted(str(r["text"]) for r in out.collect()) == ["", "None", "[EMAIL]", "[EMAIL]"]
+    assert pii.redacted(df.limit(0)).count() == 0
+
+
+def test_expectation_maximisation_against_plain_rows():
+    """The histogram's EM and classifier, against the same rules over one row for each candidate."""
+    rng = random.Random(4)
+    rows = []
+    for _ in range(400):
+        true = rng.random() < 0.4
+        rows.append((tuple((1 if rng.random() < 0.85 else 0) if true and rng.random() < 0.7 else (0 if rng.random() < 0.5 else 2) for _ in range(pii.LABELERS)), (int(true or rng.random() < 0.2), 0, int(rng.random() < 0.5))))
+    q = np.array([1 / (1 + np.exp(-(1.5 * sum((x == 1) - (x == 0) for x in v) - 0.5))) for v, _ in rows])
+    for _ in range(60):
+        pi = np.clip(q.mean(), 0.02, 0.98)
+        tables = []
+        for j in range(pii.LABELERS):
+            t = np.array([[0.5, 0.2, 1.0], [0.2, 0.5, 1.0]])
+            for p, (v, _) in zip(q, rows, strict=True):
+                t[1, v[j]] += p
+                t[0, v[j]] += 1 - p
+            tables.append(t / t.sum(1, keepdims=True))
+        z = np.array([np.log(pi / (1 - pi)) + sum(np.log(tables[j][1, x] / tables[j][0, x]) for j, x in enumerate(v) if x < 2) for v, _ in rows])
+        q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    model = pii.fit_model([("".join(map(str, v)), "".join(map(str, b)), n) for (v, b), n in Counter(rows).items()])
+    assert np.allclose(model.reliability, [t[1, 1] / (t[1, 1] + t[0, 1]) for t in tables], atol=1e-3)
+    x = np.array([[float(c == v[j]) for j in range(pii.LABELERS) for c in (0, 1, 2)] + [*map(float, b), 1.0] for v, b in rows])
+    w = np.zeros(x.shape[1])
+    for step in range(400):
+        w -= 3.0 / (1 + step / 100) * (0.02 * w + x.T @ (1 / (1 + np.exp(-x @ w)) - q) / len(rows))
+    assert np.allclose(model.weights, w, atol=1e-3)
+    agreed = np.mean((x @ w > 0) == (q > 0.5))
+    assert agreed > 0.9
+
+
 def test_pii_takes_long_secrets_whole(spark):
     def digits(n, seed, letters="0123456789abcdef"):
         return "".join(random.Random(seed).choices(letters, k=n))
