@@ -12,7 +12,6 @@ call it home are held against all others, by their whole 64 bits.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -221,21 +220,22 @@ def deduplicated(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     the smallest fingerprint and hash of the text. So of rows that share an id each group that
     they name keeps its own, and a group without any id keeps one row. An empty table gives no rows.
     """
-    fp = f"fp_{uuid.uuid4().hex}"  # no column of the caller's has this name
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns' own names are
+    id_, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(x.as_py()) for x in b.column("text").cast(pa.string())], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], [*b.schema.names, fp])
+            fps = np.array([fingerprint(x.as_py()) for x in b.column(place).cast(pa.string())], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], [*names, "fp"])
 
-    rows = materialize(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(fp, LongType())])), "fingerprinted")
-    own = rows.select(F.col("doc_id").alias("id"), F.col(fp).alias("fp"))
+    plain = docs.toDF(*names)
+    rows = materialize(plain.mapInArrow(run, StructType([*plain.schema.fields, StructField("fp", LongType())])), "fingerprinted")
+    own = rows.select(id_.alias("id"), "fp")
     key = F.struct(F.col("id").isNull().alias("none"), "id", "fp")
     first = own.groupBy("fp").agg(F.min(key).alias("key"))
     keep = first.join(classes(own, max_bits), "fp").groupBy("root").agg(F.min("key").alias("key"))
     keep = keep.select(F.col("key.fp").alias("kept_fp"), F.col("key.none").alias("none"), F.coalesce("key.id", F.lit(0)).alias("kept_id"))
-    id_ = F.coalesce(rows["doc_id"], F.lit(0))
-    found = rows.join(keep, (rows[fp] == keep["kept_fp"]) & (id_ == keep["kept_id"]) & (rows["doc_id"].isNull() == keep["none"]), "left_semi")
-    turn = Window.partitionBy(fp, "doc_id").orderBy(F.xxhash64("text"))
-    place = f"place_{fp}"
-    return found.withColumn(place, F.row_number().over(turn)).where(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = rows.join(keep, (F.col("fp") == F.col("kept_fp")) & (F.coalesce(id_, F.lit(0)) == F.col("kept_id")) & (id_.isNull() == F.col("none")), "left_semi")
+    turn = Window.partitionBy("fp", id_).orderBy(F.xxhash64(text))
+    return found.withColumn("turn", F.row_number().over(turn)).where("turn = 1").select(*names).toDF(*docs.columns)

@@ -286,10 +286,20 @@ def test_near_duplicates(spark, tmp_path):
     got = queries.op7_simhash(spark, save(spark, tmp_path, rows)).collect()
     assert sorted((r["doc_id"] or -1, r["component_id"]) for r in got) == [(-1, 4), (2, 2), (4, 4), (4, 4), (5, 5), (6, 5), (7, 5), (9, 4)]
     kept = simhash.deduplicated(spark.read.parquet(f"{tmp_path}/documents.parquet"))
-    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 2, 4, 5]
+    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [2, 4, 5]  # the row without an id is of a group that has one
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_deduplication_keeps_unlike_texts_of_one_id(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(30)) for w in ("a", "b", "c"))
+    rows = [(7, one, "s"), (7, two, "s"), (7, one, "t"), (9, two, "s"), (None, three, "s"), (None, three, "s"), (8, None, "s"), (8, "", "s")]
+    df = docs(spark, rows).withColumn("a.b", F.lit(1))
+    kept = simhash.deduplicated(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.collect()) == sorted([(7, one), (7, two), (-1, three), (8, "")])
+    assert simhash.deduplicated(df.limit(0)).count() == 0
+
+
 def test_components(spark):
     from brightloom.llm.common import connected_components
 

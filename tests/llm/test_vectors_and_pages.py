@@ -53,6 +53,23 @@ def test_ego_join(spark, block):
     assert ego_join.near_duplicates(vectors(spark, [])).count() == 0
 
 
+def test_ego_join_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.001], 1), (3, [0.999, 0.001], 1)]
+    got = sorted(tuple(r) for r in ego_join.near_duplicates(vectors(spark, rows)).collect())
+    assert got == [(1, 0, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False)]
+
+
+def test_ego_join_compares_few_pairs_whole(spark):
+    """On vectors without any structure, where boxes are wide, the leading directions still hold nearly all pairs apart."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 64))
+    x[1::100] = x[::100] + rng.normal(size=(30, 64)) * 0.05
+    df = spark.createDataFrame([(i, 1, 0, v.tolist()) for i, v in enumerate(x)], "vec_id long, weight long, label long, vec array<double>")
+    found = ego_join.links(df, block=512)
+    assert found.where("a is null").agg(F.sum("n")).first()[0] < 0.01 * 3000 * 2999 / 2
+    assert found.where("b is not null").count() == 30
+
+
 def test_search_recall(spark):
     sf = "/root/testdata/sf0.1"
     got = queries.op3_ann(spark, sf).toPandas()
