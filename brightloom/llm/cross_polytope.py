@@ -1,9 +1,11 @@
 """Nearest neighbours by cross-polytope hashing.
 
-A table turns unit vectors by three rounds of random signs and a fast Hadamard
-transform and files each under the nearest signed axis. A query probes the
-axes that it is nearest to in every table, and the vectors filed there are its
-candidates, which an exact inner product ranks.
+A table turns unit vectors by rounds of random signs and a fast Hadamard
+transform and files each under the nearest signed axis; two or more such
+polytopes in a row make its bucket, so buckets grow in number with the vectors. A query probes the
+buckets whose axes it is nearest to, the best over all tables, and the vectors filed there are its
+candidates, which an exact inner product ranks. The part of the table that a query is
+compared with falls as the table grows.
 
 Vectors are filed by direction alone, so one large norm moves no other vector.
 The few vectors with the largest norms, which may win at wide angles, and all
@@ -13,6 +15,7 @@ table by a query that the tables leave with fewer than it asks for.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +24,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions
-from .vectors import by_length, is_valid
-
-#: Tables and probes in each. On random vectors of 64 components they find over 0.9 of the nearest 20.
-TABLES, PROBES = 16, 6
+from .vectors import by_length, is_valid, matrix
+
+TABLES = 16
+#: Probes of a query, over all tables, are this part of a table's buckets at BASE_ROWS vectors, and fall
+#: with the power FALL of their number. On random vectors of 64 components they find over 0.9 of the nearest 20.
+SHARE, BASE_ROWS, FALL = 0.3, 2000, 0.36
+#: Vectors for each bucket that a further polytope is added beyond, and axes of a polytope that a query tries.
+PER_BUCKET, TRIED = 64, 48
 NEAREST = 20
-#: Vectors of a bucket that one task compares at once; a larger bucket is dealt out in parts.
+#: Vectors of a run of buckets that one task compares at once; one of more than twice as many is dealt out in parts.
 PART = 4096
 #: Vectors of each length, those of the largest norms, that every query meets; up to so many are not filed at all.
 HEAVY = 1024
@@ -62,26 +69,152 @@ def prepared(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _filed(vectors: DataFrame, query: bool, tables: int, probes: int, with_vectors: bool = True) -> DataFrame:
-    """``bucket, vec_id, vec`` (or ``bucket`` alone): a row for each table (or each of its probes for a query)."""
+def scheme(n: int, width: int, share: float = SHARE) -> tuple[int, int]:
+    """Polytopes in a row and probes of a query for ``n`` vectors of a padded width."""
+    axes = 2 * width
+    levels = max(2, math.ceil(math.log(max(n / PER_BUCKET, 1)) / math.log(axes)))
+    part = min(1.0, share * (max(n, 1) / BASE_ROWS) ** -FALL)
+    return levels, max(1, round(part * axes**levels))
+
+
+def _axes(p: np.ndarray, table: int, level: int, levels: int) -> np.ndarray:
+    y = rotated(p, table * levels + level)
+    return np.concatenate([y, -y], 1)
+
+
+def bucket_of(p: np.ndarray, table: int, levels: int) -> np.ndarray:
+    """Bucket of each prepared row in a table."""
+    code = np.zeros(len(p), np.int64)
+    for level in range(levels):
+        code = code * 2 * p.shape[1] + _axes(p, table, level, levels).argmax(1)
+    return code
+
+
+def probes_of(p: np.ndarray, tables: int, levels: int, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, table, bucket) of the probes of each prepared row: the buckets of the largest sums of coordinates."""
+    scores, codes = [], []
+    for t in range(tables):
+        best, code = np.zeros((len(p), 1)), np.zeros((len(p), 1), np.int64)
+        for level in range(levels):
+            y = _axes(p, t, level, levels)
+            tried = np.argpartition(-y, min(TRIED, y.shape[1]) - 1, axis=1)[:, :TRIED]
+            best = (best[:, :, None] + np.take_along_axis(y, tried, 1)[:, None, :]).reshape(len(p), -1)
+            code = (code[:, :, None] * y.shape[1] + tried[:, None, :]).reshape(len(p), -1)
+            if best.shape[1] > probes:
+                top = np.argpartition(-best, probes - 1, axis=1)[:, :probes]
+                best, code = np.take_along_axis(best, top, 1), np.take_along_axis(code, top, 1)
+        scores.append(best)
+        codes.append(code)
+    each = scores[0].shape[1]
+    score, code = np.concatenate(scores, 1), np.concatenate(codes, 1)
+    take = min(probes, score.shape[1])
+    top = np.argpartition(-score, take - 1, axis=1)[:, :take]
+    return np.repeat(np.arange(len(p)), take), (top // each).ravel(), np.take_along_axis(code, top, 1).ravel()
+
+
+def _filed(vectors: DataFrame, counts: dict[int, int], query: bool, tables: int, share: float, part: int, with_vectors: bool = True) -> DataFrame:
+    """``key, vec_id, vec, codes``: a row for each table, or for each run of buckets that a query probes with the buckets it probes there.
+
+    A key is a run of a table's buckets with about ``part`` vectors. Without vectors ``key`` alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
+            for at in range(0, whole.num_rows, 128 if query else 1024):
+                b = whole.slice(at, 128 if query else 1024)
                 for rows, x in by_length(b, "vec"):
-                    p = prepared(x)
-                    take = min(probes, 2 * p.shape[1]) if query else 1
-                    for t in range(tables):
-                        y = rotated(p, t)
-                        both = np.concatenate([y, -y], 1)
-                        axes = np.argpartition(-both, take - 1, axis=1)[:, :take] if take > 1 else both.argmax(1)[:, None]
-                        key = (x.shape[1] * tables + t) * 2 * p.shape[1] + axes
-                        c = b.take(pa.array(np.repeat(rows, take))).columns if with_vectors else []
-                        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), *c], ["bucket", "vec_id", "vec"][: 1 + len(c)])
+                    p, n = prepared(x), counts[x.shape[1]]
+                    levels, probes = scheme(n, p.shape[1], share)
+                    buckets, blocks = (2 * p.shape[1]) ** levels, max(1, -(-n // part))
+                    if query:
+                        row, table, code = probes_of(p, tables, levels, probes)
+                    else:
+                        row, table = np.tile(np.arange(len(p)), tables), np.repeat(np.arange(tables), len(p))
+                        code = np.concatenate([bucket_of(p, t, levels) for t in range(tables)])
+                    key = (x.shape[1] * tables + table) * blocks + code * blocks // buckets
+                    order = np.lexsort((code, key, row))
+                    row, key, code = row[order], key[order], code[order]
+                    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])])) if query else np.arange(len(row))
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(code)).astype(np.int32)), pa.array(code))
+                    c = [*b.take(pa.array(rows[row[new]])).columns, lists] if with_vectors else []
+                    yield pa.RecordBatch.from_arrays([pa.array(key[new]), *c], ["key", "vec_id", "vec", "codes"][: 1 + len(c)])
 
     kind = vectors.schema["vec"].dataType.simpleString()
-    return vectors.select("vec_id", "vec").mapInArrow(run, f"bucket long, vec_id long, vec {kind}" if with_vectors else "bucket long")
+    return vectors.select("vec_id", "vec").mapInArrow(run, f"key long, vec_id long, vec {kind}, codes array<long>" if with_vectors else "key long")
+
+
+def _probed(both: DataFrame, k: int, hold: int = 200_000) -> DataFrame:
+    """``query_id, vec_id, score``: for each asking row the ``k`` best vectors in the buckets it probes.
+
+    ``both`` has ``key, part, vec_id, vec, codes, asks``. A key's vectors are held, sorted by bucket, and
+    its asking rows stream past them. What a task finds is cut to the best of each query when ``hold`` rows are there.
+    """
+
+    def best_of(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, v, s = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((v, -s, q))
+        q, v, s = q[order], v[order], s[order]
+        once = np.concatenate([[True], (q[1:] != q[:-1]) | (v[1:] != v[:-1])])  # a vector found in two tables has one score
+        q, v, s = q[once], v[once], s[once]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[keep], v[keep], s[keep]
+
+    def pairs(x: np.ndarray, ids: np.ndarray, codes: np.ndarray, c: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        y, own, lists = matrix(c.column("vec")), c.column("vec_id").to_numpy(), c.column("codes")
+        asked = lists.flatten().to_numpy()
+        row = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy())
+        low = np.searchsorted(codes, asked, side="left")
+        number = np.searchsorted(codes, asked, side="right") - low
+        ends = np.cumsum(number)
+        at = 0
+        while at < len(asked):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 100_000, side="right")))
+            many = number[at:end]
+            i = np.repeat(row[at:end], many)
+            j = np.repeat(low[at:end] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            differ = own[i] != ids[j]
+            i, j = i[differ], j[differ]
+            if len(i):
+                yield best_of([(own[i], ids[j], (y[i] * x[j]).sum(1))])
+            at = end
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, index = None, [], None
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+        for b in batches:
+            keys = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "part", "asks")], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if e == s:
+                    continue
+                if now != tuple(keys[s, :2]):
+                    now, held, index = tuple(keys[s, :2]), [], None
+                if not keys[s, 2]:
+                    held.append(b.slice(s, e - s))
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    t = pa.Table.from_batches(held).combine_chunks()
+                    codes = t.column("codes").combine_chunks().flatten().to_numpy()
+                    order = np.argsort(codes, kind="stable")
+                    index = matrix(t.column("vec").combine_chunks())[order], t.column("vec_id").to_numpy()[order], codes[order]
+                for at in range(s, e, 256):
+                    for part in pairs(*index, b.slice(at, min(256, e - at))):
+                        found.append(part)
+                        size += len(part[0])
+                    if size > hold:
+                        found = [best_of(found)]
+                        size = len(found[0][0])
+                        if size > hold // 2:
+                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found[0]], ["query_id", "vec_id", "score"])
+                            found, size = [], 0
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in best_of(found)], ["query_id", "vec_id", "score"])
+
+    both = both.repartition(partitions(both), "key", "part").sortWithinPartitions("key", "part", "asks")
+    return both.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def _scored(both: DataFrame, k: int) -> DataFrame:
@@ -152,8 +285,11 @@ def _every(vectors: DataFrame, asked: DataFrame, part: int) -> DataFrame:
     return dealt(vectors, "own", "other", False).unionByName(dealt(asked, "other", "own", True))
 
 
-def _floors(rows: DataFrame, heavy: int) -> dict[int, float | None]:
-    """For each vector length the norm from which every query meets a vector; None if there is no such vector. A row for each length and step."""
+def _floors(rows: DataFrame, heavy: int) -> tuple[dict[int, float | None], dict[int, int]]:
+    """For each vector length the norm from which every query meets a vector, None if there is no such vector; and the number of vectors.
+
+    A row for each length and step passes through the driver.
+    """
     most = rows.groupBy("size").agg(F.max("norm").alias("most"))
     step = F.least(F.floor(F.log(F.col("most") / F.col("norm")) / F.log(F.lit(STEP))), F.lit(STEPS)).alias("step")
     steps = rows.join(F.broadcast(most), "size").groupBy("size", step).agg(F.count("*").alias("n"), F.min("norm").alias("least"))
@@ -165,11 +301,11 @@ def _floors(rows: DataFrame, heavy: int) -> dict[int, float | None]:
         if held[r["size"]] <= heavy:
             floors[r["size"]] = r["least"]
     # All vectors of a length with few of them.
-    return {size: 0.0 if held[size] <= heavy else floor for size, floor in floors.items()}
+    return {size: 0.0 if held[size] <= heavy else floor for size, floor in floors.items()}, held
 
 
 def nearest(
-    vectors: DataFrame, is_query: Column, k: int = NEAREST, tables: int = TABLES, probes: int = PROBES, part: int = PART, heavy: int = HEAVY
+    vectors: DataFrame, is_query: Column, k: int = NEAREST, tables: int = TABLES, share: float = SHARE, part: int = PART, heavy: int = HEAVY
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each query row of ``vectors(vec_id, embedding)``.
 
@@ -179,10 +315,9 @@ def nearest(
     precision, ties go to the smaller id; an id that repeats comes out once. Other columns are ignored.
     A query has ``k`` rows unless there are fewer candidates.
 
-    Tables times twice the width bounds the number of buckets for any corpus.
-    One with more than ``part`` vectors is split by hash into parts, each met by all
-    queries that probe the bucket. Buckets are counted before vectors are filed, so
-    the filed copies only pass through one shuffle.
+    A run of buckets with more than twice ``part`` vectors is split by hash into parts, each met by all
+    queries that probe the run. Runs are counted before vectors are filed, so
+    the filed copies only pass through one shuffle where few are split.
     """
     kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vec"))
@@ -191,7 +326,7 @@ def nearest(
     norm = F.get(F.transform(F.array(top), scaled), F.lit(0))  # the largest component is found once
     rows = rows.where(is_valid(F.col("vec")) & F.col("vec_id").isNotNull()).withColumn("size", F.size("vec"))
     rows = materialize(rows.withColumn("norm", norm), "vectors")
-    floors = _floors(rows, heavy)
+    floors, sizes = _floors(rows, heavy)
     spark = rows.sparkSession
     bounds = F.broadcast(spark.createDataFrame(list(floors.items()), "size int, floor double"))  # a row for each vector length
     rows = rows.join(bounds, "size")
@@ -201,15 +336,14 @@ def nearest(
     if not hashed:
         return _best(met[0], k)
 
-    counts = _filed(filed, False, tables, probes, with_vectors=False).groupBy("bucket").count()
-    parts = counts.select("bucket", F.ceil(F.col("count") / part).cast("int").alias("parts"))
-    parts = F.broadcast(materialize(parts, "buckets"))  # at most tables * 2 * width rows for each vector length
-    index = _filed(filed, False, tables, probes).join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-    asked = _filed(rows.where(is_query), True, tables, probes).join(parts, "bucket")
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    counts = _filed(filed, sizes, False, tables, share, part, with_vectors=False).groupBy("key").count().where(F.col("count") > 2 * part)
+    parts = materialize(counts.select("key", F.ceil(F.col("count") / part).cast("int").alias("parts")), "buckets")
+    many = F.coalesce("parts", F.lit(1))
+    index = _filed(filed, sizes, False, tables, share, part).join(parts, "key", "left").withColumn("part", F.pmod(F.xxhash64("vec_id"), many).cast("int"))
+    asked = _filed(rows.where(is_query), sizes, True, tables, share, part).join(parts, "key", "left")
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), many - 1)))
     both = index.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)))
-    both = both.select((F.col("bucket") * F.lit(1 << 20) + F.col("part")).alias("key"), "vec_id", "vec", "asks")
-    found = _scored(both, k)
+    found = _probed(both.select("key", "part", "vec_id", "vec", "codes", "asks"), k)
     for more in met:
         found = found.unionByName(more)
     best = materialize(_best(found, k), "nearest")

@@ -93,7 +93,7 @@ def test_search_ties_and_odd_rows(spark, part):
     rows, odd = planted(3, 120)
     rows += [(300 + i, rows[40][1], 0) for i in range(40)]
     df = vectors(spark, rows + odd + [rows[40]])
-    got = cross_polytope.nearest(df, F.col("vec_id") % 20 == 0, k=5, tables=8, probes=16, part=part).collect()
+    got = cross_polytope.nearest(df, F.col("vec_id") % 20 == 0, k=5, tables=8, part=part, heavy=16).collect()
     mine = [(r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 40]
     score = {i: np.dot(np.array(v, float), np.array(rows[40][1], float)) for i, v, _ in rows}
     want = sorted((i for i in score if i != 40), key=lambda i: (-round(score[i], 9), i))[:5]
@@ -107,7 +107,7 @@ def test_search_ties_and_odd_rows(spark, part):
 def test_larger_norms_are_nearest(spark):
     rng = np.random.default_rng(1)
     rows = [(i, (rng.normal(size=8) * (1 + i % 5)).tolist(), 0) for i in range(400)]
-    got = cross_polytope.nearest(vectors(spark, rows), F.col("vec_id") == 0, k=10, tables=24, probes=8).collect()
+    got = cross_polytope.nearest(vectors(spark, rows), F.col("vec_id") == 0, k=10, tables=24, heavy=64).collect()
     x = np.array([np.float32(v) for _, v, _ in rows], float)
     s = x @ x[0]
     s[0] = -np.inf
@@ -129,6 +129,29 @@ def recall(spark, x, **params):
     return hit / max(total, 1), min(rows)
 
 
+def test_compared_share_falls(tables=cross_polytope.TABLES):
+    """Recall of the nearest 20 stays, while the part of all vectors that a query is compared with falls as they grow."""
+    shares = []
+    for n in (10_000, 40_000, 80_000):
+        x = cross_polytope.prepared(np.random.default_rng(n).normal(size=(n, 64)))
+        q = x[:40]
+        levels, probes = cross_polytope.scheme(n, 64)
+        codes = [cross_polytope.bucket_of(x, t, levels) for t in range(tables)]
+        row, table, code = cross_polytope.probes_of(q, tables, levels, probes)
+        hit = pairs = 0
+        for i in range(len(q)):
+            seen = np.zeros(n, bool)
+            for t in range(tables):
+                seen |= np.isin(codes[t], code[(row == i) & (table == t)])
+            s = x @ q[i]
+            s[i] = -1
+            hit += seen[np.argpartition(-s, 20)[:20]].sum()
+            pairs += seen.sum()
+        assert hit / len(q) / 20 >= 0.9
+        shares.append(pairs / len(q) / n)
+    assert shares[0] > shares[1] > shares[2] and shares[2] < 0.1, shares
+
+
 @pytest.mark.parametrize("norms", ["one", "lognormal", "uniform", "two"])
 def test_search_recall_with_unequal_norms(spark, norms):
     rng = np.random.default_rng(5)
@@ -154,7 +177,7 @@ def test_queries_left_short_meet_all_vectors(spark):
     x = rng.normal(size=(600, 16)) * 0.01
     x[:, 0] += np.where(np.arange(600) % 60 == 0, 1, -1)
     x /= np.linalg.norm(x, axis=1)[:, None]
-    _, least = recall(spark, x, heavy=0, probes=1, tables=2, part=64)
+    _, least = recall(spark, x, heavy=0, share=1e-4, tables=2, part=64)
     assert least == 0
 
 
