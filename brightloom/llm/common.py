@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from brightloom.sources.scratch import keep as materialize
 from brightloom.sources.scratch import shared_dir
 
-__all__ = ["BLANK", "WORD", "connected_components", "materialize", "new_path", "partitions"]
+__all__ = ["BLANK", "WORD", "connected_components", "joined", "materialize", "new_path", "partitions"]
 
 #: ASCII white space that separates words, as a Java and RE2 character class.
 BLANK = r"\x20\x09-\x0D"
@@ -31,6 +31,20 @@ def partitions(df: DataFrame, at_least: int = 1) -> int:
     return max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def joined(rows: DataFrame, per: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``per``, which has one row a key and in ``n`` the number of ``rows`` with it.
+
+    Keys with more than a quarter of a task's share of the rows go out by broadcast, so
+    that they stay spread: by their number there are at most 4 for each task. The rest meet by shuffle.
+    """
+    total = per.agg(F.sum("n")).first()[0] or 0
+    limit = total // (4 * partitions(rows)) + 1
+    hubs = per.where(F.col("n") > limit).drop("n")  # at most 4 rows for each shuffle partition
+    marked = rows.join(F.broadcast(hubs), key, "left_semi").join(F.broadcast(hubs), key)
+    others = rows.join(F.broadcast(hubs), key, "left_anti").join(per.where(F.col("n") <= limit).drop("n"), key)
+    return marked.unionByName(others)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star rounds.
 
@@ -39,9 +53,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     component, for each node that has an edge to another. Each round is two
     shuffles over the edges, whose number never grows; a round's result is
     written to the shared folder. A star's leaves are gathered by a join and a
-    minimum, so no group is collected.
+    minimum, so no group is collected; the leaves of a large star stay in the tasks they are in.
     """
-    spark = edges.sparkSession
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = materialize(e, "cc")
     if e.isEmpty():
@@ -49,12 +62,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # Large star: every larger neighbour of u is linked to the smallest of u and its neighbours.
         both = e.union(e.select(F.col("v"), F.col("u"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "cc-least")
+        large = joined(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.where("u <> v").distinct(), "cc-large")
         # Small star: u and its smaller neighbours are linked to the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "cc-least")
+        small = joined(large, least, "u")
         nxt = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         nxt = materialize(nxt.where("u <> v").distinct(), "cc")
         # Done when every node has one parent and no parent has a parent: then all are stars.

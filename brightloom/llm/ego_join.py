@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, partitions
+from .common import connected_components, joined, materialize, partitions
 from .vectors import by_length, forest, is_valid, matrix
 
 MIN_COSINE = 0.98
@@ -202,8 +202,8 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE, block: i
     names = once.join(counts, "class", "left").join(roots, "class", "left")
     names = names.select("label", "vec", "first", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "class").alias("root"))
     names = materialize(names, "vector-classes")
-    least = names.groupBy("root").agg(F.min("first").alias("component"))
-    names = names.join(least, "root").select("label", "vec", "n_links", "component")
+    least = materialize(names.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("n")), "vector-roots")
+    names = joined(names, least, "root").select("label", "vec", "n_links", "component")
     out = rows.join(names, ["label", "vec"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -30,12 +30,14 @@ COVER = 0.4
 LINKED = 0.33
 
 _TAG = re.compile(
-    r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>?|/([a-zA-Z][^\s/>]*+)[^>]*+>?|([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>?)""",
+    r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>?|/([a-zA-Z][^\s/>]*+)[^>]*+>?|([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>?)""",
     re.DOTALL,
 )
 _CLASS = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
-#: Elements whose content is text, not markup; none of it is shown.
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
+#: Elements whose content is text, not markup, or no part of the text; none of it is shown.
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg annotation annotation-xml".split())
+#: Those of them that hold markup: unclosed, they hide nothing.
+DRAWN = frozenset("svg annotation annotation-xml template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -45,13 +47,18 @@ BLOCK = frozenset(
 CONTAINER = frozenset("article body blockquote center dd details div fieldset main section table tbody td tr ul ol dl html figure".split())
 DROPPED = frozenset("nav header footer aside form head button select option optgroup dialog menu search fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
-#: Words that mark a part of a page as no part of its article.
+#: Words that mark a part of a page as no part of its article, first or last in a name.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion banner cookie cookies "
-    "consent gdpr notice notices notification alert sidebar side aside nav navbar navigation menu breadcrumb breadcrumbs pagination pager "
-    "footer header masthead toolbar comment comments commentlist respond disqus replies reply share sharing social related recommended "
-    "newsletter subscribe subscription signup login search widget widgets popup modal overlay form skip".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo banner cookie cookies "
+    "consent gdpr sidebar aside nav navbar navigation menu breadcrumb breadcrumbs pagination pager "
+    "footer header masthead toolbar comment comments commentlist disqus newsletter subscribe widget widgets popup modal".split()
 )
+#: Words that do so only where the whole name is made of them and of marks, or of words for a box.
+WEAK = frozenset(
+    "promotion notice notices notification alert side respond replies reply share sharing social related recommended "
+    "subscription signup login search overlay form skip".split()
+)
+BOX = frozenset("bar box links link list block panel section area container wrapper button buttons icons items posts articles stories top bottom left right site page main".split())
 KEPT = frozenset("html body main article".split())
 #: Containers that stand within an article, never for a whole one.
 PARTS = frozenset("section blockquote ul ol dl dd li table tbody tr center details figure".split())
@@ -60,23 +67,25 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 
 
 def _marked(name: str) -> bool:
-    """Whether a class or id names a part outside the article: a marked word, first or last in the name."""
+    """Whether a class or id names a part outside the article: a marked word first or last in the name, or only weak ones and boxes."""
     parts = re.split(r"[-_]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
     parts = [p.rstrip("0123456789") or p for p in parts if p]
     if not parts or parts[0] in ("has", "with", "no", "is", "without", "not"):
         return False
-    return parts[0] in MARKS or parts[-1] in MARKS
+    return parts[0] in MARKS or parts[-1] in MARKS or (any(p in WEAK for p in parts) and all(p in WEAK or p in BOX for p in parts))
 
 
-#: Open elements that are told apart, and levels that a path names; what lies deeper belongs to the last of them.
+#: Parameters of the method: open elements that are told apart and levels that a path names; what lies deeper belongs to the last of them,
+#: but a dropped part is told apart at any depth.
 DEPTH, PATH_DEPTH = 256, 40
 
 
 class _Element:
-    __slots__ = ("dropped", "path", "tag")
+    __slots__ = ("deep", "dropped", "path", "tag")
 
     def __init__(self, tag: str, path: str, dropped: bool) -> None:
         self.tag, self.path, self.dropped = tag, path, dropped
+        self.deep: dict[str, int] | None = None  # elements not told apart around it
 
 
 def blocks(html: str) -> Iterator[tuple[tuple[_Element, ...], str, int]]:
@@ -113,7 +122,7 @@ def blocks(html: str) -> Iterator[tuple[tuple[_Element, ...], str, int]]:
                 close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(html, at) if not m[3].endswith("/") or tag in ("script", "style", "title", "textarea") else None
                 if close:
                     at = close.end()
-                elif not (m[3].endswith("/") and tag in ("svg", "math")):
+                elif tag not in DRAWN:
                     at = n
             elif tag == "a":
                 in_link = True
@@ -138,7 +147,7 @@ def blocks(html: str) -> Iterator[tuple[tuple[_Element, ...], str, int]]:
                     for a in _CLASS.finditer(attrs):
                         key, value = a[1].lower(), (a[2] or "").strip("\"'")
                         if key == "class":
-                            names = "." + ".".join(sorted(re.sub(r"\d+", "#", value.lower()).split())[:4]) if value.split() else ""
+                            names = "." + ".".join(sorted(re.sub(r"\d+", "#", value.lower()).split())) if value.split() else ""
                         if tag not in KEPT:
                             if key in ("class", "id"):
                                 dropped = dropped or any(map(_marked, value.split()))
@@ -147,12 +156,12 @@ def blocks(html: str) -> Iterator[tuple[tuple[_Element, ...], str, int]]:
                             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower()):
                                 dropped = True
                 top = stack[-1]
-                if len(stack) > DEPTH:
+                if len(stack) > DEPTH and (top.dropped or not dropped):
                     deep[tag] += tag != "p"
                     continue
-                deep.clear()
                 path = f"/{tag}" if tag in ("html", "body", "head") else f"{top.path}/{tag}{names}" if len(stack) <= PATH_DEPTH else top.path
                 stack.append(_Element(tag, path, dropped or (top.dropped and tag != "body")))
+                stack[-1].deep, deep = deep, defaultdict(int)
         elif closing:
             tag = closing.lower()
             if tag == "a":
@@ -164,7 +173,7 @@ def blocks(html: str) -> Iterator[tuple[tuple[_Element, ...], str, int]]:
                     continue
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
-                        deep.clear()
+                        deep = stack[k].deep or defaultdict(int)
                         del stack[k:]
                         break
                     if tag in ("p", "li") and stack[k].tag in ("article", "body", "main", "section", "td"):
@@ -283,7 +292,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null or empty html gives an empty text; a null url or one without host has
     only its page's own vote. Rows that repeat come out as often; other columns
-    are ignored.
+    are ignored; an empty table gives no rows. A page is read whole, however long; of paths with
+    equal votes the first by name leads. A page votes for its five best containers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

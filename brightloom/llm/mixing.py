@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brightloom.operators.ids import dense_ids
+
 from .common import BLANK, WORD, materialize
 
 #: Times its own size that a source may be repeated.
@@ -74,8 +76,8 @@ def position(reached: Column, target: Column, rank: Column, ramp: float = RAMP)
 def curriculum(docs: DataFrame, max_repeat: int = MAX_REPEAT, ramp: float = RAMP) -> DataFrame:
     """Give each document its copies in the mix.
 
-    ``docs`` has ``doc_id, text, source``; other columns are ignored. Returns a row per document: ``doc_id, source, size, source_size, target, taken, copies`` with
-    copies an array of ``(pass, tokens, position)``. Null texts have size 0 and
+    ``docs`` has ``doc_id, text, source``; other columns are ignored. Returns a row per document: ``row, doc_id, source, size, source_size, target, taken, copies`` with
+    row a number of its own and copies an array of ``(pass, tokens, position)``. Null texts have size 0 and
     no copy; the null source is a source of its own; rows that are alike in id
     and size take turns; an empty table gives no rows. A copy is cut where the
     source's target is reached, rounded to words.
@@ -86,7 +88,7 @@ def curriculum(docs: DataFrame, max_repeat: int = MAX_REPEAT, ramp: float = RAMP
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("k"))
-    rows = materialize(rows.withColumn("bucket", F.substring("k", 1, BUCKET_DIGITS)), "mix")
+    rows = materialize(rows.withColumn("bucket", F.substring("k", 1, BUCKET_DIGITS)).withColumn("row", F.monotonically_increasing_id()), "mix")
     targets = source_targets(rows, max_repeat)
     runs = rows.groupBy("source", "bucket").agg(F.sum("size").alias("run"))
     order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -108,14 +110,28 @@ def curriculum(docs: DataFrame, max_repeat: int = MAX_REPEAT, ramp: float = RAMP
     )
     rows = rows.withColumn("copies", F.filter(copies, lambda c: c["tokens"] > 0))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c["tokens"])
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies")
+    return rows.select("row", "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies")
+
 
+def training_order(plan: DataFrame) -> DataFrame:
+    """Every copy of a ``curriculum`` as a row: ``row, doc_id, source, size, pass, tokens, position, place``.
+
+    Copies are range-sorted by position; ``place`` numbers them from 0 in that order. Ties go by
+    id (none first), then pass. A document of size 0 has no copy; an empty plan gives no rows.
+    """
+    rows = plan.select("row", "doc_id", "source", "size", F.explode("copies").alias("c"))
+    return dense_ids(rows.select("row", "doc_id", "source", "size", "c.*"), "position", "doc_id", "pass", name="place")
 
-def training_order(docs: DataFrame, max_repeat: int = MAX_REPEAT, ramp: float = RAMP) -> DataFrame:
-    """Every copy of the mix as a row, range-sorted by position: ``doc_id, source, size, pass, tokens, position``."""
-    rows = curriculum(docs, max_repeat, ramp).select("doc_id", "source", "size", F.explode("copies").alias("c"))
-    rows = rows.select("doc_id", "source", "size", "c.*")
-    return rows.repartitionByRange("position", "doc_id", "pass").sortWithinPartitions("position", "doc_id", "pass")
+
+def placed(docs: DataFrame, max_repeat: int = MAX_REPEAT, ramp: float = RAMP) -> DataFrame:
+    """``doc_id, size, source_size, target, taken, position, place``: what the sorted copies take of each document, and where its first stands.
+
+    A document without a copy has taken 0, no position and place -1.
+    """
+    plan = materialize(curriculum(docs, max_repeat, ramp), "curriculum")
+    per = training_order(plan).groupBy("row").agg(F.sum("tokens").alias("took"), F.min("position").alias("position"), F.min("place").alias("place"))
+    rows = plan.join(per, "row", "left")
+    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("took", F.lit(0)).cast("long").alias("taken"), "position", F.coalesce("place", F.lit(-1)).cast("long").alias("place"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -123,18 +139,23 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     A copy that its source's target cuts keeps its first words, joined by one
     blank. Texts move twice: to meet their copies by id, and to their place in
-    the order. Rows that share an id are told apart by size and source.
+    the order. Rows that share an id, or have none, are told apart by size and source;
+    rows alike in all three take turns. Null and empty texts have no copy; all columns stay, whatever their
+    names; an empty table gives no rows.
     """
-    turn = Window.partitionBy("id").orderBy("size", F.col("src").asc_nulls_first())
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    at = {c: f"row.c{i}" for i, c in enumerate(docs.columns)}
+    turn = Window.partitionBy("id", "size", "src").orderBy(F.lit(0))
     plan = curriculum(docs).select(F.col("doc_id").alias("id"), "size", F.col("source").alias("src"), "copies")
-    plan = plan.withColumn("turn", F.row_number().over(turn)).select("id", "turn", "copies")
-    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
-    rows = rows.withColumns({"size": word_count(F.col("row.text")), "src": F.col("row.source")})
-    rows = rows.withColumn("own", F.row_number().over(Window.partitionBy("doc_id").orderBy("size", F.col("src").asc_nulls_first())))
-    rows = rows.join(plan, rows["doc_id"].eqNullSafe(plan["id"]) & (rows["own"] == plan["turn"]))
+    plan = plan.withColumn("turn", F.row_number().over(turn)).select("id", F.col("size").alias("words"), "src", "turn", "copies")
+    rows = docs.select(F.col("doc_id"), F.struct(*own).alias("row"))
+    rows = rows.withColumns({"size": word_count(F.col(at["text"])), "source": F.col(at["source"])})
+    rows = rows.withColumn("own", F.row_number().over(Window.partitionBy("doc_id", "size", "source").orderBy(F.lit(0))))
+    same = rows["doc_id"].eqNullSafe(plan["id"]) & rows["source"].eqNullSafe(plan["src"])
+    rows = rows.join(plan, same & (rows["size"] == plan["words"]) & (rows["own"] == plan["turn"]))
     rows = rows.select("row", "size", F.explode("copies").alias("c"))
-    rows = rows.repartitionByRange("c.position", "row.doc_id", "c.pass").sortWithinPartitions("c.position", "row.doc_id", "c.pass")
-    words = F.split(F.regexp_replace("row.text", rf"^[{BLANK}]+", ""), rf"[{BLANK}]+")
+    rows = rows.repartitionByRange("c.position", at["doc_id"], "c.pass").sortWithinPartitions("c.position", at["doc_id"], "c.pass")
+    words = F.split(F.regexp_replace(at["text"], rf"^[{BLANK}]+", ""), rf"[{BLANK}]+")
     cut = F.array_join(F.slice(words, 1, F.col("c.tokens").cast("int")), " ")
-    text = F.when(F.col("c.tokens") < F.col("size"), cut).otherwise(F.col("row.text"))
-    return rows.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    text = F.when(F.col("c.tokens") < F.col("size"), cut).otherwise(F.col(at["text"]))
+    return rows.select(*[(text if c == "text" else F.col(at[c])).alias(c) for c in docs.columns])

@@ -34,8 +34,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
-    rows = mixing.curriculum(_table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", "taken", F.get("copies", F.lit(0))["position"].alias("position"))
+    return mixing.placed(_table(spark, sf_dir, "documents"))
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,13 +125,14 @@ s AS (
          coalesce(CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-x AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS goal, CASE WHEN rank % 2 = 1 THEN 1.5::DOUBLE ELSE 0.5::DOUBLE END AS a FROM s)
-SELECT doc_id, size, source_size, target,
-       greatest(least(goal - start, size), 0) + greatest(least(goal - source_size - start, size), 0)
-         + greatest(least(goal - 2 * source_size - start, size), 0) AS taken,
-       CASE WHEN least(goal - start, size) > 0 THEN
-         (sqrt(a * a + 4.0::DOUBLE * (1.0::DOUBLE - a) * (CAST(start AS DOUBLE) / target)) - a) / (2.0::DOUBLE * (1.0::DOUBLE - a)) END AS position
-FROM x
+x AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS goal, CASE WHEN rank % 2 = 1 THEN 1.5::DOUBLE ELSE 0.5::DOUBLE END AS a FROM s),
+c3 AS (
+  SELECT doc_id, pass, greatest(least(goal - (pass * source_size + start), size), 0) AS tokens,
+         (sqrt(a * a + 4.0::DOUBLE * (1.0::DOUBLE - a) * (CAST(pass * source_size + start AS DOUBLE) / target)) - a) / (2.0::DOUBLE * (1.0::DOUBLE - a)) AS position
+  FROM x, (VALUES (0), (1), (2)) p(pass) WHERE least(goal - (pass * source_size + start), size) > 0),
+o AS (SELECT doc_id, tokens, position, row_number() OVER (ORDER BY position, doc_id, pass) - 1 AS place FROM c3),
+q AS (SELECT doc_id, CAST(sum(tokens) AS BIGINT) AS taken, min(position) AS position, min(place) AS place FROM o GROUP BY doc_id)
+SELECT x.doc_id, size, source_size, target, coalesce(taken, 0) AS taken, position, coalesce(place, -1) AS place FROM x LEFT JOIN q USING (doc_id)
 """
 
 SQL: dict[str, str] = {"op2_mixing": MIXING_SQL}

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import connected_components, materialize, partitions
+from .common import connected_components, joined, materialize, partitions
 
 SHINGLE = 4
 SEED = 42
@@ -206,9 +206,9 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """
     own = materialize(fingerprints(docs), "simhash")
     first = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    named = first.join(classes(own, max_bits), "fp")
-    names = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = named.select("fp", "root").join(names, "root").select("fp", "component_id")
+    named = materialize(first.join(classes(own, max_bits), "fp"), "simhash-named")
+    names = materialize(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")), "simhash-roots")
+    names = joined(named.select("fp", "root"), names, "root").select("fp", "component_id")
     out = own.join(names, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -276,3 +276,20 @@ def test_pipeline(spark):
 
     t = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
     assert got.length.sum() == sum(len(t.encode(r["text"], add_special_tokens=False).ids) + 1 for r in at.select("text").collect())
+
+
+LONG = "which is long enough to count as running text, surely."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<article><p data=it's>Hello don't go, {LONG}</p><p>And more, {LONG}</p></article>", f"Hello don't go, {LONG}\nAnd more, {LONG}"),
+        (f"<article><p>First part, {LONG}</p><svg><path d='x'><p>The rest, {LONG}</p></article>", f"First part, {LONG}\nThe rest, {LONG}"),
+        (f"<article><p>Here <math><mi>E</mi><mo>=</mo><mi>m</mi></math>, {LONG}</p></article>", f"Here E=m, {LONG}"),
+        (f"<body><section class='two-side'><p>A text, {LONG}</p></section><div class='share-buttons'>Share</div></body>", f"A text, {LONG}"),
+        ("<body>" + "<div>" * 300 + f"<p>A text, {LONG}</p><nav>Menu</nav><p>More, {LONG}</p>" + "</div>" * 300 + "<nav>Menu</nav></body>", f"A text, {LONG}\nMore, {LONG}"),
+    ],
+)
+def test_odd_markup_loses_no_text(html, text):
+    assert html_extract.main_text(html, []) == text
