@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,17 +11,19 @@ from brightloom.sources.scratch import keep
 
 
 def dense_ids(df: DataFrame, *order: str, name: str = "id") -> DataFrame:
-    """Number the rows 0..n-1 by ``order``, whose values must tell rows apart.
+    """Number the rows 0..n-1 by ``order``, nulls first; rows alike in ``order`` have numbers next to each other, in no stated order.
 
-    Only the order columns are range-partitioned. Each partition numbers its own
-    rows, and the partitions' counts, one row each, give where each starts.
+    The rows are kept, range-partitioned and kept again with their place in their partition, so
+    that ``df`` is computed once. The partitions' counts, one row each, give where each starts. No row is
+    joined by its values, so nulls and repeated values lose or add none.
     """
-    keys = df.select(*order)
-    keys = keys.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    keys = keep(keys, "id-order")
-    sizes = keys.groupBy("_part").count()
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    ids = keys.withColumn("_own", own).join(starts, "_part").select(*order, (F.col("_start") + F.col("_own")).cast("long").alias(name))
-    return df.join(ids, list(order))
+    place = f"place_{uuid.uuid4().hex}"  # no column of the caller's has this name
+    rows = keep(df, "id-rows").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = keep(rows.withColumn(place, F.monotonically_increasing_id()), "id-order")
+    part, own = F.shiftright(place, 33), F.col(place).bitwiseAND((1 << 33) - 1)
+    sizes = rows.groupBy(part.alias("part")).count()
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    starts = starts.select(F.col("part").alias(f"{place}_part"), F.col("start").alias(f"{place}_start"))
+    found = rows.join(F.broadcast(starts), part == F.col(f"{place}_part"))  # a row for each partition
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(f"{place}_start") + own).cast("long").alias(name))

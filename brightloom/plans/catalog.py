@@ -61,12 +61,11 @@ def s2_sitemap(spark, d):
     return page_sources.sitemap_urls(xml, "https://", ("/de/",))
 
 
-@query("s3_page_texts", """SELECT conv_id AS doc, CAST(n AS INT) AS page, text FROM (
-  SELECT conv_id, CASE WHEN turn % 3 = 2 THEN '' ELSE text END AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations) WHERE text <> ''""")
+@query("s3_page_texts", """SELECT conv_id AS doc, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS INT) AS page, text
+  FROM conversations QUALIFY text <> ''""")
 def s3_page_texts(spark, d):
-    text = F.when(F.col("turn") % 3 == 2, "").otherwise(F.col("text"))
-    rows = A.table(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc")).agg(F.sort_array(F.collect_list(F.struct("turn", F.col("text").alias("o"), text.alias("t")))).alias("p"))
-    return page_sources.page_texts(rows.select("doc", F.transform("p", lambda p: p["t"]).alias("pages")))
+    rows = A.table(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc")).agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("p"))
+    return page_sources.page_texts(rows.select("doc", F.transform("p", lambda p: p["text"]).alias("pages")))
 
 
 @query("s5_stored_results", "SELECT source || '/' || doc_id AS path, quality = 1 AS ok FROM documents JOIN labels USING (doc_id)")

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a new temporary one."""
+    """The folder in spark.checkpoint.dir; where it is unset in a local session (tests), a new temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "local").split("-")[0].startswith("local") or "cluster" in spark.conf.get("spark.master", ""):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='brightloom-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

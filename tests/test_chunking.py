@@ -82,3 +82,13 @@ def test_dense_ids(spark, parts):
     got = [tuple(r) for r in dense_ids(df, "k").orderBy("k").collect()]
     assert [i for _, i in got] == list(range(len(got)))
     assert dense_ids(df.limit(0), "k").count() == 0
+
+
+def test_dense_ids_with_nulls_and_repeats(spark):
+    from brightloom.operators.ids import dense_ids
+
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (2, "d"), (1, "a")], "k long, v string").withColumnRenamed("v", "v.w")
+    got = dense_ids(rows, "k").orderBy("id").collect()
+    assert [r["id"] for r in got] == [0, 1, 2, 3, 4] and [r["k"] for r in got] == [None, 1, 1, 1, 2]
+    assert sorted(r["v.w"] for r in got) == ["a", "a", "b", "c", "d"]
+    assert dense_ids(rows.limit(0), "k").count() == 0
