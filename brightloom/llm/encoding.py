@@ -28,7 +28,7 @@ MAX_PIECES = 400_000
 #: New pieces that go to the library as one text.
 RUN = 2000
 #: Bytes of text in a run; a longer text is a run of its own.
-RUN_BYTES = 8 << 20
+RUN_BYTES = 2 << 20
 _CUT = re.compile(r"\s+\S*|\S+")
 #: Stands before the first piece of a text.
 _FIRST = "\0"
@@ -171,9 +171,9 @@ class Encoder:
         return out
 
 
-def runs(texts: pa.Array, most: int = RUN_BYTES) -> Iterator[tuple[int, pa.Array]]:
+def runs(texts: pa.Array, most: int | None = None) -> Iterator[tuple[int, pa.Array]]:
     """(first row, texts) of runs of at most so many bytes; a longer text is alone."""
-    texts = texts.cast(pa.large_string())
+    texts, most = texts.cast(pa.large_string()), most or RUN_BYTES
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
     at = 0
     while at < len(texts):

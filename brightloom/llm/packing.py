@@ -311,7 +311,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = {n: np.array(x, np.int64) for n, x in places.whole.items()}
         gaps = np.array(places.gaps, np.int64).reshape(-1, 4)
-        for b in batches:
+        for b in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             length, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
             sequence, offset, whole = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64), np.zeros(len(length), bool)
             for n in np.unique(length).tolist():
