@@ -76,8 +76,8 @@ def position(reached: Column, target: Column, rank: Column, ramp: float = RAMP)
 def curriculum(docs: DataFrame, max_repeat: int = MAX_REPEAT, ramp: float = RAMP) -> DataFrame:
     """Give each document its copies in the mix.
 
-    ``docs`` has ``doc_id, text, source``; other columns are ignored. Returns a row per document: ``row, doc_id, source, size, source_size, target, taken, copies`` with
-    row a number of its own and copies an array of ``(pass, tokens, position)``. Null texts have size 0 and
+    ``docs`` has ``doc_id, text, source``; other columns are ignored. Returns a row per document: ``doc_id, source, size, source_size, target, taken, copies`` with
+    copies an array of ``(pass, tokens, position)``. Null texts have size 0 and
     no copy; the null source is a source of its own; rows that are alike in id
     and size take turns; an empty table gives no rows. A copy is cut where the
     source's target is reached, rounded to words.
@@ -86,6 +86,11 @@ def curriculum(docs: DataFrame, max_repeat: int = MAX_REPEAT, ramp: float = RAMP
     (source, bucket), their running sum, then one inside each bucket. So a
     source that holds a third of all rows is still dealt to thousands of groups.
     """
+    return _planned(docs, max_repeat, ramp).drop("row")
+
+
+def _planned(docs: DataFrame, max_repeat: int, ramp: float) -> DataFrame:
+    """``curriculum`` with ``row``, a number for each document."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("k"))
     rows = materialize(rows.withColumn("bucket", F.substring("k", 1, BUCKET_DIGITS)).withColumn("row", F.monotonically_increasing_id()), "mix")
@@ -113,23 +118,27 @@ def curriculum(docs: DataFrame, max_repeat: int = MAX_REPEAT, ramp: float = RAMP
     return rows.select("row", "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies")
 
 
-def training_order(plan: DataFrame) -> DataFrame:
-    """Every copy of a ``curriculum`` as a row: ``row, doc_id, source, size, pass, tokens, position, place``.
-
-    Copies are range-sorted by position; ``place`` numbers them from 0 in that order. Ties go by
-    id (none first), then pass. A document of size 0 has no copy; an empty plan gives no rows.
-    """
+def _ordered(plan: DataFrame) -> DataFrame:
     rows = plan.select("row", "doc_id", "source", "size", F.explode("copies").alias("c"))
     return dense_ids(rows.select("row", "doc_id", "source", "size", "c.*"), "position", "doc_id", "pass", name="place")
 
 
+def training_order(docs: DataFrame, max_repeat: int = MAX_REPEAT, ramp: float = RAMP) -> DataFrame:
+    """Every copy of the mix as a row, range-sorted by position: ``doc_id, source, size, pass, tokens, position, place``.
+
+    ``place`` numbers the copies from 0 in that order; ties go by
+    id (none first), then pass. A document of size 0 has no copy; an empty table gives no rows.
+    """
+    return _ordered(_planned(docs, max_repeat, ramp)).drop("row")
+
+
 def placed(docs: DataFrame, max_repeat: int = MAX_REPEAT, ramp: float = RAMP) -> DataFrame:
     """``doc_id, size, source_size, target, taken, position, place``: what the sorted copies take of each document, and where its first stands.
 
     A document without a copy has taken 0, no position and place -1.
     """
-    plan = materialize(curriculum(docs, max_repeat, ramp), "curriculum")
-    per = training_order(plan).groupBy("row").agg(F.sum("tokens").alias("took"), F.min("position").alias("position"), F.min("place").alias("place"))
+    plan = materialize(_planned(docs, max_repeat, ramp), "curriculum")
+    per = _ordered(plan).groupBy("row").agg(F.sum("tokens").alias("took"), F.min("position").alias("position"), F.min("place").alias("place"))
     rows = plan.join(per, "row", "left")
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("took", F.lit(0)).cast("long").alias("taken"), "position", F.coalesce("place", F.lit(-1)).cast("long").alias("place"))
 
