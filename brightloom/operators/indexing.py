@@ -46,15 +46,8 @@ def terms(text: Column) -> Column:
     return matches(F.lower(protect_symbols(text)), r"(?U)\w+")
 
 
-def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """``id, term, tf, len``: counted inside the row, so that only distinct terms are exploded."""
-    words = chunks.select("id", terms(F.col(text)).alias("w"))
-    each = F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.size(F.filter("w", lambda x: x == t)).alias("tf")))
-    return words.select("id", F.size("w").alias("len"), F.explode(each).alias("p")).select("id", "p.term", "p.tf", "len")
-
-
 def posting_counts(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """As ``postings`` for long texts: terms are exploded and counted by (id, term) with partial sums."""
+    """``id, term, tf, len``: terms are exploded and counted by (id, term) with partial sums."""
     words = chunks.select("id", terms(F.col(text)).alias("w")).withColumn("len", F.size("w"))
     return words.select("id", "len", F.explode("w").alias("term")).groupBy("id", "len", "term").agg(F.count("*").cast("int").alias("tf")).select("id", "term", "tf", "len")
 

@@ -17,7 +17,7 @@ SIGNATURE = "array<struct<type: string, min: double, max: double>>"
 def read_programs(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """``model, name, ext, code``: the model is the first folder under ``root``, the name the path below it."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=True)
-    rows = rows.select(F.col("value").alias("code"), F.regexp_extract("_metadata.file_path", rf"{root.removeprefix('file:').rstrip('/')}/(.*)$", 1).alias("path"))
+    rows = rows.select(F.col("value").alias("code"), F.regexp_extract("_metadata.file_path", rf"\Q{root.removeprefix('file:').rstrip('/')}\E/(.*)$", 1).alias("path"))
     rows = rows.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("model"), F.regexp_extract("path", r"^[^/]+/(.*)$", 1).alias("name"), "code")
     return rows.select("model", "name", F.regexp_extract("name", r"(\.[^./]+)$", 1).alias("ext"), "code")
 
