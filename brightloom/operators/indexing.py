@@ -2,28 +2,46 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, StringType, StructField, StructType
 
 from brightloom.functions.text import matches, protect_symbols
 from brightloom.operators.retrieve import top
+from brightloom.sources.scratch import shared_dir
 
 K1, B = 1.2, 0.75
 DIM = 384
 
 
-def hashing_vector(text: str | None, dim: int = DIM) -> np.ndarray:
-    """Default encoder: signed counts of word hashes, of unit length; no word: zero."""
+@lru_cache(1 << 16)
+def _place(word: str) -> tuple[int, int]:
+    """The hash of a word whose remainder is its component, and its sign."""
+    h = int(hashlib.md5(word.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()[:8], 16)
+    return h, 1 if h >> 16 & 1 else -1
+
+
+def hashing_counts(text: str | None, dim: int = DIM) -> np.ndarray:
+    """Signed counts of the hashes of a text's lower-case words."""
     out = np.zeros(dim, np.float32)
     for w in (text or "").lower().split():
-        h = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-        out[h % dim] += 1 if h >> 16 & 1 else -1
+        h, sign = _place(w)
+        out[h % dim] += sign
+    return out
+
+
+def hashing_vector(text: str | None, dim: int = DIM) -> np.ndarray:
+    """Default encoder: ``hashing_counts`` of unit length; no word: zero."""
+    out = hashing_counts(text, dim)
     norm = np.linalg.norm(out)
     return out / norm if norm else out
 
@@ -47,9 +65,20 @@ def terms(text: Column) -> Column:
 
 
 def posting_counts(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """``id, term, tf, len``: terms are exploded and counted by (id, term) with partial sums."""
-    words = chunks.select("id", terms(F.col(text)).alias("w")).withColumn("len", F.size("w"))
-    return words.select("id", "len", F.explode("w").alias("term")).groupBy("id", "len", "term").agg(F.count("*").cast("int").alias("tf")).select("id", "term", "tf", "len")
+    """``id, term, tf, len``: the terms of each row counted inside it, without a shuffle; a null text has none."""
+    words = chunks.select("id", terms(F.col(text)).alias("w")).where("w is not null")
+    return words.mapInArrow(_counted, StructType([words.schema["id"], StructField("term", StringType()), StructField("tf", IntegerType()), StructField("len", IntegerType())]))
+
+
+def _counted(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            part = b.slice(at, rows)
+            words = part.column("w")
+            each = pa.table({"row": pc.list_parent_indices(words), "term": pc.list_flatten(words)})
+            each = each.group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")])
+            own = [part.column("id").take(each["row"]), each["term"], each["count_all"].cast(pa.int32()), pc.list_value_length(words).take(each["row"])]
+            yield from pa.table(own, names=["id", "term", "tf", "len"]).to_batches()
 
 
 def statistics(posts: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -64,13 +93,40 @@ def weights(posts: DataFrame, avglen: Column, k1: float = K1, b: float = B) -> D
     return posts.withColumn("weight", F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avglen)))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """``query_id, rank, id, score`` by published BM25; postings are cut to the queries' terms before they are scored."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    posts = posting_counts(chunks)
-    size = chunks.select(F.size(terms(F.col("text"))).alias("len")).agg(F.avg("len").alias("avglen"))
-    mine = posts.join(asked.select("term").distinct(), "term", "left_semi")
-    idf = statistics(mine, chunks)
-    scored = weights(mine.join(F.broadcast(size)), F.col("avglen")).join(idf, "term")  # size: one row
-    scored = scored.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("idf") * F.col("weight")), 6).alias("score"))
+class Index(NamedTuple):
+    """A stored posting index: ``posts(id, term, tf, len)``, ``terms(term, df, idf)`` and ``size(avglen)`` of one row."""
+
+    posts: DataFrame
+    terms: DataFrame
+    size: DataFrame
+
+
+def write_postings(chunks: DataFrame, path: str) -> None:
+    """Write the posting index of ``chunks(id, text)``, clustered by term; a frequent term is dealt to many files by id."""
+    posts = posting_counts(chunks).repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+    posts.write.mode("overwrite").parquet(f"{path}/posts")
+    stored = chunks.sparkSession.read.schema(posts.schema).parquet(f"{path}/posts")
+    statistics(stored, chunks).write.mode("overwrite").parquet(f"{path}/terms")
+    texts = chunks.agg(F.count("text").alias("texts"))
+    words = stored.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
+    size = words.join(F.broadcast(texts)).select(F.try_divide("words", "texts").alias("avglen"))  # texts: one row
+    size.write.mode("overwrite").parquet(f"{path}/size")
+
+
+def read_postings(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{part}") for part in Index._fields))
+
+
+def search(queries: DataFrame, index: Index, k: int) -> DataFrame:
+    """``query_id, rank, id, score`` by published BM25 for ``queries(query_id, text)``: one scan of the stored postings, cut to the asked terms."""
+    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).join(index.terms, "term")
+    mine = weights(index.posts.join(F.broadcast(index.size)), F.col("avglen"))  # size: one row
+    scored = mine.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("idf") * F.col("weight")), 6).alias("score"))
     return top(scored, k).select("query_id", "rank", "id", "score")
+
+
+def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """``search`` in an index of ``chunks`` that is written to the shared folder first."""
+    path = f"{shared_dir(chunks.sparkSession)}/postings-{uuid.uuid4().hex}"
+    write_postings(chunks, path)
+    return search(queries, read_postings(chunks.sparkSession, path), k)

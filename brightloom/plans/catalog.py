@@ -305,10 +305,18 @@ def r10_bm25(spark, d):
     return indexing.bm25(A.queries(spark, d), A.chunks(spark, d), 15).withColumn("score", F.round("score", 4))
 
 
-@query("i1_embed", f"WITH {A.CHUNKS_SQL} SELECT id, 384 AS dim, 1.0::DOUBLE AS norm FROM chunks")
+@query("i1_embed", rf"""WITH {A.CHUNKS_SQL}, w AS (SELECT id, unnest(regexp_split_to_array(lower(text), '[{_SPACE}]+')) AS w FROM chunks),
+  h AS (SELECT id, CAST('0x' || substr(md5(w), 1, 8) AS UBIGINT) AS h FROM w WHERE w <> ''),
+  c AS (SELECT id, CAST(h % 384 AS INT) AS i, CAST(sum(CASE WHEN (h >> 16) % 2 = 1 THEN 1 ELSE -1 END) AS INT) AS n FROM h GROUP BY ALL),
+  v AS (SELECT id, i, coalesce(n, 0) AS n FROM (SELECT id, unnest(range(384)) AS i FROM chunks) LEFT JOIN c USING (id, i))
+  SELECT id, 384 AS dim, md5(string_agg(n, ',' ORDER BY i)) AS counts, CASE WHEN bool_or(n <> 0) THEN 1.0 ELSE 0.0 END::DOUBLE AS norm, true AS scaled FROM v GROUP BY id""")
 def i1_embed(spark, d):
     rows = indexing.embed(A.chunks(spark, d).select("id", "text"))
-    return rows.select("id", F.size("vec").alias("dim"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))
+    rows = indexing.embed(rows, encoder=indexing.hashing_counts, name="raw")
+    length = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
+    off = F.zip_with("vec", "raw", lambda v, c: F.abs(v * length(F.col("raw")) - c))
+    digits = F.array_join(F.transform("raw", lambda c: c.cast("int").cast("string")), ",")
+    return rows.select("id", F.size("vec").alias("dim"), F.md5(digits.cast("binary")).alias("counts"), F.round(length(F.col("vec")), 4).alias("norm"), (F.array_max(off) < 1e-3).alias("scaled"))
 
 
 # Retrieval
@@ -574,19 +582,38 @@ def l1_line_issues(spark, d):
     return lint.line_issues(_programs(spark, d)).select("program_id", "line", "rule")
 
 
-@query("l5_lint", r"""WITH lines AS (SELECT program_id, generate_subscripts(x, 1) AS line, unnest(x) AS raw FROM (
-    SELECT doc_id AS program_id, string_split('sort S .' || chr(10) || 'vars X Y : S .' || chr(10) || 'op f : S S -> S .' || chr(10) || 'eq f(X, X) = Z .' || chr(10) || 'ceq f(Y, X) = ' || lang || ' if true .' || chr(10) || text, chr(10)) AS x FROM documents)),
+_CAP = "coalesce(upper({0}[1]) || {0}[2:], '')"
+_KNOWN = ", ".join(f"'{w}'" for w in lint.KEYWORDS)
+
+
+@query("l5_lint", rf"""WITH p AS (SELECT doc_id AS program_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS w FROM documents),
+  n AS (SELECT *, coalesce(w[1], '') AS w1, {_CAP.format('w[2]')} AS w2, {_CAP.format('w[3]')} AS w3, {_CAP.format('w[4]')} AS w4,
+    array_to_string(w[1:10], ', ') AS uses, array_to_string(list_transform(w[11:20], lambda x: {_CAP.format('x')}), ' ') AS gives FROM p),
+  lines AS (SELECT program_id, generate_subscripts(x, 1) AS line, unnest(x) AS raw FROM (SELECT program_id, string_split('sorts S ' || w2 || ' .' || chr(10) || 'vars X ' || w1 || ' ' || w3 || ' : S .' || chr(10)
+    || 'ops f ' || w4 || ' : S -> S .' || chr(10) || 'eq f(X, ' || uses || ') = ' || gives || ' .' || chr(10) || text, chr(10)) AS x FROM n)),
   cuts AS (SELECT *, regexp_replace(regexp_replace(raw, '(?s)\*\*\*.*', ''), '(?s)---.*', '') AS cut FROM lines),
+  variables AS (SELECT program_id, unnest(['X', w1, w3]) AS name FROM n UNION SELECT program_id, unnest(regexp_extract_all(text, '\b([A-Za-z][\p{{L}}\p{{M}}\p{{N}}_''-]*):[A-Za-z]', 1)) FROM n),
+  known AS (SELECT * FROM variables UNION SELECT program_id, unnest(['f', w4, 'S', w2, 'Bool', 'Nat', 'Int', 'Float', 'String', 'Qid']) FROM n),
   i AS (SELECT program_id, line, 1 AS rule, 'fatal] : non-ASCII character ' || regexp_extract(cut, '([^\x00-\x7F])', 1) AS msg FROM cuts WHERE regexp_matches(cut, '[^\x00-\x7F]')
-    UNION ALL SELECT program_id, line, 2, 'fatal] : keyword `when` does not exist' FROM cuts WHERE regexp_matches(cut, '(^|[^\p{L}\p{M}\p{N}_])when($|[^\p{L}\p{M}\p{N}_])')
+    UNION ALL SELECT program_id, line, 2, 'fatal] : keyword `when` does not exist' FROM cuts WHERE regexp_matches(cut, '(^|[^\p{{L}}\p{{M}}\p{{N}}_])when($|[^\p{{L}}\p{{M}}\p{{N}}_])')
     UNION ALL SELECT program_id, line, 3, 'fatal] : comment `--` is not accepted' FROM cuts WHERE regexp_matches(raw, '(^|\s)--(\s|$)')
-    UNION ALL SELECT DISTINCT program_id, 4, 5, 'warning] : variable X stands 2 times on the left side' FROM cuts
-    UNION ALL SELECT DISTINCT program_id, 4, 6, 'warning] : name Z is not declared' FROM cuts)
-  SELECT program_id, string_agg('- line ' || line || ' [' || msg, chr(10) ORDER BY greatest(rule, 4), line, rule) AS issues FROM i GROUP BY program_id""")
+    UNION ALL SELECT program_id, 4, 5, 'warning] : variable ' || name || ' stands ' || count(*) || ' times on the left side'
+      FROM (SELECT program_id, unnest(list_concat(['X'], w[1:10])) AS name FROM n) JOIN variables USING (program_id, name) GROUP BY program_id, name HAVING count(*) > 1
+    UNION ALL SELECT DISTINCT program_id, 4, 6, 'warning] : name ' || name || ' is not declared'
+      FROM (SELECT program_id, unnest(list_concat(w[1:10], string_split(gives, ' '))) AS name FROM n) u ANTI JOIN known USING (program_id, name)
+      WHERE regexp_matches(name, '^[A-Z]') AND lower(name) NOT IN ({_KNOWN}))
+  SELECT program_id, string_agg('- line ' || line || ' [' || msg, chr(10) ORDER BY greatest(rule, 4), line, rule, msg) AS issues FROM i GROUP BY program_id""")
 def l5_lint(spark, d):
-    head = F.concat(F.lit("sort S .\nvars X Y : S .\nop f : S S -> S .\neq f(X, X) = Z .\nceq f(Y, X) = "), "lang", F.lit(" if true .\n"))
-    rows = A.programs(spark, d).withColumn("code", F.concat(head, "code"))
-    return lint.formatted(lint.lint(rows))
+    """Documents as programs that declare some of their first words and use those in an equation."""
+    rows = A.programs(spark, d).withColumn("code", F.coalesce("code", F.lit("")))
+    rows = rows.withColumn("w", T.matches(F.col("code"), "[A-Za-z]+"))
+    cap = lambda x: F.coalesce(F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2))), F.lit(""))
+    word = lambda i: F.get("w", F.lit(i - 1))
+    head = F.concat(
+        F.lit("sorts S "), cap(word(2)), F.lit(" .\nvars X "), F.coalesce(word(1), F.lit("")), F.lit(" "), cap(word(3)), F.lit(" : S .\nops f "), cap(word(4)),
+        F.lit(" : S -> S .\neq f(X, "), F.array_join(F.slice("w", 1, 10), ", "), F.lit(") = "), F.array_join(F.transform(F.slice("w", 11, 10), cap), " "), F.lit(" .\n"),
+    )
+    return lint.formatted(lint.lint(rows.select("program_id", F.concat(head, "code").alias("code"))))
 
 
 @query("l6_issue_counts", f"""WITH {LINES_SQL} SELECT model, rule, count(*) AS n, count(DISTINCT program_id) AS n_programs FROM issues GROUP BY ROLLUP (model, rule)""")
