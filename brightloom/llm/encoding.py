@@ -92,9 +92,9 @@ class Encoder:
             ids, starts = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
         return ids, starts
 
-    def documents(self, texts: pa.Array, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first row, ids, starts) of runs of texts, each text's ids with ``end_id`` after them."""
-        for first, run in runs(texts):
+    def documents(self, texts: pa.Array, end_id: int, most: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids, starts) of runs of texts of at most so many bytes, each text's ids with ``end_id`` after them."""
+        for first, run in runs(texts, most):
             ids, starts = self.encode_run(run)
             yield first, np.insert(ids, starts[1:], self.width(end_id)), starts + np.arange(len(starts))
 

@@ -34,6 +34,8 @@ END_ID = 0
 #: Bytes of ids at which a frame closes; a longer document has a frame to itself.
 FRAME_BYTES = 1 << 20
 LEVEL = 3
+#: Bytes of text that are encoded together; a longer text is alone.
+RUN_BYTES = 8 << 20
 # Fixed values of the zstandard seekable format.
 SKIPPABLE_INDEX = 0x184D2A5D
 SKIPPABLE_SEEK = 0x184D2A5E
@@ -170,7 +172,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, frame_bytes:
         total = 0
         for b in batches:
             docs = b.column(0).to_pylist()
-            for first, ids, starts in enc.documents(b.column(1), END_ID):
+            for first, ids, starts in enc.documents(b.column(1), END_ID, RUN_BYTES):
                 if writer is None:
                     out = store.write(own)
                     writer = Writer(out, width, frame_bytes)
