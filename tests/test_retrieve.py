@@ -58,6 +58,21 @@ def test_bm25_prefers_rare_terms(spark):
     assert len(got) == 3
 
 
+def test_stored_postings(spark, tmp_path):
+    c = spark.createDataFrame([(0, "a b a"), (1, None), (2, ""), (3, "b := c"), (4, "a")], "id long, text string")
+    indexing.write_postings(c, f"{tmp_path}/i")
+    index = indexing.read_postings(spark, f"{tmp_path}/i")
+    posts = {(r["id"], r["term"]): (r["tf"], r["len"]) for r in index.posts.collect()}
+    assert posts[0, "a"] == (2, 3) and posts[0, "b"] == (1, 3) and posts[4, "a"] == (1, 1) and {i for i, _ in posts} == {0, 3, 4}
+    assert {r["term"]: r["df"] for r in index.terms.collect()}["a"] == 2
+    q = spark.createDataFrame([(1, "a a c"), (2, "none"), (3, None)], "query_id long, text string")
+    got = rows(indexing.search(q, index, 5).orderBy("rank"))
+    assert {r[0] for r in got} == {1} and {r[2] for r in got} == {0, 3, 4}
+    assert got == rows(indexing.bm25(q, c, 5).orderBy("rank"))
+    indexing.write_postings(c.where("false"), f"{tmp_path}/none")
+    assert rows(indexing.search(q, indexing.read_postings(spark, f"{tmp_path}/none"), 5)) == []
+
+
 def chunk_table(spark, spec):
     return spark.createDataFrame([(i, "s", sec, kind, "", text) for i, sec, kind, text in spec], CHUNK)
 
