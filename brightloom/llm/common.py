@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from brightloom.sources.scratch import keep as materialize
 from brightloom.sources.scratch import shared_dir
 
-__all__ = ["BLANK", "WORD", "connected_components", "joined", "materialize", "new_path", "partitions"]
+__all__ = ["BLANK", "WORD", "connected_components", "joined", "materialize", "new_path", "partitions", "small"]
 
 #: ASCII white space that separates words, as a Java and RE2 character class.
 BLANK = r"\x20\x09-\x0D"
@@ -31,6 +31,11 @@ def partitions(df: DataFrame, at_least: int = 1) -> int:
     return max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def small(stored: DataFrame, most: int = 200_000) -> DataFrame:
+    """A stored table of short rows, marked for broadcast if it has at most ``most`` of them; a larger one joins by shuffle."""
+    return F.broadcast(stored) if stored.limit(most + 1).count() <= most else stored
+
+
 def joined(rows: DataFrame, per: DataFrame, key: str) -> DataFrame:
     """``rows`` with the columns of ``per``, which has one row a key and in ``n`` the number of ``rows`` with it.
 

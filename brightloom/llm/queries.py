@@ -89,6 +89,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.score(docs, pu_quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_shared_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import shared_search
+
+    return shared_search.search(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
@@ -100,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_files": op8_token_files,
     "op9_ego_join": op9_ego_join,
     "op10_quality": op10_quality,
+    "op11_shared_search": op11_shared_search,
 }
 
 #: Mixing in DuckDB: the same integer sums, running sums and IEEE operations.
@@ -135,4 +142,23 @@ q AS (SELECT doc_id, CAST(sum(tokens) AS BIGINT) AS taken, min(position) AS posi
 SELECT x.doc_id, size, source_size, target, coalesce(taken, 0) AS taken, position, coalesce(place, -1) AS place FROM x LEFT JOIN q USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op2_mixing": MIXING_SQL}
+#: Lexical search in DuckDB: every item with every document that shares a term.
+SEARCH_SQL = r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents),
+p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+d AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY doc_id),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM d),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY term),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // words)))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term) JOIN d USING (doc_id), c GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+SQL: dict[str, str] = {"op2_mixing": MIXING_SQL, "op11_shared_search": SEARCH_SQL}
