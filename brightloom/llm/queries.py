@@ -95,6 +95,12 @@ def op11_shared_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_search.search(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"))
 
 
+def op12_anchor_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import anchor_tree
+
+    return anchor_tree.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
@@ -107,6 +113,7 @@ QUERIES: dict[str, Query] = {
     "op9_ego_join": op9_ego_join,
     "op10_quality": op10_quality,
     "op11_shared_search": op11_shared_search,
+    "op12_anchor_tree": op12_anchor_tree,
 }
 
 #: Mixing in DuckDB: the same integer sums, running sums and IEEE operations.
@@ -161,4 +168,22 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 FROM s WHERE score > 0 QUALIFY rank <= 10
 """
 
-SQL: dict[str, str] = {"op2_mixing": MIXING_SQL, "op11_shared_search": SEARCH_SQL}
+#: Hard negatives in DuckDB: every anchor with every row.
+NEGATIVES_SQL = r"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM e a JOIN e c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (
+  SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS INT) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+SQL: dict[str, str] = {"op2_mixing": MIXING_SQL, "op11_shared_search": SEARCH_SQL, "op12_anchor_tree": NEGATIVES_SQL}
