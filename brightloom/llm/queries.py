@@ -101,6 +101,12 @@ def op12_anchor_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchor_tree.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup
+
+    return suffix_dedup.without_repeats(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
@@ -114,6 +120,7 @@ QUERIES: dict[str, Query] = {
     "op10_quality": op10_quality,
     "op11_shared_search": op11_shared_search,
     "op12_anchor_tree": op12_anchor_tree,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 #: Mixing in DuckDB: the same integer sums, running sums and IEEE operations.
