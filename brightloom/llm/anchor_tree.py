@@ -206,7 +206,9 @@ def _grid(rows: DataFrame, anchors: DataFrame, k: int, positives: bool, part: in
     held = rows.join(F.broadcast(streams), "size")  # a row for each vector length
     held = held.select("size", F.explode(F.sequence(F.lit(0), "streams")).alias("stream"), own, "key", "vec_id", "label", "vec")
     past = anchors.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("stream", F.floor(F.col("block") / STREAM).cast("int"))
-    both = held.unionByName(past.select("size", "stream", "part", *held.columns[3:], "block", "place", "parent", "edge", "low", "high"), allowMissingColumns=True)
+    none = F.expr("cast(array() as array<bigint>)")  # not null: null lists cost Arrow time in the square of a batch
+    held = held.withColumns({"low": none, "high": none})
+    both = past.select(*held.columns, "block", "place", "parent", "edge").unionByName(held, allowMissingColumns=True)
     both = both.repartitionById(tasks, F.pmod(F.col("part") + F.col("stream"), F.lit(tasks)).cast("int"))
     both = both.sortWithinPartitions("size", "stream", "part", F.col("block").asc_nulls_first(), "place")
 

@@ -13,6 +13,7 @@ keeps the best of each item; so what moves on is ``k`` rows for each item and ta
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Iterator
 
@@ -144,7 +145,7 @@ class _Best:
 
     def __init__(self, plan: dict, k: int) -> None:
         self.left, self.right, self.ends, self.roots = (np.array(plan[c], np.int64) for c in ("left", "right", "ends", "roots"))
-        self.terms, self.items, self.k = len(plan["terms"]), plan["items"], k
+        self.terms, self.items, self.k = plan["terms"], plan["items"], k
         self.least = np.zeros(len(self.roots), np.int64)
         self.found: list[tuple[np.ndarray, ...]] = []
         self.size = 0
@@ -216,7 +217,7 @@ def _combined(both: DataFrame, k: int) -> DataFrame:
                     work(True)
                     if best is not None and best.found:
                         yield best.rows()
-                    best = _Best(part.column("plan")[0].as_py(), k)
+                    best = _Best(json.loads(part.column("plan")[0].as_py()), k)
                     part = part.slice(1)
                 if part.num_rows:
                     ids = part.column("doc_id")
@@ -261,9 +262,10 @@ def search(items: DataFrame, docs: DataFrame, k: int = NEAREST, block_terms: int
     value = F.expr("w * ((1000000000L * tf) div (1000 * tf + 8 * m))")
     own = posts.withColumn("m", length).join(slots, "term")
     own = own.select(F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("task"), "block", "key", "doc_id", "slot", value.alias("value"))
-    kind = "struct<terms: array<binary>, left: array<int>, right: array<int>, ends: array<int>, items: array<long>, roots: array<int>>"
-    heads = plan.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("task"), "block", F.struct(*[c for c in plan.columns if c != "block"]).alias("plan"))
-    both = own.withColumn("plan", F.lit(None).cast(kind)).unionByName(heads, allowMissingColumns=True)
+    # As text: a null list in each row of contributions costs Arrow time in the square of a batch.
+    own_plan = F.to_json(F.struct(F.size("terms").alias("terms"), "left", "right", "ends", "items", "roots")).alias("plan")
+    heads = plan.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("task"), "block", own_plan)
+    both = own.withColumn("plan", F.lit(None).cast("string")).unionByName(heads, allowMissingColumns=True)
     both = both.repartitionById(parts, F.col("task")).sortWithinPartitions("block", F.col("key").asc_nulls_first())
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     found = _combined(both, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
