@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightloom.functions.text import token_count
+from brightloom.sources.scratch import keep
 
 # Marks of interactive sessions and typeset transcripts, and of module declarations.
 SESSION = r"Maude>|Welcome to Maude"
 TYPESET = "[→⇝⇒∧]"
 MODULE = r"fmod |mod |fth |th |\neq |\nop "
 SNIPPET_LANGS = ("python", "http", "bash", "json", "")
+#: Ids of a bucket of the table of runs.
+BUCKET = 1024
 
 
 def _neighbours(hits: DataFrame, chunks: DataFrame, window: int, search: int) -> DataFrame:
@@ -113,25 +116,69 @@ def is_noise() -> Column:
     return F.rlike("text", F.lit(SESSION)) | F.rlike("text", F.lit(TYPESET))
 
 
-def whole_sections(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``query_id, rank, section, id, type, text``: each hit's whole run of its section, noise left out."""
-    runs = islands(chunks)
-    aims = hits.select("query_id", "rank", "id").join(runs, "id").select("query_id", "rank", "island")
-    members = chunks.select("id", "section", "type", "text").join(runs, "id")
-    return aims.join(members.where(~is_noise()), "island").select("query_id", "rank", "section", "id", "type", "text")
+def section_line() -> Column:
+    """A chunk as it stands in a section's context."""
+    return F.concat(F.lit("["), "type", F.lit("]\n"), "text")
 
 
-def budgeted_context(hits: DataFrame, chunks: DataFrame, budget: int = 3000, cost: Column | None = None) -> DataFrame:
+def section_runs(chunks: DataFrame, cost: Column | None = None) -> DataFrame:
+    """``bucket, first, last, section, cost``: the runs of consecutive ids with one section, a row for each ``BUCKET`` of ids that a run touches.
+
+    ``cost`` sums an expression over ``line`` of the chunks that are no noise; default: tokens without specials.
+    """
+    each = cost if cost is not None else token_count(F.col("line"), 0)
+    rows = chunks.select("id", "section", F.when(~is_noise(), section_line()).alias("line")).select("id", "section", each.alias("cost"))
+    runs = rows.join(islands(chunks), "id").groupBy(F.col("island").alias("first"))
+    runs = runs.agg(F.max("id").alias("last"), F.any_value("section").alias("section"), F.coalesce(F.sum("cost"), F.lit(0)).cast("long").alias("cost"))
+    buckets = F.sequence(F.floor(F.col("first") / BUCKET), F.floor(F.col("last") / BUCKET))
+    return runs.select(F.explode(buckets).alias("bucket"), "first", "last", "section", "cost")
+
+
+def write_runs(chunks: DataFrame, path: str, cost: Column | None = None) -> None:
+    """Keep ``section_runs`` beside the index, in order of ids, for all queries."""
+    section_runs(chunks, cost).repartitionByRange("bucket", "first").sortWithinPartitions("bucket", "first").write.mode("overwrite").parquet(path)
+
+
+def runs_of(hits: DataFrame, runs: DataFrame) -> DataFrame:
+    """``query_id, rank, first, last, section, cost``: the run that each hit's id lies in, by a range join in buckets."""
+    own = hits.select("query_id", "rank", "id", F.floor(F.col("id") / BUCKET).alias("bucket"))
+    inside = F.col("id").between(F.col("first"), F.col("last"))
+    return own.join(runs, "bucket").where(inside).select("query_id", "rank", "first", "last", "section", "cost")
+
+
+def run_members(aims: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``first, id, section, type, text``: the chunks of the runs in ``aims(first, last)`` that are no noise; no other chunk's text moves."""
+    low = F.floor(F.col("first") / BUCKET) * BUCKET
+    parts = aims.select("first", "last").distinct().select("first", "last", F.explode(F.sequence(low, F.col("last"), F.lit(BUCKET).cast("long"))).alias("at"))
+    ids = F.sequence(F.greatest("first", "at"), F.least(F.col("last"), F.col("at") + BUCKET - 1))
+    wanted = parts.select("first", F.explode(ids).alias("id"))
+    return chunks.select("id", "section", "type", "text").where(~is_noise()).join(wanted, "id").select("first", "id", "section", "type", "text")
+
+
+def whole_sections(hits: DataFrame, chunks: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """``query_id, rank, section, id, type, text``: each hit's whole run of its section, noise left out. ``runs``: kept ``section_runs`` of the chunks."""
+    aims = runs_of(hits, runs if runs is not None else keep(section_runs(chunks), "runs"))
+    return aims.select("query_id", "rank", "first").join(run_members(aims, chunks), "first").select("query_id", "rank", "section", "id", "type", "text")
+
+
+def budgeted_context(hits: DataFrame, chunks: DataFrame, budget: int = 3000, cost: Column | None = None, runs: DataFrame | None = None) -> DataFrame:
     """``query_id, context, spent``: whole sections of the hits, best first, under a budget of tokens.
 
     A section enters if it fits what is left. One that is too large while nothing
     has entered gives its first chunks that fit; later ones are skipped and the
-    scan goes on. Costs decide first; texts join only for what has entered.
-    ``cost`` is an expression over ``line``; default: tokens without specials.
+    scan goes on. The costs of runs tell first which sections can count at all: a section above
+    the whole budget does only before the first one within it. Only those sections' chunks are read.
+    ``cost`` is an expression over ``line``; default: tokens without specials. ``runs``: kept ``section_runs`` of the chunks at that cost.
     """
-    own = hits.join(chunks.select("id", "section"), "id").groupBy("query_id", "section").agg(F.min("rank").alias("rank"))
-    members = whole_sections(hits, chunks).join(own, ["query_id", "section", "rank"], "right")
-    line = F.when(F.col("id").isNotNull(), F.concat(F.lit("["), "type", F.lit("]\n"), "text"))
+    aims = runs_of(hits, runs if runs is not None else keep(section_runs(chunks, cost), "runs"))
+    aims = aims.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "section").orderBy("rank"))).where("n = 1")
+    fits_ = F.min(F.when(F.col("cost") <= budget, F.col("rank"))).over(Window.partitionBy("query_id"))
+    aims = aims.withColumn("fit", fits_)
+    aims = keep(aims.where((F.col("cost") <= budget) | F.col("fit").isNull() | (F.col("rank") < F.col("fit"))).select("query_id", "rank", "section", "first", "last"), "aims")
+    own = aims.select("query_id", "section", "rank")
+    members = run_members(aims, chunks).select("first", "id", "type", "text")
+    members = aims.select("query_id", "section", "rank", "first").join(members, "first", "left")
+    line = F.when(F.col("id").isNotNull(), section_line())
     members = members.withColumn("line", line).withColumn("cost", cost if cost is not None else token_count(F.col("line"), 0))
     per = members.groupBy("query_id", "rank", "section").agg(
         F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("id", "cost")))).alias("members"), F.coalesce(F.sum("cost"), F.lit(0)).alias("total")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightloom.functions.text import matches
+from brightloom.sources.scratch import keep
 
 FATAL, WARNING = "fatal", "warning"
 # Keywords and built-in sorts that need no declaration.
@@ -15,6 +16,8 @@ KEYWORDS = (
 ).split()
 BUILT_IN = "Bool Nat Int Float String Qid".split()
 WORD = r"(?U)[A-Za-z][\w'-]*"
+#: Rare tokens of a program, and exemplars of each, that give the first score to beat.
+FIRST_TOKENS, FIRST_EXEMPLARS = 4, 8
 
 
 def without_comment(line: Column) -> Column:
@@ -105,17 +108,61 @@ def code_tokens(code: Column) -> Column:
     return F.array_distinct(matches(code, WORD + r"|:=|=>|~>|/\\"))
 
 
+def rising(programs: DataFrame, exemplars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``name, size, t`` and ``exemplar, size, t``: each one's distinct tokens, those of few exemplars first."""
+    a = programs.select("name", F.explode(code_tokens(F.col("code"))).alias("t"))
+    b = exemplars.select(F.col("name").alias("exemplar"), F.explode(code_tokens(F.col("code"))).alias("t"))
+    often = b.groupBy("t").agg(F.count("*").alias("f"))
+
+    def sorted_(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.join(often, "t", "left").groupBy(name).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "t"))).alias("s"))  # a program's tokens
+        return rows.select(name, F.size("s").alias("size"), F.transform("s", lambda x: x["t"]).alias("t"))
+
+    return sorted_(a, "name"), sorted_(b, "exemplar")
+
+
+def overlap(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """``name, exemplar, score``: the Jaccard overlap of pairs."""
+    both = pairs.join(a.select("name", F.col("size").alias("na"), F.col("t").alias("ta")), "name").join(b.select("exemplar", F.col("size").alias("nb"), F.col("t").alias("tb")), "exemplar")
+    shared = F.size(F.array_intersect("ta", "tb"))
+    return both.select("name", "exemplar", (shared / (F.col("na") + F.col("nb") - shared)).alias("score")).where("score > 0")
+
+
+def first_pairs(a: DataFrame, b: DataFrame, tokens: int = FIRST_TOKENS, each: int = FIRST_EXEMPLARS) -> DataFrame:
+    """``name, exemplar``: some pairs that share a rare token, at most ``tokens * each`` a program, for a first score to beat."""
+    own = b.select("exemplar", F.explode("t").alias("t"))
+    few = own.withColumn("n", F.row_number().over(Window.partitionBy("t").orderBy("exemplar"))).where(F.col("n") <= each)
+    mine = a.select("name", F.posexplode("t").alias("i", "t")).join(own.select("t").distinct(), "t", "left_semi")
+    mine = mine.withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy("i"))).where(F.col("n") <= tokens)
+    return mine.join(few.select("t", "exemplar"), "t").where("name <> exemplar").select("name", "exemplar").distinct()
+
+
+def candidate_pairs(a: DataFrame, b: DataFrame, least: DataFrame) -> DataFrame:
+    """``name, exemplar``: all pairs that can reach ``least(name, least)`` (none: any overlap), by the prefix, length and position filters.
+
+    Tokens stand by rising frequency. To reach the score, a program and an exemplar must share a token of
+    the program's prefix, and the places of the first one they share leave room for the rest.
+    """
+    mine = a.join(least, "name", "left").select("name", F.col("size").alias("na"), F.coalesce("least", F.lit(0.0)).alias("s"), F.posexplode("t").alias("i", "t"))
+    mine = mine.where(F.col("i") <= F.col("na") - F.col("s") * F.col("na") + 1e-9)
+    own = b.select("exemplar", F.col("size").alias("nb"), F.posexplode("t").alias("j", "t"))
+    met = mine.join(own, "t").where("name <> exemplar")
+    s, na, nb = F.col("s"), F.col("na"), F.col("nb")
+    alike = (nb >= s * na - 1e-9) & (na >= s * nb - 1e-9) & (F.col("j") <= nb - s * nb + 1e-9)
+    room = F.least(na - F.col("i"), nb - F.col("j"))  # this token and what stands behind it
+    return met.where(alike & (room * (1 + s) >= s * (na + nb) - 1e-9)).select("name", "exemplar").distinct()
+
+
 def most_similar(programs: DataFrame, exemplars: DataFrame) -> DataFrame:
     """``name, exemplar, score``: the exemplar of another name with the largest Jaccard overlap of tokens, first by name.
 
-    Tokens join tokens and shared ones are counted with partial sums; a frequent token is split
-    by the runtime's skew handling. Exact; no overlap gives no row.
+    A few exemplars that share a rare token give each program a score to beat; filters on prefixes, lengths and
+    positions then leave the pairs that can reach it, which are compared whole. Names are unique on either
+    side. Exact; no overlap gives no row.
     """
-    a = programs.select("name", code_tokens(F.col("code")).alias("t"))
-    b = exemplars.select(F.col("name").alias("exemplar"), code_tokens(F.col("code")).alias("t"))
-    na, nb = a.select("name", F.size("t").alias("na")), b.select("exemplar", F.size("t").alias("nb"))
-    shared = a.select("name", F.explode("t").alias("t")).join(b.select("exemplar", F.explode("t").alias("t")), "t").where("name <> exemplar")
-    shared = shared.groupBy("name", "exemplar").agg(F.count("*").alias("n")).join(na, "name").join(nb, "exemplar")
-    scored = shared.select("name", "exemplar", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("score"))
+    a, b = (keep(x, "tokens") for x in rising(programs, exemplars))
+    first = keep(overlap(first_pairs(a, b), a, b), "first-scores")
+    least = first.groupBy("name").agg(F.max("score").alias("least"))
+    scored = first.unionByName(overlap(candidate_pairs(a, b, least), a, b))
     order = Window.partitionBy("name").orderBy(F.desc("score"), "exemplar")
-    return scored.withColumn("r", F.row_number().over(order)).where("r <= 1").drop("r")
+    return scored.withColumn("r", F.row_number().over(order)).where("r <= 1").drop("r").select("name", "exemplar", "score")

@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightloom.functions.text import SPECIAL, query_tokens
+from brightloom.sources.scratch import keep
 
-#: Query vectors, and distinct tokens, that are sent to every task at once.
-BLOCK = 2000
+#: Query vectors of a block, chunk vectors of a part, and distinct tokens of an automaton.
+BLOCK, PART = 2000, 8192
 TOKEN_BLOCK = 50_000
+#: Ids whose texts share an entry in the index of character runs; characters of a text that are looked at together.
+GRAM_RANGE, SLICE = 64, 1 << 20
 
 
 def top(scored: DataFrame, k: int, *ties: str) -> DataFrame:
@@ -29,106 +32,187 @@ def tokens_of(queries: DataFrame, docs_site: bool = False) -> DataFrame:
     return times.select("query_id", "token", "kind", (F.when(F.col("kind") == SPECIAL, 10).otherwise(1) * F.col("count")).alias("weight"))
 
 
-def lexical_scores(tokens: DataFrame, chunks: DataFrame, only: Column | None = None, block: int = TOKEN_BLOCK) -> DataFrame:
+def gram_codes(text: str) -> np.ndarray:
+    """Distinct runs of one, two and three characters of a text, each as a number."""
+    found = []
+    for at in range(0, max(1, len(text)), SLICE):
+        c = np.frombuffer(text[at : at + SLICE + 2].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
+        pairs = (c[:-1] << 21) | c[1:]
+        found.append(np.unique(np.concatenate([c, pairs, (pairs[:-1] << 21) | c[2:]])))
+    return np.unique(np.concatenate(found))
+
+
+def own_grams(token: str) -> np.ndarray:
+    """Grams that a text must have to contain a token: its runs of three characters, of a shorter token itself."""
+    codes = gram_codes(token)
+    return codes[codes >= 1 << (21 * (min(len(token), 3) - 1))]
+
+
+def gram_index(chunks: DataFrame) -> DataFrame:
+    """``gram, range``: each run of one to three lower-case characters and each range of ``GRAM_RANGE`` ids with a text of ``chunks(id, text)`` that has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                by: dict[int, list[np.ndarray]] = {}
+                for r, text in zip(whole.column(0).slice(at, 256).to_pylist(), whole.column(1).slice(at, 256), strict=True):
+                    by.setdefault(r, []).append(gram_codes(text.as_py()))
+                grams = {r: np.unique(np.concatenate(x)) for r, x in by.items()}
+                rows = np.repeat(np.array(list(grams), np.int64), [len(g) for g in grams.values()])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *grams.values()])), pa.array(rows)], ["gram", "range"])
+
+    rows = chunks.select(_gram_range(), F.lower("text").alias("text")).where("text is not null")
+    return rows.mapInArrow(run, "gram long, range long").distinct()
+
+
+def _gram_range() -> Column:
+    return F.floor(F.col("id") / GRAM_RANGE).cast("long").alias("range")
+
+
+def write_grams(chunks: DataFrame, path: str) -> None:
+    """Keep ``gram_index`` for many searches, clustered by gram."""
+    gram_index(chunks).repartitionByRange("gram", "range").sortWithinPartitions("gram", "range").write.mode("overwrite").parquet(path)
+
+
+def candidates(tokens: DataFrame, grams: DataFrame) -> DataFrame:
+    """``low, range``: for each distinct token in ``tokens(low)`` the ranges that hold the rarest of its grams; none if a gram is nowhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [own_grams(t) for t in b.column(0).to_pylist()]
+            rows = np.repeat(np.arange(len(own)), [len(g) for g in own])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(np.concatenate([np.zeros(0, np.int64), *own]))], ["low", "gram"])
+
+    asked = keep(tokens.select("low").distinct().mapInArrow(run, "low string, gram long"), "token-grams")
+    held = grams.join(asked.select("gram").distinct(), "gram", "left_semi")
+    often = held.groupBy("gram").agg(F.count("*").alias("ranges"))
+    rarest = asked.join(often, "gram", "left").groupBy("low").agg(F.min_by("gram", F.struct("ranges", "gram")).alias("gram"), F.bool_or(F.col("ranges").isNull()).alias("absent"))
+    return rarest.where("not absent").select("low", "gram").join(held, "gram").select("low", "range")
+
+
+def lexical_scores(tokens: DataFrame, chunks: DataFrame, only: Column | None = None, block: int = TOKEN_BLOCK, grams: DataFrame | None = None) -> DataFrame:
     """``query_id, id, score``: the weights of a query's tokens that a chunk's text contains, case set aside.
 
-    Distinct tokens are matched once for all queries: a task builds one automaton
-    of at most ``block`` tokens and runs each text through it, so the cost of a scan does
-    not grow with the number of queries. Hits join the queries' weights by token.
+    An index of runs of three characters (``grams``, or one made here) tells for each token by its
+    rarest run which ranges of chunks may contain it. Only these meet the token, as rows: a task
+    builds an automaton of a range's tokens, at most about ``block`` of them, and runs the range's texts through it.
     """
+    own = tokens.withColumn("low", F.lower("token")).groupBy("query_id", "low").agg(F.sum("weight").alias("weight"))
+    own = keep(own, "tokens")
+    if grams is None:
+        grams = keep(gram_index(chunks), "grams")
     if only is not None:
         chunks = chunks.where(only)
-    own = tokens.withColumn("low", F.lower("token")).groupBy("query_id", "low").agg(F.sum("weight").alias("weight"))
-    text = chunks.select("id", F.lower("text").alias("text")).where("text is not null")
-    hits, part = None, []
-    rows = own.select("low").distinct().toLocalIterator()
-    while True:
-        part = [r[0] for _, r in zip(range(block), rows)]
-        if not part and hits is not None:
-            break
-        found = text.mapInArrow(_contained(part), "id long, low string")
-        hits = found if hits is None else hits.union(found)
-        if len(part) < block:
-            break
+    number = own.agg(F.countDistinct("low")).first()[0]
+    share = F.pmod(F.xxhash64("low"), F.lit(number // block + 1)).cast("int").alias("share")
+    asked = keep(candidates(own, grams).select("range", share, "low"), "candidates")
+    text = chunks.select(_gram_range(), "id", F.lower("text").alias("text")).where("text is not null")
+    text = text.join(asked.select("range", "share").distinct(), "range")
+    both = asked.withColumn("id", F.lit(None).cast("long")).withColumn("text", F.lit(None).cast("string")).unionByName(text, allowMissingColumns=True)
+    both = both.repartition("range", "share").sortWithinPartitions("range", "share", F.col("id").asc_nulls_first())
+    hits = both.select("range", "share", "id", "low", "text").mapInArrow(_contained, "id long, low string")
     return hits.join(own, "low").groupBy("query_id", "id").agg(F.sum("weight").alias("score"))
 
 
-def _contained(part: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        tokens = ahocorasick.Automaton()
-        for t in part:
-            tokens.add_word(t, t)
-        if not part:
-            return
-        tokens.make_automaton()
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                ids, found = [], []
-                for i, text in zip(b.column(0).slice(at, 256).to_pylist(), b.column(1).slice(at, 256), strict=True):
+def _contained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of a range come first, then its texts."""
+    import ahocorasick
+
+    now, tokens = None, None
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            ids, found = [], []
+            for r, share, i, low, text in zip(*whole.slice(at, 256).columns, strict=True):
+                key = r.as_py(), share.as_py()
+                if key != now:
+                    now, tokens = key, ahocorasick.Automaton()
+                if not i.is_valid:
+                    tokens.add_word(low.as_py(), low.as_py())
+                    continue
+                if tokens.kind == ahocorasick.TRIE:
+                    tokens.make_automaton()
+                if tokens.kind == ahocorasick.AHOCORASICK:
                     new = {t for _, t in tokens.iter(text.as_py())}
-                    ids += [i] * len(new)
+                    ids += [i.as_py()] * len(new)
                     found += new
+            if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["id", "low"])
 
-    return run
-
 
-def lexical(queries: DataFrame, chunks: DataFrame, k: int, docs_site: bool = False, only: Column | None = None) -> DataFrame:
-    """``query_id, rank, id, score`` of the ``k`` best chunks of positive score."""
-    return top(lexical_scores(tokens_of(queries, docs_site), chunks, only), k)
+def lexical(queries: DataFrame, chunks: DataFrame, k: int, docs_site: bool = False, only: Column | None = None, grams: DataFrame | None = None) -> DataFrame:
+    """``query_id, rank, id, score`` of the ``k`` best chunks of positive score; ``grams``: a kept ``gram_index`` of these chunks or more."""
+    return top(lexical_scores(tokens_of(queries, docs_site), chunks, only, grams=grams), k)
 
 
-def semantic(queries: DataFrame, chunks: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+def semantic(queries: DataFrame, chunks: DataFrame, k: int, block: int = BLOCK, part: int = PART) -> DataFrame:
     """``query_id, rank, id, score`` of the ``k`` chunks of largest cosine; exact.
 
-    ``queries`` has ``query_id, vec``, ``chunks`` has ``id, vec``, of one length. Query vectors go
-    out in blocks of a fixed number; each task multiplies its chunks with a block
-    and keeps ``k`` for each query. Null and zero vectors take no part.
+    ``queries`` has ``query_id, vec``, ``chunks`` has ``id, vec``, of one length. Both are dealt out by hash, queries
+    to blocks and chunks to parts. Each block meets each part in a task that multiplies the two
+    and keeps ``k`` for each query. Null and zero vectors take no part, nor do queries without an id.
     """
-    spark = chunks.sparkSession
-    rows = queries.where("vec is not null").orderBy("query_id").toLocalIterator()
-    found, part, spent = None, [], False
-    while not spent:
-        part = []
-        for r in rows:
-            part.append((r["query_id"], r["vec"]))
-            if len(part) == block:
-                break
-        spent = len(part) < block
-        if part:
-            hits = chunks.where("vec is not null").select("id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(_best(part, k), "query_id long, id long, score double")
-            found = hits if found is None else found.union(hits)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, id long, score double, rank int").select("query_id", "rank", "id", "score")
-    return top(found, k).select("query_id", "rank", "id", "score")
-
-
-def _best(part: list[tuple[int, list[float]]], k: int):
-    ids = np.array([q for q, _ in part], np.int64)
-    vectors = np.array([v for _, v in part], float)
-    norms = np.linalg.norm(vectors, axis=1)
-    ids, vectors = ids[norms > 0], vectors[norms > 0] / norms[norms > 0, None]
+    asks = queries.where("vec is not null and query_id is not null").select("query_id", F.col("vec").cast("array<double>").alias("vec"))
+    rows = chunks.where("vec is not null").select("id", F.col("vec").cast("array<double>").alias("vec"))
+    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    blocks, parts = asks.count() // block + 1, (rows.count() // (part * tasks) + 1) * tasks
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asks = asks.select(own("query_id", blocks).alias("block"), each(parts).alias("part"), F.col("query_id"), F.lit(None).cast("long").alias("id"), "vec")
+    rows = rows.select(each(blocks).alias("block"), own("id", parts).alias("part"), F.lit(None).cast("long").alias("query_id"), "id", "vec")
+    both = asks.unionByName(rows).repartitionById(tasks, F.pmod(F.col("part") + F.col("block"), F.lit(tasks)).cast("int"))
+    both = both.sortWithinPartitions("block", "part", F.col("id").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_id = np.zeros((len(ids), 0), np.int64)
-        best = np.zeros((len(ids), 0))
+        now, held, best = None, [], None
         for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            x = np.array(b.column(1).to_pylist(), float)
-            norm = np.linalg.norm(x, axis=1)
-            own = b.column(0).to_numpy(zero_copy_only=False)[norm > 0]
-            scores = vectors @ (x[norm > 0] / norm[norm > 0, None]).T
-            both = np.concatenate([best, scores], 1)
-            both_id = np.concatenate([best_id, np.broadcast_to(own, scores.shape)], 1)
-            order = np.lexsort((both_id, -both), axis=1)[:, :k]
-            best, best_id = np.take_along_axis(both, order, 1), np.take_along_axis(both_id, order, 1)
-        if best.size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(best_id.ravel()), pa.array(best.ravel())], ["query_id", "id", "score"])
-
-    return run
+            keys = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("block", "part")] + [np.array(b.column("id").is_valid(), np.int64)], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if e == s:
+                    continue
+                if now != tuple(keys[s, :2]):
+                    if best is not None:
+                        yield from best.rows()
+                    now, held, best = tuple(keys[s, :2]), [], None
+                piece = b.slice(s, e - s)
+                if not keys[s, 2]:
+                    held.append(piece)
+                elif held:
+                    best = best or _Best(held, k)
+                    best.add(piece)
+        if best is not None:
+            yield from best.rows()
+
+    return top(both.mapInArrow(run, "query_id long, id long, score double"), k).select("query_id", "rank", "id", "score")
+
+
+def _unit(pieces: list[pa.RecordBatch], name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of the rows that are not zero."""
+    ids = np.concatenate([b.column(name).to_numpy(zero_copy_only=False) for b in pieces]).astype(np.int64)
+    x = np.concatenate([b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for b in pieces])
+    norm = np.linalg.norm(x, axis=1)
+    return ids[norm > 0], x[norm > 0] / norm[norm > 0, None]
+
+
+class _Best:
+    """The ``k`` chunks of largest cosine for each query of a block, as parts of chunks go by."""
+
+    def __init__(self, queries: list[pa.RecordBatch], k: int) -> None:
+        self.ids, self.vectors = _unit(queries, "query_id")
+        self.k, self.score, self.best = k, np.zeros((len(self.ids), 0)), np.zeros((len(self.ids), 0), np.int64)
+
+    def add(self, rows: pa.RecordBatch, step: int = 1024) -> None:
+        for at in range(0, rows.num_rows, step):
+            ids, x = _unit([rows.slice(at, step)], "id")
+            scores = self.vectors @ x.T
+            both = np.concatenate([self.score, scores], 1)
+            both_id = np.concatenate([self.best, np.broadcast_to(ids, scores.shape)], 1)
+            order = np.lexsort((both_id, -both), axis=1)[:, : self.k]
+            self.score, self.best = np.take_along_axis(both, order, 1), np.take_along_axis(both_id, order, 1)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.best.size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, self.best.shape[1])), pa.array(self.best.ravel()), pa.array(self.score.ravel())], ["query_id", "id", "score"])
 
 
 def fuse(has_special: DataFrame, lexical_hits: DataFrame, semantic_hits: DataFrame, limit: int) -> DataFrame:
@@ -156,9 +240,9 @@ def special_flags(queries: DataFrame, docs_site: bool = False) -> DataFrame:
     return queries.select("query_id", F.exists(query_tokens(F.col("text"), docs_site), lambda t: t["kind"] == SPECIAL).alias("special"))
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, limit: int = 3, docs_site: bool = False) -> DataFrame:
+def hybrid(queries: DataFrame, chunks: DataFrame, limit: int = 3, docs_site: bool = False, grams: DataFrame | None = None) -> DataFrame:
     """Lexical and semantic hits under conditional fusion; ``queries(query_id, text, vec)``, ``chunks(id, text, vec)``."""
-    lex = lexical(queries, chunks, 2 * limit, docs_site)
+    lex = lexical(queries, chunks, 2 * limit, docs_site, grams=grams)
     return fuse(special_flags(queries, docs_site), lex, semantic(queries, chunks, 2 * limit), limit)
 
 

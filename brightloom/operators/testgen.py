@@ -11,8 +11,9 @@ COUNT, PROPERTY_COUNT = 25, 10
 
 
 def _draw(seed: int, *key: Column) -> Column:
-    """A number in [0, 1) that depends on the key alone, under any partitioning."""
-    return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 53)) / float(1 << 53)
+    """A number in [0, 1) that depends on the key alone: the first 13 hexadecimal digits of the MD5 of seed and key, joined by ``|``."""
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key]).cast("binary")), 1, 13)
+    return F.conv(digits, 16, 10).cast("double") / float(1 << 52)
 
 
 def literal(value: Column, kind: Column, lang: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.operators.extract import MANUAL, extract_chunks
@@ -18,18 +18,30 @@ def changed_pages(pages: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.join(stored, ["url", "hash"], "left_anti").drop("hash")
 
 
+def latest(hashes: DataFrame) -> DataFrame:
+    """``url, hash, batch``: the last batch that indexed each page of ``hashes(url, hash, batch)``, and what it was then."""
+    return hashes.groupBy("url").agg(F.max_by("hash", "batch").alias("hash"), F.max("batch").alias("batch"))
+
+
+def current_chunks(spark: SparkSession, hashes: str, chunks: str) -> DataFrame:
+    """The chunks that a stream wrote, of each page those of its last change."""
+    last = latest(spark.read.parquet(f"{hashes}/*").select("url", "hash", F.col("batch").cast("int").alias("batch"))).select(F.col("url").alias("source"), "batch")
+    return spark.read.parquet(chunks).withColumn("batch", F.col("batch").cast("int")).join(last, ["source", "batch"], "left_semi").drop("batch")
+
+
 def reindex_stream(pages: DataFrame, hashes: str, chunks: str, checkpoint: str, flavour: str = MANUAL):
     """Start a stream that extracts each micro-batch's changed pages.
 
     Each batch writes its own folder, so a batch that runs again replaces its
-    own output and nothing is written twice.
+    own output and nothing is written twice. A page counts as changed against its last state, so one that goes back to
+    an earlier state is indexed again; ``current_chunks`` reads what counts.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch = batch.dropDuplicates(["url"])
         try:
-            stored = spark.read.parquet(f"{hashes}/*").where(F.col("batch") < number).select("url", "hash")
+            stored = latest(spark.read.parquet(f"{hashes}/*").where(F.col("batch") < number)).select("url", "hash")
         except Exception as e:  # the first batch has nothing stored
             if "PATH_NOT_FOUND" not in str(e):
                 raise

@@ -121,7 +121,8 @@ def test_accepted(spark):
 def test_benchmark(spark):
     runs = [("p", "original", 1, 2.0, 10), ("p", "original", 2, 4.0, 10), ("p", "m", 1, 1.0, 5), ("p", "m", 2, 2.0, 5), ("q", "m", 1, 1.0, 1), ("r", "original", 1, 1.0, 1)]
     df = spark.createDataFrame(runs, "name string, model string, rep int, cpu_s double, mem_b long")
-    assert rows(results.benchmark(df)) == [("p", "m", 1.5, 5.0, 2.0, 2.0, [1.0, 2.0])]
+    assert rows(results.benchmark(df, raw=5)) == [("p", "m", 1.5, 5.0, 2.0, 2.0, 2, 1.0, 2.0, 1.0, [1.0, 2.0])]
+    assert rows(results.benchmark(df, raw=1).select("raw_time")) == [([1.0],)] and "raw_time" not in results.benchmark(df).columns
     none = spark.createDataFrame([], "name string, model string")
     assert rows(results.benchmark(df, none)) == []
 

@@ -72,4 +72,9 @@ def test_reindex_stream(spark, tmp_path):
 
     assert batch((0, "u1", f"<p>{x}</p>"), (1, "u2", f"<p>{x}</p>")) == ["u1", "u2"]
     assert batch((0, "u1", f"<p>{x}</p>"), (2, "u3", f"<p>{x}</p>")) == ["u1", "u2", "u3"]
+    # A page that changes and changes back is indexed each time, and its last chunks count.
+    assert len(batch((0, "u1", f"<p>{x}y</p>"))) == 4
+    assert len(batch((0, "u1", f"<p>{x}</p>"))) == 5
+    got = reindex.current_chunks(spark, str(tmp_path / "h"), str(tmp_path / "c"))
+    assert sorted((r["source"], r["text"]) for r in got.collect()) == [("u1", x), ("u2", x), ("u3", x)]
     assert extract.page_chunks(None) == []
