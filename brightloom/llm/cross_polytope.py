@@ -7,6 +7,10 @@ buckets whose axes it is nearest to, the best over all tables, and the vectors f
 candidates, which an exact inner product ranks. The part of the table that a query is
 compared with falls as the table grows.
 
+How many buckets a query probes is measured, for each length of vectors: some queries are answered exactly, and
+probes are doubled until they find enough of those answers. Where probes would have to reach
+too many of the buckets, as they do for wide vectors without structure, every query meets every vector.
+
 Vectors are filed by direction alone, so one large norm moves no other vector.
 The few vectors with the largest norms, which may win at wide angles, and all
 vectors of a length with few of them are met by every query. So is the whole
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +32,14 @@ from .common import materialize, partitions
 from .vectors import by_length, is_valid, matrix
 
 TABLES = 16
-#: Probes of a query, over all tables, are this part of a table's buckets at BASE_ROWS vectors, and fall
-#: with the power FALL of their number. On random vectors of 64 components they find over 0.9 of the nearest 20.
-SHARE, BASE_ROWS, FALL = 0.3, 2000, 0.36
-#: Vectors for each bucket that a further polytope is added beyond, and axes of a polytope that a query tries.
-PER_BUCKET, TRIED = 64, 48
+#: Part of the nearest that probes must find on the measured queries, of which there are so many for each length.
+RECALL, MEASURED = 0.92, 96
+#: Probes of a query to begin with, and the part of all tables' buckets beyond which every vector is met instead.
+PROBES, MOST = 64, 1 / 16
+#: Vectors for each bucket beyond which buckets are split by a further polytope, whose axes double from 2.
+PER_BUCKET = 64
+#: Probes that are looked for at once, over the queries of a batch.
+CELLS = 1 << 20
 NEAREST = 20
 #: Vectors of a run of buckets that one task compares at once; one of more than twice as many is dealt out in parts.
 PART = 4096
@@ -42,15 +50,18 @@ STEP, STEPS = 1.02, 1000
 SEED = 7
 
 
+@lru_cache(16)
+def _signs(d: int) -> np.ndarray:
+    """Walsh-Hadamard matrix of a small order."""
+    return np.ones((1, 1)) if d == 1 else np.kron(_signs(d // 2), np.array([[1.0, 1.0], [1.0, -1.0]]))
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Orthonormal Walsh-Hadamard transform of each row, of a power of two."""
+    """Orthonormal Walsh-Hadamard transform of each row, of a power of two: the transform of a grid's columns after that of its rows."""
     n, d = x.shape
-    step = 1
-    while step < d:
-        y = x.reshape(n, d // (2 * step), 2, step)
-        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], 2).reshape(n, d)
-        step *= 2
-    return x / np.sqrt(d)
+    b = 1 << (d.bit_length() // 2)
+    grid = x.reshape(n * (d // b), b) @ _signs(b)
+    return np.matmul(_signs(d // b), grid.reshape(n, d // b, b)).reshape(n, d) / np.sqrt(d)
 
 
 def rotated(x: np.ndarray, table: int, rounds: int = 3) -> np.ndarray:
@@ -69,68 +80,114 @@ def prepared(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def scheme(n: int, width: int, share: float = SHARE) -> tuple[int, int]:
-    """Polytopes in a row and probes of a query for ``n`` vectors of a padded width."""
+def shape(n: int, width: int) -> tuple[int, ...]:
+    """Signed axes of each polytope in a row, for ``n`` vectors of a padded width: the last has as few as will do, so buckets grow by 2 at most.
+
+    Small tables have about a bucket for each vector, up to two whole polytopes; larger ones one for ``PER_BUCKET`` vectors.
+    """
     axes = 2 * width
-    levels = max(2, math.ceil(math.log(max(n / PER_BUCKET, 1)) / math.log(axes)))
-    part = min(1.0, share * (max(n, 1) / BASE_ROWS) ** -FALL)
-    return levels, max(1, round(part * axes**levels))
+    need = max(n / PER_BUCKET, min(n, axes * axes), 2)
+    found, buckets = [], 1
+    while buckets < need:
+        found.append(min(axes, 1 << max(1, math.ceil(math.log2(need / buckets)))))
+        buckets *= found[-1]
+    return tuple(found)
 
 
-def _axes(p: np.ndarray, table: int, level: int, levels: int) -> np.ndarray:
-    y = rotated(p, table * levels + level)
+def _axes(p: np.ndarray, table: int, level: int, axes: int) -> np.ndarray:
+    y = rotated(p, table * 64 + level)[:, : axes // 2]
     return np.concatenate([y, -y], 1)
 
 
-def bucket_of(p: np.ndarray, table: int, levels: int) -> np.ndarray:
+def bucket_of(p: np.ndarray, table: int, polytopes: tuple[int, ...]) -> np.ndarray:
     """Bucket of each prepared row in a table."""
     code = np.zeros(len(p), np.int64)
-    for level in range(levels):
-        code = code * 2 * p.shape[1] + _axes(p, table, level, levels).argmax(1)
+    for level, axes in enumerate(polytopes):
+        code = code * axes + _axes(p, table, level, axes).argmax(1)
     return code
 
 
-def probes_of(p: np.ndarray, tables: int, levels: int, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, table, bucket) of the probes of each prepared row: the buckets of the largest sums of coordinates."""
-    scores, codes = [], []
+def probes_of(p: np.ndarray, tables: int, polytopes: tuple[int, ...], probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, table, bucket) of the probes of each prepared row: the buckets of the largest sums of coordinates, best first in a row.
+
+    Of sorted parts and sorted axes only places (i, j) with (i + 1)(j + 1) <= probes can make one of the best sums, so
+    no axis is left out. Memory goes with rows times probes.
+    """
+    all_score = np.zeros((len(p), 0))
+    all_code = np.zeros((len(p), 0), np.int64)
+    buckets = math.prod(polytopes)
     for t in range(tables):
         best, code = np.zeros((len(p), 1)), np.zeros((len(p), 1), np.int64)
-        for level in range(levels):
-            y = _axes(p, t, level, levels)
-            tried = np.argpartition(-y, min(TRIED, y.shape[1]) - 1, axis=1)[:, :TRIED]
-            best = (best[:, :, None] + np.take_along_axis(y, tried, 1)[:, None, :]).reshape(len(p), -1)
-            code = (code[:, :, None] * y.shape[1] + tried[:, None, :]).reshape(len(p), -1)
-            if best.shape[1] > probes:
-                top = np.argpartition(-best, probes - 1, axis=1)[:, :probes]
-                best, code = np.take_along_axis(best, top, 1), np.take_along_axis(code, top, 1)
-        scores.append(best)
-        codes.append(code)
-    each = scores[0].shape[1]
-    score, code = np.concatenate(scores, 1), np.concatenate(codes, 1)
-    take = min(probes, score.shape[1])
-    top = np.argpartition(-score, take - 1, axis=1)[:, :take]
-    return np.repeat(np.arange(len(p)), take), (top // each).ravel(), np.take_along_axis(code, top, 1).ravel()
-
-
-def _filed(vectors: DataFrame, counts: dict[int, int], query: bool, tables: int, share: float, part: int, with_vectors: bool = True) -> DataFrame:
+        for level, axes in enumerate(polytopes):
+            y = _axes(p, t, level, axes)
+            order = np.argsort(-y, axis=1, kind="stable")
+            y = np.take_along_axis(y, order, 1)
+            number = np.minimum(probes // np.arange(1, axes + 1), best.shape[1])
+            number = number[number > 0]
+            j = np.repeat(np.arange(len(number)), number)
+            i = np.arange(len(j)) - np.repeat(np.cumsum(number) - number, number)
+            best, code = best[:, i] + y[:, j], code[:, i] * axes + order[:, j]
+            top = np.argsort(-best, axis=1, kind="stable")[:, :probes]
+            best, code = np.take_along_axis(best, top, 1), np.take_along_axis(code, top, 1)
+        all_score, all_code = np.concatenate([all_score, best], 1), np.concatenate([all_code, code + t * buckets], 1)
+        top = np.argsort(-all_score, axis=1, kind="stable")[:, :probes]
+        all_score, all_code = np.take_along_axis(all_score, top, 1), np.take_along_axis(all_code, top, 1)
+    return np.repeat(np.arange(len(p)), all_code.shape[1]), (all_code // buckets).ravel(), (all_code % buckets).ravel()
+
+
+def at_once(probes: int) -> int:
+    """Queries whose probes are looked for together."""
+    return max(1, min(128, CELLS // (8 * probes)))
+
+
+def measured(queries: np.ndarray, near: list[np.ndarray], n: int, tables: int, wanted: float = RECALL, most: float = MOST) -> int | None:
+    """Probes with which queries find the wanted part of the vectors near them, by doubling and halving; None beyond ``most`` of the buckets."""
+    p, other = prepared(queries), prepared(np.concatenate(near))
+    polytopes = shape(n, p.shape[1])
+    owner = np.repeat(np.arange(len(near)), [len(x) for x in near])
+    codes = np.stack([bucket_of(other, t, polytopes) + t * math.prod(polytopes) for t in range(tables)], 1)
+    buckets = math.prod(polytopes)
+
+    def enough(probes: int) -> bool:
+        hit, step = 0, at_once(probes)
+        for at in range(0, len(p), step):
+            row, table, code = probes_of(p[at : at + step], tables, polytopes, probes)
+            key = code + table * buckets
+            for i in range(len(p[at : at + step])):
+                hit += np.isin(codes[owner == at + i], key[row == i]).any(1).sum()
+        return hit >= wanted * len(other)
+
+    low, high = 0, PROBES
+    while not enough(high):
+        low, high = high, 2 * high
+        if high > most * tables * buckets:
+            return None
+    for _ in range(3):  # to within an eighth
+        middle = (low + high) // 2
+        low, high = (low, middle) if enough(middle) else (middle, high)
+    return high
+
+
+def _filed(vectors: DataFrame, counts: dict[int, int], probing: dict[int, int], query: bool, tables: int, part: int, with_vectors: bool = True) -> DataFrame:
     """``key, vec_id, vec, codes``: a row for each table, or for each run of buckets that a query probes with the buckets it probes there.
 
     A key is a run of a table's buckets with about ``part`` vectors. Without vectors ``key`` alone.
     """
+    together = min(map(at_once, probing.values())) if query else 1024
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 128 if query else 1024):
-                b = whole.slice(at, 128 if query else 1024)
+            for at in range(0, whole.num_rows, together):
+                b = whole.slice(at, together)
                 for rows, x in by_length(b, "vec"):
                     p, n = prepared(x), counts[x.shape[1]]
-                    levels, probes = scheme(n, p.shape[1], share)
-                    buckets, blocks = (2 * p.shape[1]) ** levels, max(1, -(-n // part))
+                    polytopes = shape(n, p.shape[1])
+                    buckets, blocks = math.prod(polytopes), max(1, -(-n // part))
                     if query:
-                        row, table, code = probes_of(p, tables, levels, probes)
+                        row, table, code = probes_of(p, tables, polytopes, probing[x.shape[1]])
                     else:
                         row, table = np.tile(np.arange(len(p)), tables), np.repeat(np.arange(tables), len(p))
-                        code = np.concatenate([bucket_of(p, t, levels) for t in range(tables)])
+                        code = np.concatenate([bucket_of(p, t, polytopes) for t in range(tables)])
                     key = (x.shape[1] * tables + table) * blocks + code * blocks // buckets
                     order = np.lexsort((code, key, row))
                     row, key, code = row[order], key[order], code[order]
@@ -304,8 +361,30 @@ def _floors(rows: DataFrame, heavy: int) -> tuple[dict[int, float | None], dict[
     return {size: 0.0 if held[size] <= heavy else floor for size, floor in floors.items()}, held
 
 
+def _probing(filed: DataFrame, asked: DataFrame, hashed: list[int], sizes: dict[int, int], k: int, tables: int, part: int) -> dict[int, int | None]:
+    """For each hashed vector length the probes of a query, measured on ``MEASURED`` queries; None: every query meets every vector.
+
+    At most ``MEASURED`` queries of each length and their ``k`` nearest pass through the driver.
+    """
+    turn = F.row_number().over(Window.partitionBy("size").orderBy(F.xxhash64("vec_id")))
+    some = asked.where(F.col("size").isin(hashed)).withColumn("turn", turn).where(F.col("turn") <= MEASURED)
+    some = materialize(some.select("vec_id", "vec").dropDuplicates(["vec_id"]), "measured")
+    best = _best(_scored(_every(filed.select("vec_id", "vec"), some, part), k), k).select("query_id", "vec_id")
+    pairs = best.join(some.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q")), "query_id")
+    pairs = pairs.join(filed.select("vec_id", "vec"), "vec_id").select("query_id", "q", "vec").collect()
+    found: dict[int, int | None] = dict.fromkeys(hashed)
+    for size in hashed:
+        by: dict[int, tuple[list, list]] = {}
+        for r in pairs:
+            if len(r["q"]) == size:
+                by.setdefault(r["query_id"], (r["q"], []))[1].append(r["vec"])
+        if by:
+            found[size] = measured(np.array([q for q, _ in by.values()], float), [np.array(x, float) for _, x in by.values()], sizes[size], tables)
+    return found
+
+
 def nearest(
-    vectors: DataFrame, is_query: Column, k: int = NEAREST, tables: int = TABLES, share: float = SHARE, part: int = PART, heavy: int = HEAVY
+    vectors: DataFrame, is_query: Column, k: int = NEAREST, tables: int = TABLES, probes: int | None = None, part: int = PART, heavy: int = HEAVY
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each query row of ``vectors(vec_id, embedding)``.
 
@@ -313,7 +392,7 @@ def nearest(
     components. Vectors that are null, empty, zero or hold null or non-finite
     components, and rows with a null vec_id, take no part. Scores are inner products in double
     precision, ties go to the smaller id; an id that repeats comes out once. Other columns are ignored.
-    A query has ``k`` rows unless there are fewer candidates.
+    A query has ``k`` rows unless there are fewer candidates. ``probes`` sets their number; by default it is measured.
 
     A run of buckets with more than twice ``part`` vectors is split by hash into parts, each met by all
     queries that probe the run. Runs are counted before vectors are filed, so
@@ -330,17 +409,25 @@ def nearest(
     spark = rows.sparkSession
     bounds = F.broadcast(spark.createDataFrame(list(floors.items()), "size int, floor double"))  # a row for each vector length
     rows = rows.join(bounds, "size")
-    every, filed = rows.where("norm >= floor"), rows.where("floor is null or norm < floor")
     hashed = [size for size, floor in floors.items() if floor != 0.0]
+    if hashed:
+        filed = rows.where("floor is null or norm < floor")
+        probing = _probing(filed, rows.where(is_query), hashed, sizes, k, tables, part) if probes is None else dict.fromkeys(hashed, probes)
+        floors |= {size: 0.0 for size, number in probing.items() if number is None}
+        probing = {size: number for size, number in probing.items() if number is not None}
+        hashed = list(probing)
+        bounds = F.broadcast(spark.createDataFrame(list(floors.items()), "size int, floor double"))
+        rows = rows.drop("floor").join(bounds, "size")
+    every, filed = rows.where("norm >= floor"), rows.where("floor is null or norm < floor")
     met = [_scored(_every(every, rows.where(is_query), part), k)] if any(floor is not None for floor in floors.values()) or not hashed else []
     if not hashed:
         return _best(met[0], k)
 
-    counts = _filed(filed, sizes, False, tables, share, part, with_vectors=False).groupBy("key").count().where(F.col("count") > 2 * part)
+    counts = _filed(filed, sizes, probing, False, tables, part, with_vectors=False).groupBy("key").count().where(F.col("count") > 2 * part)
     parts = materialize(counts.select("key", F.ceil(F.col("count") / part).cast("int").alias("parts")), "buckets")
     many = F.coalesce("parts", F.lit(1))
-    index = _filed(filed, sizes, False, tables, share, part).join(parts, "key", "left").withColumn("part", F.pmod(F.xxhash64("vec_id"), many).cast("int"))
-    asked = _filed(rows.where(is_query), sizes, True, tables, share, part).join(parts, "key", "left")
+    index = _filed(filed, sizes, probing, False, tables, part).join(parts, "key", "left").withColumn("part", F.pmod(F.xxhash64("vec_id"), many).cast("int"))
+    asked = _filed(rows.where(is_query).where(F.col("size").isin(hashed)), sizes, probing, True, tables, part).join(parts, "key", "left")
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), many - 1)))
     both = index.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)))
     found = _probed(both.select("key", "part", "vec_id", "vec", "codes", "asks"), k)
