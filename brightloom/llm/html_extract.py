@@ -26,6 +26,8 @@ from .common import materialize
 PATHS, SHARE = 3, 0.05
 #: A host path's text must be at least this part of the page's text outside links and dropped parts to stand alone.
 COVER = 0.4
+#: Characters of a block of running text at least.
+RUNNING = 25
 #: Text beside a container belongs to the same article if less than this part of it is in links.
 LINKED = 0.33
 
@@ -47,18 +49,25 @@ BLOCK = frozenset(
 CONTAINER = frozenset("article body blockquote center dd details div fieldset main section table tbody td tr ul ol dl html figure".split())
 DROPPED = frozenset("nav header footer aside form head button select option optgroup dialog menu search fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
-#: Words that mark a part of a page as no part of its article, first or last in a name.
+#: Words that mark a part of a page as no part of its article, in a name that is made of them and of words for a box.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo banner cookie cookies "
     "consent gdpr sidebar aside nav navbar navigation menu breadcrumb breadcrumbs pagination pager "
     "footer header masthead toolbar comment comments commentlist disqus newsletter subscribe widget widgets popup modal".split()
 )
-#: Words that do so only where the whole name is made of them and of marks, or of words for a box.
+#: Further such words, which are about what a reader may do.
 WEAK = frozenset(
     "promotion notice notices notification alert side respond replies reply share sharing social related recommended "
     "subscription signup login search overlay form skip".split()
 )
-BOX = frozenset("bar box links link list block panel section area container wrapper button buttons icons items posts articles stories top bottom left right site page main".split())
+BOX = frozenset(
+    "bar box links link list block panel section area container wrapper button buttons icons items posts articles stories top bottom left right site page main "
+    "slot unit space zone holder placeholder inner outer wrap primary secondary global mobile desktop header footer message messages form thread reader user users the by and".split()
+)
+#: Headings are no part by their own name: a widget's goes with the widget.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Dropped elements that may stand around a whole page: one that holds most of its running text is not dropped.
+AROUND = frozenset("form fieldset".split())
 KEPT = frozenset("html body main article".split())
 #: Containers that stand within an article, never for a whole one.
 PARTS = frozenset("section blockquote ul ol dl dd li table tbody tr center details figure".split())
@@ -67,12 +76,13 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 
 
 def _marked(name: str) -> bool:
-    """Whether a class or id names a part outside the article: a marked word first or last in the name, or only weak ones and boxes."""
+    """Whether a class or id names a part outside the article: all its words are marks or boxes, and one is a mark."""
     parts = re.split(r"[-_]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
-    parts = [p.rstrip("0123456789") or p for p in parts if p]
+    parts = [p.rstrip("0123456789") for p in parts if p]
+    parts = [p for p in parts if p]
     if not parts or parts[0] in ("has", "with", "no", "is", "without", "not"):
         return False
-    return parts[0] in MARKS or parts[-1] in MARKS or (any(p in WEAK for p in parts) and all(p in WEAK or p in BOX for p in parts))
+    return any(p in MARKS or p in WEAK for p in parts) and all(p in MARKS or p in WEAK or p in BOX for p in parts)
 
 
 #: Parameters of the method: open elements that are told apart and levels that a path names; what lies deeper belongs to the last of them,
@@ -81,19 +91,37 @@ DEPTH, PATH_DEPTH = 256, 40
 
 
 class _Element:
-    __slots__ = ("deep", "dropped", "path", "tag")
+    __slots__ = ("around", "deep", "dropped", "path", "tag")
 
-    def __init__(self, tag: str, path: str, dropped: bool) -> None:
+    def __init__(self, tag: str, path: str, dropped: bool, around: int = 0) -> None:
         self.tag, self.path, self.dropped = tag, path, dropped
+        self.around = around  # number of the form or the like that it is dropped with, and for no other reason
         self.deep: dict[str, int] | None = None  # elements not told apart around it
 
 
-def blocks(html: str) -> Iterator[tuple[tuple[_Element, ...], str, int]]:
-    """(open elements, text, characters in links) of each block of shown text outside dropped parts, in page order."""
+def blocks(html: str) -> list[tuple[tuple[_Element, ...], str, int]]:
+    """(open elements, text, characters in links) of each block of shown text outside dropped parts, in page order.
+
+    A form or the like that holds more than half of the running text outside links stands around the page, and counts as a division.
+    """
+    found = list(_blocks(html))
+    inside: dict[int, int] = defaultdict(int)
+    total = 0
+    for stack, words, link in found:
+        size = len(words) - link if len(words) >= RUNNING else 0
+        total += size
+        inside[stack[-1].around] += size
+    own = {n for n, size in inside.items() if n and 2 * size > total}
+    return [b for b in found if not b[0][-1].around or b[0][-1].around in own]
+
+
+def _blocks(html: str) -> Iterator[tuple[tuple[_Element, ...], str, int]]:
+    """As ``blocks``, with those that are dropped only because of a form or the like around them, which ``around`` numbers."""
     stack: list[_Element] = [_Element("", "", False)]
     text: list[str] = []
     deep: dict[str, int] = defaultdict(int)  # open elements below the last that is told apart
-    link, in_link, at, n = 0, False, 0, len(html)
+    link, in_link, at, n, forms = 0, False, 0, len(html), 0
+    unended: set[str] = set()
 
     def flush() -> Iterator[tuple[tuple[_Element, ...], str, int]]:
         nonlocal link
@@ -119,7 +147,10 @@ def blocks(html: str) -> Iterator[tuple[tuple[_Element, ...], str, int]]:
         if tag:
             tag = tag.lower()
             if tag in RAW:
-                close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(html, at) if not m[3].endswith("/") or tag in ("script", "style", "title", "textarea") else None
+                hides = tag not in unended and (not m[3].endswith("/") or tag in ("script", "style", "title", "textarea"))
+                close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(html, at) if hides else None
+                if hides and not close:
+                    unended.add(tag)  # no end further on: not looked for again
                 if close:
                     at = close.end()
                 elif tag not in DRAWN:
@@ -142,7 +173,8 @@ def blocks(html: str) -> Iterator[tuple[tuple[_Element, ...], str, int]]:
                             break
                         if stack[k].tag in ("ul", "ol", "dl", "table", "select", "menu"):
                             break
-                attrs, names, dropped = m[3], "", tag in DROPPED
+                attrs, names, dropped = m[3], "", tag in DROPPED and not (tag == "header" and any(e.tag == "article" for e in stack))
+                around, dropped = dropped and tag in AROUND, dropped and tag not in AROUND
                 if attrs and len(attrs) > 3:
                     for a in _CLASS.finditer(attrs):
                         key, value = a[1].lower(), (a[2] or "").strip("\"'")
@@ -150,7 +182,7 @@ def blocks(html: str) -> Iterator[tuple[tuple[_Element, ...], str, int]]:
                             names = "." + ".".join(sorted(re.sub(r"\d+", "#", value.lower()).split())) if value.split() else ""
                         if tag not in KEPT:
                             if key in ("class", "id"):
-                                dropped = dropped or any(map(_marked, value.split()))
+                                dropped = dropped or (tag not in HEADINGS and any(map(_marked, value.split())))
                             elif key == "role":
                                 dropped = dropped or value.lower() in ROLES
                             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower()):
@@ -160,7 +192,8 @@ def blocks(html: str) -> Iterator[tuple[tuple[_Element, ...], str, int]]:
                     deep[tag] += tag != "p"
                     continue
                 path = f"/{tag}" if tag in ("html", "body", "head") else f"{top.path}/{tag}{names}" if len(stack) <= PATH_DEPTH else top.path
-                stack.append(_Element(tag, path, dropped or (top.dropped and tag != "body")))
+                forms += around
+                stack.append(_Element(tag, path, dropped or (top.dropped and tag != "body"), top.around or (forms if around else 0)))
                 stack[-1].deep, deep = deep, defaultdict(int)
         elif closing:
             tag = closing.lower()
@@ -189,7 +222,7 @@ def _containers(found: list[tuple[tuple[_Element, ...], str, int]]) -> dict[str,
         for e in {e.path for e in inside}:
             by[e][1] += len(words)
             by[e][2] += link
-        if len(words) >= 25 and inside:
+        if len(words) >= RUNNING and inside:
             points = (1 + min(words.count(",") + words.count(". "), 8) * 0.5 + min(len(words) / 100, 5)) * (1 - link / len(words))
             for k, e in enumerate(reversed(inside[-3:])):
                 by[e.path][0] += points * (1.0, 0.5, 0.25)[k]
@@ -198,7 +231,11 @@ def _containers(found: list[tuple[tuple[_Element, ...], str, int]]) -> dict[str,
 
 def best_paths(html: str | None, most: int = 5) -> list[tuple[str, float]]:
     """The page's leading container paths and their shares of its vote."""
-    by = _containers(list(blocks(html or "")))
+    return _leading(blocks(html or ""), most)
+
+
+def _leading(found: list[tuple[tuple[_Element, ...], str, int]], most: int) -> list[tuple[str, float]]:
+    by = _containers(found)
     scored = sorted(((p, x[0] * (1 - x[2] / x[1])) for p, x in by.items() if x[0] > 0), key=lambda s: (-s[1], s[0]))[:most]
     total = sum(s for _, s in scored)
     return [(p, s / total) for p, s in scored] if total else []
@@ -244,10 +281,10 @@ def main_text(html: str | None, paths: list[str]) -> str:
     Where the page's own best container lies around the path, it is taken instead; where
     the path holds too little of the page, both are. Without any it is the own best container.
     """
-    found = list(blocks(html or ""))
+    found = blocks(html or "")
     if not found:
         return ""
-    best = best_paths(html, 1)
+    best = _leading(found, 1)
     own = best[0][0] if best else ""
     need = COVER * sum(len(w) - link for _, w, link in found)
     around = own if own not in ("", "/body", "/html") else ""
