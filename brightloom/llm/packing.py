@@ -16,6 +16,7 @@ the program's part is that few documents are cut.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,9 +33,7 @@ from .encoding import encoder
 CAPACITY = 1024
 END_ID = 0
 #: Gap between the program's value and its lower bound at which columns stop.
-GAP = 1e-3
-#: Length classes of the program at most. With more lengths, neighbours share a class, as long as its longest.
-CLASSES = 256
+GAP = 1e-4
 #: Smallest gap that documents are cut for.
 LEAST_CUT = 8
 #: Runs of a length class that rank on their own.
@@ -98,8 +97,9 @@ def _program(counts: dict[int, int], capacity: int, gap: float) -> list[tuple[Pa
     Revised simplex with the basis' inverse at hand: the greedy patterns
     start from one pattern per length, the knapsack names the column to enter,
     and the ratio test the one to leave. It ends when the bound value / price
-    (Farley) is within ``gap`` or no column is left to enter. The patterns' floors are taken, and
-    what is left, less than a sequence for each basis column, is filled greedily.
+    (Farley), or that of all ids over the capacity, is within ``gap`` or no column is left to enter. The patterns' floors are taken, and
+    what is left, less than a sequence for each basis column, is filled greedily. Patterns hold few lengths, so an
+    entering column changes few rows and columns of the inverse.
     """
     lengths = np.array(sorted(counts), np.int64)
     demand = np.array([counts[int(n)] for n in lengths], float)
@@ -109,9 +109,10 @@ def _program(counts: dict[int, int], capacity: int, gap: float) -> list[tuple[Pa
     inverse = np.diag([1.0 / p[0][1] for p in basis])
     x = inverse @ demand
     seeds = [tuple((int(np.searchsorted(lengths, n)), k) for n, k in p) for p, _ in fill(counts, capacity)]
-    bound = 0.0
-    while True:
-        dual = inverse.sum(0)
+    bound = float(lengths @ demand) / capacity
+    dual = inverse.sum(0)
+    near = lambda: x.sum() <= max(bound * (1 + gap), math.ceil(bound - 1e-9))  # noqa: E731  a whole number of sequences can't be less
+    while not near():
         if seeds:
             pattern = seeds.pop(0)
             value = sum(dual[i] * k for i, k in pattern)
@@ -120,21 +121,22 @@ def _program(counts: dict[int, int], capacity: int, gap: float) -> list[tuple[Pa
         else:
             value, pattern = knapsack(np.maximum(dual, 0), lengths, capacity)
             bound = max(bound, x.sum() / max(value, 1.0))
-            if value <= 1 + 1e-9 or x.sum() <= bound * (1 + gap):
+            if value <= 1 + 1e-9 or near():
                 break
-        column = np.zeros(len(lengths))
-        for i, k in pattern:
-            column[i] = k
-        d = inverse @ column
+        d = inverse[:, [i for i, _ in pattern]] @ np.array([k for _, k in pattern], float)
         able = d > 1e-9
         ratio = np.where(able, x / np.where(able, d, 1), np.inf)
         out = int(ratio.argmin())
         step = ratio[out]
         x -= step * d
         x[out] = step
-        row = inverse[out] / d[out]
-        inverse -= np.outer(d, row)
+        old = inverse[out].copy()
+        row = old / d[out]
+        d[out] = 0
+        rows, cols = np.flatnonzero(np.abs(d) > 1e-12), np.flatnonzero(np.abs(row) > 1e-15)
+        inverse[np.ix_(rows, cols)] -= d[rows, None] * row[cols]
         inverse[out] = row
+        dual += row * (1 - d.sum()) - old
         basis[out] = pattern
     left = dict(counts)
     used: Counter[Pattern] = Counter()
@@ -150,45 +152,17 @@ def _program(counts: dict[int, int], capacity: int, gap: float) -> list[tuple[Pa
     return sorted(used.items())
 
 
-def solve(counts: dict[int, int], capacity: int = CAPACITY, gap: float = GAP, classes: int = CLASSES) -> list[tuple[Pattern, int]]:
-    """Patterns of (length, copies) and how often each is used; together they hold exactly ``counts``.
+def sequences(used: list[tuple[Pattern, int]]) -> int:
+    return sum(times for _, times in used)
 
-    With more than ``classes`` lengths the program is over classes of neighbouring lengths,
-    and a class's places are given to its lengths in turn.
-    """
-    unit = 1
-    while len({-(-n // unit) for n in counts}) > classes:
-        unit *= 2
-    by_class: Counter[int] = Counter()
-    queues: dict[int, list[list[int]]] = {}
-    for n in sorted(counts, reverse=True):
-        by_class[-(-n // unit)] += counts[n]
-        queues.setdefault(-(-n // unit), []).append([n, counts[n]])
-    used: Counter[Pattern] = Counter()
-    for pattern, times in _program(dict(by_class), capacity // unit, gap):
-        slots = [_taken(queues[c], times) for c, k in pattern for _ in range(k)]
-        while slots[0]:
-            some = min(slot[-1][1] for slot in slots)
-            used[tuple(sorted(Counter(slot[-1][0] for slot in slots).items()))] += some
-            for slot in slots:
-                slot[-1][1] -= some
-                if not slot[-1][1]:
-                    slot.pop()
-    return sorted(used.items())
 
+def solve(counts: dict[int, int], capacity: int = CAPACITY, gap: float = GAP) -> list[tuple[Pattern, int]]:
+    """Patterns of (length, copies) and how often each is used; together they hold exactly ``counts``.
 
-def _taken(queue: list[list[int]], times: int) -> list[list[int]]:
-    """The next ``times`` lengths of a class's queue as runs of (length, number)."""
-    out = []
-    while times:
-        n, have = queue[-1]
-        some = min(have, times)
-        out.append([n, some])
-        times -= some
-        queue[-1][1] -= some
-        if not queue[-1][1]:
-            queue.pop()
-    return out
+    The program is over all lengths, at most ``capacity`` of them. Should its rounding leave more sequences
+    than the greedy patterns that it starts from, those are taken.
+    """
+    return min(_program(counts, capacity, gap), sorted(fill(counts, capacity)), key=sequences)
 
 
 @dataclass
