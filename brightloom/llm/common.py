@@ -7,6 +7,7 @@ one, so a lost executor costs a recomputed stage at most.
 
 from __future__ import annotations
 
+import sys
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from brightloom.sources.scratch import keep as materialize
 from brightloom.sources.scratch import shared_dir
 
-__all__ = ["BLANK", "WORD", "connected_components", "joined", "materialize", "new_path", "partitions", "small"]
+__all__ = ["BLANK", "WORD", "connected_components", "held_bytes", "joined", "materialize", "new_path", "partitions", "small"]
 
 #: ASCII white space that separates words, as a Java and RE2 character class.
 BLANK = r"\x20\x09-\x0D"
@@ -26,6 +27,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def held_bytes(key: str, value: bytes | tuple) -> int:
+    """Bytes that an entry of a worker's cache takes, about: its key, its value with large numbers in it, its place."""
+    return sys.getsizeof(key) + sys.getsizeof(value) + (28 * len(value) if isinstance(value, tuple) else 0) + 104
+
+
 def partitions(df: DataFrame, at_least: int = 1) -> int:
     """The session's number of shuffle partitions, which its owner sizes to the data."""
     return max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -17,14 +17,15 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker holds at most: the first it meets, so the frequent ones.
-MAX_PIECES = 400_000
+from .common import held_bytes
+
+#: Bytes of pieces and their ids that a worker holds at most: the first it meets, so the frequent ones.
+CACHE_BYTES = 96 << 20
 #: New pieces that go to the library as one text.
 RUN = 2000
 #: Bytes of text in a run; a longer text is a run of its own.
@@ -48,6 +49,7 @@ class Encoder:
         self.width = np.uint16 if size <= 1 << 16 else np.uint32
         #: Ids of a piece that follows a blank (which its key leaves out) or begins with a line break.
         self.known: dict[str, bytes] = {}
+        self.room = CACHE_BYTES
         special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         #: Bytes of text that each id stands for; a byte-level token has a letter for each.
         self.lengths = np.array([len(special[i].encode()) if i in special else len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
@@ -162,7 +164,13 @@ class Encoder:
             packed, n = ids.tobytes(), ids.itemsize
             cuts = ((at + 1) * n).tolist()
             out.update(zip(run[i : i + RUN], [packed[s:e] for s, e in zip([0, *cuts], cuts, strict=False)], strict=True))
-        known.update(islice(out.items(), max(0, MAX_PIECES - len(known))))
+        if self.room > 0:
+            for p, x in out.items():
+                if p not in known:
+                    self.room -= held_bytes(p, x)
+                    if self.room < 0:
+                        break
+                    known[p] = x
         for p in later:
             held = known.get(p[:-1])
             if held is None:

@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held_bytes
+
 LIMIT = 2048
-#: Words, runs without blanks, and pairs of tokens that a worker holds at most: the first it meets, so the frequent ones.
-MAX_WORDS = 300_000
+#: Bytes of words and of runs without blanks with their counts, and pairs of tokens, that a worker holds at most: the first it meets, so the frequent ones.
+CACHE_BYTES = 96 << 20
 MAX_PAIRS = 600_000
 
 
@@ -75,6 +77,7 @@ class PrefixCounter:
         self.split = regex.compile(f"(?:{split})")
         self.joined: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.room = CACHE_BYTES
         #: Counts inside a run without blanks, 16 bits each.
         self.known: dict[str, bytes] = {}
 
@@ -149,8 +152,11 @@ class PrefixCounter:
             parts, kind = list(map(self.known.get, chunks)), "<u2"
             if None in parts:
                 fresh = {c: np.array(self._chunk(c), "<u2").tobytes() for c in {c for c, x in zip(chunks, parts, strict=True) if x is None}}
-                if len(self.known) + len(fresh) <= MAX_WORDS:
-                    self.known.update(fresh)
+                for c, x in fresh.items() if self.room > 0 else ():
+                    self.room -= held_bytes(c, x)
+                    if self.room < 0:
+                        break
+                    self.known[c] = x
                 parts = [fresh[c] if x is None else x for c, x in zip(chunks, parts, strict=True)]
         inside = np.frombuffer(b"".join(parts), kind).astype(np.int32)
         ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // np.dtype(kind).itemsize
@@ -174,7 +180,8 @@ class PrefixCounter:
             found = words.get(w)
             if found is None:
                 found = self.word(w)
-                if len(words) < MAX_WORDS:
+                if self.room > 0:
+                    self.room -= held_bytes(w, found)
                     words[w] = found
             out += [base + x for x in found] if base else found
             base = out[-1]
