@@ -86,7 +86,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pu_quality
 
     docs = _table(spark, sf_dir, "documents")
-    return pu_quality.score(docs, pu_quality.train(docs, _table(spark, sf_dir, "labels")))
+    rows = pu_quality.feature_rows(docs)
+    return pu_quality.score(docs, pu_quality.train(docs, _table(spark, sf_dir, "labels"), rows=rows), rows=rows)
 
 
 def op11_shared_search(spark: SparkSession, sf_dir: str) -> DataFrame:
