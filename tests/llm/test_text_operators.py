@@ -344,4 +344,47 @@ def test_prior_estimate():
     rng = np.random.default_rng(0)
     p = rng.normal(2, 1, 4000)
     u = np.concatenate([rng.normal(2, 1, 2800), rng.normal(-3, 1, 1200)])
-    assert abs(pu_quality.best_bin_prior(p, u) - 0.7) < 0.05
+    assert abs(pu_quality.best_bin_prior(p, lambda c: (u >= c[:, None]).sum(1), len(u)) - 0.7) < 0.05
+
+
+def test_risk_and_its_slopes():
+    """Gradient and curvature against differences of the plainly written risk, and the weights found against small steps from them."""
+    rng = np.random.default_rng(1)
+    zp, zu = (np.hstack([rng.normal(m, 1, (n, 3)), np.ones((n, 1))]) for m, n in ((1.0, 300), (0.2, 900)))
+    pi, decay, w = 0.4, 1e-4, rng.normal(size=4)
+    t = pu_quality.slopes(zu, w)
+    value = lambda w: np.log1p(np.exp(zu @ w)).sum()
+    step = 1e-5 * np.eye(4)
+    assert t[0] == 900 and np.isclose(t[1], value(w))
+    assert np.allclose(t[2:6], [(value(w + e) - value(w - e)) / 2e-5 for e in step], rtol=1e-5)
+    assert np.allclose(t[6:].reshape(4, 4), [(pu_quality.slopes(zu, w + e)[2:6] - pu_quality.slopes(zu, w - e)[2:6]) / 2e-5 for e in step], rtol=1e-4)
+
+    def risk(w):
+        sp, su = zp @ w, zu @ w
+        rest = np.log1p(np.exp(su)).mean() - pi * np.log1p(np.exp(sp)).mean()
+        return pi * np.log1p(np.exp(-sp)).mean() + max(0, rest) + decay / 2 * w @ w, rest
+
+    found = pu_quality.newton(lambda w: pu_quality.slopes(zu, w), 4, zp, pi, False)
+    least, rest = risk(found)
+    assert rest >= 0
+    for _ in range(300):
+        assert risk(found + rng.normal(size=4) * 10 ** rng.uniform(-4, 0))[0] >= least - 1e-6
+    # A prior far too large: the part that may not get negative stops the descent.
+    pi = 0.97
+    assert risk(pu_quality.newton(lambda w: pu_quality.slopes(zu, w), 4, zp, pi, False))[1] >= 0
+
+
+def test_prior_and_fit_see_all_documents(spark):
+    """The quality of unlabelled text far beyond the labelled sample moves the prior, and order of rows does not."""
+    good = [f"This is a sentence of a text, number {i}, and it goes on as texts do. So does the next one, in a plain way." for i in range(400)]
+    bad = [f"buy $$$ {i} ### click >>> !!! win | win | win | {'=' * (i % 30)} 0000 1111" for i in range(3000)]
+
+    def prior(n):
+        rows = [(i, t, "s") for i, t in enumerate([*good, *bad[:n]])]
+        labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 400, 4)], "doc_id long, quality int, toxic int")
+        return pu_quality.train(docs(spark, rows), labels)
+
+    few, many = prior(100), prior(3000)
+    assert few.prior > 0.5 and many.prior < 0.25
+    got = {r["doc_id"]: r["predicted"] for r in pu_quality.score(docs(spark, [(0, good[7], "s"), (1, bad[7], "s")]), many).collect()}
+    assert got == {0: 1, 1: 0}

@@ -32,7 +32,7 @@ def test_encoder_equals_library(monkeypatch):
     assert got == [[*x, 0] for x in want]
     words = ["".join(random.Random(i).choices("abcdefgh.,é", k=9)) for i in range(3000)]
     run = [" ".join(random.Random(i).choices(words, k=200)) for i in range(60)] + [None, "", "\0", "a\0 b", "\0a b", "x\n\ny"]
-    monkeypatch.setattr(encoding, "MAX_PIECES", 500)  # most pieces are met again and again
+    monkeypatch.setattr(encoding, "CACHE_BYTES", 100_000)  # most pieces are met again and again
     monkeypatch.setattr(encoding, "RUN_BYTES", 5000)
     got = [ids.tolist() for _, all_ids, starts in Encoder(BYTE).documents(pa.array(run), 0) for ids in np.split(all_ids, starts[1:-1])]
     assert got == [[*t.encode(x or "", add_special_tokens=False).ids, 0] for x in run]
@@ -121,6 +121,45 @@ def test_plan_leaves_little_padding(counts, fewer):
         assert made.sequences < sum(t for _, t in packing.fill(dict(counts), 1024))
 
 
+def lengths_of(kind):
+    """Histograms with more lengths than patterns repeat: log-normal remainders, and those of the given documents (four ids to ten characters)."""
+    if kind == "log-normal":
+        return Counter((np.random.default_rng(0).lognormal(5.5, 0.9, 200_000).astype(int) % 1023 + 1).tolist())
+    import pyarrow.parquet as pq
+
+    sizes = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["n_chars"])["n_chars"].to_numpy() * 4 // 10
+    return Counter((sizes % 1023 + 1).tolist())
+
+
+@pytest.mark.parametrize("kind", ["log-normal", "documents"])
+def test_program_is_never_worse_than_its_start(kind):
+    counts = dict(lengths_of(kind))
+    bound = sum(n * c for n, c in counts.items()) / 1024
+    assert len(counts) > 900
+    solved, greedy = (sum(t for _, t in x) for x in (packing.solve(counts), packing.fill(counts, 1024)))
+    made = packing.plan(counts, 0)
+    assert solved <= greedy and made.sequences <= bound * 1.001 + 1
+    cut = sum(c - made.kept[n] for n, c in counts.items())
+    assert cut < 0.01 * sum(counts.values())
+
+
+def test_caches_are_bounded_by_bytes():
+    """Long runs without blanks, of three bytes a character, fill no more than their room; ids and counts stay right."""
+    import tracemalloc
+
+    text = " ".join(chr(0x4E00 + i % 5000) * (300 + i % 200) for i in range(3000))
+    for made, encode in ((encoding.Encoder(BYTE), lambda m, t: m.encode(t)), (token_counts.PrefixCounter(WORD), lambda m, t: m.counts(t))):
+        made.room = 2_000_000
+        tracemalloc.start()
+        for at in range(0, len(text), 100_000):
+            encode(made, text[at : at + 100_000])
+        held = tracemalloc.get_traced_memory()[0]
+        tracemalloc.stop()
+        assert made.room <= 0 and held < 20_000_000
+    t = Tokenizer.from_file(WORD)
+    assert token_counts.PrefixCounter(WORD).counts(text[:5000])[-1] == len(t.encode(text[:5000], add_special_tokens=False).ids)
+
+
 def test_program_spares_documents_from_the_cut():
     counts = {513: 600, 258: 600, 257: 600, 254: 1200}
     assert sum(t for _, t in packing.fill(dict(counts), 1024)) == 1100

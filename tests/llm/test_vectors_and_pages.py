@@ -129,29 +129,86 @@ def recall(spark, x, **params):
     return hit / max(total, 1), min(rows)
 
 
+def normal(n, width):
+    return np.random.default_rng(n + width).normal(size=(n, width))
+
+
 def test_compared_share_falls(tables=cross_polytope.TABLES):
     """Recall of the nearest 20 stays, while the part of all vectors that a query is compared with falls as they grow."""
     shares = []
     for n in (10_000, 40_000, 80_000):
-        x = cross_polytope.prepared(np.random.default_rng(n).normal(size=(n, 64)))
-        q = x[:40]
-        levels, probes = cross_polytope.scheme(n, 64)
-        codes = [cross_polytope.bucket_of(x, t, levels) for t in range(tables)]
-        row, table, code = cross_polytope.probes_of(q, tables, levels, probes)
+        x = cross_polytope.prepared(normal(n, 64))
+        near = []
+        for q in range(136):
+            s = x @ x[q]
+            s[q] = -1
+            near.append(x[np.argpartition(-s, 20)[:20]])
+        probes = cross_polytope.measured(x[40:136], near[40:], n, tables)
+        polytopes = cross_polytope.shape(n, 64)
+        codes = [cross_polytope.bucket_of(x, t, polytopes) for t in range(tables)]
         hit = pairs = 0
-        for i in range(len(q)):
+        for i in range(40):  # others than were measured
+            row, table, code = cross_polytope.probes_of(x[i : i + 1], tables, polytopes, probes)
             seen = np.zeros(n, bool)
             for t in range(tables):
-                seen |= np.isin(codes[t], code[(row == i) & (table == t)])
-            s = x @ q[i]
+                seen |= np.isin(codes[t], code[table == t])
+            s = x @ x[i]
             s[i] = -1
             hit += seen[np.argpartition(-s, 20)[:20]].sum()
             pairs += seen.sum()
-        assert hit / len(q) / 20 >= 0.9
-        shares.append(pairs / len(q) / n)
+        assert hit / 40 / 20 >= 0.9
+        shares.append(pairs / 40 / n)
     assert shares[0] > shares[1] > shares[2] and shares[2] < 0.1, shares
 
 
+@pytest.mark.parametrize("width", [48, 128, 384, 768])
+def test_search_recall_at_other_widths(spark, width):
+    """Without structure wide vectors are met whole, others by measured probes; either way the nearest are found."""
+    found, least = recall(spark, normal(2500, width))
+    assert found >= 0.9 and least == 0
+
+
+def test_wide_vectors_with_structure_are_hashed():
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(150, 384))[:, None] + rng.normal(size=(150, 20, 384)) * 0.3).reshape(-1, 384)
+    near = [np.delete(x[i // 20 * 20 : i // 20 * 20 + 20], i % 20, 0) for i in range(0, 3000, 40)]
+    probes = cross_polytope.measured(x[::40], near, len(x), cross_polytope.TABLES)
+    assert probes is not None and probes <= 0.02 * cross_polytope.TABLES * np.prod(cross_polytope.shape(len(x), 512))
+
+
+def test_buckets_grow_smoothly():
+    """No size makes buckets, or what a batch of queries needs, jump."""
+    import tracemalloc
+
+    for width in (4, 64, 512, 1024):
+        before = None
+        for n in np.unique(np.geomspace(2000, 1e9, 300).astype(int)).tolist():
+            buckets = np.prod([float(a) for a in cross_polytope.shape(n, width)])
+            assert buckets >= n / cross_polytope.PER_BUCKET and (before is None or before <= buckets <= 2 * before)
+            before = buckets
+    x = cross_polytope.prepared(normal(128, 64))
+    for n, probes in ((1_000_000, 700), (1_100_000, 700), (100_000_000, 20_000)):
+        tracemalloc.start()
+        polytopes = cross_polytope.shape(n, 64)
+        row, table, code = cross_polytope.probes_of(x[: cross_polytope.at_once(probes)], cross_polytope.TABLES, polytopes, probes)
+        assert tracemalloc.get_traced_memory()[1] < 500e6
+        tracemalloc.stop()
+        assert np.bincount(row).tolist() == [probes] * (row[-1] + 1) and code.max() < np.prod(polytopes)
+
+
+def test_probes_are_the_best_buckets():
+    x = cross_polytope.prepared(normal(5, 8))
+    polytopes = (16, 4)
+    row, table, code = cross_polytope.probes_of(x, 3, polytopes, 50)
+    for i in range(5):
+        sums = {}
+        for t in range(3):
+            a, b = (cross_polytope._axes(x[i : i + 1], t, level, axes)[0] for level, axes in enumerate(polytopes))
+            sums |= {(t, p * 4 + q): a[p] + b[q] for p in range(16) for q in range(4)}
+        got = [sums[t, c] for t, c in zip(table[row == i].tolist(), code[row == i].tolist(), strict=True)]
+        assert np.allclose(got, sorted(sums.values(), reverse=True)[:50])
+
+
 @pytest.mark.parametrize("norms", ["one", "lognormal", "uniform", "two"])
 def test_search_recall_with_unequal_norms(spark, norms):
     rng = np.random.default_rng(5)
@@ -177,7 +234,7 @@ def test_queries_left_short_meet_all_vectors(spark):
     x = rng.normal(size=(600, 16)) * 0.01
     x[:, 0] += np.where(np.arange(600) % 60 == 0, 1, -1)
     x /= np.linalg.norm(x, axis=1)[:, None]
-    _, least = recall(spark, x, heavy=0, share=1e-4, tables=2, part=64)
+    _, least = recall(spark, x, heavy=0, probes=2, tables=2, part=64)
     assert least == 0
 
 
@@ -293,3 +350,59 @@ LONG = "which is long enough to count as running text, surely."
 )
 def test_odd_markup_loses_no_text(html, text):
     assert html_extract.main_text(html, []) == text
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<body><form id=aspnetForm><div><h1>T</h1><p>A text, {LONG}</p><p>More, {LONG}</p></div><nav>Menu</nav></form></body>", f"T\nA text, {LONG}\nMore, {LONG}"),
+        (f"<article><p>A text, {LONG}</p><p>More, {LONG}</p><form><p>Write here, {LONG}</p><input></form></article>", f"A text, {LONG}\nMore, {LONG}"),
+        (f"<body><div class='ad-hoc-analysis'><p>A text, {LONG}</p></div><div class='ad-slot'>Buy, {LONG}</div></body>", f"A text, {LONG}"),
+        (f"<body><div class='content-sidebar'><p>A text, {LONG}</p><div id='sidebar-left'>Side, {LONG}</div></div></body>", f"A text, {LONG}"),
+        (f"<article><h2 class='section-header'>Part</h2><p>A text, {LONG}</p></article>", f"Part\nA text, {LONG}"),
+        (f"<body><header><h1>Site</h1></header><article><header><h1>T</h1><p class=lead>Lead, {LONG}</p></header><p>A text, {LONG}</p></article></body>", f"T\nLead, {LONG}\nA text, {LONG}"),
+    ],
+)
+def test_whole_articles_are_kept(html, text):
+    assert html_extract.main_text(html, []) == text
+
+
+def test_unended_drawings_take_linear_time():
+    import time
+
+    start = time.time()
+    assert html_extract.main_text("<body>" + "<svg>" * 80_000 + f"<p>A text, {LONG}</p>", []) == f"A text, {LONG}"
+    assert time.time() - start < 5
+
+
+def test_generated_pages(spark):
+    """Articles put together from known blocks, among parts that are none; the blocks must come out, and they only."""
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdeimnorst", k=rng.randrange(2, 9)))
+    said = lambda n: " ".join(word() for _ in range(n)).capitalize() + ", " + LONG
+    menu = "<nav><ul>" + "".join(f"<li><a href=/{i}>{said(3)}</a></li>" for i in range(6)) + "</ul></nav>"
+    noise = [
+        lambda: f"<div class='sidebar'><p>{said(9)}</p></div>", lambda: f"<aside><p>{said(9)}</p></aside>", lambda: f"<div class='ad-banner'>{said(6)}</div>",
+        lambda: f"<section id=comments><h3>Replies</h3>{''.join(f'<p>{said(9)}</p>' for _ in range(rng.randrange(1, 4)))}</section>",
+        lambda: f"<form action=/s><label>{said(2)}</label><input></form>", lambda: f"<div class='cookie-notice'><p>{said(5)}</p></div>", lambda: menu,
+        lambda: f"<script>var t = '<p>{said(3)}</p>';</script>", lambda: f"<style>p {{ content: '{word()}' }}</style>", lambda: f"<!-- <p>{said(4)}</p> -->",
+    ]
+    shells = ["<article>{}</article>", "<main>{}</main>", "<div class='post-body'>{}</div>", "<div id=content><div class='text'>{}</div></div>"]
+    rows, want = [], {}
+    for i in range(120):
+        blocks, html = [], []
+        for _ in range(rng.randrange(3, 12)):
+            t = said(rng.randrange(4, 20))
+            kind = rng.randrange(5)
+            blocks.append({0: t.upper(), 3: f"{t} & more"}.get(kind, t))
+            html.append((f"<h2>{t.upper()}</h2>", f"<p>{t}</p>", f"<p>{t}", f"<p><b>{t}</b>\n&amp; more</p>", f"<blockquote><p>{t}</p></blockquote>")[kind])
+            if rng.random() < 0.15:
+                html.append(noise[2]())
+        around = [rng.choice(noise)() for _ in range(6)]
+        rows.append((i, f"https://h{i % 4}.example/{i}", f"<html><head><title>{word()}</title></head><body><header>{said(4)}</header>{''.join(around[:3])}{shells[i % 4].format(''.join(html))}{''.join(around[3:])}<footer>{said(5)}</footer></body></html>"))
+        want[i] = "\n".join(blocks)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    assert got == want
