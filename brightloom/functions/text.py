@@ -37,6 +37,13 @@ RARE_KEYWORDS = "ceq cmb crl rl mb owise frozen strat variant".split()
 RARE_SYMBOLS = (":=", "~>", "=>", "/\\")
 COMMON_CLIENT_WORDS = "client qdrant collection collections points point vector vectors import from print result name models http localhost".split()
 
+# The patterns that say what a search token is, and what a query derived from code is made of.
+PATH_TOKEN = r"/[\w/{}.-]+"
+QUERY_TOKEN = r"[:\w]+=|[^\w\s]{2,}|\b\w{4,}\b"
+BRACKETS = r"\[([^\]]+)\]"
+CLIENT_NAMES = (r"\b([a-z]+(?:_[a-z0-9]+)+)\s*[=:]", r"\.\s*([a-z_]{4,})\s*\(")
+CLIENT_CLASSES_AND_ROUTES = (r"models\.([A-Za-z]+)", r"(?U)(/collections/[\w/{}.-]*)")
+
 SPECIAL, WORD = "special", "word"
 
 
@@ -61,7 +68,7 @@ def query_tokens(c: Column, docs_site: bool = False) -> Column:
     A token with a mark in it is special and kept as it stands; a word is lower-cased.
     The docs-site flavour also takes paths, and counts an underscore as special.
     """
-    pattern = (r"/[\w/{}.-]+|" if docs_site else "") + r"[:\w]+=|[^\w\s]{2,}|\b\w{4,}\b"
+    pattern = (f"{PATH_TOKEN}|" if docs_site else "") + QUERY_TOKEN
     bare = F.transform(matches(c, "(?U)" + pattern), lambda t: F.regexp_replace(t, "^[\"'`]+|[\"'`]+$", ""))
     odd = r"(?U)[^\w]" + ("|_" if docs_site else "")
 
@@ -74,7 +81,7 @@ def query_tokens(c: Column, docs_site: bool = False) -> Column:
 
 def code_constructions(code: Column) -> Column:
     """Query text from a program of the rewriting language: rare attributes, keywords and symbols, sorted."""
-    inside = F.flatten(F.transform(matches(code, r"\[([^\]]+)\]", 1), lambda a: F.split(strip(a), r"(?U)\s+")))
+    inside = F.flatten(F.transform(matches(code, BRACKETS, 1), lambda a: F.split(strip(a), r"(?U)\s+")))
     common = F.array(*map(F.lit, COMMON_KEYWORDS))
     rare = F.filter(inside, lambda w: F.rlike(w, F.lit(r"(?U)^\p{L}+$")) & ~F.array_contains(common, F.lower(w)))
     flagged = [F.when(F.rlike(code, F.lit(rf"(?U)\b{k}\b")), F.lit(k)) for k in RARE_KEYWORDS]
@@ -86,8 +93,8 @@ def code_constructions(code: Column) -> Column:
 def client_constructions(code: Column) -> Column:
     """Query text from client code: named parameters, method calls, model classes, routes, sorted."""
     common = F.array(*map(F.lit, COMMON_CLIENT_WORDS))
-    names = F.concat(matches(code, r"\b([a-z]+(?:_[a-z0-9]+)+)\s*[=:]", 1), matches(code, r"\.\s*([a-z_]{4,})\s*\(", 1))
-    fixed = F.concat(matches(code, r"models\.([A-Za-z]+)", 1), matches(code, r"(?U)(/collections/[\w/{}.-]*)", 1))
+    names = F.concat(*[matches(code, p, 1) for p in CLIENT_NAMES])
+    fixed = F.concat(*[matches(code, p, 1) for p in CLIENT_CLASSES_AND_ROUTES])
     return F.array_join(F.sort_array(F.array_distinct(F.concat(F.array_except(names, common), fixed))), " ")
 
 

@@ -16,6 +16,18 @@ KEYWORDS = (
 ).split()
 BUILT_IN = "Bool Nat Int Float String Qid".split()
 WORD = r"(?U)[A-Za-z][\w'-]*"
+# The patterns of rules 1 to 6 and of declarations.
+OTHER_CHARACTER = r"([^\x00-\x7F])"
+CONDITION = r"(?U)\bif\b(.*?)\bthen\b"
+WHEN = r"(?U)\bwhen\b"
+DASHES = r"(?U)(^|\s)--(?!-)(\s|$)"
+SINGLE_EQUALS = r"(?<![=<>~/\\])=(?![=/])"
+LEFT_SIDE = r"(?U)^\s*(?:eq|ceq)\s+(.*?)\s=(?!=)\s"
+CAPITALISED = r"(?U)\b[A-Z][\w'-]*\b"
+RULE_LINE = r"(?U)^\s*(?:c?eq|c?rl)\b"
+VARIABLES, INLINE_VARIABLES = r"(?mU)^\s*vars?\s+(.+?)\s*:\s*\S+\s*\.", r"(?U)\b([A-Za-z][\w'-]*):(?=[A-Za-z])"
+OPERATORS, SORTS = r"(?mU)^\s*ops?\s+(.+?)\s*:", r"(?mU)^\s*sorts?\s+(.+?)\s*\."
+SYMBOLS = r":=|=>|~>|/\\"
 #: Rare tokens of a program, and exemplars of each, that give the first score to beat.
 FIRST_TOKENS, FIRST_EXEMPLARS = 4, 8
 
@@ -34,13 +46,13 @@ def _lines(programs: DataFrame) -> DataFrame:
 def line_issues(programs: DataFrame) -> DataFrame:
     """Rules 1 to 4, all fatal: ``program_id, line, rule, severity, msg``. They stay inside each row."""
     cut, raw = F.col("cut"), F.col("raw")
-    odd = F.regexp_extract(cut, r"([^\x00-\x7F])", 1)
-    inner = F.regexp_extract(cut, r"(?U)\bif\b(.*?)\bthen\b", 1)
+    odd = F.regexp_extract(cut, OTHER_CHARACTER, 1)
+    inner = F.regexp_extract(cut, CONDITION, 1)
     found = [
         F.when(odd != "", F.struct(F.lit(1).alias("rule"), F.concat(F.lit("non-ASCII character "), odd).alias("msg"))),
-        F.when(F.rlike(cut, F.lit(r"(?U)\bwhen\b")), F.struct(F.lit(2).alias("rule"), F.lit("keyword `when` does not exist").alias("msg"))),
-        F.when(F.rlike(raw, F.lit(r"(?U)(^|\s)--(?!-)(\s|$)")), F.struct(F.lit(3).alias("rule"), F.lit("comment `--` is not accepted").alias("msg"))),
-        F.when(F.rlike(inner, F.lit(r"(?<![=<>~/\\])=(?![=/])")), F.struct(F.lit(4).alias("rule"), F.lit("`=` inside if-then is no Bool operator").alias("msg"))),
+        F.when(F.rlike(cut, F.lit(WHEN)), F.struct(F.lit(2).alias("rule"), F.lit("keyword `when` does not exist").alias("msg"))),
+        F.when(F.rlike(raw, F.lit(DASHES)), F.struct(F.lit(3).alias("rule"), F.lit("comment `--` is not accepted").alias("msg"))),
+        F.when(F.rlike(inner, F.lit(SINGLE_EQUALS)), F.struct(F.lit(4).alias("rule"), F.lit("`=` inside if-then is no Bool operator").alias("msg"))),
     ]
     rows = _lines(programs).select("program_id", "line", F.explode(F.array_compact(F.array(*found))).alias("i"))
     return rows.select("program_id", "line", "i.rule", F.lit(FATAL).alias("severity"), "i.msg")
@@ -54,10 +66,10 @@ def declared(programs: DataFrame) -> DataFrame:
     """``program_id, variables, ops, sorts``: declared names as arrays."""
     code = F.col("code")
     flat = lambda a, f: F.array_distinct(F.flatten(F.transform(a, f)))
-    named = flat(matches(code, r"(?mU)^\s*vars?\s+(.+?)\s*:\s*\S+\s*\.", 1), _words)
-    inline = matches(code, r"(?U)\b([A-Za-z][\w'-]*):(?=[A-Za-z])", 1)
-    ops = flat(matches(code, r"(?mU)^\s*ops?\s+(.+?)\s*:", 1), lambda o: matches(o, WORD))
-    sorts = flat(matches(code, r"(?mU)^\s*sorts?\s+(.+?)\s*\.", 1), _words)
+    named = flat(matches(code, VARIABLES, 1), _words)
+    inline = matches(code, INLINE_VARIABLES, 1)
+    ops = flat(matches(code, OPERATORS, 1), lambda o: matches(o, WORD))
+    sorts = flat(matches(code, SORTS, 1), _words)
     return programs.select("program_id", "code", F.array_distinct(F.concat(named, inline)).alias("variables"), ops.alias("ops"), sorts.alias("sorts"))
 
 
@@ -66,17 +78,17 @@ def name_issues(programs: DataFrame) -> DataFrame:
     rows = declared(programs).select("*", F.posexplode(F.split("code", "\n", -1)).alias("pos", "raw"))
     cut = without_comment(F.col("raw"))
     rows = rows.select("program_id", (F.col("pos") + 1).alias("line"), "variables", "ops", "sorts", cut.alias("cut"))
-    left = matches(F.regexp_extract("cut", r"(?U)^\s*(?:eq|ceq)\s+(.*?)\s=(?!=)\s", 1), WORD)
+    left = matches(F.regexp_extract("cut", LEFT_SIDE, 1), WORD)
     many = F.filter(
         F.transform("variables", lambda v: F.struct(v.alias("name"), F.size(F.filter(left, lambda t: t == v)).alias("n"))),
         lambda x: x["n"] > 1,
     )
     many = F.transform(many, lambda x: F.struct(F.lit(5).alias("rule"), F.concat(F.lit("variable "), x["name"], F.lit(" stands "), x["n"], F.lit(" times on the left side")).alias("msg")))
-    names = F.array_distinct(matches(F.col("cut"), r"(?U)\b[A-Z][\w'-]*\b"))
+    names = F.array_distinct(matches(F.col("cut"), CAPITALISED))
     known = F.concat("variables", "ops", "sorts", F.array(*map(F.lit, BUILT_IN)))
     odd = F.filter(F.array_except(names, known), lambda t: ~F.lower(t).isin(*KEYWORDS))
     odd = F.transform(odd, lambda t: F.struct(F.lit(6).alias("rule"), F.concat(F.lit("name "), t, F.lit(" is not declared")).alias("msg")))
-    rule = F.rlike("cut", F.lit(r"(?U)^\s*(?:c?eq|c?rl)\b"))
+    rule = F.rlike("cut", F.lit(RULE_LINE))
     rows = rows.select("program_id", "line", F.explode(F.concat(many, F.when(rule, odd).otherwise(F.slice(odd, 1, 0)))).alias("i"))
     return rows.select("program_id", "line", "i.rule", F.lit(WARNING).alias("severity"), "i.msg")
 
@@ -105,7 +117,7 @@ def issue_counts(issues: DataFrame, programs: DataFrame) -> DataFrame:
 
 
 def code_tokens(code: Column) -> Column:
-    return F.array_distinct(matches(code, WORD + r"|:=|=>|~>|/\\"))
+    return F.array_distinct(matches(code, f"{WORD}|{SYMBOLS}"))
 
 
 def rising(programs: DataFrame, exemplars: DataFrame) -> tuple[DataFrame, DataFrame]:
