@@ -194,4 +194,22 @@ n AS (
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
 """
 
-SQL: dict[str, str] = {"op2_mixing": MIXING_SQL, "op11_shared_search": SEARCH_SQL, "op12_anchor_tree": NEGATIVES_SQL}
+#: Removal of repeats in DuckDB: all strings of 50 bytes in hexadecimal, then the removed runs and what lies between.
+REPEATS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, doc_id, p, substr(h, CAST(2 * p + 1 AS BIGINT), 100) AS s FROM (SELECT r, doc_id, h, unnest(range(greatest(n - 49, 0))) AS p FROM d)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+c AS (SELECT r, p, p > coalesce(lag(p) OVER (PARTITION BY r ORDER BY p) + 50, -1) AS new FROM w JOIN f USING (s) WHERE doc_id > first),
+k AS (SELECT r, p, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS k FROM c),
+g AS (SELECT r, min(p) AS a, max(p) + 50 AS b FROM k GROUP BY r, k),
+x AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS kept_from FROM g),
+y AS (
+  SELECT r, CAST(count(*) AS BIGINT) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed, max(b) AS ended,
+         string_agg(substr(h, CAST(2 * kept_from + 1 AS BIGINT), CAST(2 * (a - kept_from) AS BIGINT)), '' ORDER BY a) AS front
+  FROM x JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(front, '') || substr(h, CAST(2 * coalesce(ended, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN y USING (r)
+"""
+
+SQL: dict[str, str] = {"op2_mixing": MIXING_SQL, "op11_shared_search": SEARCH_SQL, "op12_anchor_tree": NEGATIVES_SQL, "op13_suffix_dedup": REPEATS_SQL}
