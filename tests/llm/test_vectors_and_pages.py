@@ -139,11 +139,11 @@ def test_compared_share_falls(tables=cross_polytope.TABLES):
     for n in (10_000, 40_000, 80_000):
         x = cross_polytope.prepared(normal(n, 64))
         near = []
-        for q in range(136):
+        for q in range(232):
             s = x @ x[q]
             s[q] = -1
             near.append(x[np.argpartition(-s, 20)[:20]])
-        probes = cross_polytope.measured(x[40:136], near[40:], n, tables)
+        probes = cross_polytope.measured(x[40:232], near[40:], n, tables)
         polytopes = cross_polytope.shape(n, 64)
         codes = [cross_polytope.bucket_of(x, t, polytopes) for t in range(tables)]
         hit = pairs = 0
