@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +31,9 @@ from .common import joined, materialize, partitions
 
 LENGTH, LEAD = 50, 16
 #: Bytes of a text whose windows are looked at together; bytes of texts whose suffixes are dealt out together.
-SLICE, TOGETHER = 1 << 20, 1 << 23
+SLICE, TOGETHER = 1 << 20, 1 << 22
 #: Bytes of texts whose suffixes make a bucket.
-BUCKET = 1 << 24
+BUCKET = 1 << 23
 #: Suffixes for each bucket, and for each sampled text, in the sample that gives the splitters.
 SAMPLE, SAMPLE_TEXT = 32, 32
 FIELDS = ["hi", "lo", "run", "doc", "twin", "at"]
@@ -149,11 +150,27 @@ def judged(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     kind = np.full(len(order), -1, np.int8)
     kind[shared[own] & several[own] & (x["doc"] == first)] = 1
     kind[x["doc"] > first] = 0
-    kind[(own == 0) | (own == own[-1])] = 2
+    # At the ends only the first copies of a run matter to other buckets.
+    kind[((own == 0) | (own == own[-1])) & (x["doc"] == first)] = 2
     keep = kind >= 0
     return {f: v[keep] for f, v in x.items()} | {"kind": kind[keep]}
 
 
+def flagged(texts: list[bytes], first: np.ndarray, number: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(row, window) of every window that a row with a smaller ``doc`` has too; row i has windows first[i], ... at the front of texts[i]."""
+    import xxhash
+
+    digest = xxhash.xxh3_128_digest
+    row = np.repeat(np.arange(len(texts)), number)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
+    h = np.frombuffer(b"".join([digest(texts[i][p : p + length]) for i, p in zip(row.tolist(), at.tolist(), strict=True)]), np.uint64).reshape(-1, 2)
+    order = multikey([h[:, 0], h[:, 1], doc[row]])
+    new = np.append(True, (h[order][1:] != h[order][:-1]).any(1)) if len(order) else np.zeros(0, bool)
+    least = doc[row[order]][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else doc[:0]
+    lost = np.sort(order[doc[row[order]] > least])
+    return row[lost], first[row[lost]] + at[lost]
+
+
 def _array(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x)
 
@@ -188,7 +205,7 @@ def suffix_array(texts: DataFrame, buckets: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = np.cumsum(np.array(pa.compute.binary_length(b.column("text"))))
+            sizes = np.cumsum(np.array(pc.binary_length(b.column("text"))))
             for rows in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(sizes // TOGETHER)) + 1):
                 x = _suffixes(b, rows)
                 own = bucket_of(x, split)
@@ -203,7 +220,9 @@ def suffix_array(texts: DataFrame, buckets: int) -> DataFrame:
         if blobs:
             x = judged(_unpacked(blobs))
             for s in range(0, len(x["kind"]), 1 << 16):
-                cols = [_array(x[f][s : s + (1 << 16)]) for f in ("kind", *FIELDS)]
+                x_ = {f: v[s : s + (1 << 16)] for f, v in x.items()}
+                # What is lost needs no beginning any more, and only ends of buckets need their run.
+                cols = [pa.array(x_[f].view(np.int64), mask=x_["kind"] < (1 if f != "run" else 2)) if f in ("hi", "lo", "run") else pa.array(x_[f]) for f in ("kind", *FIELDS)]
                 yield pa.RecordBatch.from_arrays(cols, ["kind", *FIELDS])
 
     dealt = texts.mapInArrow(deal, "bucket int, suffixes binary").repartitionById(buckets, F.col("bucket"))
@@ -211,22 +230,18 @@ def suffix_array(texts: DataFrame, buckets: int) -> DataFrame:
 
 
 def _across(ends: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``doc, twin, at`` of the suffixes at the ends of buckets that are lost, and of those to be compared window by window."""
+    """``doc, twin, at`` of the suffixes at the ends of buckets that are lost, and with ``hi, lo`` of those to be compared window by window."""
     ends = ends.withColumn("k", F.struct("hi", "lo", "run"))
     runs_ = ends.groupBy("k", "hi", "lo").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
     runs_ = materialize(runs_, "end-runs")
     leads = runs_.groupBy("hi", "lo").agg(((F.count("*") > 1) & (F.min("first") < F.max("last"))).alias("differ"))
     met = joined(ends.select("k", "doc", "twin", "at"), materialize(runs_.join(leads, ["hi", "lo"]).select("k", "first", "differ", "n"), "end-firsts"), "k")
-    return met.where("doc > first").select("doc", "twin", "at"), met.where("doc = first and differ").select("doc", "twin", "at")
-
-
-def _with_places(texts: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    """``texts`` with the list ``ats`` of a text's places in ``places(doc, twin, at)``; texts move compressed."""
-    per = places.groupBy("doc", "twin").agg(F.collect_list("at").alias("ats"))  # no longer than the text
-    return texts.join(per, ["doc", "twin"], how)
+    return met.where("doc > first").select("doc", "twin", "at"), met.where("doc = first and differ").select("doc", "twin", "at", "k.hi", "k.lo")
 
 
 def _squeezed(texts: DataFrame) -> DataFrame:
+    """``texts(doc, twin, text)`` with compressed texts, as they move."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -237,25 +252,87 @@ def _squeezed(texts: DataFrame) -> DataFrame:
     return texts.select("doc", "twin", "text").mapInArrow(run, "doc long, twin int, text binary")
 
 
-def _window_hashes(rows: DataFrame) -> DataFrame:
-    """``a, b, doc, twin, at``: 128 bits of hash of each window of the runs in ``ats``."""
+def _contexts(squeezed: DataFrame, unlike: DataFrame) -> DataFrame:
+    """``hi, lo, doc, twin, at, part``: the bytes of each run of ``unlike(doc, twin, at, hi, lo)``."""
+    per = unlike.groupBy("doc", "twin").agg(F.collect_list(F.struct("hi", "lo", "at")).alias("ats"))  # no longer than the text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
         import zstandard
 
-        open_, digest = zstandard.ZstdDecompressor(), xxhash.xxh3_128_digest
+        open_ = zstandard.ZstdDecompressor()
         for whole in batches:
-            for i in range(whole.num_rows):
-                text, ats = open_.decompress(whole.column("text")[i].as_py()), whole.column("ats")[i].values.to_numpy()
-                for s in range(0, len(ats), 4096):
-                    first, number = ats[s : s + 4096] // 64, ats[s : s + 4096] % 64
-                    at = np.repeat(first - np.cumsum(number) + number, number) + np.arange(number.sum())
-                    h = np.frombuffer(b"".join([digest(text[p : p + LENGTH]) for p in at.tolist()]), np.int64).reshape(-1, 2)
-                    own = [pa.array(np.full(len(at), whole.column(c)[i].as_py(), t)) for c, t in (("doc", np.int64), ("twin", np.int32))]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), *own, pa.array(at * 64 + 1)], ["a", "b", "doc", "twin", "at"])
+            for s in range(0, whole.num_rows, 256):
+                b = whole.slice(s, 256)
+                places = b.column("ats").flatten()
+                row = pc.list_parent_indices(b.column("ats"))
+                at, parts = places.field("at").to_numpy(), []
+                cuts = np.searchsorted(row.to_numpy(), np.arange(b.num_rows + 1)).tolist()
+                for i, text in enumerate(b.column("text")):
+                    text, own = open_.decompress(text.as_py()), at[cuts[i] : cuts[i + 1]]
+                    parts += [text[a : a + n + LENGTH - 1] for a, n in zip((own // 64).tolist(), (own % 64).tolist(), strict=True)]
+                cols = [places.field("hi"), places.field("lo"), b.column("doc").take(row), b.column("twin").take(row), pa.array(at), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["hi", "lo", "doc", "twin", "at", "part"])
+
+    rows = squeezed.join(per, ["doc", "twin"]).select("doc", "twin", "text", "ats")
+    return rows.mapInArrow(run, "hi long, lo long, doc long, twin int, at long, part binary")
+
+
+def _compared(contexts: DataFrame, unlike: DataFrame, hold: int = 1 << 14) -> DataFrame:
+    """``doc, twin, at`` of the windows of ``contexts`` that a smaller document has too.
+
+    Runs of one beginning meet in one task, unless they are more than a quarter of a task's share of all runs: their
+    windows are dealt out and meet by their hashes.
+    """
+    per = materialize(unlike.groupBy("hi", "lo").agg(F.count("*").alias("n")), "unlike-leads")
+    tasks = partitions(contexts)
+    limit = (per.agg(F.sum("n")).first()[0] or 0) // (4 * tasks) + 1
+    hubs = F.broadcast(per.where(F.col("n") > limit).select("hi", "lo", F.lit(True).alias("hot")))  # at most 4 rows for each task
+    # Both ways below read this one shuffle, and tell their rows apart themselves.
+    rows = contexts.join(hubs, ["hi", "lo"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc", "at"), F.lit(tasks))).otherwise(0))
+    dealt = rows.repartition(tasks, "hi", "lo", "salt")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(t: pa.Table) -> pa.RecordBatch:
+            at = t.column("at").to_numpy()
+            row, window = flagged(t.column("part").to_pylist(), at // 64, at % 64, t.column("doc").to_numpy())
+            return pa.RecordBatch.from_arrays([pa.array(t.column(c).to_numpy()[row]) for c in ("doc", "twin")] + [pa.array(window * 64 + 1)], ["doc", "twin", "at"])
+
+        held: pa.Table | None = None
+        for b in batches:
+            t = pa.Table.from_batches([b.filter(pc.invert(b.column("hot")))])
+            if not t.num_rows:
+                continue
+            held = t if held is None else pa.concat_tables([held, t])
+            if held.num_rows >= hold:
+                hi, lo = held.column("hi").to_numpy(), held.column("lo").to_numpy()
+                last = np.flatnonzero((hi != hi[-1]) | (lo != lo[-1]))
+                cut = int(last[-1]) + 1 if len(last) else 0  # the last beginning may go on
+                if cut:
+                    yield done(held.slice(0, cut))
+                    held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield done(held)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        digest = xxhash.xxh3_128_digest
+        for whole in (b.filter(b.column("hot")) for b in batches):
+            for s in range(0, whole.num_rows, 4096):
+                b = whole.slice(s, 4096)
+                first, number = b.column("at").to_numpy() // 64, b.column("at").to_numpy() % 64
+                row = np.repeat(np.arange(b.num_rows), number)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
+                texts = b.column("part").to_pylist()
+                h = np.frombuffer(b"".join([digest(texts[i][p : p + LENGTH]) for i, p in zip(row.tolist(), at.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+                own = [b.column(c).take(pa.array(row)) for c in ("doc", "twin")]
+                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), *own, pa.array((first[row] + at) * 64 + 1)], ["a", "b", "doc", "twin", "at"])
 
-    return rows.select("doc", "twin", "text", "ats").mapInArrow(run, "a long, b long, doc long, twin int, at long")
+    hot = dealt.mapInArrow(windows, "a long, b long, doc long, twin int, at long")
+    per_window = hot.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
+    lost = hot.join(per_window, ["a", "b"]).where("doc > first").select("doc", "twin", "at")  # many rows of one window: split by the runtime
+    return dealt.sortWithinPartitions("hi", "lo").mapInArrow(run, "doc long, twin int, at long").unionByName(lost)
 
 
 def kept_parts(n: int, ats: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -267,7 +344,7 @@ def kept_parts(n: int, ats: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return np.stack([start[new], np.append(end[new[1:] - 1], end[-1:])[: len(new)]], 1)
 
 
-def _cut(rows: DataFrame, with_text: bool) -> DataFrame:
+def _cut(rows: DataFrame, with_text: bool, squeezed: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -275,7 +352,7 @@ def _cut(rows: DataFrame, with_text: bool) -> DataFrame:
         for b in batches:
             out = []
             for doc, text, ats in zip(*(b.column(c) for c in ("doc", "text", "ats")), strict=True):
-                text = open_.decompress(text.as_py())
+                text = open_.decompress(text.as_py()) if squeezed else text.as_py()
                 gone = kept_parts(len(text), ats.values.to_numpy() if ats.is_valid else np.zeros(0, np.int64))
                 edges = [0, *gone.ravel().tolist(), len(text)]
                 kept = b"".join([text[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)])
@@ -303,11 +380,11 @@ def without_repeats(docs: DataFrame, with_text: bool = False, bucket: int = BUCK
     named = rows.where("doc is not null")
     found = materialize(suffix_array(named.where(F.octet_length("text") >= LENGTH), size * -(-max(1, total) // least)), "suffixes")
     lost, unlike = _across(found.where("kind = 2"))
-    unlike = found.where("kind = 1").select("doc", "twin", "at").unionByName(unlike)
-    squeezed = _squeezed(named)
-    windows = materialize(_window_hashes(_with_places(squeezed, unlike, "inner")), "windows")
-    first = windows.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
-    also = windows.join(first, ["a", "b"]).where("doc > first").select("doc", "twin", "at")
+    unlike = found.where("kind = 1").select("doc", "twin", "at", "hi", "lo").unionByName(unlike)
+    # Both joins read one shuffle of the texts: they see the same rows.
+    squeezed = _squeezed(named).where("doc is not null and twin is not null")
+    also = _compared(_contexts(squeezed, unlike), unlike)
     gone = found.where("kind = 0").select("doc", "twin", "at").unionByName(lost).unionByName(also)
-    nameless = _squeezed(rows.where("doc is null")).withColumn("ats", F.lit(None).cast("array<long>"))
-    return _cut(_with_places(squeezed, gone, "left").unionByName(nameless), with_text)
+    per = gone.groupBy("doc", "twin").agg(F.collect_list("at").alias("ats"))  # no longer than the text
+    nameless = rows.where("doc is null").withColumn("ats", F.lit(None).cast("array<long>"))
+    return _cut(squeezed.join(per, ["doc", "twin"], "left"), with_text).unionByName(_cut(nameless, with_text, squeezed=False))
