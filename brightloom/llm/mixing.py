@@ -94,15 +94,27 @@ def _planned(docs: DataFrame, max_repeat: int, ramp: float) -> DataFrame:
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("k"))
     rows = materialize(rows.withColumn("bucket", F.substring("k", 1, BUCKET_DIGITS)).withColumn("row", F.monotonically_increasing_id()), "mix")
-    targets = source_targets(rows, max_repeat)
-    runs = rows.groupBy("source", "bucket").agg(F.sum("size").alias("run"))
-    order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("run_start", F.coalesce(F.sum("run").over(order), F.lit(0)))
+    rows = _with_copies(rows, rows.groupBy("source", "bucket").agg(F.sum("size").alias("size")), ["k", "doc_id", "size"], max_repeat, ramp)
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c["tokens"])
+    return rows.select("row", "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies")
+
+
+def _with_copies(rows: DataFrame, runs: DataFrame, order: list[str], max_repeat: int, ramp: float) -> DataFrame:
+    """``rows`` with ``copies, source_size, target``; they have ``source, bucket, size``, and ``runs`` the totals of their sizes.
+
+    Rows are shuffled once: the totals of (source, bucket) come to where the running sum is made.
+    """
+    targets = source_targets(runs, max_repeat)
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("run_start", F.coalesce(F.sum("size").over(before), F.lit(0)))
     targets = targets.withColumnRenamed("source", "s")
-    plan = runs.join(targets, runs["source"].eqNullSafe(targets["s"])).drop("source").withColumnRenamed("bucket", "b")
-    inside = Window.partitionBy("source", "bucket").orderBy("k", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(plan, rows["source"].eqNullSafe(plan["s"]) & (rows["bucket"] == plan["b"]))
+    plan = runs.join(targets, runs["source"].eqNullSafe(targets["s"]))
+    # A key that is never null, so that window and join ask for the same partitions.
+    name = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+    plan = plan.select(name.alias("name"), "bucket", "run_start", "source_size", "target", "rank")
+    inside = Window.partitionBy("name", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("name", name).withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = rows.join(plan, ["name", "bucket"])
     start = F.col("run_start") + F.col("inside")
     goal = F.floor(F.col("target") + 0.5)
     copies = F.transform(
@@ -113,9 +125,7 @@ def _planned(docs: DataFrame, max_repeat: int, ramp: float) -> DataFrame:
             position((p * F.col("source_size") + start).cast("double"), F.col("target"), F.col("rank"), ramp).alias("position"),
         ),
     )
-    rows = rows.withColumn("copies", F.filter(copies, lambda c: c["tokens"] > 0))
-    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c["tokens"])
-    return rows.select("row", "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies")
+    return rows.withColumn("copies", F.filter(copies, lambda c: c["tokens"] > 0))
 
 
 def _ordered(plan: DataFrame) -> DataFrame:
@@ -147,23 +157,23 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them: a row per copy in training order, with the columns of ``docs``.
 
     A copy that its source's target cuts keeps its first words, joined by one
-    blank. Texts move twice: to meet their copies by id, and to their place in
-    the order. Rows that share an id, or have none, are told apart by size and source;
-    rows alike in all three take turns. Null and empty texts have no copy; all columns stay, whatever their
+    blank. Texts move twice: to the running sum of their source's bucket, which gives them
+    their copies, and to their place in the order. Rows without an id go by the hash of their
+    text, and rows that share an id stand in the order of theirs, so a rerun cuts the same
+    rows. Null and empty texts have no copy; all columns stay, whatever their
     names; an empty table gives no rows.
     """
     own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
     at = {c: f"row.c{i}" for i, c in enumerate(docs.columns)}
-    turn = Window.partitionBy("id", "size", "src").orderBy(F.lit(0))
-    plan = curriculum(docs).select(F.col("doc_id").alias("id"), "size", F.col("source").alias("src"), "copies")
-    plan = plan.withColumn("turn", F.row_number().over(turn)).select("id", F.col("size").alias("words"), "src", "turn", "copies")
-    rows = docs.select(F.col("doc_id"), F.struct(*own).alias("row"))
-    rows = rows.withColumns({"size": word_count(F.col(at["text"])), "source": F.col(at["source"])})
-    rows = rows.withColumn("own", F.row_number().over(Window.partitionBy("doc_id", "size", "source").orderBy(F.lit(0))))
-    same = rows["doc_id"].eqNullSafe(plan["id"]) & rows["source"].eqNullSafe(plan["src"])
-    rows = rows.join(plan, same & (rows["size"] == plan["words"]) & (rows["own"] == plan["turn"]))
-    rows = rows.select("row", "size", F.explode("copies").alias("c"))
-    rows = rows.repartitionByRange("c.position", at["doc_id"], "c.pass").sortWithinPartitions("c.position", at["doc_id"], "c.pass")
+    digest = F.xxhash64("text")
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), digest.cast("string"))).cast("binary"))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("k"), digest.alias("digest"), F.struct(*own).alias("row"))
+    rows = rows.withColumn("bucket", F.substring("k", 1, BUCKET_DIGITS))
+    runs = materialize(rows.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "mix")
+    rows = _with_copies(rows.where("size > 0"), runs, ["k", "doc_id", "digest"], MAX_REPEAT, RAMP)
+    rows = rows.select("row", "size", "digest", F.explode("copies").alias("c"))
+    order = ["c.position", at["doc_id"], "c.pass", "digest"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     words = F.split(F.regexp_replace(at["text"], rf"^[{BLANK}]+", ""), rf"[{BLANK}]+")
     cut = F.array_join(F.slice(words, 1, F.col("c.tokens").cast("int")), " ")
     text = F.when(F.col("c.tokens") < F.col("size"), cut).otherwise(F.col(at["text"]))

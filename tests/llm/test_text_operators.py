@@ -193,6 +193,23 @@ def water_fill(sizes, weights, cap=3):
     return [targets[i] for i in range(len(sizes))]
 
 
+def test_mixed_documents_cut_the_same_rows_again(spark):
+    rows = [(i, "w " * (i % 7 + 1), "abc"[i % 3]) for i in range(60)]
+    rows += [(7, f"t{i} u v", "a") for i in range(40)] + [(None, f"x{i} y z", "a") for i in range(40)] + [(None, None, None), (3, "", "b"), (None, "one two", None)]
+    df = docs(spark, rows).withColumn("row", F.lit(1)).withColumn("size", F.lit("s")).withColumn("copies", F.lit(None).cast("int"))
+    first = mixing.mixed_documents(df)
+    got = [tuple(r) for r in first.collect()]
+    assert first.columns == df.columns and got == [tuple(r) for r in mixing.mixed_documents(df.repartition(5)).collect()]
+    taken = {r["source"]: r["taken"] for r in mixing.curriculum(df).groupBy("source").agg(F.sum("taken").alias("taken")).collect()}
+    at = first.columns.index("text"), first.columns.index("source")
+    for source, n in taken.items():
+        assert sum(len(r[at[0]].split()) for r in got if r[at[1]] == source) == n
+    # Whole texts but for at most one of each source, none of them new, none more often than three times.
+    texts = {t for _, t, _ in rows}
+    assert len([r for r in got if r[at[0]] not in texts]) <= len(taken)
+    assert max(sum(r[at[0]] == t for r in got) for t in texts if t and t.startswith(("t", "x"))) <= 3
+
+
 def test_mixing(spark):
     rng = random.Random(2)
     rows, n = [], 0
@@ -219,6 +236,7 @@ def test_mixing(spark):
     out = mixing.mixed_documents(df)
     assert out.columns == df.columns
     assert sum(len(r["text"].split()) for r in out.collect()) == sum(r["taken"] for r in got)
+    assert mixing.mixed_documents(df.limit(0)).count() == 0
     assert mixing.curriculum(df.limit(0)).count() == 0
     assert [r["taken"] for r in mixing.curriculum(docs(spark, [(1, None, "a"), (2, "", None)])).collect()] == [0, 0]
 
