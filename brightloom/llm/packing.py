@@ -16,6 +16,7 @@ the program's part is that few documents are cut.
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -34,6 +35,12 @@ CAPACITY = 1024
 END_ID = 0
 #: Gap between the program's value and its lower bound at which columns stop.
 GAP = 1e-4
+#: Columns in a row that must lower the program's value by GAP together; else they stop.
+PATIENCE = 64
+#: Largest part of a document that is added to each length's demand, so that no two ratios tie.
+NUDGE = 1e-3
+#: Columns after which the inverse is computed anew, as its updates lose digits.
+REFRESH = 64
 #: Smallest gap that documents are cut for.
 LEAST_CUT = 8
 #: Runs of a length class that rank on their own.
@@ -97,7 +104,9 @@ def _program(counts: dict[int, int], capacity: int, gap: float) -> list[tuple[Pa
     Revised simplex with the basis' inverse at hand: the greedy patterns
     start from one pattern per length, the knapsack names the column to enter,
     and the ratio test the one to leave. It ends when the bound value / price
-    (Farley), or that of all ids over the capacity, is within ``gap`` or no column is left to enter. The patterns' floors are taken, and
+    (Farley), or that of all ids over the capacity, is within ``gap``, no column is left to enter, or the last PATIENCE priced
+    columns lowered the value by less than ``gap`` together. Many lengths of few documents make ratios tie, and steps
+    of no length could go round for ever: each demand is nudged by its own small amount. The patterns' floors are taken, and
     what is left, less than a sequence for each basis column, is filled greedily. Patterns hold few lengths, so an
     entering column changes few rows and columns of the inverse.
     """
@@ -105,14 +114,19 @@ def _program(counts: dict[int, int], capacity: int, gap: float) -> list[tuple[Pa
     demand = np.array([counts[int(n)] for n in lengths], float)
     if not len(lengths):
         return []
+    least = math.ceil(float(lengths @ demand) / capacity - 1e-9)  # a whole number of sequences can't be less
+    demand += NUDGE * (1 + np.random.default_rng(0).random(len(lengths))) / 2
     basis: list[Pattern] = [((i, int(capacity // n)),) for i, n in enumerate(lengths)]
     inverse = np.diag([1.0 / p[0][1] for p in basis])
     x = inverse @ demand
     seeds = [tuple((int(np.searchsorted(lengths, n)), k) for n, k in p) for p, _ in fill(counts, capacity)]
     bound = float(lengths @ demand) / capacity
     dual = inverse.sum(0)
-    near = lambda: x.sum() <= max(bound * (1 + gap), math.ceil(bound - 1e-9))  # noqa: E731  a whole number of sequences can't be less
-    while not near():
+    near = lambda: x.sum() <= max(bound * (1 + gap), least)
+    values: list[float] = []
+    for entered in itertools.count(1):
+        if near():
+            break
         if seeds:
             pattern = seeds.pop(0)
             value = sum(dual[i] * k for i, k in pattern)
@@ -121,15 +135,25 @@ def _program(counts: dict[int, int], capacity: int, gap: float) -> list[tuple[Pa
         else:
             value, pattern = knapsack(np.maximum(dual, 0), lengths, capacity)
             bound = max(bound, x.sum() / max(value, 1.0))
-            if value <= 1 + 1e-9 or near():
+            values.append(float(x.sum()))
+            stalled = len(values) > PATIENCE and values[-PATIENCE - 1] - values[-1] < gap * values[-1]
+            if value <= 1 + 1e-9 or stalled or near():
                 break
         d = inverse[:, [i for i, _ in pattern]] @ np.array([k for _, k in pattern], float)
-        able = d > 1e-9
-        ratio = np.where(able, x / np.where(able, d, 1), np.inf)
+        able = d > 1e-7
+        ratio = np.where(able, np.maximum(x, 0) / np.where(able, d, 1), np.inf)
         out = int(ratio.argmin())
         step = ratio[out]
         x -= step * d
         x[out] = step
+        basis[out] = pattern
+        if entered % REFRESH == 0:
+            columns = np.zeros_like(inverse)
+            for j, p in enumerate(basis):
+                columns[[i for i, _ in p], j] = [k for _, k in p]
+            inverse = np.linalg.inv(columns)
+            x, dual = inverse @ demand, inverse.sum(0)
+            continue
         old = inverse[out].copy()
         row = old / d[out]
         d[out] = 0
@@ -137,7 +161,6 @@ def _program(counts: dict[int, int], capacity: int, gap: float) -> list[tuple[Pa
         inverse[np.ix_(rows, cols)] -= d[rows, None] * row[cols]
         inverse[out] = row
         dual += row * (1 - d.sum()) - old
-        basis[out] = pattern
     left = dict(counts)
     used: Counter[Pattern] = Counter()
     for j in np.argsort(-x):

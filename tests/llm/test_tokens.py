@@ -143,6 +143,27 @@ def test_program_is_never_worse_than_its_start(kind):
     assert cut < 0.01 * sum(counts.values())
 
 
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_program_of_few_documents_a_length_ends(folder):
+    """Demands of one to a few documents make the ratios tie; columns could go round without end."""
+    import pyarrow.parquet as pq
+
+    rounds, knapsack = [0], packing.knapsack
+
+    def counted(*args):
+        rounds[0] += 1
+        assert rounds[0] < 1000
+        return knapsack(*args)
+
+    sizes = pq.read_table(f"/root/testdata/{folder}/documents.parquet", columns=["n_chars"])["n_chars"].to_numpy() * 4 // 10
+    counts = dict(Counter((sizes % 1023 + 1).tolist()))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(packing, "knapsack", counted)
+        made = packing.plan(counts, 0)
+    assert made.sequences <= sum(t for _, t in packing.fill(counts, 1024))
+    assert sum(made.kept.values()) >= 0.9 * len(sizes)
+
+
 def test_caches_are_bounded_by_bytes():
     """Long runs without blanks, of three bytes a character, fill no more than their room; ids and counts stay right."""
     import tracemalloc
