@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from brightloom.functions.text import SPECIAL, query_tokens
 from brightloom.sources.scratch import keep
 
-#: Query vectors of a block, chunk vectors of a part, and distinct tokens of an automaton.
+#: Query vectors of a block, chunks of a part, and weights of an automaton's tokens.
 BLOCK, PART = 2000, 8192
 TOKEN_BLOCK = 50_000
 #: Ids whose texts share an entry in the index of character runs; characters of a text that are looked at together.
@@ -90,58 +90,122 @@ def candidates(tokens: DataFrame, grams: DataFrame) -> DataFrame:
     return rarest.where("not absent").select("low", "gram").join(held, "gram").select("low", "range")
 
 
-def lexical_scores(tokens: DataFrame, chunks: DataFrame, only: Column | None = None, block: int = TOKEN_BLOCK, grams: DataFrame | None = None) -> DataFrame:
-    """``query_id, id, score``: the weights of a query's tokens that a chunk's text contains, case set aside.
+def lexical_scores(tokens: DataFrame, chunks: DataFrame, only: Column | None = None, block: int = TOKEN_BLOCK, grams: DataFrame | None = None, k: int | None = None) -> DataFrame:
+    """``query_id, id, score``: the weights of a query's tokens that a chunk's text contains, case set aside; with ``k`` at least the ``k`` best of each query.
 
-    An index of runs of three characters (``grams``, or one made here) tells for each token by its
-    rarest run which ranges of chunks may contain it. Only these meet the token, as rows: a task
-    builds an automaton of a range's tokens, at most about ``block`` of them, and runs the range's texts through it.
+    Queries are dealt by hash to blocks of about ``block`` weights and chunks to parts of about ``PART``. Each block meets each part in
+    one task, which builds an automaton of the block's tokens and adds up a text's scores as it runs through it, so that
+    no row is made for a token in a text, nor with ``k`` for a chunk that is not among the part's best. With an index of
+    runs of characters (``grams``) texts of ranges that can't contain a block's tokens are left out.
     """
-    own = tokens.withColumn("low", F.lower("token")).groupBy("query_id", "low").agg(F.sum("weight").alias("weight"))
+    own = tokens.withColumn("low", F.lower("token")).groupBy("query_id", "low").agg(F.sum("weight").cast("long").alias("weight"))
     own = keep(own, "tokens")
-    if grams is None:
-        grams = keep(gram_index(chunks), "grams")
+    blocks = own.count() // block + 1
     if only is not None:
         chunks = chunks.where(only)
-    number = own.agg(F.countDistinct("low")).first()[0]
-    share = F.pmod(F.xxhash64("low"), F.lit(number // block + 1)).cast("int").alias("share")
-    asked = keep(candidates(own, grams).select("range", share, "low"), "candidates")
-    text = chunks.select(_gram_range(), "id", F.lower("text").alias("text")).where("text is not null")
-    text = text.join(asked.select("range", "share").distinct(), "range")
-    both = asked.withColumn("id", F.lit(None).cast("long")).withColumn("text", F.lit(None).cast("string")).unionByName(text, allowMissingColumns=True)
-    both = both.repartition("range", "share").sortWithinPartitions("range", "share", F.col("id").asc_nulls_first())
-    hits = both.select("range", "share", "id", "low", "text").mapInArrow(_contained, "id long, low string")
-    return hits.join(own, "low").groupBy("query_id", "id").agg(F.sum("weight").alias("score"))
-
-
-def _contained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens of a range come first, then its texts."""
-    import ahocorasick
-
-    now, tokens = None, None
-    for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            ids, found = [], []
-            for r, share, i, low, text in zip(*whole.slice(at, 256).columns, strict=True):
-                key = r.as_py(), share.as_py()
-                if key != now:
-                    now, tokens = key, ahocorasick.Automaton()
-                if not i.is_valid:
-                    tokens.add_word(low.as_py(), low.as_py())
+    texts = chunks.select("id", F.lower("text").alias("text")).where("text is not null and id is not null")
+    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    parts = (texts.count() // (PART * tasks) + 1) * tasks
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = own.withColumn("block", number("query_id", blocks))
+    if grams is None:
+        texts = texts.select(each(blocks).alias("block"), "id", "text")
+    else:
+        near = own.select("block", "low").join(candidates(own, grams), "low").select("block", "range").distinct()
+        texts = texts.withColumn("range", _gram_range()).join(near, "range").select("block", "id", "text")
+    none = lambda t: F.lit(None).cast(t)
+    asked = own.select("block", each(parts).alias("part"), "query_id", "low", "weight", none("long").alias("id"), none("string").alias("text"))
+    rows = texts.select("block", number("id", parts).alias("part"), none(own.schema["query_id"].dataType).alias("query_id"), none("string").alias("low"), none("long").alias("weight"), F.col("id").cast("long").alias("id"), "text")
+    both = asked.unionByName(rows).repartitionById(tasks, F.pmod(F.col("part") + F.col("block"), F.lit(tasks)).cast("int"))
+    both = both.sortWithinPartitions("block", "part", F.col("id").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, scores = None, [], None
+        for b in batches:
+            keys = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("block", "part")] + [np.array(b.column("id").is_valid(), np.int64)], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if e == s:
                     continue
-                if tokens.kind == ahocorasick.TRIE:
-                    tokens.make_automaton()
-                if tokens.kind == ahocorasick.AHOCORASICK:
-                    new = {t for _, t in tokens.iter(text.as_py())}
-                    ids += [i.as_py()] * len(new)
-                    found += new
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["id", "low"])
+                if now != tuple(keys[s, :2]):
+                    if scores is not None:
+                        yield from scores.rows()
+                    now, held, scores = tuple(keys[s, :2]), [], None
+                piece = b.slice(s, e - s)
+                if not keys[s, 2]:
+                    held.append(piece.select(["query_id", "low", "weight"]))
+                elif held:
+                    scores = scores or _Contained(held, k)
+                    yield from scores.add(piece)
+        if scores is not None:
+            yield from scores.rows()
+
+    return both.mapInArrow(run, f"query_id {own.schema['query_id'].dataType.simpleString()}, id long, score long")
+
+
+class _Contained:
+    """Scores of a block's queries as the texts of a part go by, in order of their ids; with ``k`` the best ``k`` of each query."""
+
+    #: Scores that are held before those that are not among the best are dropped.
+    HELD = 1 << 19
+
+    def __init__(self, tokens: list[pa.RecordBatch], k: int | None) -> None:
+        import ahocorasick
+
+        table = pa.Table.from_batches(tokens).combine_chunks()
+        low, query = (table[c].combine_chunks().dictionary_encode("encode") for c in ("low", "query_id"))
+        self.k, self.queries = k, query.dictionary
+        order = np.argsort(low.indices.to_numpy(), kind="stable")
+        self.query, self.weight = query.indices.to_numpy()[order], table["weight"].to_numpy()[order]
+        ends = np.cumsum(np.bincount(low.indices.to_numpy(), minlength=len(low.dictionary))).tolist()
+        self.tokens = ahocorasick.Automaton()
+        for token, start, end in zip(low.dictionary.to_pylist(), [0, *ends], ends, strict=False):
+            self.tokens.add_word(token, (start, end))
+        self.tokens.make_automaton()
+        self.least = np.zeros(len(self.queries), np.int64)  # the score to beat
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, texts: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for i, text in zip(texts.column("id").to_pylist(), texts.column("text"), strict=True):
+            runs = {t for _, t in self.tokens.iter(text.as_py())}
+            if not runs:
+                continue
+            at = np.concatenate([np.arange(s, e) for s, e in runs])
+            score = np.bincount(self.query[at], self.weight[at], len(self.least)).astype(np.int64)
+            better = np.flatnonzero(score > self.least)
+            if len(better):
+                self.found.append((better, np.full(len(better), i), score[better]))
+                self.size += len(better)
+            if self.size > self.HELD:
+                if self.k is None:
+                    yield from self.rows()
+                else:
+                    self._best()
+
+    def _best(self) -> None:
+        query, ids, score = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        order = np.lexsort((ids, -score, query))
+        query, ids, score = query[order], ids[order], score[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        last = rank == self.k - 1  # later ids lose ties
+        self.least[query[last]] = score[last]
+        best = rank < self.k
+        self.found, self.size = [(query[best], ids[best], score[best])], int(best.sum())
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.found and self.k is not None:
+            self._best()
+        if self.found:
+            query, ids, score = (np.concatenate(x) for x in zip(*self.found, strict=True))
+            self.found, self.size = [], 0
+            yield pa.RecordBatch.from_arrays([self.queries.take(pa.array(query)), pa.array(ids), pa.array(score)], ["query_id", "id", "score"])
 
 
 def lexical(queries: DataFrame, chunks: DataFrame, k: int, docs_site: bool = False, only: Column | None = None, grams: DataFrame | None = None) -> DataFrame:
     """``query_id, rank, id, score`` of the ``k`` best chunks of positive score; ``grams``: a kept ``gram_index`` of these chunks or more."""
-    return top(lexical_scores(tokens_of(queries, docs_site), chunks, only, grams=grams), k)
+    return top(lexical_scores(tokens_of(queries, docs_site), chunks, only, grams=grams, k=k), k)
 
 
 def semantic(queries: DataFrame, chunks: DataFrame, k: int, block: int = BLOCK, part: int = PART) -> DataFrame:

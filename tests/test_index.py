@@ -139,6 +139,18 @@ def test_lexical_by_character_runs(spark, monkeypatch):
     assert rows(retrieve.lexical_scores(retrieve.tokens_of(q), c.limit(0))) == rows(retrieve.lexical_scores(retrieve.tokens_of(q.limit(0)), c)) == []
 
 
+def test_lexical_makes_few_rows(spark):
+    """A token that stands in all texts makes no row for each query and text: a part gives its best few."""
+    n, k = 3000, 3
+    chunks = table(spark, [(i, "common words " + ("rare " if i % 1000 == 7 else "") + f"number{i}") for i in range(n)])
+    q = spark.createDataFrame([(i, "common rare" if i % 2 else "common words") for i in range(40)], "query_id long, text string")
+    scored = retrieve.lexical_scores(retrieve.tokens_of(q), chunks, k=k)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert scored.count() <= 40 * k * tasks
+    got = sorted(rows(retrieve.lexical(q, chunks, k).select("query_id", "rank", "id", "score")))
+    assert got == sorted((i, r + 1, [7, 1007, 2007][r] if i % 2 else r, 2) for i in range(40) for r in range(k))
+
+
 def test_block_join_of_vectors(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(230, 6))
