@@ -90,17 +90,19 @@ def length_gate(chunks: DataFrame, text: str = "text", limit: int = HARD_LIMIT)
     return chunks
 
 
-_CODE = r"(?is)((?:fmod|mod|fth|th)\s+\w+.*?(?:endfm|endm|endfth|endth))"
+_END = "endfm|endm|endfth|endth"
+_CODE = rf"(?isU)((?:fmod|mod|fth|th)\s+\w+.*?(?:{_END}))"
 
 
 def pdf_chunks(pages: DataFrame) -> DataFrame:
     """``doc, page, seq, type, text`` of page texts: code blocks over 50 characters, then readable paragraphs over 80.
 
-    The code pattern is matched without case, across lines, as short as can be.
+    The code pattern is matched without case, across lines, as short as can be. It is tried only up to the last
+    word that ends a block: behind it, each start of a block would run through the whole rest in vain.
     """
-    pattern = _CODE.replace("(?is)", "(?isU)")
-    code = F.transform(F.filter(matches(F.col("text"), pattern, 1), lambda c: F.length(c) > 50), strip)
-    rest = F.regexp_replace("text", pattern, "")
+    pages = pages.withColumn("_head", F.regexp_extract("text", rf"(?isU)^.*(?:{_END})", 0))
+    code = F.transform(F.filter(matches(F.col("_head"), _CODE, 1), lambda c: F.length(c) > 50), strip)
+    rest = F.concat(F.regexp_replace("_head", _CODE, ""), F.substr("text", F.length("_head") + 1))
     paragraphs = F.transform(F.split(rest, r"(?U)\n\s*\n"), strip)
     prose = F.filter(paragraphs, lambda p: (F.length(p) > 80) & is_readable(p))
     typed = lambda xs, kind: F.transform(xs, lambda x: F.struct(F.lit(kind).alias("type"), x.alias("text")))

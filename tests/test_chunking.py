@@ -92,3 +92,17 @@ def test_dense_ids_with_nulls_and_repeats(spark):
     assert [r["id"] for r in got] == [0, 1, 2, 3, 4] and [r["k"] for r in got] == [None, 1, 1, 1, 2]
     assert sorted(r["v.w"] for r in got) == ["a", "a", "b", "c", "d"]
     assert dense_ids(rows.limit(0), "k").count() == 0
+
+
+def test_pdf_code_pattern_stops_at_the_last_end(spark):
+    import time
+
+    from brightloom.operators.chunking import pdf_chunks
+
+    code = "fmod X is sort S " + "y" * 40 + " endfm"
+    starts = "with some of the words here again " * 30_000  # "th some" starts a block that never ends
+    pages = spark.createDataFrame([("d", 1, code + "\n\n" + starts), ("d", 2, "fth a" + "b" * 60 + "endmc and so on"), ("d", 3, None)], "doc string, page int, text string")
+    start = time.time()
+    got = sorted((r["page"], r["type"], r["text"]) for r in pdf_chunks(pages).collect())
+    assert got == [(1, "code", code), (1, "text", starts.strip()), (2, "code", "fth a" + "b" * 60 + "endm")]
+    assert time.time() - start < 60
