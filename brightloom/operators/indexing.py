@@ -28,27 +28,26 @@ RANGE, WAVE, FEW = 1024, 4, 1000
 DIM = 384
 
 
-@lru_cache(1 << 16)
-def _place(word: str) -> tuple[int, int]:
-    """The hash of a word whose remainder is its component, and its sign."""
-    h = int(hashlib.md5(word.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()[:8], 16)
-    return h, 1 if h >> 16 & 1 else -1
+@lru_cache(1 << 18)
+def _hash(word: str) -> int:
+    """The hash of a word: its remainder is the component, bit 16 the sign."""
+    return int.from_bytes(hashlib.md5(word.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()[:4])
 
 
 def hashing_counts(text: str | None, dim: int = DIM) -> np.ndarray:
     """Signed counts of the hashes of a text's lower-case words."""
-    out = np.zeros(dim, np.float32)
-    for w in (text or "").lower().split():
-        h, sign = _place(w)
-        out[h % dim] += sign
-    return out
+    h = np.array([_hash(w) for w in (text or "").lower().split()], np.int64)
+    return np.bincount(h % dim, (h >> 16 & 1) * 2 - 1, dim).astype(np.float32)
 
 
 def hashing_vector(text: str | None, dim: int = DIM) -> np.ndarray:
     """Default encoder: ``hashing_counts`` of unit length; no word: zero."""
-    out = hashing_counts(text, dim)
-    norm = np.linalg.norm(out)
-    return out / norm if norm else out
+    return _unit(hashing_counts(text, dim))
+
+
+def _unit(counts: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(counts)
+    return counts / norm if norm else counts
 
 
 def hashing_encoder(dim: int = DIM) -> Callable[[str | None], np.ndarray]:
@@ -61,6 +60,16 @@ def counting_encoder(dim: int = DIM) -> Callable[[str | None], np.ndarray]:
     return lambda text: hashing_counts(text, dim)
 
 
+def unit_and_counts_encoder(dim: int = DIM) -> Callable[[str | None], np.ndarray]:
+    """Factory of an encoder that gives the default encoder's components, then the counts behind them; words are hashed once."""
+
+    def encode(text: str | None) -> np.ndarray:
+        counts = hashing_counts(text, dim)
+        return np.concatenate([_unit(counts), counts])
+
+    return encode
+
+
 @lru_cache(4)
 def _loaded(factory: str, files: tuple[str, ...], options: tuple[tuple[str, object], ...]) -> Callable[[str | None], np.ndarray]:
     """The encoder of a Python process: made once and held as long as the worker lives."""
@@ -85,8 +94,9 @@ def embed(rows: DataFrame, text: str = "text", encoder: str = "brightloom.operat
         for b in batches:
             for at in range(0, b.num_rows, batch):
                 c = b.slice(at, batch)
-                vectors = [np.asarray(encode(t.as_py()), np.float32).tolist() for t in c.column(text)]
-                yield pa.RecordBatch.from_arrays([*c.columns, pa.array(vectors, pa.list_(pa.float32()))], [*c.schema.names, name])
+                vectors = [np.asarray(encode(t.as_py()), np.float32) for t in c.column(text)]
+                ends = np.cumsum([0, *map(len, vectors)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([*c.columns, pa.ListArray.from_arrays(ends, np.concatenate(vectors))], [*c.schema.names, name])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, ArrayType(FloatType()))]))
 

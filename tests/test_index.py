@@ -289,3 +289,22 @@ def test_fences_take_linear_time(spark):
     got = df.select(T.fenced(F.col("t")).alias("x")).select("x.*").first()
     assert time.time() - start < 20
     assert got["code"] == "\n".join(["some line of code"] * 25_000) and got["comment"] == "\n".join(["some line of prose"] * 25_000) + "\n"
+
+
+def test_unit_and_counts_hash_words_once():
+    from brightloom.operators import indexing
+
+    for text in ("a b a C\u00e4 \ud800", "", None):
+        both, before = indexing.unit_and_counts_encoder(16)(text), indexing._hash.cache_info()
+        assert both.dtype == np.float32 and both[:16].tolist() == indexing.hashing_vector(text, 16).tolist()
+        assert both[16:].tolist() == indexing.counting_encoder(16)(text).tolist()
+        assert before.misses == indexing._hash.cache_info().misses
+
+
+def test_embed_query_sums_squares_once_a_row(spark):
+    import re
+
+    from brightloom.plans import catalog
+
+    plan = catalog.QUERIES["i1_embed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" in plan and not re.search(r"abs\([^|]*?aggregate\(", plan)
