@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 
 from brightloom.sources.scratch import keep
 
+#: Rows that a task sorts or groups at most, about, whatever the number of shuffle partitions.
+TASK_ROWS = 250_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` of ``rows`` rows dealt by hash to tasks of about ``TASK_ROWS``, so that a task's memory doesn't grow with the table."""
+    return df.repartition(rows // TASK_ROWS + 1, *keys)
+
 
 def dense_ids(df: DataFrame, *order: str, name: str = "id") -> DataFrame:
     """Number the rows 0..n-1 by ``order``, nulls first; rows alike in ``order`` have numbers next to each other, in no stated order.

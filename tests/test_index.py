@@ -308,3 +308,14 @@ def test_embed_query_sums_squares_once_a_row(spark):
 
     plan = catalog.QUERIES["i1_embed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with" in plan and not re.search(r"abs\([^|]*?aggregate\(", plan)
+
+
+def test_ids_query_deals_by_rows(spark, monkeypatch):
+    from brightloom.operators import ids
+    from brightloom.plans import catalog
+
+    want = sorted(rows(catalog.QUERIES["c6_ids"](spark, "/root/testdata/sf0.001")))
+    monkeypatch.setattr(ids, "TASK_ROWS", 500)
+    got = catalog.QUERIES["c6_ids"](spark, "/root/testdata/sf0.001")
+    sizes = [n for _, n in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sorted(rows(got)) == want and len(sizes) > 8 and max(sizes) < 1000
