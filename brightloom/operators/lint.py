@@ -121,14 +121,19 @@ def code_tokens(code: Column) -> Column:
 
 
 def rising(programs: DataFrame, exemplars: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``name, size, t`` and ``exemplar, size, t``: each one's distinct tokens, those of few exemplars first."""
-    a = programs.select("name", F.explode(code_tokens(F.col("code"))).alias("t"))
-    b = exemplars.select(F.col("name").alias("exemplar"), F.explode(code_tokens(F.col("code"))).alias("t"))
-    often = b.groupBy("t").agg(F.count("*").alias("f"))
+    """``name, size, t`` and ``exemplar, size, t``: each one's distinct tokens, those of few exemplars first.
+
+    ``size`` counts all of an exemplar's tokens, ``t`` holds those that some program has: no other can be shared. Each text is read once.
+    """
+    own = lambda rows, name: rows.select(F.col("name").alias(name), code_tokens(F.col("code")).alias("t")).select(name, F.size("t").alias("size"), F.explode("t").alias("t"))
+    a = keep(own(programs, "name"), "program-tokens")
+    asked = keep(a.select("t").distinct(), "asked-tokens")  # kept, so that its size is known and a small one is broadcast
+    b = keep(own(exemplars, "exemplar").join(asked, "t", "left_semi").select("exemplar", "size", "t"), "shared-tokens")
+    often = keep(b.groupBy("t").agg(F.count("*").alias("f")), "often")
 
     def sorted_(rows: DataFrame, name: str) -> DataFrame:
-        rows = rows.join(often, "t", "left").groupBy(name).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "t"))).alias("s"))  # a program's tokens
-        return rows.select(name, F.size("s").alias("size"), F.transform("s", lambda x: x["t"]).alias("t"))
+        rows = rows.join(often, "t", "left").groupBy(name, "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "t"))).alias("s"))  # a program's tokens
+        return rows.select(name, "size", F.transform("s", lambda x: x["t"]).alias("t"))
 
     return sorted_(a, "name"), sorted_(b, "exemplar")
 
@@ -157,11 +162,11 @@ def candidate_pairs(a: DataFrame, b: DataFrame, least: DataFrame) -> DataFrame:
     """
     mine = a.join(least, "name", "left").select("name", F.col("size").alias("na"), F.coalesce("least", F.lit(0.0)).alias("s"), F.posexplode("t").alias("i", "t"))
     mine = mine.where(F.col("i") <= F.col("na") - F.col("s") * F.col("na") + 1e-9)
-    own = b.select("exemplar", F.col("size").alias("nb"), F.posexplode("t").alias("j", "t"))
+    own = b.select("exemplar", F.col("size").alias("nb"), F.size("t").alias("kept"), F.posexplode("t").alias("j", "t"))
     met = mine.join(own, "t").where("name <> exemplar")
-    s, na, nb = F.col("s"), F.col("na"), F.col("nb")
-    alike = (nb >= s * na - 1e-9) & (na >= s * nb - 1e-9) & (F.col("j") <= nb - s * nb + 1e-9)
-    room = F.least(na - F.col("i"), nb - F.col("j"))  # this token and what stands behind it
+    s, na, nb, kept = F.col("s"), F.col("na"), F.col("nb"), F.col("kept")
+    alike = (nb >= s * na - 1e-9) & (na >= s * nb - 1e-9) & (F.col("j") <= kept - s * nb + 1e-9)
+    room = F.least(na - F.col("i"), kept - F.col("j"))  # this token and what stands behind it
     return met.where(alike & (room * (1 + s) >= s * (na + nb) - 1e-9)).select("name", "exemplar").distinct()
 
 

@@ -319,3 +319,11 @@ def test_ids_query_deals_by_rows(spark, monkeypatch):
     got = catalog.QUERIES["c6_ids"](spark, "/root/testdata/sf0.001")
     sizes = [n for _, n in got.groupBy(F.spark_partition_id()).count().collect()]
     assert sorted(rows(got)) == want and len(sizes) > 8 and max(sizes) < 1000
+
+
+def test_rising_keeps_only_tokens_that_a_program_has(spark):
+    programs = spark.createDataFrame([("p", "eq f = g"), ("q", "")], "name string, code string")
+    exemplars = spark.createDataFrame([("x", "f g h i j"), ("y", "f"), ("z", "h")], "name string, code string")
+    a, b = lint.rising(programs, exemplars)
+    assert sorted(rows(a)) == [("p", 3, ["eq", "g", "f"])] and sorted(rows(b)) == [("x", 5, ["g", "f"]), ("y", 1, ["f"])]
+    assert [tuple(r) for r in lint.most_similar(programs, exemplars).collect()] == [("p", "x", 2 / 6)]
