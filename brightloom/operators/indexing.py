@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from importlib import import_module
 from typing import NamedTuple
 
@@ -132,7 +132,11 @@ def statistics(posts: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def weights(posts: DataFrame, avglen: Column, k1: float = K1, b: float = B) -> DataFrame:
     """Add the BM25 document weight of each posting."""
-    return posts.withColumn("weight", F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avglen)))
+    return posts.withColumn("weight", _weight(F.col("tf"), F.col("len"), avglen, k1, b))
+
+
+def _weight(tf: Column, length: Column, avglen: Column, k1: float = K1, b: float = B) -> Column:
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avglen))
 
 
 class Index(NamedTuple):
@@ -150,20 +154,76 @@ class Index(NamedTuple):
     gone: DataFrame
 
 
-def _size_of(chunks: DataFrame, posts: DataFrame, sign: int = 1) -> DataFrame:
-    """``chunks, texts, words`` of one row; ``posts`` has ``tf``."""
+def posting_blocks(chunks: DataFrame) -> DataFrame:
+    """``term, range, df, words, ids, tfs, lens``: the postings of ``chunks(id, text)``, joined to blocks in the task that reads the texts.
+
+    ``df`` is the number of a block's ids, ``words`` the sum of its ``tfs``. Where a range's chunks are read by several tasks, or their words are many, a term has
+    several blocks there; chunks in order of ids give the fewest.
+    """
+    # One string of words each: lists of words would be made and copied word by word.
+    words = chunks.select(F.col("id").cast("long").alias("id"), F.trim(F.regexp_replace(F.lower(protect_symbols(F.col("text"))), r"(?U)\W+", " ")).alias("w"))
+    return words.where("w <> ''").mapInArrow(partial(_joined, width=RANGE), "term string, range long, df int, words long, ids array<long>, tfs array<int>, lens array<int>")
+
+
+def _joined(batches: Iterator[pa.RecordBatch], width: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        ends = np.cumsum(pc.count_substring(b.column("w"), " ").to_numpy().astype(np.int64) + 1)
+        cuts = [0, *(np.flatnonzero(ends[1:] // most != ends[:-1] // most) + 1).tolist(), b.num_rows]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if e > s:
+                held.append(b.slice(s, e - s))
+                size += int(ends[e - 1] - (ends[s - 1] if s else 0))
+            if size >= most:
+                yield from _blocks_of(held, width)
+                held, size = [], 0
+    if held:
+        yield from _blocks_of(held, width)
+
+
+def _blocks_of(batches: list[pa.RecordBatch], width: int, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Blocks of the words of some chunks: a key of term and chunk for each word, sorted and counted."""
+    table = pa.Table.from_batches(batches).sort_by("id").combine_chunks()
+    words, ids = pc.split_pattern(table["w"].combine_chunks(), " "), table["id"].to_numpy()
+    flat, lens = pc.list_flatten(words).dictionary_encode(), pc.list_value_length(words).to_numpy().astype(np.int64)
+    keys, tfs = np.unique(flat.indices.to_numpy().astype(np.int64) * len(ids) + np.repeat(np.arange(len(ids)), lens), return_counts=True)
+    term, row = np.divmod(keys, len(ids))
+    range_ = ids[row] // width
+    starts = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (range_[1:] != range_[:-1])]))
+    ends = np.append(starts, len(keys)).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (ids[row], tfs.astype(np.int32), lens[row].astype(np.int32))]
+    own = [flat.dictionary.take(pa.array(term[starts])), pa.array(range_[starts]), pa.array(np.diff(ends)), pa.array(np.add.reduceat(tfs, starts)), *lists]
+    whole = pa.RecordBatch.from_arrays(own, ["term", "range", "df", "words", "ids", "tfs", "lens"])
+    for at in range(0, whole.num_rows, rows):
+        yield whole.slice(at, rows)
+
+
+def _size_of(chunks: DataFrame, blocks: DataFrame, sign: int = 1) -> DataFrame:
+    """``chunks, texts, words`` of one row."""
     rows = chunks.agg((sign * F.count("*")).alias("chunks"), (sign * F.count("text")).alias("texts"))
-    words = posts.agg((sign * F.coalesce(F.sum("tf"), F.lit(0))).cast("long").alias("words"))
+    words = blocks.agg((sign * F.coalesce(F.sum("words"), F.lit(0))).cast("long").alias("words"))
     return rows.join(F.broadcast(words))  # one row each
 
 
-def _blocked(posts: DataFrame, avglen: float) -> DataFrame:
-    """``term, range, top, base, ids, tfs, lens`` of ``posts(id, term, tf, len)``; at most ``RANGE`` of them a block."""
-    rows = weights(posts, F.lit(avglen)).withColumn("range", F.floor(F.col("id") / RANGE).cast("long"))
-    rows = rows.groupBy("term", "range").agg(F.max("weight").alias("top"), F.sort_array(F.collect_list(F.struct("id", "tf", "len"))).alias("p"))
+def _frequencies(blocks: DataFrame, sign: int = 1) -> DataFrame:
+    """``term, df`` of posting blocks."""
+    return blocks.groupBy("term").agg((sign * F.sum("df")).cast("long").alias("df"))
+
+
+def _gathered(posts: DataFrame) -> DataFrame:
+    """``term, range, ids, tfs, lens`` of single ``posts(id, term, tf, len)``."""
+    rows = posts.withColumn("range", F.floor(F.col("id") / RANGE).cast("long"))
+    rows = rows.groupBy("term", "range").agg(F.sort_array(F.collect_list(F.struct("id", "tf", "len"))).alias("p"))  # at most RANGE
     part = lambda c: F.transform("p", lambda x: x[c])
-    rows = rows.select("term", "range", "top", F.lit(avglen).alias("base"), part("id").alias("ids"), part("tf").alias("tfs"), part("len").alias("lens"))
-    return rows.repartitionByRange("term", "range").sortWithinPartitions("term", "range")
+    return rows.select("term", "range", part("id").alias("ids"), part("tf").alias("tfs"), part("len").alias("lens"))
+
+
+def _blocked(blocks: DataFrame, avglen: float) -> DataFrame:
+    """``term, range, top, base, ids, tfs, lens`` of posting blocks, in files sorted by term; of a frequent term ``RANGE`` ranges stay together."""
+    rows = blocks.drop("df", "words").repartition("term", F.floor(F.col("range") / RANGE)).sortWithinPartitions("term", "range")
+    top_ = F.array_max(F.zip_with("tfs", "lens", lambda tf, length: _weight(tf, length, F.lit(avglen))))
+    return rows.select("term", "range", top_.alias("top"), F.lit(avglen).alias("base"), "ids", "tfs", "lens")
 
 
 def _write_segment(spark: SparkSession, path: str, segment: int, posts: DataFrame, deltas: tuple[DataFrame, DataFrame], gone: DataFrame) -> None:
@@ -192,14 +252,14 @@ def write_posting_segment(chunks: DataFrame, path: str, segment: int, superseded
     read, and their terms go out of the counts. ``gone(id)`` are their ids.
     """
     spark = chunks.sparkSession
-    posts = keep(posting_counts(chunks), "postings")
-    terms_ = posts.groupBy("term").agg(F.count("*").alias("df"))
+    posts = keep(posting_blocks(chunks), "postings")
+    terms_ = _frequencies(posts)
     size = _size_of(chunks, posts)
     if superseded is not None:
-        was = keep(posting_counts(superseded), "postings-gone")
-        terms_ = terms_.unionByName(was.groupBy("term").agg((-F.count("*")).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+        was = keep(posting_blocks(superseded), "postings-gone")
+        terms_ = terms_.unionByName(_frequencies(was, -1)).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
         size = size.unionByName(_size_of(superseded, was, -1)).agg(*[F.sum(c).alias(c) for c in ("chunks", "texts", "words")])
-    none = spark.createDataFrame([], "id long")
+    none = spark.range(0)
     if replaces:  # a whole new index: earlier sizes do not count
         total = size.first()
         segments.write(terms_, path, "terms", segment)
@@ -218,8 +278,8 @@ def merge_posting_segments(spark: SparkSession, path: str, segment: int) -> None
     avglen = index.size.first()["avglen"] or 1.0
     segments.write(index.terms.select("term", "df"), path, "terms", segment)
     segments.write(size, path, "size", segment)
-    segments.write(_blocked(posts, avglen), path, "blocks", segment)
-    segments.write(spark.createDataFrame([], "id long"), path, "gone", segment)
+    segments.write(_blocked(_gathered(posts), avglen), path, "blocks", segment)
+    segments.write(spark.range(0), path, "gone", segment)
 
 
 def read_postings(spark: SparkSession, path: str) -> Index:
@@ -249,7 +309,7 @@ def asked(queries: DataFrame, index: Index) -> Asked:
     words = keep(words.select("query_id", "term", "idf"), "asked")
     own = words.select("term").distinct()
     few = own.limit(FEW + 1).collect()
-    if len(few) <= FEW:  # the terms themselves prune the files, which are sorted by term
+    if len(few) <= FEW:  # the terms themselves prune the pages of the files, which are sorted by term
         blocks = index.blocks.where(F.col("term").isin([r["term"] for r in few]))
     else:
         blocks = index.blocks.join(own, "term", "left_semi")

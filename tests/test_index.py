@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
+import pyarrow as pa
 
 from brightloom.operators import expand, indexing, lint, retrieve
 from brightloom.sources import index, segments
@@ -90,6 +91,58 @@ def test_segments_equal_a_rebuild(spark, tmp_path, monkeypatch):
 
 
 def test_bounds_skip_blocks_of_a_common_word(spark, tmp_path):
+def test_postings_are_joined_where_texts_are_read(spark, monkeypatch):
+    """No posting moves by itself: blocks are made without a shuffle, and one for each term and range where the ids stand in order."""
+    monkeypatch.setattr(indexing, "RANGE", 16)
+    chunks = made_up(random.Random(5), 90) + [(90, ""), (91, "a => B, A"), (92, " ... "), (93, "b ñ_1 \u2208 É")]
+    made = indexing.posting_blocks(table(spark, chunks).coalesce(1))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    blocks = made.collect()
+    got = [(i, b["term"], tf, n) for b in blocks for i, tf, n in zip(b["ids"], b["tfs"], b["lens"], strict=True)]
+    want = sorted(rows(indexing.posting_counts(table(spark, chunks))))
+    assert sorted(got) == want and (91, "symruleto", 1, 4) in want
+    assert len(blocks) == len({(t, i // 16) for i, t, _, _ in want})
+    assert all(b["ids"] == sorted(b["ids"]) and b["df"] == len(b["ids"]) and b["words"] == sum(b["tfs"]) for b in blocks)
+    # Many words are cut into several groups; no posting is lost or counted twice.
+    texts = pa.RecordBatch.from_pydict({"id": [5, 4, 40], "w": ["x y x", "x", "y z"]})
+    parts = [r for b in indexing._joined(iter([texts]), 16, most=2) for r in b.to_pylist()]
+    assert sorted((i, r["term"], tf) for r in parts for i, tf in zip(r["ids"], r["tfs"], strict=True)) == [(4, "x", 1), (5, "x", 2), (5, "y", 1), (40, "y", 1), (40, "z", 1)]
+
+
+def kept(spark):
+    """Tables in the shared folder."""
+    return {p.name for p in Path(re.sub("^file:(//)?", "", shared_dir(spark))).iterdir()}
+
+
+def test_queries_share_stored_chunks(spark, monkeypatch):
+    """Runs and postings are made of the chunks that lexical search reads; documents are numbered and written once, and hits are found once."""
+    from brightloom.plans import catalog
+
+    monkeypatch.setattr(catalog, "_STORED", {})
+    before = kept(spark)
+    catalog.x6_sections(spark, "/root/testdata/sf0.001").collect()
+    catalog.r10_bm25(spark, "/root/testdata/sf0.001").collect()
+    made = Counter(re.sub("-[0-9a-f]{32}$", "", n) for n in kept(spark) - before)
+    assert {n: made[n] for n in ("id-rows", "id-order", "chunks", "runs", "index", "hits")} == {"id-rows": 0, "id-order": 1, "chunks": 1, "runs": 1, "index": 1, "hits": 1}
+
+
+def test_upsert_keeps_the_ids_that_it_touches(spark, tmp_path):
+    """Their number, known then, tells Spark not to shuffle the stored texts that few of them are looked up in."""
+    path = str(tmp_path / "i")
+    index.create(table(spark, made_up(random.Random(6), 40)), path, clustered=True)
+    before = kept(spark)
+    index.upsert(table(spark, [(3, "w1")]), path, table(spark, [(4, None)]).select("id"))
+    assert {n.split("-")[0] for n in kept(spark) - before} >= {"touched", "superseded"}
+    assert index.chunks(spark, path).count() == 39
+
+
+def test_hybrid_with_vectors_apart(spark):
+    chunks = spark.createDataFrame([(i, f"word{i % 3} :=", [1.0, i / 7]) for i in range(12)], "id long, text string, vec array<double>")
+    asks = spark.createDataFrame([(1, "word1", [1.0, 0.5]), (2, "word2 :=", [0.0, 1.0])], "query_id long, text string, vec array<double>")
+    apart = retrieve.hybrid(asks, chunks.select("id", "text"), 2, vectors=chunks.select("id", "vec"))
+    assert sorted(rows(apart)) == sorted(rows(retrieve.hybrid(asks, chunks, 2))) and apart.count() == 8
+
+
     """Every chunk holds the common word; only ranges that can reach the best are scored, also without a rare word."""
     n, path = 40 * indexing.RANGE, str(tmp_path / "i")
     common = F.concat(F.lit("common "), F.repeat(F.lit("filler "), (F.col("id") % 13 + 3).cast("int")))
