@@ -12,17 +12,21 @@ from pyspark.sql import functions as F
 
 from brightloom.operators import indexing
 from brightloom.sources import segments
+from brightloom.sources.scratch import keep
 
 
 def _clustered(chunks: DataFrame) -> DataFrame:
     return chunks.repartitionByRange("id").sortWithinPartitions("id")
 
 
-def create(chunks: DataFrame, path: str) -> None:
-    """Write ``chunks(id, text, ...)`` and their postings as a segment that replaces what is there; ids are unique and not null."""
+def create(chunks: DataFrame, path: str, clustered: bool = False) -> None:
+    """Write ``chunks(id, text, ...)`` and their postings as a segment that replaces what is there; ids are unique and not null.
+
+    ``clustered``: each task's rows stand in order of ids already, as ``dense_ids`` leaves them.
+    """
     spark = chunks.sparkSession
     segment, old = segments.new_number(spark, path), segments.live(spark, path)
-    stored = segments.write(_clustered(chunks), path, "chunks", segment)
+    stored = segments.write(chunks if clustered else _clustered(chunks), path, "chunks", segment)
     indexing.write_posting_segment(stored, path, segment, replaces=old)
     segments.commit(spark, path, segment, old)
 
@@ -47,7 +51,8 @@ def upsert(changes: DataFrame, path: str, deleted: DataFrame | None = None) -> N
     touched = new.select("id")
     if deleted is not None:
         touched = touched.unionByName(deleted.select(F.col("id").cast("long").alias("id"))).distinct()
-    was = chunks(spark, path).join(touched, "id", "left_semi").select("id", "text")
+    touched = keep(touched, "touched")  # its size, known now, tells how to join: few ids leave the stored texts where they are
+    was = keep(chunks(spark, path).join(touched, "id", "left_semi").select("id", "text"), "superseded")
     indexing.write_posting_segment(new, path, segment, superseded=was, gone=was)
     segments.commit(spark, path, segment)
 
