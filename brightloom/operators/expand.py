@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from brightloom.functions.text import token_count
 from brightloom.sources.scratch import keep
 
 # Marks of interactive sessions and typeset transcripts, and of module declarations.
-SESSION = r"Maude>|Welcome to Maude"
-TYPESET = "[→⇝⇒∧]"
+SESSION = ("Maude>", "Welcome to Maude")
+TYPESET = ("→", "⇝", "⇒", "∧")
 MODULE = r"fmod |mod |fth |th |\neq |\nop "
 SNIPPET_LANGS = ("python", "http", "bash", "json", "")
 #: Ids of a bucket of the table of runs.
@@ -81,7 +83,7 @@ def _section_code(hits: DataFrame, chunks: DataFrame, keep: Column, origin: str,
 def section_modules(hits: DataFrame, chunks: DataFrame, n_sections: int = 2) -> DataFrame:
     """Add the module code of the sections of the best hits, without sessions and typeset transcripts."""
     text = F.col("text")
-    keep = ~F.rlike(text, F.lit(SESSION)) & ~F.rlike(text, F.lit(TYPESET)) & F.rlike(text, F.lit(MODULE))
+    keep = ~is_noise() & F.rlike(text, F.lit(MODULE))
     return _section_code(hits, chunks, keep, "section_module", n_sections)
 
 
@@ -113,7 +115,7 @@ def islands(chunks: DataFrame, bucket: int = 10_000) -> DataFrame:
 
 def is_noise() -> Column:
     """A session or a typeset transcript."""
-    return F.rlike("text", F.lit(SESSION)) | F.rlike("text", F.lit(TYPESET))
+    return reduce(lambda a, b: a | b, [F.contains("text", F.lit(mark)) for mark in SESSION + TYPESET])
 
 
 def section_line() -> Column:
