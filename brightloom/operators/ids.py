@@ -18,15 +18,16 @@ def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df.repartition(rows // TASK_ROWS + 1, *keys)
 
 
-def dense_ids(df: DataFrame, *order: str, name: str = "id") -> DataFrame:
+def dense_ids(df: DataFrame, *order: str, name: str = "id", stored: bool = False) -> DataFrame:
     """Number the rows 0..n-1 by ``order``, nulls first; rows alike in ``order`` have numbers next to each other, in no stated order.
 
     The rows are kept, range-partitioned and kept again with their place in their partition, so
-    that ``df`` is computed once. The partitions' counts, one row each, give where each starts. No row is
+    that ``df`` is computed once; ``stored`` says that it is a table as read from files, which is
+    not kept first. The partitions' counts, one row each, give where each starts. No row is
     joined by its values, so nulls and repeated values lose or add none.
     """
     place = f"place_{uuid.uuid4().hex}"  # no column of the caller's has this name
-    rows = keep(df, "id-rows").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = (df if stored else keep(df, "id-rows")).repartitionByRange(*order).sortWithinPartitions(*order)
     rows = keep(rows.withColumn(place, F.monotonically_increasing_id()), "id-order")
     part, own = F.shiftright(place, 33), F.col(place).bitwiseAND((1 << 33) - 1)
     sizes = rows.groupBy(part.alias("part")).count()
