@@ -304,10 +304,14 @@ def special_flags(queries: DataFrame, docs_site: bool = False) -> DataFrame:
     return queries.select("query_id", F.exists(query_tokens(F.col("text"), docs_site), lambda t: t["kind"] == SPECIAL).alias("special"))
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, limit: int = 3, docs_site: bool = False, grams: DataFrame | None = None) -> DataFrame:
-    """Lexical and semantic hits under conditional fusion; ``queries(query_id, text, vec)``, ``chunks(id, text, vec)``."""
+def hybrid(queries: DataFrame, chunks: DataFrame, limit: int = 3, docs_site: bool = False, grams: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """Lexical and semantic hits under conditional fusion; ``queries(query_id, text, vec)``, ``chunks(id, text, vec)``.
+
+    ``vectors(id, vec)``: the chunks' vectors where they are stored apart, so that no text is joined to its vector.
+    """
     lex = lexical(queries, chunks, 2 * limit, docs_site, grams=grams)
-    return fuse(special_flags(queries, docs_site), lex, semantic(queries, chunks, 2 * limit), limit)
+    near = semantic(queries, chunks if vectors is None else vectors, 2 * limit)
+    return fuse(special_flags(queries, docs_site), keep(lex, "lexical"), keep(near, "semantic"), limit)  # kept: fusion reads both twice
 
 
 def rrf(lists: list[DataFrame], limit: int, constant: int = 60) -> DataFrame:
