@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from brightloom.functions.text import SPECIAL, query_tokens
 from brightloom.sources.scratch import keep
 
-#: Query vectors of a block, chunks of a part, and weights of an automaton's tokens.
+#: Query vectors of a block and chunks of a part.
 BLOCK, PART = 2000, 8192
-TOKEN_BLOCK = 50_000
+#: Weights of an automaton's tokens, and bytes of the texts that a task of lexical search holds.
+TOKEN_BLOCK, TEXT_PART = 500_000, 64 << 20
 #: Ids whose texts share an entry in the index of character runs; characters of a text that are looked at together.
 GRAM_RANGE, SLICE = 64, 1 << 20
 
@@ -90,56 +91,65 @@ def candidates(tokens: DataFrame, grams: DataFrame) -> DataFrame:
     return rarest.where("not absent").select("low", "gram").join(held, "gram").select("low", "range")
 
 
-def lexical_scores(tokens: DataFrame, chunks: DataFrame, only: Column | None = None, block: int = TOKEN_BLOCK, grams: DataFrame | None = None, k: int | None = None) -> DataFrame:
+def lexical_scores(
+    tokens: DataFrame, chunks: DataFrame, only: Column | None = None, block: int = TOKEN_BLOCK, grams: DataFrame | None = None, k: int | None = None, part: int = TEXT_PART
+) -> DataFrame:
     """``query_id, id, score``: the weights of a query's tokens that a chunk's text contains, case set aside; with ``k`` at least the ``k`` best of each query.
 
-    Queries are dealt by hash to blocks of about ``block`` weights and chunks to parts of about ``PART``. Each block meets each part in
-    one task, which builds an automaton of the block's tokens and adds up a text's scores as it runs through it, so that
-    no row is made for a token in a text, nor with ``k`` for a chunk that is not among the part's best. With an index of
-    runs of characters (``grams``) texts of ranges that can't contain a block's tokens are left out.
+    Queries are dealt by hash to blocks of about ``block`` weights and chunks to parts of about ``part`` bytes, one a task. A text moves
+    once, however many queries there are: its task holds the part's texts while the blocks' tokens come by, builds an automaton
+    of each block's and adds up a text's scores as it runs through it, so that no row is made for a token in a text, nor with
+    ``k`` for a chunk that is not among the part's best. With an index of runs of characters (``grams``) texts of
+    ranges that can't contain a block's tokens are left out.
     """
     own = tokens.withColumn("low", F.lower("token")).groupBy("query_id", "low").agg(F.sum("weight").cast("long").alias("weight"))
     own = keep(own, "tokens")
     blocks = own.count() // block + 1
     if only is not None:
         chunks = chunks.where(only)
-    texts = chunks.select("id", F.lower("text").alias("text")).where("text is not null and id is not null")
-    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    parts = (texts.count() // (PART * tasks) + 1) * tasks
+    texts = chunks.select("id", "text").where("text is not null and id is not null")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), size // part + 1)
     number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = lambda t: F.lit(None).cast(t)
     own = own.withColumn("block", number("query_id", blocks))
     if grams is None:
-        texts = texts.select(each(blocks).alias("block"), "id", "text")
+        texts = texts.withColumn("near", none("array<int>"))
     else:
         near = own.select("block", "low").join(candidates(own, grams), "low").select("block", "range").distinct()
-        texts = texts.withColumn("range", _gram_range()).join(near, "range").select("block", "id", "text")
-    none = lambda t: F.lit(None).cast(t)
-    asked = own.select("block", each(parts).alias("part"), "query_id", "low", "weight", none("long").alias("id"), none("string").alias("text"))
-    rows = texts.select("block", number("id", parts).alias("part"), none(own.schema["query_id"].dataType).alias("query_id"), none("string").alias("low"), none("long").alias("weight"), F.col("id").cast("long").alias("id"), "text")
-    both = asked.unionByName(rows).repartitionById(tasks, F.pmod(F.col("part") + F.col("block"), F.lit(tasks)).cast("int"))
-    both = both.sortWithinPartitions("block", "part", F.col("id").asc_nulls_first())
+        texts = texts.withColumn("range", _gram_range()).join(near.groupBy("range").agg(F.collect_list("block").alias("near")), "range")
+    by = own.groupBy("block", "low").agg(F.collect_list(F.struct("query_id", "weight")).alias("by"))  # no longer than a block
+    by = by.select("block", "low", F.col("by.query_id").alias("queries"), F.col("by.weight").alias("weights"))
+    asked = by.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), *by.columns, none("long").alias("id"), none("string").alias("text"), none("array<int>").alias("near"))
+    rows = texts.select(number("id", parts).alias("part"), *[none(f.dataType).alias(f.name) for f in by.schema], F.col("id").cast("long").alias("id"), F.lower("text").alias("text"), "near")
+    both = asked.unionByName(rows).repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("block").asc_nulls_first(), "id").drop("part")
+    some = grams is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, scores = None, [], None
+        texts, now, held = [], None, []
+
+        def scores() -> Iterator[pa.RecordBatch]:
+            if texts and held:
+                found = _Contained(held, k)
+                for t in texts:
+                    yield from found.add(t.filter(pa.array([now in x for x in t.column("near").to_pylist()])) if some else t)
+                yield from found.rows()
+
         for b in batches:
-            keys = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("block", "part")] + [np.array(b.column("id").is_valid(), np.int64)], 1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            keys = b.column("block").fill_null(-1).to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
             for s, e in zip(cuts, cuts[1:], strict=False):
                 if e == s:
                     continue
-                if now != tuple(keys[s, :2]):
-                    if scores is not None:
-                        yield from scores.rows()
-                    now, held, scores = tuple(keys[s, :2]), [], None
                 piece = b.slice(s, e - s)
-                if not keys[s, 2]:
-                    held.append(piece.select(["query_id", "low", "weight"]))
-                elif held:
-                    scores = scores or _Contained(held, k)
-                    yield from scores.add(piece)
-        if scores is not None:
-            yield from scores.rows()
+                if keys[s] < 0:
+                    texts.append(piece.select(["id", "text", "near"]))
+                    continue
+                if now != keys[s]:
+                    yield from scores()
+                    now, held = keys[s], []
+                held.append(piece.select(["low", "queries", "weights"]))
+        yield from scores()
 
     return both.mapInArrow(run, f"query_id {own.schema['query_id'].dataType.simpleString()}, id long, score long")
 
@@ -153,36 +163,39 @@ class _Contained:
     def __init__(self, tokens: list[pa.RecordBatch], k: int | None) -> None:
         import ahocorasick
 
-        table = pa.Table.from_batches(tokens).combine_chunks()
-        low, query = (table[c].combine_chunks().dictionary_encode("encode") for c in ("low", "query_id"))
+        queries, weights = (pa.concat_arrays([t.column(c) for t in tokens]) for c in ("queries", "weights"))
+        query = queries.flatten().dictionary_encode("encode")
         self.k, self.queries = k, query.dictionary
-        order = np.argsort(low.indices.to_numpy(), kind="stable")
-        self.query, self.weight = query.indices.to_numpy()[order], table["weight"].to_numpy()[order]
-        ends = np.cumsum(np.bincount(low.indices.to_numpy(), minlength=len(low.dictionary))).tolist()
+        self.query, self.weight = query.indices.to_numpy(), weights.flatten().to_numpy().astype(float)
+        self.times = queries.value_lengths().to_numpy().astype(np.int64)  # of each token
+        self.start = np.cumsum(self.times) - self.times
         self.tokens = ahocorasick.Automaton()
-        for token, start, end in zip(low.dictionary.to_pylist(), [0, *ends], ends, strict=False):
-            self.tokens.add_word(token, (start, end))
+        for n, token in enumerate(x.as_py() for t in tokens for x in t.column("low")):
+            self.tokens.add_word(token, n)
         self.tokens.make_automaton()
         self.least = np.zeros(len(self.queries), np.int64)  # the score to beat
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size = 0
+        self.size, self.most = 0, self.HELD
 
     def add(self, texts: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, text in zip(texts.column("id").to_pylist(), texts.column("text"), strict=True):
-            runs = {t for _, t in self.tokens.iter(text.as_py())}
-            if not runs:
+            own = np.array(list({t for _, t in self.tokens.iter(text.as_py())}), np.int64)
+            if not len(own):
                 continue
-            at = np.concatenate([np.arange(s, e) for s, e in runs])
-            score = np.bincount(self.query[at], self.weight[at], len(self.least)).astype(np.int64)
+            times = self.times[own]
+            ends = np.cumsum(times)
+            at = np.repeat(self.start[own] - ends + times, times) + np.arange(ends[-1])
+            score = np.bincount(self.query[at], self.weight[at], len(self.least))
             better = np.flatnonzero(score > self.least)
             if len(better):
-                self.found.append((better, np.full(len(better), i), score[better]))
+                self.found.append((better, np.full(len(better), i), score[better].astype(np.int64)))
                 self.size += len(better)
-            if self.size > self.HELD:
+            if self.size > self.most:
                 if self.k is None:
                     yield from self.rows()
                 else:
                     self._best()
+                    self.most = max(self.HELD, 2 * self.size)
 
     def _best(self) -> None:
         query, ids, score = (np.concatenate(x) for x in zip(*self.found, strict=True))

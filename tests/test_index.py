@@ -205,6 +205,28 @@ def test_lexical_makes_few_rows(spark):
     assert got == sorted((i, r + 1, [7, 1007, 2007][r] if i % 2 else r, 2) for i in range(40) for r in range(k))
 
 
+def test_lexical_moves_a_text_once(spark, monkeypatch):
+    """Many blocks of queries send no text again, and small parts, filtered ones too, give the same scores."""
+    n, q = 90, spark.createDataFrame([(i, f"common word{i % 7} number{i}") for i in range(50)], "query_id long, text string")
+    chunks = table(spark, [(i, f"common word{i % 5} number{i}" if i % 9 else None) for i in range(n)])
+    sent, frame = [], type(chunks)
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda df, *a, **k: sent.append(df) or plain(df, *a, **k))
+    scored = retrieve.lexical_scores(retrieve.tokens_of(q), chunks, block=4)
+    assert sent[-1].where("id is not null").count() == n - n // 9
+    want = sorted(rows(scored))
+    assert len(want) == 50 * (n - n // 9)
+    retrieve.write_grams(chunks, f"{shared_dir(spark)}/test-once-grams")
+    grams = spark.read.parquet(f"{shared_dir(spark)}/test-once-grams")
+    for more in ({"part": 200}, {"grams": grams}):
+        got = retrieve.lexical_scores(retrieve.tokens_of(q), chunks, block=4, **more)
+        assert sent[-1].where("id is not null").count() == n - n // 9
+        assert sorted(rows(got)) == want
+    best = rows(retrieve.top(retrieve.lexical_scores(retrieve.tokens_of(q), chunks, block=4, k=2, part=200), 2).select("query_id", "rank", "id", "score"))
+    order = sorted(want, key=lambda r: (r[0], -r[2], r[1]))
+    assert sorted(best) == sorted((a, j + 1, i, s) for a in range(50) for j, (_, i, s) in enumerate([r for r in order if r[0] == a][:2]))
+
+
 def test_block_join_of_vectors(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(230, 6))
