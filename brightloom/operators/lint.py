@@ -15,18 +15,22 @@ KEYWORDS = (
     "subsorts protecting including extending rem quo gcd lcm min max sd abs ctor assoc comm id prec gather endfm endm"
 ).split()
 BUILT_IN = "Bool Nat Int Float String Qid".split()
-WORD = r"(?U)[A-Za-z][\w'-]*"
-# The patterns of rules 1 to 6 and of declarations.
+#: A character of a word, and where a word of ASCII letters begins and ends. ``\w`` leaves out numbers such as ½ and takes in some marks;
+#: ``\b`` by itself does too, and only spares looking back inside words.
+_W = r"[\p{L}\p{M}\p{N}_]"
+_BEGINS, _ENDS = rf"\b(?<!{_W})", rf"(?!{_W})"
+WORD = r"[A-Za-z][\p{L}\p{M}\p{N}_'-]*"
+# The patterns of rules 1 to 6 and of declarations. Only \n ends a line (flag d): lines are cut there, and \r or \x85 stands inside one.
 OTHER_CHARACTER = r"([^\x00-\x7F])"
-CONDITION = r"(?U)\bif\b(.*?)\bthen\b"
-WHEN = r"(?U)\bwhen\b"
+CONDITION = rf"(?d){_BEGINS}if{_ENDS}(.*?){_BEGINS}then{_ENDS}"
+WHEN = rf"{_BEGINS}when{_ENDS}"
 DASHES = r"(?U)(^|\s)--(?!-)(\s|$)"
 SINGLE_EQUALS = r"(?<![=<>~/\\])=(?![=/])"
-LEFT_SIDE = r"(?U)^\s*(?:eq|ceq)\s+(.*?)\s=(?!=)\s"
-CAPITALISED = r"(?U)\b[A-Z][\w'-]*\b"
-RULE_LINE = r"(?U)^\s*(?:c?eq|c?rl)\b"
-VARIABLES, INLINE_VARIABLES = r"(?mU)^\s*vars?\s+(.+?)\s*:\s*\S+\s*\.", r"(?U)\b([A-Za-z][\w'-]*):(?=[A-Za-z])"
-OPERATORS, SORTS = r"(?mU)^\s*ops?\s+(.+?)\s*:", r"(?mU)^\s*sorts?\s+(.+?)\s*\."
+LEFT_SIDE = r"(?dU)^\s*(?:eq|ceq)\s+(.*?)\s=(?!=)\s"
+CAPITALISED = rf"{_BEGINS}[A-Z](?:[\p{{L}}\p{{M}}\p{{N}}_'-]*{_W})?"
+RULE_LINE = rf"(?U)^\s*(?:c?eq|c?rl){_ENDS}"
+VARIABLES, INLINE_VARIABLES = r"(?dmU)^\s*vars?\s+(.+?)\s*:\s*\S+\s*\.", rf"{_BEGINS}({WORD}+):(?=[A-Za-z])"
+OPERATORS, SORTS = r"(?dmU)^\s*ops?\s+(.+?)\s*:", r"(?dmU)^\s*sorts?\s+(.+?)\s*\."
 SYMBOLS = r":=|=>|~>|/\\"
 #: Rare tokens of a program, and exemplars of each, that give the first score to beat.
 FIRST_TOKENS, FIRST_EXEMPLARS = 4, 8

@@ -28,6 +28,23 @@ def test_lint_rules(spark):
     assert "variable B stands 2 times" in got[0][2] and "name Q " in got[1][2] and "name Undef" in got[2][2]
 
 
+def test_lines_end_at_line_feeds(spark):
+    """A return or another separator inside a line starts no declaration and ends no condition."""
+    for mark in ("\r", "\x85", "\u2028"):
+        got = issues(spark, f"x{mark}vars Zed : S .\nx{mark}op Yan : S .\nx{mark}sort Tib .\neq a = Zed Yan Tib .\nif a{mark}= b then c")
+        assert [(a, b, m.split()[1]) for a, b, m in got if b in (4, 6)] == [(4, 6, "Tib"), (4, 6, "Yan"), (4, 6, "Zed"), (5, 4, "inside")]
+        assert [b for a, b, _ in issues(spark, f"var X : S .\neq f(X,{mark}X) = X .") if a == 2 and b == 5] == [5]
+
+
+def test_words_hold_numbers_and_no_other_marks(spark):
+    """½ and ² are characters of words, ‿ and Ⓐ are none."""
+    when = [(1, "½when"), (2, "when²"), (3, "‿when"), (4, "whenⒶ"), (5, "éwhen"), (6, "when")]
+    found = lint.line_issues(spark.createDataFrame(when, "program_id long, code string")).where("rule = 2")
+    assert sorted(r["program_id"] for r in found.collect()) == [3, 4, 6]
+    got = issues(spark, "eq a = Foo-½ Bar' Baz-- ½Qux A‿B .")
+    assert [m.split()[1] for _, b, m in got if b == 6] == ["A", "B", "Bar", "Baz", "Foo-½"]
+
+
 def test_formatted_order(spark):
     df = spark.createDataFrame([(1, "var X : S .\neq f(X, X) = Y .\nwhen")], "program_id long, code string")
     text = lint.formatted(lint.lint(df)).first()["issues"].split("\n")
