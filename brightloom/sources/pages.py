@@ -12,12 +12,16 @@ EXCLUDED = ("/tags/", "/categories/", "/page/")
 def read_pages(spark: SparkSession, path: str, order: DataFrame | None = None) -> DataFrame:
     """``page_order, url, html, error``; ``order(url, page_order)`` lists the pages to read, else all by url.
 
+    Pages of one url stand by the digest of their html, so that numbers depend neither on the files nor on the tasks.
     A listed page that isn't there, or has no html, comes out with an error and does not stop the rest.
     """
     from brightloom.operators.ids import dense_ids
 
     pages = spark.read.parquet(path).select("url", "html")
-    rows = pages.join(order, "url", "right") if order is not None else dense_ids(pages, "url", name="page_order")
+    if order is not None:
+        rows = pages.join(order, "url", "right")
+    else:
+        rows = dense_ids(pages.withColumn("digest", F.md5(F.col("html").cast("binary"))), "url", "digest", name="page_order")
     return rows.select(F.col("page_order").cast("long").alias("page_order"), "url", "html", F.when(F.col("html").isNull(), "no page").alias("error"))
 
 

@@ -21,6 +21,18 @@ def test_listed_pages(spark, tmp_path):
     assert got == {"u2": (0, None), "gone": (1, "no page")}
 
 
+def test_pages_of_one_url_keep_their_numbers(spark, tmp_path):
+    """Numbers do not follow the order of rows or files."""
+    given = [(f"u{i % 3}", None if i == 4 else f"<p>{i}") for i in range(30)]
+    found = []
+    for k, listed in enumerate((given, given[::-1], given[15:] + given[:15])):
+        path = str(tmp_path / f"p{k}")
+        spark.createDataFrame(listed, "url string, html string").coalesce(k + 1).write.parquet(path)
+        found.append(sorted((r["page_order"], r["url"], r["html"]) for r in pages.read_pages(spark, path).collect()))
+    assert [n for n, *_ in found[0]] == list(range(30)) and [u for _, u, _ in found[0]] == sorted(u for u, _ in given)
+    assert found[0][10][2] is None and found[0] == found[1] == found[2]
+
+
 def test_page_texts(spark):
     df = spark.createDataFrame([("d", ["a", "", "c"])], "doc string, pages array<string>")
     assert [tuple(r) for r in pages.page_texts(df).collect()] == [("d", 1, "a"), ("d", 3, "c")]
